@@ -179,3 +179,315 @@ def q_ann_search(spark, sf):
     approx = V.ann_search(q, TD.corpus(spark, sf), n_cells=8, n_probe=3)
     rec = V.recall_at_k(approx, st["sem_top"])
     return approx.join(rec, "query_id", "left").select("query_id", "id", "semantic_score", "recall")
+
+
+# --------------------------------------------------------------------------
+# Tables (A)
+# --------------------------------------------------------------------------
+
+from ragframe.sources import tables as TB  # noqa: E402
+from ragframe.operators import maintenance as M  # noqa: E402
+
+NOW_SQL = "TIMESTAMP '2024-06-01 00:00:00'"
+
+
+def _now():
+    return F.to_timestamp(F.lit("2024-06-01 00:00:00"))
+
+
+def _ctx_flat(df: DataFrame) -> DataFrame:
+    return df.select("context_id", "name", "description", "chat_model", "embeddings_model",
+                     F.col("retrieval_settings.rrfLimit").cast("long").alias("rrf_limit"),
+                     F.col("updated_at").cast("string").alias("updated_at"))
+
+
+_CTX_FLAT_SQL = ("context_id, name, description, chat_model, embeddings_model, "
+                 "CAST(rrf_limit AS BIGINT) AS rrf_limit, CAST(updated_at AS VARCHAR) AS updated_at")
+
+
+@register("context_get", TD.sql_with("ctx", "queries") + f"""
+SELECT {_CTX_FLAT_SQL} FROM ctx WHERE context_id IN (SELECT context_id FROM queries)""")
+def q_context_get(spark, sf):
+    return _ctx_flat(TB.context_get(TD.contexts(spark, sf), TD.queries(spark, sf)))
+
+
+_NAMES_SQL = "SELECT DISTINCT 'src' || CAST(conv_id % 25 AS VARCHAR) AS name FROM conversations WHERE role = 'user'"
+
+
+def _names(spark, sf):
+    c = TD.read(spark, sf, "conversations").where(F.col("role") == "user")
+    return c.select(F.concat(F.lit("src"), (F.col("conv_id") % 25).cast("string")).alias("name")).distinct()
+
+
+@register("context_by_name", TD.sql_with("ctx") + f"""
+SELECT {_CTX_FLAT_SQL} FROM ctx WHERE name IN ({_NAMES_SQL})""")
+def q_context_by_name(spark, sf):
+    return _ctx_flat(TB.context_by_name(TD.contexts(spark, sf), _names(spark, sf)))
+
+
+@register("context_list", TD.sql_with("ctx") + f"\nSELECT {_CTX_FLAT_SQL} FROM ctx")
+def q_context_list(spark, sf):
+    return _ctx_flat(TB.context_list(TD.contexts(spark, sf)))
+
+
+@register("document_list", TD.sql_with("docs", "queries") + """
+SELECT document_id, context_id, name, description, type FROM docs
+WHERE context_id IN (SELECT context_id FROM queries)""")
+def q_document_list(spark, sf):
+    d = TB.document_list(TD.documents_table(spark, sf), TD.queries(spark, sf))
+    return d.select("document_id", "context_id", "name", "description", "type")
+
+
+@register("embeddings_exist", TD.sql_with("docs", "corpus") + """
+SELECT d.context_id, d.document_id,
+       EXISTS (SELECT 1 FROM corpus c WHERE c.context_id = d.context_id AND c.document_id = d.document_id) AS "exists"
+FROM docs d""")
+def q_embeddings_exist(spark, sf):
+    keys = TD.documents_table(spark, sf).select("context_id", "document_id")
+    return TB.embeddings_exist(keys, TD.corpus(spark, sf)).select("context_id", "document_id", "exists")
+
+
+@register("upsert_contexts", TD.sql_with("ctx") + f""",
+changes AS (
+  SELECT DISTINCT source AS context_id, source AS name, lang FROM documents
+  UNION ALL SELECT DISTINCT 'lang-' || lang, 'lang-' || lang, lang FROM documents),
+last_change AS (SELECT context_id, name, 'Docs in ' || max(lang) AS description FROM changes GROUP BY context_id, name)
+SELECT COALESCE(l.context_id, c.context_id) AS context_id,
+       CASE WHEN l.context_id IS NOT NULL THEN l.name ELSE c.name END AS name,
+       CASE WHEN l.context_id IS NOT NULL THEN l.description ELSE c.description END AS description,
+       CASE WHEN l.context_id IS NOT NULL THEN 'mistral-large-latest' ELSE c.chat_model END AS chat_model,
+       CASE WHEN l.context_id IS NOT NULL THEN 'mistral-embed' ELSE c.embeddings_model END AS embeddings_model,
+       CAST(CASE WHEN l.context_id IS NOT NULL THEN {K.DEFAULT_RRF_LIMIT} ELSE c.rrf_limit END AS BIGINT) AS rrf_limit,
+       CASE WHEN l.context_id IS NOT NULL THEN CAST({NOW_SQL} AS VARCHAR) ELSE CAST(c.updated_at AS VARCHAR) END AS updated_at
+FROM ctx c FULL OUTER JOIN last_change l ON c.context_id = l.context_id""")
+def q_upsert_contexts(spark, sf):
+    d = TD.read(spark, sf, "documents").select("source", "lang").distinct()
+    dflt = TB.default_context(TD.contexts(spark, sf).limit(0), now=_now())
+    upd = d.select(F.col("source").alias("context_id"), F.col("source").alias("name"), "lang")
+    new = d.select(F.concat(F.lit("lang-"), "lang").alias("context_id"),
+                   F.concat(F.lit("lang-"), "lang").alias("name"), "lang").distinct()
+    ch = upd.unionByName(new).select(
+        "context_id", "name", F.concat(F.lit("Docs in "), "lang").alias("description"),
+        dflt.select("prompt_template").scalar().alias("prompt_template"),
+        dflt.select("retrieval_settings").scalar().alias("retrieval_settings"),
+        F.lit(None).cast(TD.S.CHAT_COMPLETION_SETTINGS).alias("chat_completion_settings"),
+        F.lit("mistral-large-latest").alias("chat_model"), F.lit("mistral-embed").alias("embeddings_model"),
+        F.col("lang").alias("change_seq"))
+    return _ctx_flat(M.upsert_contexts(TD.contexts(spark, sf), ch, _now()))
+
+
+@register("upsert_documents", TD.sql_with("docs") + f""",
+changes AS (
+  SELECT l.doc_id AS document_id, 'quality ' || CAST(l.quality AS VARCHAR) AS description,
+         CASE WHEN l.toxic = 1 THEN 'flagged' ELSE 'PDF' END AS type, d.source AS context_id,
+         'doc-' || CAST(l.doc_id AS VARCHAR) AS name
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id
+  UNION ALL
+  SELECT l.doc_id + 1000000, 'new', 'PDF', 'new', 'doc-new-' || CAST(l.doc_id AS VARCHAR) FROM labels l)
+SELECT COALESCE(c.document_id, n.document_id) AS document_id,
+       CASE WHEN c.document_id IS NOT NULL THEN c.context_id ELSE n.context_id END AS context_id,
+       CASE WHEN c.document_id IS NOT NULL THEN c.name ELSE n.name END AS name,
+       CASE WHEN n.document_id IS NOT NULL THEN n.description ELSE c.description END AS description,
+       CASE WHEN n.document_id IS NOT NULL THEN n.type ELSE c.type END AS type,
+       CASE WHEN c.document_id IS NOT NULL THEN CAST(c.updated_at AS VARCHAR) ELSE CAST({NOW_SQL} AS VARCHAR) END AS updated_at
+FROM docs c FULL OUTER JOIN changes n ON c.document_id = n.document_id""")
+def q_upsert_documents(spark, sf):
+    lab = TD.read(spark, sf, "labels")
+    d = TD.read(spark, sf, "documents").select("doc_id", "source")
+    upd = lab.join(d, "doc_id").select(
+        F.col("doc_id").alias("document_id"), F.col("source").alias("context_id"),
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"),
+        F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("description"),
+        F.when(F.col("toxic") == 1, F.lit("flagged")).otherwise(F.lit("PDF")).alias("type"),
+        F.create_map(F.lit("quality"), F.col("quality").cast("string")).alias("metadata"))
+    new = lab.select((F.col("doc_id") + 1000000).alias("document_id"), F.lit("new").alias("context_id"),
+                     F.concat(F.lit("doc-new-"), F.col("doc_id").cast("string")).alias("name"),
+                     F.lit("new").alias("description"), F.lit("PDF").alias("type"),
+                     F.create_map().cast("map<string,string>").alias("metadata"))
+    out = M.upsert_documents(TD.documents_table(spark, sf), upd.unionByName(new), _now(), seq_col=None)
+    return out.select("document_id", "context_id", "name", "description", "type",
+                      F.col("updated_at").cast("string").alias("updated_at"))
+
+
+@register("append_embeddings", TD.sql_with("corpus", "line_chunks") + """
+SELECT id, context_id, document_id, fragment_index, chunk_index FROM corpus
+UNION ALL
+SELECT (SELECT max(id) FROM corpus) + row_number() OVER (ORDER BY document_id, fragment_index, chunk_index),
+       context_id, document_id, fragment_index, chunk_index FROM line_chunks""")
+def q_append_embeddings(spark, sf):
+    cur = TD.corpus(spark, sf)
+    new = V.embed_chunks(TD.line_chunks(spark, sf).drop("id"), dim=64)
+    out, _rej = M.append_embeddings(cur, new, expected_dim=64)
+    return out.select("id", "context_id", "document_id", "fragment_index", "chunk_index")
+
+
+_TOXIC_KEYS_SQL = ("SELECT d.source AS context_id, d.doc_id AS document_id FROM labels l "
+                   "JOIN documents d ON d.doc_id = l.doc_id WHERE l.toxic = 1")
+
+
+def _keys(spark, sf, cond):
+    lab = TD.read(spark, sf, "labels").where(cond)
+    d = TD.read(spark, sf, "documents").select("doc_id", "source")
+    return lab.join(d, "doc_id").select(F.col("source").alias("context_id"), F.col("doc_id").alias("document_id"))
+
+
+@register("delete_embeddings", TD.sql_with("line_chunks") + f"""
+SELECT id, context_id, document_id, fragment_index FROM line_chunks
+WHERE (context_id, document_id) NOT IN ({_TOXIC_KEYS_SQL})""")
+def q_delete_embeddings(spark, sf):
+    out = M.delete_embeddings(TD.line_chunks(spark, sf), _keys(spark, sf, F.col("toxic") == 1))
+    return out.select("id", "context_id", "document_id", "fragment_index")
+
+
+@register("purge_documents", TD.sql_with("docs", "line_chunks") + """,
+k AS (SELECT d.source AS context_id, d.doc_id AS document_id FROM labels l
+      JOIN documents d ON d.doc_id = l.doc_id WHERE l.quality = 0),
+e AS (SELECT * FROM line_chunks lc WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.context_id = lc.context_id AND k.document_id = lc.document_id)),
+dd AS (SELECT * FROM docs WHERE document_id NOT IN (SELECT document_id FROM k))
+SELECT dd.document_id, dd.context_id, COALESCE(n.n_embeddings, 0) AS n_embeddings
+FROM dd LEFT JOIN (SELECT document_id, count(*) AS n_embeddings FROM e GROUP BY document_id) n USING (document_id)""")
+def q_purge_documents(spark, sf):
+    docs, emb = M.purge_documents(TD.documents_table(spark, sf), TD.line_chunks(spark, sf),
+                                  _keys(spark, sf, F.col("quality") == 0))
+    n = emb.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_embeddings"))
+    return (docs.join(n, "document_id", "left")
+            .select("document_id", "context_id", F.coalesce("n_embeddings", F.lit(0)).cast("long").alias("n_embeddings")))
+
+
+@register("purge_contexts", TD.sql_with("ctx", "docs", "line_chunks") + """,
+ids AS (SELECT DISTINCT d.source AS context_id FROM labels l JOIN documents d ON d.doc_id = l.doc_id
+        WHERE l.toxic = 1 AND l.quality = 0),
+c2 AS (SELECT * FROM ctx WHERE context_id NOT IN (SELECT context_id FROM ids)),
+d2 AS (SELECT * FROM docs WHERE context_id NOT IN (SELECT context_id FROM ids)),
+e2 AS (SELECT * FROM line_chunks WHERE context_id NOT IN (SELECT context_id FROM ids))
+SELECT c2.context_id,
+       (SELECT count(*) FROM d2 WHERE d2.context_id = c2.context_id) AS n_documents,
+       (SELECT count(*) FROM e2 WHERE e2.context_id = c2.context_id) AS n_embeddings
+FROM c2""")
+def q_purge_contexts(spark, sf):
+    ids = _keys(spark, sf, (F.col("toxic") == 1) & (F.col("quality") == 0)).select("context_id")
+    ctx, docs, emb = M.purge_contexts(TD.contexts(spark, sf), TD.documents_table(spark, sf),
+                                      TD.line_chunks(spark, sf), ids)
+    nd = docs.groupBy("context_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    ne = emb.groupBy("context_id").agg(F.count(F.lit(1)).alias("n_embeddings"))
+    return (ctx.select("context_id").join(nd, "context_id", "left").join(ne, "context_id", "left")
+            .select("context_id", F.coalesce("n_documents", F.lit(0)).cast("long").alias("n_documents"),
+                    F.coalesce("n_embeddings", F.lit(0)).cast("long").alias("n_embeddings")))
+
+
+@register("scan_documents")
+def q_scan_documents(spark, sf):
+    return TB.scan_documents(spark, sf, glob="*.parquet").select("name", "length")
+
+
+@register("default_context", TD.sql_with("ctx") + """
+SELECT context_id, name,
+       context_id = (SELECT context_id FROM ctx ORDER BY updated_at, context_id LIMIT 1) AS is_default
+FROM ctx""")
+def q_default_context(spark, sf):
+    return TB.default_context(TD.contexts(spark, sf)).select("context_id", "name", "is_default")
+
+
+def _fmt_sql(x: str) -> str:
+    i = f"floor(ln({x}) / ln(1024))"
+    units = "[" + ", ".join(f"'{u}'" for u in K.FILE_SIZE_UNITS) + "]"
+    return (f"CASE WHEN {x} = 0 THEN '0 Bytes' ELSE "
+            f"regexp_replace(CAST(round({x} / pow(1024, {i}), 2) AS VARCHAR), '\\.0$', '') || ' ' || "
+            f"COALESCE({units}[CAST({i} AS INTEGER) + 1], 'undefined') END")
+
+
+_ALLOWED_SQL = "[" + ", ".join(f"'{m}'" for m in K.ALLOWED_MIME_TYPES) + "]"
+_UPLOADS_SQL = """
+uploads AS (
+  SELECT doc_id AS file_id,
+         ['application/pdf', 'text/plain', 'text/html', 'image/png', ''][CAST(doc_id % 5 AS INTEGER) + 1] AS mime,
+         n_chars * 50000 AS size
+  FROM documents)"""
+
+
+@register("admit_uploads", "WITH " + _UPLOADS_SQL.strip() + f"""
+SELECT file_id, mime, size,
+       list_contains({_ALLOWED_SQL}, mime) AND NOT (size > {K.MAX_UPLOAD_BYTES}) AS valid,
+       CASE WHEN NOT list_contains({_ALLOWED_SQL}, mime) THEN 'File type ' || mime || ' is not allowed.'
+            WHEN size > {K.MAX_UPLOAD_BYTES} THEN 'File size ' || {_fmt_sql('size')} || ' exceeds maximum size of ' || {_fmt_sql(str(K.MAX_UPLOAD_BYTES))}
+       END AS error
+FROM uploads""")
+def q_admit_uploads(spark, sf):
+    return TB.admit_uploads(TD.uploads(spark, sf)).select("file_id", "mime", "size", "valid", "error")
+
+
+# --------------------------------------------------------------------------
+# Ingestion (B)
+# --------------------------------------------------------------------------
+
+from ragframe.operators import ingest as IG  # noqa: E402
+
+
+def _html_sql(x: str) -> str:
+    s = x
+    for tag in ["script", "style", "head"]:
+        s = f"regexp_replace({s}, '(?is)<{tag}\\b.*?</{tag}\\s*>', ' ', 'g')"
+    s = f"regexp_replace({s}, '(?s)<[^>]*>', ' ', 'g')"
+    for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"),
+                 ("&nbsp;", " "), ("&amp;", "&")]:
+        s = f"replace({s}, '{a}', '{b}')"
+    return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
+
+
+@register("parse_documents", f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
+def q_parse_documents(spark, sf):
+    p = TD.read(spark, sf, "pages")
+    return p.select("page_id", IG.html_text("html").alias("text"))
+
+
+@register("chunk_documents")
+def q_chunk_documents(spark, sf):
+    d = TD.read(spark, sf, "documents").select(F.col("doc_id").alias("document_id"),
+                                                F.col("source").alias("context_id"), "text")
+    out = IG.chunk_documents(d, 512)
+    return out.select("document_id", "fragment_index", F.length("value").alias("n_chars"))
+
+
+@register("index_fragments", TD.sql_with("line_chunks") + """
+SELECT context_id, document_id, fragment_index, chunk_index, value FROM line_chunks""")
+def q_index_fragments(spark, sf):
+    d = TD.read(spark, sf, "documents").select(F.col("doc_id").alias("document_id"),
+                                                F.col("source").alias("context_id"),
+                                                F.split("text", "\n").alias("pieces"))
+    return IG.index_fragments(d).select("context_id", "document_id", "fragment_index", "chunk_index", "value")
+
+
+@register("embedding_input", TD.sql_with("line_chunks") + """
+SELECT lc.id, 'lang: ' || d.lang || chr(10) || 'source: ' || d.source || chr(10) || lc.value AS embedding_input
+FROM line_chunks lc JOIN documents d ON d.doc_id = lc.document_id""")
+def q_embedding_input(spark, sf):
+    lc = TD.line_chunks(spark, sf).drop("metadata")
+    d = TD.read(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "lang", "source")
+    rows = lc.join(d, "document_id").withColumn(
+        "metadata", F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang")))
+    return IG.embedding_inputs(rows).select("id", "embedding_input")
+
+
+@register("embed_chunks")
+def q_embed_chunks(spark, sf):
+    out = V.embed_chunks(TD.line_chunks(spark, sf), dim=64)
+    return out.select("id", F.size("embedding").alias("dim"), F.round(norm_expr("embedding"), 6).alias("norm"))
+
+
+@register("ingest")
+def q_ingest(spark, sf):
+    d = TD.read(spark, sf, "documents").select(
+        F.col("doc_id").alias("document_id"), F.col("source").alias("context_id"),
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), "text")
+    docs, emb, _rej = IG.ingest(d, TD.documents_table(spark, sf).where(F.lit(False)),
+                                TD.corpus(spark, sf).where(F.lit(False)), max_chars=512, dim=64, now=_now())
+    return emb.select("id", "context_id", "document_id", "fragment_index", "chunk_index",
+                      F.length("value").alias("n_chars"), F.size("embedding").alias("dim"))
+
+
+@register("ingest_if_absent", TD.sql_with("docs", "corpus") + """
+SELECT document_id, context_id FROM docs d
+WHERE NOT EXISTS (SELECT 1 FROM corpus c WHERE c.context_id = d.context_id AND c.document_id = d.document_id)""")
+def q_ingest_if_absent(spark, sf):
+    out = IG.ingest_if_absent(TD.documents_table(spark, sf), TD.corpus(spark, sf))
+    return out.select("document_id", "context_id")

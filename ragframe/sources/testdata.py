@@ -308,3 +308,22 @@ def sql_with(*names: str) -> str:
     for n in names:
         add(n)
     return "WITH " + ",\n".join(SQL_VIEWS[n].strip() for n in order)
+
+
+def as_response_events(raw_events: DataFrame) -> DataFrame:
+    """Map the raw ``events`` columns to response events (batch or stream)."""
+    return raw_events.select(
+        F.col("user_id").alias("query_id"), F.col("event_id").alias("seq"), F.col("ts"),
+        F.when(F.col("event_type") == "signup", F.lit(K.EVENT_RETRIEVAL))
+         .when(F.col("event_type") == "error", F.lit(K.EVENT_FINISHED))
+         .otherwise(F.lit(K.EVENT_PARTIAL)).alias("type"),
+        F.col("props").alias("content"),
+    )
+
+
+def event_file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_stream`` as a real file stream over ``events.parquet``."""
+    schema = read(spark, sf_dir, "events").schema
+    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+           .parquet(sf_dir))
+    return as_response_events(raw)
