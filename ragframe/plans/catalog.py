@@ -491,3 +491,412 @@ WHERE NOT EXISTS (SELECT 1 FROM corpus c WHERE c.context_id = d.context_id AND c
 def q_ingest_if_absent(spark, sf):
     out = IG.ingest_if_absent(TD.documents_table(spark, sf), TD.corpus(spark, sf))
     return out.select("document_id", "context_id")
+
+
+# --------------------------------------------------------------------------
+# Prompt and chat (D)
+# --------------------------------------------------------------------------
+
+from ragframe.operators import chat as CH  # noqa: E402
+from ragframe.operators import prompt as PR  # noqa: E402
+
+
+def _context_text(spark, sf):
+    return PR.assemble_context(_stages(spark, sf)["retrieved"], TD.queries(spark, sf).select("query_id", "context_id", "query"))
+
+
+_CTX_TEXT_SQL = """,
+ctx_text AS (
+  SELECT q.query_id, q.context_id, q.query, COALESCE(a.context_text, '') AS context_text
+  FROM queries q LEFT JOIN (
+    SELECT query_id, string_agg(chr(10) || value, chr(10) ORDER BY document_id, fragment_index, chunk_index) AS context_text
+    FROM retrieved GROUP BY query_id) a USING (query_id)),
+rendered AS (
+  SELECT t.query_id, c.n,
+         c.task_context || chr(10) || COALESCE(c.tone_context, '') || chr(10) || COALESCE(c.task_description, '') AS system,
+         COALESCE(replace(c.query_context_template, '{{context}}', t.context_text), '') || chr(10) ||
+         COALESCE(replace(c.query_template, '{{query}}', t.query), '') || chr(10) ||
+         COALESCE(c.precognition, '') || chr(10) || COALESCE(c.output_formatting, '') AS "user",
+         c.prefill AS assistant
+  FROM ctx_text t JOIN ctx c USING (context_id))"""
+
+
+@register("assemble_context", retrieval_with() + _CTX_TEXT_SQL + "\nSELECT query_id, context_text FROM ctx_text")
+def q_assemble_context(spark, sf):
+    return _context_text(spark, sf).select("query_id", "context_text")
+
+
+def _rendered(spark, sf):
+    t = _context_text(spark, sf)
+    c = TD.contexts(spark, sf).select("context_id", "prompt_template")
+    return PR.render_prompt(t.join(c, "context_id"))
+
+
+@register("render_prompt", retrieval_with() + _CTX_TEXT_SQL + '\nSELECT query_id, system, "user", assistant FROM rendered')
+def q_render_prompt(spark, sf):
+    r = _rendered(spark, sf)
+    return r.select("query_id", "rendered.system", "rendered.user", "rendered.assistant")
+
+
+@register("build_messages", retrieval_with() + _CTX_TEXT_SQL + """
+SELECT query_id, CAST(0 AS BIGINT) AS pos, 'system' AS role, system AS content FROM rendered
+UNION ALL SELECT query_id, 1, 'user', 'Hi' FROM rendered WHERE n % 2 = 1
+UNION ALL SELECT query_id, 2, 'assistant', 'Hello!' FROM rendered WHERE n % 2 = 1
+UNION ALL SELECT query_id, CASE WHEN n % 2 = 1 THEN 3 ELSE 1 END, 'user', "user" FROM rendered
+UNION ALL SELECT query_id, 4, 'assistant', assistant FROM rendered WHERE assistant IS NOT NULL""")
+def q_build_messages(spark, sf):
+    return PR.build_messages(_rendered(spark, sf))
+
+
+@register("complete_chat")
+def q_complete_chat(spark, sf):
+    return CH.complete_chat(PR.build_messages(_rendered(spark, sf)))
+
+
+@register("response_events", retrieval_with() + r""",
+ans AS (SELECT query_id, regexp_extract_all(query, '(\s*\S+)', 1) AS parts FROM queries),
+cnt AS (SELECT query_id, count(*) AS n FROM retrieved GROUP BY query_id)
+SELECT a.query_id, CAST(0 AS BIGINT) AS seq, 'Retrieval' AS type, CAST(NULL AS VARCHAR) AS content,
+       CAST(COALESCE(c.n, 0) AS BIGINT) AS n_fragments
+FROM ans a LEFT JOIN cnt c USING (query_id)
+UNION ALL SELECT query_id, CAST(generate_subscripts(parts, 1) AS BIGINT), 'Partial', unnest(parts), NULL FROM ans
+UNION ALL SELECT query_id, CAST(len(parts) + 1 AS BIGINT), 'Finished', NULL, NULL FROM ans""")
+def q_response_events(spark, sf):
+    ans = TD.queries(spark, sf).select("query_id", F.col("query").alias("answer"))
+    return CH.response_events(ans, _stages(spark, sf)["retrieved"])
+
+
+_SUBS_SQL = """,
+subs AS (SELECT query_id, min(ts) AS start_ts FROM event_stream GROUP BY query_id),
+subscribed AS (
+  SELECT e.* FROM event_stream e JOIN subs s USING (query_id)
+  WHERE e.ts >= s.start_ts AND e.ts < s.start_ts + INTERVAL 300 SECOND)"""
+
+
+def _subscribed(spark, sf):
+    ev = TD.event_stream(spark, sf)
+    return CH.subscribe_responses(ev, CH.first_event_subscriptions(ev))
+
+
+@register("subscribe_responses", TD.sql_with("event_stream") + _SUBS_SQL + """
+SELECT query_id, seq, type, content, epoch_us(ts) AS ts_us FROM subscribed""")
+def q_subscribe_responses(spark, sf):
+    s = _subscribed(spark, sf)
+    return s.select("query_id", "seq", "type", "content",
+                    F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+
+
+def _answers_sql(src: str, stop: str) -> str:
+    return f""",
+b AS (SELECT query_id, min(CASE WHEN {stop} THEN seq END) AS stop,
+             max(CASE WHEN type = 'Finished' THEN 1 ELSE 0 END) AS fin FROM {src} GROUP BY query_id),
+p AS (SELECT e.query_id, string_agg(COALESCE(e.content, ''), '' ORDER BY e.seq) AS answer
+      FROM {src} e JOIN b USING (query_id)
+      WHERE e.type = 'Partial' AND (b.stop IS NULL OR e.seq < b.stop) GROUP BY e.query_id),
+answers AS (
+  SELECT b.query_id, COALESCE(p.answer, '') AS answer,
+         CASE WHEN b.fin = 1 THEN 'finished' ELSE 'timeout' END AS status
+  FROM b LEFT JOIN p USING (query_id))"""
+
+
+@register("assemble_answers", TD.sql_with("chat_events") + _answers_sql("chat_events", "type = 'Finished'")
+          + "\nSELECT query_id, answer, status FROM answers")
+def q_assemble_answers(spark, sf):
+    return CH.assemble_answers(TD.chat_events(spark, sf))
+
+
+@register("assemble_answers_leading", TD.sql_with("chat_events") + _answers_sql("chat_events", "type <> 'Partial'")
+          + "\nSELECT query_id, answer, status FROM answers")
+def q_assemble_answers_leading(spark, sf):
+    return CH.assemble_answers(TD.chat_events(spark, sf), mode="leading")
+
+
+@register("answers_in_window", TD.sql_with("event_stream") + _SUBS_SQL + _answers_sql("subscribed", "type = 'Finished'")
+          + "\nSELECT query_id, answer, status FROM answers")
+def q_answers_in_window(spark, sf):
+    return CH.assemble_answers(_subscribed(spark, sf))
+
+
+def _html_escape_sql(x: str) -> str:
+    s = x
+    for a, b in K.HTML_ESCAPES:
+        a_sql = "chr(10)" if a == "\n" else "'" + a.replace("'", "''") + "'"
+        s = f"replace({s}, {a_sql}, '{b.replace(chr(39), chr(39) * 2)}')"
+    return s
+
+
+@register("retrieval_report", retrieval_with() + f"""
+SELECT q.query_id, r.document_id, r.fragment_index, r.chunk_index, r.matched_fragment_index, r.rrf_score,
+       r.semantic_score, r.full_text_score, {_html_escape_sql('r.value')} AS chunk_html,
+       CASE WHEN r.document_id IS NULL THEN '{K.NO_DOCUMENTS_RETRIEVED}' ELSE 'Document fragments:' END AS message
+FROM queries q LEFT JOIN retrieved r USING (query_id)""")
+def q_retrieval_report(spark, sf):
+    return PR.retrieval_report(_stages(spark, sf)["retrieved"], TD.queries(spark, sf))
+
+
+@register("escape_html", f"SELECT doc_id, {_html_escape_sql('text')} AS html FROM documents")
+def q_escape_html(spark, sf):
+    d = TD.read(spark, sf, "documents").select("doc_id", "text")
+    return PR.escape_html(d, "text", "html").select("doc_id", "html")
+
+
+# --------------------------------------------------------------------------
+# Commands (E)
+# --------------------------------------------------------------------------
+
+from ragframe.operators import commands as CM  # noqa: E402
+
+
+def _raw_commands(spark, sf):
+    s = TD.slash_texts(spark, sf)
+    cid = F.col("command_id").cast("string")
+    rows = s.select(
+        "command_id", F.lit("A0APP").alias("api_app_id"), F.lit("T001").alias("team_id"),
+        F.lit("example").alias("team_domain"), F.lit(None).cast("string").alias("enterprise_id"),
+        F.lit(None).cast("string").alias("enterprise_name"), F.concat(F.lit("C"), cid).alias("channel_id"),
+        F.lit("general").alias("channel_name"), F.concat(F.lit("U"), cid).alias("user_id"),
+        F.lit("/ask").alias("command"), "text",
+        F.concat(F.lit("https://hooks.example/"), cid).alias("response_url"),
+        F.concat(F.lit("trig-"), cid).alias("trigger_id"), F.lit("false").alias("is_enterprise_install"))
+    return CM.encode_form(rows, K.COMMAND_FIELDS).select("command_id", "body")
+
+
+def _commands(spark, sf):
+    ok, _bad = CM.decode_commands(_raw_commands(spark, sf))
+    return ok
+
+
+def _routed(spark, sf):
+    parsed = CM.parse_command(_commands(spark, sf))
+    return CM.route_commands(CM.resolve_context(parsed, TD.contexts(spark, sf)))
+
+
+_CMD_SQL = r""",
+cmds AS (SELECT command_id, text FROM slash WHERE trim(text) <> ''),
+parsed AS (
+  SELECT command_id, text, t,
+         CASE WHEN instr(t, ' ') > 0 THEN split_part(t, ' ', 1) ELSE t END AS context_name,
+         CASE WHEN instr(t, ' ') > 0 THEN substr(t, instr(t, ' ') + 1) ELSE '' END AS user_query
+  FROM (SELECT command_id, text,
+               regexp_replace(regexp_replace(text, '^[\x00-\x20]+', ''), '[\x00-\x20]+\z', '') AS t FROM cmds)),
+byname AS (
+  SELECT name AS context_name, context_id, name AS context_label FROM ctx
+  QUALIFY row_number() OVER (PARTITION BY name ORDER BY updated_at, context_id) = 1),
+resolved AS (SELECT p.*, b.context_id, b.context_label FROM parsed p LEFT JOIN byname b USING (context_name)),
+routed AS (
+  SELECT *,
+         CASE WHEN t IS NULL THEN 'unparsed' WHEN context_id IS NULL THEN 'unknown_context' ELSE 'query' END AS route,
+         CASE WHEN t IS NULL THEN 'I''m sorry, I didn''t understand that. Your query was `' || text || '`'
+              WHEN context_id IS NULL THEN 'I''m sorry, I couldn''t find any context for ' || context_name || '. Your query was `' || text || '`'
+              ELSE 'Querying the ' || context_label || ' context with `' || user_query || '` ...' END AS reply
+  FROM resolved)"""
+
+_MSGS_SQL = """,
+msgs AS (
+  SELECT command_id, CAST(0 AS BIGINT) AS pos, 'plain' AS kind, reply AS text FROM routed
+  UNION ALL
+  SELECT r.command_id, 1, 'markdown', COALESCE(a.answer, '') FROM routed r
+  LEFT JOIN answers a ON a.query_id = CASE WHEN r.command_id >= 0 THEN r.command_id // 100 END
+  WHERE r.route = 'query')"""
+
+
+@register("decode_commands", TD.sql_with("slash") + """
+SELECT command_id, text, 'C' || CAST(command_id AS VARCHAR) AS channel_id, 'U' || CAST(command_id AS VARCHAR) AS user_id,
+       false AS is_enterprise_install, CAST(NULL AS VARCHAR) AS enterprise_id
+FROM slash WHERE trim(text) <> ''""")
+def q_decode_commands(spark, sf):
+    return _commands(spark, sf).select("command_id", "text", "channel_id", "user_id", "is_enterprise_install",
+                                       "enterprise_id")
+
+
+@register("decode_commands_rejects", TD.sql_with("slash") + """
+SELECT command_id, 'missing or invalid: text' AS error FROM slash WHERE trim(text) = ''""")
+def q_decode_commands_rejects(spark, sf):
+    _ok, bad = CM.decode_commands(_raw_commands(spark, sf))
+    return bad.select("command_id", "error")
+
+
+@register("parse_command", TD.sql_with("slash", "ctx") + _CMD_SQL + "\nSELECT command_id, context_name, user_query FROM parsed")
+def q_parse_command(spark, sf):
+    return CM.parse_command(_commands(spark, sf)).select("command_id", "context_name", "user_query")
+
+
+@register("resolve_context", TD.sql_with("slash", "ctx") + _CMD_SQL + "\nSELECT command_id, context_name, context_id FROM resolved")
+def q_resolve_context(spark, sf):
+    parsed = CM.parse_command(_commands(spark, sf))
+    return CM.resolve_context(parsed, TD.contexts(spark, sf)).select("command_id", "context_name", "context_id")
+
+
+@register("route_commands", TD.sql_with("slash", "ctx") + _CMD_SQL + "\nSELECT command_id, route, reply FROM routed")
+def q_route_commands(spark, sf):
+    return _routed(spark, sf).select("command_id", "route", "reply")
+
+
+def _command_messages(spark, sf):
+    routed = _routed(spark, sf).withColumn(
+        "query_id", F.when(F.col("command_id") >= 0, F.expr("command_id div 100")))
+    answers = CH.assemble_answers(TD.chat_events(spark, sf))
+    return CM.answer_commands(routed, answers)
+
+
+@register("answer_commands", TD.sql_with("slash", "ctx", "chat_events") + _CMD_SQL
+          + _answers_sql("chat_events", "type = 'Finished'") + _MSGS_SQL
+          + "\nSELECT command_id, pos, kind, text FROM msgs")
+def q_answer_commands(spark, sf):
+    return _command_messages(spark, sf)
+
+
+@register("message_payload", TD.sql_with("slash", "ctx", "chat_events") + _CMD_SQL
+          + _answers_sql("chat_events", "type = 'Finished'") + _MSGS_SQL + """
+SELECT command_id, pos,
+       CAST(json_object('text', text, 'blocks', json_array(json_object('type', 'section', 'text',
+            CASE WHEN kind = 'plain' THEN json_object('type', 'plain_text', 'text', text, 'emoji', true)
+                 ELSE json_object('type', 'mrkdwn', 'text', text) END))) AS VARCHAR) AS payload
+FROM msgs""")
+def q_message_payload(spark, sf):
+    return CM.message_payload(_command_messages(spark, sf)).select("command_id", "pos", "payload")
+
+
+# --------------------------------------------------------------------------
+# Settings, models, evaluation (F, G)
+# --------------------------------------------------------------------------
+
+from ragframe.operators import config as CF  # noqa: E402
+from ragframe.operators import evals as EV  # noqa: E402
+
+
+def _settings_rows(spark, sf):
+    ok = CF.render_settings(TD.contexts(spark, sf)).select("context_id", F.col("retrieval_settings_json").alias("j"))
+    variants = [
+        ("ok", F.col("j")),
+        ("bad_type", F.regexp_replace("j", r'"rrfLimit":[0-9]+', '"rrfLimit":"five"')),
+        ("missing", F.regexp_replace("j", r',"fragmentLookupRange":\{[^}]*\}', "")),
+        ("malformed", F.substring("j", 1, 20)),
+    ]
+    out = None
+    for name, expr in variants:
+        part = ok.select("context_id", F.lit(name).alias("variant"), expr.alias("settings_json"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_SETTINGS_JSON_SQL = f"""
+'{{"fullTextSearchLimit":' || fts_limit || ',"semanticSearchLimit":' || sem_limit || ',"rrfLimit":' || rrf_limit ||
+',"fragmentLookupRange":{{"lookBack":' || look_back || ',"lookAhead":' || look_ahead || '}}}}'"""
+
+
+@register("render_settings", TD.sql_with("ctx") + f"\nSELECT context_id, {_SETTINGS_JSON_SQL} AS retrieval_settings_json FROM ctx")
+def q_render_settings(spark, sf):
+    return CF.render_settings(TD.contexts(spark, sf)).select("context_id", "retrieval_settings_json")
+
+
+def _field_check(path: str, label: str) -> str:
+    return (f"CASE WHEN json_extract(settings_json, '{path}') IS NULL THEN '{label}: missing' "
+            f"WHEN json_type(settings_json, '{path}') NOT IN ('BIGINT', 'UBIGINT') THEN '{label}: expected an integer' END")
+
+
+_SETTINGS_ROWS_SQL = TD.sql_with("ctx") + f""",
+base AS (SELECT context_id, {_SETTINGS_JSON_SQL} AS j FROM ctx),
+rows AS (
+  SELECT context_id, 'ok' AS variant, j AS settings_json FROM base
+  UNION ALL SELECT context_id, 'bad_type', regexp_replace(j, '"rrfLimit":[0-9]+', '"rrfLimit":"five"') FROM base
+  UNION ALL SELECT context_id, 'missing', regexp_replace(j, ',"fragmentLookupRange":\\{{[^}}]*\\}}', '') FROM base
+  UNION ALL SELECT context_id, 'malformed', substr(j, 1, 20) FROM base),
+checked AS (
+  SELECT context_id, variant, settings_json,
+         CASE WHEN NOT json_valid(settings_json) THEN '$: malformed JSON'
+              ELSE concat_ws(', ', {_field_check('$.fullTextSearchLimit', 'fullTextSearchLimit')},
+                                   {_field_check('$.semanticSearchLimit', 'semanticSearchLimit')},
+                                   {_field_check('$.rrfLimit', 'rrfLimit')},
+                                   {_field_check('$.fragmentLookupRange.lookBack', 'fragmentLookupRange.lookBack')},
+                                   {_field_check('$.fragmentLookupRange.lookAhead', 'fragmentLookupRange.lookAhead')}) END AS errors
+  FROM rows)"""
+
+
+@register("parse_settings", _SETTINGS_ROWS_SQL + """
+SELECT context_id, variant, errors = '' AS valid, errors,
+       CASE WHEN errors = '' THEN CAST(json_extract(settings_json, '$.rrfLimit') AS BIGINT) END AS rrf_limit
+FROM checked""")
+def q_parse_settings(spark, sf):
+    ok, bad = CF.parse_settings(_settings_rows(spark, sf))
+    a = ok.select("context_id", "variant", F.lit(True).alias("valid"), F.lit("").alias("errors"),
+                  F.col("retrieval_settings.rrfLimit").cast("long").alias("rrf_limit"))
+    b = bad.select("context_id", "variant", F.lit(False).alias("valid"), "errors",
+                   F.lit(None).cast("long").alias("rrf_limit"))
+    return a.unionByName(b)
+
+
+_MODELS_SQL = "(VALUES " + ", ".join(f"('{n}', {c})" for n, c in K.MODELS) + ") m(name, context_length)"
+
+
+@register("resolve_models", TD.sql_with("ctx") + f""",
+r AS (SELECT context_id AS row_id, chat_model, embeddings_model FROM ctx
+      UNION ALL SELECT context_id || '-x', name || '-chat', embeddings_model FROM ctx)
+SELECT r.row_id, r.chat_model,
+       CAST(mc.context_length AS INTEGER) AS chat_model_context_length,
+       CAST(me.context_length AS INTEGER) AS embeddings_model_context_length,
+       CASE WHEN mc.name IS NULL THEN 'chat_model: unknown model ' || r.chat_model END AS error
+FROM r LEFT JOIN {_MODELS_SQL.replace(' m(', ' mc(')} ON mc.name = r.chat_model
+LEFT JOIN {_MODELS_SQL.replace(' m(', ' me(')} ON me.name = r.embeddings_model""")
+def q_resolve_models(spark, sf):
+    c = TD.contexts(spark, sf)
+    r = c.select(F.col("context_id").alias("row_id"), "chat_model", "embeddings_model").unionByName(
+        c.select(F.concat("context_id", F.lit("-x")).alias("row_id"),
+                 F.concat("name", F.lit("-chat")).alias("chat_model"), "embeddings_model"))
+    return CF.resolve_models(r).select("row_id", "chat_model", "chat_model_context_length",
+                                       "embeddings_model_context_length", "error")
+
+
+@register("format_file_size", "WITH " + _UPLOADS_SQL.strip() + f"""
+SELECT u.file_id, {_fmt_sql('u.size')} AS size_text, {_fmt_sql('d.n_chars')} AS chars_text
+FROM uploads u JOIN documents d ON d.doc_id = u.file_id""")
+def q_format_file_size(spark, sf):
+    u = TD.uploads(spark, sf)
+    d = TD.read(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "n_chars")
+    j = CF.format_file_size(CF.format_file_size(u.join(d, "file_id"), "size", "size_text"), "n_chars", "chars_text")
+    return j.select("file_id", "size_text", "chars_text")
+
+
+_EVAL_SQL = TD.sql_with("eval_cases") + r""",
+toks AS (
+  SELECT case_id,
+         list_distinct(list_filter(regexp_extract_all(lower(actual_output), '[\p{L}\p{N}]+'), lambda t: length(t) <= 255)) AS a,
+         list_distinct(list_filter(regexp_extract_all(lower(expected_output), '[\p{L}\p{N}]+'), lambda t: length(t) <= 255)) AS e
+  FROM eval_cases),
+ov AS (SELECT case_id, CAST(len(list_intersect(a, e)) AS DOUBLE) AS o, len(a) AS la, len(e) AS le FROM toks),
+scored AS (
+  SELECT case_id,
+         round(CASE WHEN o > 0 AND la > 0 AND le > 0 THEN 2.0 * (o / la) * (o / le) / ((o / la) + (o / le)) ELSE 0.0 END, 9) AS score
+  FROM ov)"""
+
+
+@register("eval_correctness", _EVAL_SQL + f"\nSELECT case_id, score, score >= {K.EVAL_THRESHOLD} AS passed FROM scored")
+def q_eval_correctness(spark, sf):
+    return EV.eval_correctness(TD.eval_cases(spark, sf)).select("case_id", "score", "passed")
+
+
+@register("eval_pass_rate", _EVAL_SQL + f"""
+SELECT count(*) AS n_cases, sum(CASE WHEN score >= {K.EVAL_THRESHOLD} THEN 1 ELSE 0 END) AS n_passed,
+       round(avg(CASE WHEN score >= {K.EVAL_THRESHOLD} THEN 1.0 ELSE 0.0 END), 9) AS pass_rate
+FROM scored""")
+def q_eval_pass_rate(spark, sf):
+    return EV.pass_rate(EV.eval_correctness(TD.eval_cases(spark, sf)))
+
+
+# --------------------------------------------------------------------------
+# Streaming
+# --------------------------------------------------------------------------
+
+from ragframe.streaming import responses as ST  # noqa: E402
+
+
+@register("assemble_answers_stream")
+def q_assemble_answers_stream(spark, sf):
+    return ST.run_to_table(ST.assemble_answers_stream(TD.event_file_stream(spark, sf)), "answers")
+
+
+@register("subscribe_responses_stream")
+def q_subscribe_responses_stream(spark, sf):
+    subs = CH.first_event_subscriptions(TD.event_stream(spark, sf))
+    s = ST.subscribe_stream(TD.event_file_stream(spark, sf), subs)
+    return ST.run_to_table(s.select("query_id", "seq", "type", "content", "ts"), "subscribed")

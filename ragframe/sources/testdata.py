@@ -163,14 +163,7 @@ def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_stream`` (batch form): web events as response events with time."""
-    e = read(spark, sf_dir, "events")
-    return e.select(
-        F.col("user_id").alias("query_id"), F.col("event_id").alias("seq"), F.col("ts"),
-        F.when(F.col("event_type") == "signup", F.lit(K.EVENT_RETRIEVAL))
-         .when(F.col("event_type") == "error", F.lit(K.EVENT_FINISHED))
-         .otherwise(F.lit(K.EVENT_PARTIAL)).alias("type"),
-        F.col("props").alias("content"),
-    )
+    return as_response_events(read(spark, sf_dir, "events"))
 
 
 def slash_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +306,8 @@ def sql_with(*names: str) -> str:
 def as_response_events(raw_events: DataFrame) -> DataFrame:
     """Map the raw ``events`` columns to response events (batch or stream)."""
     return raw_events.select(
-        F.col("user_id").alias("query_id"), F.col("event_id").alias("seq"), F.col("ts"),
+        F.col("user_id").alias("query_id"), F.col("event_id").alias("seq"),
+        F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_type") == "signup", F.lit(K.EVENT_RETRIEVAL))
          .when(F.col("event_type") == "error", F.lit(K.EVENT_FINISHED))
          .otherwise(F.lit(K.EVENT_PARTIAL)).alias("type"),

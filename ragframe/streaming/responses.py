@@ -74,13 +74,13 @@ def _assembler(timeout_ms: int, mode: str):
         else:
             first_ts, seqs, contents = None, [], []
         ev = pd.concat(list(pdfs), ignore_index=True)
-        ev["_ms"] = ev["ts"].astype("datetime64[us]").astype("int64") // 1000
-        ev = ev.sort_values(["_ms", "seq"], kind="stable")
+        ev["ms"] = ev["ts"].astype("datetime64[us]").astype("int64") // 1000
+        ev = ev.sort_values(["ms", "seq"], kind="stable")
         if first_ts is None:
-            first_ts = int(ev["_ms"].iloc[0])
+            first_ts = int(ev["ms"].iloc[0])
         deadline = first_ts + timeout_ms
         for r in ev.itertuples(index=False):
-            if r._ms >= deadline:
+            if r.ms >= deadline:
                 state.remove()
                 yield pd.DataFrame({"query_id": [qid], "answer": [_answer(seqs, contents, None)],
                                     "status": ["timeout"]})
