@@ -77,6 +77,7 @@ def bm25_stats(fragments: DataFrame, id_col: str = "id", text_col: str = "value"
                 .groupBy("id", *keys, "dl", "token")
                 .agg(F.count(F.lit(1)).alias("tf")))
     doc_freq = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # one map-side pass (no shuffle): N counts every fragment, avgdl = tokens / N
     totals = toks.agg(F.count(F.lit(1)).alias("n_docs"),
                       (F.sum(F.size("_toks")).cast("double") / F.count(F.lit(1))).alias("avgdl"))
     return Bm25Index(postings, doc_freq, totals)
@@ -90,19 +91,31 @@ def query_tokens(queries: DataFrame, text_col: str = "query", carry=()) -> DataF
 
 def bm25_search(queries: DataFrame, index: Bm25Index, limit_col: str = "_fts_limit",
                 limit_cap: int = K.DEFAULT_FULL_TEXT_SEARCH_LIMIT, scope: str = "global",
-                broadcast_tokens: bool = True, text_col: str = "query", carry=()) -> DataFrame:
+                broadcast_tokens: bool = True, text_col: str = "query", carry=(),
+                use_index_df: bool = False) -> DataFrame:
     """C4: fragments matching any query token, BM25-scored, top ``limit`` per
     query. ``scope='global'`` ranks over all contexts (the limit runs before the
     context filter, S1); ``scope='context'`` filters the postings first.
+    ``use_index_df=True`` reads document frequencies from a persisted index
+    instead of counting them from the postings.
 
     Output: query_id, q_context_id, id, keys, full_text_score, limit column and
     the ``carry`` columns of the query (its settings)."""
     carry = [limit_col] + [c for c in carry if c != limit_col]
     qt = query_tokens(queries, text_col, carry=carry)
-    n_docs = index.totals.select("n_docs").scalar()
-    avgdl = index.totals.select("avgdl").scalar()
-    df_ = index.doc_freq
-    weighted = qt.join(df_, "token").withColumn(
+    # one scalar subquery (reused): the corpus totals
+    tot = index.totals.select(F.struct("n_docs", "avgdl").alias("t")).scalar()
+    n_docs, avgdl = tot["n_docs"], tot["avgdl"]
+    # Document frequencies are only needed for the batch's query vocabulary:
+    # postings are filtered map-side by the (broadcast) vocabulary and counted
+    # with partial aggregation, so a hot token costs one row per task.
+    vocab = qt.select("token").distinct()
+    if index.doc_freq is not None and use_index_df:
+        dfq = index.doc_freq.join(F.broadcast(vocab) if broadcast_tokens else vocab, "token")
+    else:
+        dfq = (index.postings.select("token").join(F.broadcast(vocab) if broadcast_tokens else vocab, "token")
+               .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    weighted = qt.join(F.broadcast(dfq) if broadcast_tokens else dfq, "token").withColumn(
         "idf", F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))))
     side = F.broadcast(weighted) if broadcast_tokens else weighted
     post = index.postings
