@@ -65,19 +65,100 @@ def cosine_distance(pairs: DataFrame, left: str = "q_vec", right: str = "embeddi
                           .otherwise(F.col(out))).drop("_zero", "_null")
 
 
+def _block_kernel(bc, keys: list[str], carry: list[str], cap: int):
+    """numpy block product: for each context present in an Arrow batch,
+    distances = 1 - (E @ Q^T) / (|E| |Q|); keep, per query, the rows whose raw
+    distance is within 1e-8 of the batch's k-th smallest (a superset of the
+    batch's share of the exact, rounded top-k; the final cut is Spark's)."""
+    def run(batches):
+        table = bc.value
+        for pdf in batches:
+            outs = []
+            for ctx, grp in pdf.groupby("context_id", sort=False):
+                entry = table.get(ctx)
+                if entry is None:
+                    continue
+                qids, qmat, qnorm, qcarry = entry
+                vecs = grp["embedding"]
+                ok = vecs.notna().to_numpy()
+                n = len(grp)
+                dist = np.full((n, len(qids)), np.nan)
+                if ok.any():
+                    e = stack(vecs[ok])
+                    en = np.sqrt(np.einsum("ij,ij->i", e, e))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        dist[ok] = 1.0 - (e @ qmat.T) / np.outer(en, qnorm)
+                    dist[ok] = np.where(np.outer(en, qnorm) == 0, np.nan, dist[ok])
+                ranked = np.where(np.isnan(dist), np.inf, dist)
+                if n > cap:
+                    kth = np.partition(ranked, cap - 1, axis=0)[cap - 1]
+                    keep = ranked <= kth + 1e-8
+                else:
+                    keep = np.ones_like(ranked, dtype=bool)
+                rows, cols = np.nonzero(keep)
+                part = grp.iloc[rows][keys].reset_index(drop=True)
+                part["query_id"] = qids[cols]
+                d = dist[rows, cols]
+                part["semantic_score"] = np.where(np.isnan(d), 0.0, d)
+                part["_zero"] = np.isnan(d) & ok[rows]
+                part["_null"] = ~ok[rows]
+                for name, arr in qcarry.items():
+                    part[name] = arr[cols]
+                outs.append(part)
+            if outs:
+                yield pd.concat(outs, ignore_index=True)
+    return run
+
+
+def _query_table(queries: DataFrame, carry: list[str]) -> dict:
+    """Per context: query ids, query matrix, norms and settings (numpy)."""
+    pdf = queries.select("query_id", "context_id", "embedding", *carry).toPandas()
+    table = {}
+    for ctx, grp in pdf.groupby("context_id", sort=False):
+        grp = grp[grp["embedding"].notna()]
+        if grp.empty:
+            continue
+        qmat = stack(grp["embedding"])
+        table[ctx] = (grp["query_id"].to_numpy(), qmat, np.sqrt(np.einsum("ij,ij->i", qmat, qmat)),
+                      {c: grp[c].to_numpy() for c in carry})
+    return table
+
+
 def semantic_search(queries: DataFrame, fragments: DataFrame, limit_col: str = "_sem_limit",
                     limit_cap: int = K.DEFAULT_SEMANTIC_SEARCH_LIMIT,
-                    broadcast_queries: bool = True, method: str = "arrow", carry=()) -> DataFrame:
+                    broadcast_queries: bool = True, method: str = "block", carry=()) -> DataFrame:
     """The ``limit`` nearest fragments of the query's context.
 
+    ``method='block'`` (default; needs the bounded query batch to be broadcast)
+    ships the query matrix of each context to the tasks once and multiplies
+    every Arrow batch of fragment vectors against it -- each fragment vector
+    crosses to Python once, whatever the number of queries. ``'arrow'`` joins
+    fragments to queries on context (broadcast or shuffled) and computes
+    row-wise distances; ``'sql'`` does the same with native expressions.
+
     Output: query_id, id, context_id, document_id, fragment_index,
     semantic_score (rounded distance), limit column, ``carry`` columns."""
     carry = [limit_col] + [c for c in carry if c != limit_col]
-    q = queries.select("query_id", "context_id", F.col("embedding").alias("q_vec"), *carry)
-    q = F.broadcast(q) if broadcast_queries else q
     f = fragments.select("id", *FRAGMENT_KEYS, "embedding")
-    pairs = f.join(q, "context_id")
-    scored = cosine_distance(pairs, "q_vec", "embedding", "semantic_score", method)
+    if method == "block" and broadcast_queries:
+        spark = queries.sparkSession
+        bc = spark.sparkContext.broadcast(_query_table(queries, carry))
+        qschema = queries.select("query_id", *carry).schema
+        keys = ["id", *FRAGMENT_KEYS]
+        schema = T.StructType([f.schema[k] for k in keys] + [qschema["query_id"],
+                              T.StructField("semantic_score", T.DoubleType()),
+                              T.StructField("_zero", T.BooleanType()), T.StructField("_null", T.BooleanType())]
+                              + [qschema[c] for c in carry])
+        scored = f.mapInPandas(_block_kernel(bc, keys, carry, max(int(limit_cap), 1)), schema)
+        scored = scored.withColumn(
+            "semantic_score", F.when(F.col("_null"), F.lit(None).cast("double"))
+            .when(F.col("_zero"), F.lit(float("nan"))).otherwise(F.col("semantic_score"))).drop("_zero", "_null")
+    else:
+        q = queries.select("query_id", "context_id", F.col("embedding").alias("q_vec"), *carry)
+        q = F.broadcast(q) if broadcast_queries else q
+        pairs = f.join(q, "context_id")
+        scored = cosine_distance(pairs, "q_vec", "embedding", "semantic_score",
+                                 "sql" if method == "sql" else "arrow")
     scored = scored.withColumn("semantic_score", F.round("semantic_score", K.DISTANCE_DIGITS))
     w = Window.partitionBy("query_id").orderBy(F.col("semantic_score").asc_nulls_last(),
                                                F.col("id").asc())

@@ -81,7 +81,7 @@ def batch_bounds(q: DataFrame, text_col: str = "query") -> BatchBounds:
 
 
 def retrieval_stages(queries: DataFrame, fragments: DataFrame, contexts: DataFrame | None = None,
-                     index: Bm25Index | None = None, scope: str = "global", method: str = "arrow",
+                     index: Bm25Index | None = None, scope: str = "global", method: str = "block",
                      with_vectors: bool = False, dedupe_keep: str = "lowest") -> dict[str, DataFrame]:
     """Every intermediate of :func:`retrieve`, by name (lazy DataFrames)."""
     spark = queries.sparkSession
@@ -115,7 +115,7 @@ def retrieval_stages(queries: DataFrame, fragments: DataFrame, contexts: DataFra
 
 
 def retrieve(queries: DataFrame, fragments: DataFrame, contexts: DataFrame | None = None,
-             index: Bm25Index | None = None, scope: str = "global", method: str = "arrow",
+             index: Bm25Index | None = None, scope: str = "global", method: str = "block",
              with_vectors: bool = False, dedupe_keep: str = "lowest") -> DataFrame:
     """Hybrid retrieval (C2-C14) for a table of queries.
 

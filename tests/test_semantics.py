@@ -256,3 +256,35 @@ def test_parse_settings_errors(spark):
     ok, bad = CF.parse_settings(raw)
     assert ok.count() == 1
     assert sorted(r.errors for r in bad.collect()) == ["$: malformed JSON", "rrfLimit: expected an integer"]
+
+
+def test_semantic_methods_agree(spark, sf):
+    """Block product, row-wise Arrow kernel and native expressions give the same
+    top-k (including a zero query vector: NaN distances, ranked last)."""
+    from ragframe.plans.retrieve import with_settings
+    q = with_settings(TD.queries(spark, sf), TD.contexts(spark, sf))
+    zero = q.limit(1).withColumn("query_id", F.lit(-1).cast("long")).withColumn(
+        "embedding", F.array_repeat(F.lit(0.0).cast("float"), 64))
+    q = q.unionByName(zero)
+    frags = TD.corpus(spark, sf)
+    res = {}
+    for m in ("block", "arrow", "sql"):
+        df = V.semantic_search(q, frags, "_sem_limit", 20, method=m)
+        res[m] = sorted((r.query_id, r.id, "nan" if r.semantic_score != r.semantic_score else r.semantic_score)
+                        for r in df.collect())
+    assert res["block"] == res["arrow"] == res["sql"]
+    assert any(x[0] == -1 and x[2] == "nan" for x in res["block"])
+
+
+def test_binary_files_parse(spark, tmp_path):
+    """A12 + B1: files -> rows -> text (type detected from the content)."""
+    (tmp_path / "a.txt").write_text("hello world\nsecond line")
+    (tmp_path / "b.html").write_text("<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head>"
+                                     "<body><p>Hi &amp; bye</p><script>x()</script></body></html>")
+    files = TB.scan_documents(spark, str(tmp_path))
+    got = {r.name: r.text for r in IG.parse_documents(files).collect()}
+    assert got["a.txt"] == "hello world\nsecond line"
+    assert got["b.html"] == "Hi & bye"
+    native = spark.createDataFrame([("<html><head><title>t</title></head><body><p>Hi &amp; bye</p></body></html>",)],
+                                   "html string").select(IG.html_text("html").alias("t")).first().t
+    assert native == "Hi & bye"
