@@ -4,9 +4,10 @@
 Distributed form
 ----------------
 * ``bm25_stats`` builds an inverted index once per corpus version: postings
-  ``(id, token, tf, dl, keys...)`` (one shuffle on (id, token) after map-side
-  partial counting), document frequencies (partial aggregation, so a token that
-  occurs in a third of all rows is combined map-side) and a one-row total.
+  ``(id, token, tf, dl, keys...)`` computed inside each fragment's row (sorted
+  tokens, run lengths: no shuffle at all), document frequencies (partial
+  aggregation, so a token that occurs in a third of all rows is combined
+  map-side) and a one-row total.
 * ``bm25_search`` joins the postings with the *query tokens* of a batch. The
   query side is bounded by (queries x distinct tokens per query) and is
   broadcast when that bound is small, so the postings are filtered map-side and
@@ -27,6 +28,7 @@ from pyspark.sql.window import Window
 from ragframe import constants as K
 from ragframe.functions.text import escape_query as _escape_expr
 from ragframe.functions.text import tokens
+from ragframe.session import checkpoint
 
 FRAGMENT_KEYS = ["context_id", "document_id", "fragment_index"]
 
@@ -66,20 +68,44 @@ class Bm25Index:
                          spark.read.parquet(f"{path}/totals"))
 
 
+def term_frequencies(rows: DataFrame, toks_col: str = "_toks") -> DataFrame:
+    """Per-row term counts without a shuffle: a fragment's tokens live in one
+    row, so they are sorted in place and counted by run boundaries (linear
+    native expressions). Adds ``_tf`` array<struct<token, tf>>."""
+    s, n = F.col("_s"), F.col("_n")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                      lambda i: (i <= n) & F.when(i == 1, F.lit(True)).otherwise(
+                          F.element_at(s, i) != F.element_at(s, i - 1)))
+    ends = F.concat(F.slice(starts, 2, F.greatest(n, F.lit(1))), F.array(n + 1))
+    runs = F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(s, a).alias("token"),
+                                                          (b - a).cast("long").alias("tf")))
+    return (rows.withColumn("_s", F.array_sort(toks_col)).withColumn("_n", F.size("_s"))
+            .withColumn("_tf", runs).drop("_s", "_n"))
+
+
 def bm25_stats(fragments: DataFrame, id_col: str = "id", text_col: str = "value",
-               keys=tuple(FRAGMENT_KEYS)) -> Bm25Index:
+               keys=tuple(FRAGMENT_KEYS), materialize: bool = False) -> Bm25Index:
     """Term frequencies, document lengths, document frequencies, N, avgdl.
 
-    N counts every fragment (also those without tokens), as a BM25 index does."""
+    The index is built map-side (no shuffle): a *forward index* row per
+    fragment holds its length and (token, tf) array; postings are its explode.
+    With ``materialize=True`` the forward index is checkpointed into the shared
+    checkpoint folder (the index build), so postings, totals and frequencies are
+    cheap scans of it and the text is tokenized once. N counts every fragment
+    (also those without tokens), as a BM25 index does."""
     toks = fragments.select(F.col(id_col).alias("id"), *keys, tokens(text_col).alias("_toks"))
-    postings = (toks.select("id", *keys, F.size("_toks").cast("long").alias("dl"),
-                            F.explode("_toks").alias("token"))
-                .groupBy("id", *keys, "dl", "token")
-                .agg(F.count(F.lit(1)).alias("tf")))
+    fwd = term_frequencies(toks).select("id", *keys, F.size("_toks").cast("long").alias("dl"), "_tf")
+    if materialize:
+        fwd = checkpoint(fwd)
+    # explode_outer: a plain explode makes the optimizer infer size(_tf) > 0 and
+    # push it below the projection, re-sorting the tokens inside the lambdas
+    postings = (fwd.select("id", *keys, "dl", F.explode_outer("_tf").alias("p"))
+                .where(F.col("p").isNotNull())
+                .select("id", *keys, "dl", "p.token", "p.tf"))
     doc_freq = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # one map-side pass (no shuffle): N counts every fragment, avgdl = tokens / N
-    totals = toks.agg(F.count(F.lit(1)).alias("n_docs"),
-                      (F.sum(F.size("_toks")).cast("double") / F.count(F.lit(1))).alias("avgdl"))
+    # one-row totals (partial aggregation map-side)
+    totals = fwd.agg(F.count(F.lit(1)).alias("n_docs"),
+                     (F.sum("dl").cast("double") / F.count(F.lit(1))).alias("avgdl"))
     return Bm25Index(postings, doc_freq, totals)
 
 

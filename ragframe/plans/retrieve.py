@@ -89,7 +89,7 @@ def retrieval_stages(queries: DataFrame, fragments: DataFrame, contexts: DataFra
     max_bytes = conf_int(spark, BROADCAST_MAX_BYTES, 256 * 1024 * 1024)
     q = with_settings(queries, contexts)
     b = batch_bounds(q)
-    index = index or bm25_stats(fragments)
+    index = index or bm25_stats(fragments, materialize=True)
     st: dict[str, DataFrame] = {"queries": q}
     st["fts_top"] = bm25_search(q, index, "_fts_limit", max(b.fts_cap, 1), scope,
                                 broadcast_tokens=b.n_queries * b.max_query_tokens <= max_rows,
