@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 
 from ragframe import constants as K
 from ragframe.functions import plugins
+from ragframe.session import broadcast_if_small
 
 SEQ_BUCKET = 1024
+BOUNDS_MAX_ROWS = 2_000_000
 
 
 def complete_chat(messages: DataFrame, completer=None, settings_col: str | None = None) -> DataFrame:
@@ -71,7 +73,9 @@ def subscribe_responses(events: DataFrame, subscriptions: DataFrame,
     """Events of the subscribed queries that arrive within ``timeout`` of
     the subscription start (``start_ts``); earlier events are not replayed."""
     s = subscriptions.select("query_id", "start_ts")
-    j = events.join(s, "query_id")
+    # one row per query: broadcast when small, so a hot query's events are not
+    # gathered by a shuffle join
+    j = events.join(broadcast_if_small(s, BOUNDS_MAX_ROWS), "query_id")
     return j.where((F.col("ts") >= F.col("start_ts")) &
                    (F.col("ts") < F.col("start_ts") + F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")))
 
@@ -107,7 +111,7 @@ def assemble_answers(events: DataFrame, mode: str = "until_finished") -> DataFra
         F.min(F.when(stop_type, F.col("seq"))).alias("_stop"),
         F.max(F.when(F.col("type") == K.EVENT_FINISHED, F.lit(1)).otherwise(F.lit(0))).alias("_fin"))
     parts = (events.where(F.col("type") == K.EVENT_PARTIAL).select("query_id", "seq", "content")
-             .join(bounds, "query_id")
+             .join(broadcast_if_small(bounds, BOUNDS_MAX_ROWS), "query_id")
              .where(F.col("_stop").isNull() | (F.col("seq") < F.col("_stop")))
              .select("query_id", "seq", F.coalesce("content", F.lit("")).alias("content")))
     text = _ordered_concat(parts)

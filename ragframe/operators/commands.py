@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ragframe import constants as K
 from ragframe.functions.text import java_trim
@@ -57,10 +56,12 @@ def parse_command(commands: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def contexts_by_name(contexts: DataFrame) -> DataFrame:
-    """First context per name by (updated_at, context_id): names are not unique."""
-    w = Window.partitionBy("name").orderBy(F.col("updated_at").asc_nulls_last(), F.col("context_id"))
-    return (contexts.select("context_id", "name", "updated_at")
-            .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+    """First context per name by (updated_at, context_id): names are not unique.
+    A ``min_by`` aggregate (partial aggregation map-side), so a name shared by a
+    third of all contexts is reduced in every task before the shuffle. NULL
+    timestamps order last."""
+    order = F.struct(F.col("updated_at").isNull().alias("_n"), F.col("updated_at"), F.col("context_id"))
+    return (contexts.groupBy("name").agg(F.min_by("context_id", order).alias("context_id"))
             .select(F.col("name").alias("context_name"), "context_id", F.col("name").alias("context_label")))
 
 

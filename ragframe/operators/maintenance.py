@@ -23,11 +23,13 @@ DOCUMENT_UPDATABLE = ["description", "type", "metadata"]
 
 
 def _last_change(changes: DataFrame, key: str, seq_col: str | None) -> DataFrame:
-    """Two changes to one key in one batch: the highest ``seq_col`` wins."""
+    """Two changes to one key in one batch: the highest ``seq_col`` wins. A
+    ``max_by`` aggregate, so a key with very many changes is reduced map-side."""
     if not seq_col or seq_col not in changes.columns:
         return changes
-    w = Window.partitionBy(key).orderBy(F.col(seq_col).desc())
-    return changes.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", seq_col)
+    rest = [c for c in changes.columns if c not in (key, seq_col)]
+    return (changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(seq_col)).alias("_last"))
+            .select(key, *[F.col("_last")[c].alias(c) for c in rest]))
 
 
 def upsert_contexts(current: DataFrame, changes: DataFrame, now: Column | None = None,

@@ -140,9 +140,14 @@ def semantic_search(queries: DataFrame, fragments: DataFrame, limit_col: str = "
     semantic_score (rounded distance), limit column, ``carry`` columns."""
     carry = [limit_col] + [c for c in carry if c != limit_col]
     f = fragments.select("id", *FRAGMENT_KEYS, "embedding")
+    sc = None
     if method == "block" and broadcast_queries:
-        spark = queries.sparkSession
-        bc = spark.sparkContext.broadcast(_query_table(queries, carry))
+        try:
+            sc = queries.sparkSession.sparkContext
+        except Exception:  # noqa: BLE001 - no SparkContext (Connect): row-wise kernel
+            sc = None
+    if sc is not None:
+        bc = sc.broadcast(_query_table(queries, carry))
         qschema = queries.select("query_id", *carry).schema
         keys = ["id", *FRAGMENT_KEYS]
         schema = T.StructType([f.schema[k] for k in keys] + [qschema["query_id"],

@@ -41,11 +41,15 @@ _STAGE_CACHE: dict[tuple, dict] = {}
 
 
 def _stages(spark: SparkSession, sf: str, corpus: str = "corpus") -> dict[str, DataFrame]:
+    """Retrieval stages shared by the registered queries of one session (the
+    session object is kept in the entry, so a new session never hits it)."""
     key = (id(spark), sf, corpus)
-    if key not in _STAGE_CACHE:
+    hit = _STAGE_CACHE.get(key)
+    if hit is None or hit[0] is not spark:
         frags = getattr(TD, corpus)(spark, sf)
-        _STAGE_CACHE[key] = retrieval_stages(TD.queries(spark, sf), frags, TD.contexts(spark, sf))
-    return _STAGE_CACHE[key]
+        hit = (spark, retrieval_stages(TD.queries(spark, sf), frags, TD.contexts(spark, sf)))
+        _STAGE_CACHE[key] = hit
+    return hit[1]
 
 
 FTS_COLS = ["query_id", "q_context_id", "id", "context_id", "document_id", "fragment_index",
