@@ -27,11 +27,12 @@ from ragframe.operators.fulltext import (Bm25Index, bm25_search, bm25_stats, con
                                          fulltext_rank)
 from ragframe.operators.fusion import dedupe_fragments, dedupe_matches, expand_neighbors, rrf_fuse
 from ragframe.operators.vectors import semantic_rank, semantic_search
-from ragframe.session import conf_int, fits
+from ragframe.session import checkpoint, conf_int, fits
 
 SETTINGS_COLS = ["_fts_limit", "_sem_limit", "_rrf_limit", "_look_back", "_look_ahead"]
 BROADCAST_MAX_ROWS = "ragframe.broadcast.maxRows"
 BROADCAST_MAX_BYTES = "ragframe.broadcast.maxBytes"
+PRUNE_MAX_KEYS = 10_000
 
 
 @dataclass
@@ -43,6 +44,7 @@ class BatchBounds:
     band_cap: int
     max_query_tokens: int
     dim: int
+    contexts: list | None = None   # distinct query contexts, when few enough to list
 
 
 def with_settings(queries: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
@@ -75,14 +77,28 @@ def batch_bounds(q: DataFrame, text_col: str = "query") -> BatchBounds:
         F.max(F.col("_look_back") + F.col("_look_ahead") + 1).alias("band"),
         F.max(F.size(F.array_distinct(tokens(text_col)))).alias("toks"),
         F.max(F.size("embedding")).alias("dim"),
+        F.approx_count_distinct("context_id").alias("n_ctx"),
     ).first()
+    ctxs = None
+    if (r["n_ctx"] or 0) <= PRUNE_MAX_KEYS:
+        # bounded by the batch's context count (checked just above)
+        ctxs = [x[0] for x in q.select("context_id").distinct().collect()]
+        ctxs = ctxs if len(ctxs) <= PRUNE_MAX_KEYS else None
     return BatchBounds(int(r["n"] or 0), int(r["fts"] or 0), int(r["sem"] or 0), int(r["rrf"] or 0),
-                       int(r["band"] or 1), max(int(r["toks"] or 0), 0), max(int(r["dim"] or 0), 0))
+                       int(r["band"] or 1), max(int(r["toks"] or 0), 0), max(int(r["dim"] or 0), 0), ctxs)
+
+
+def _prune(fragments: DataFrame, col: str, values: list | None) -> DataFrame:
+    """Filter a fragment scan to a bounded key list. Spark pushes it into the
+    Parquet scan: partition pruning when the table is partitioned by the column,
+    row-group skipping (min/max) when files are sorted by it."""
+    return fragments if values is None else fragments.where(F.col(col).isin(values))
 
 
 def retrieval_stages(queries: DataFrame, fragments: DataFrame, contexts: DataFrame | None = None,
                      index: Bm25Index | None = None, scope: str = "global", method: str = "block",
-                     with_vectors: bool = False, dedupe_keep: str = "lowest") -> dict[str, DataFrame]:
+                     with_vectors: bool = False, dedupe_keep: str = "lowest",
+                     materialize_matches: bool = True) -> dict[str, DataFrame]:
     """Every intermediate of :func:`retrieve`, by name (lazy DataFrames)."""
     spark = queries.sparkSession
     max_rows = conf_int(spark, BROADCAST_MAX_ROWS, 2_000_000)
@@ -96,14 +112,25 @@ def retrieval_stages(queries: DataFrame, fragments: DataFrame, contexts: DataFra
                                 carry=SETTINGS_COLS)
     st["fts_ctx"] = context_post_filter(st["fts_top"])
     st["fts_ranked"] = fulltext_rank(st["fts_ctx"])
-    st["sem_top"] = semantic_search(q, fragments, "_sem_limit", max(b.sem_cap, 1),
+    # vector search only ever reads the batch's contexts
+    st["sem_top"] = semantic_search(q, _prune(fragments, "context_id", b.contexts), "_sem_limit", max(b.sem_cap, 1),
                                     broadcast_queries=b.n_queries * (b.dim * 4 + 64) <= max_bytes,
                                     method=method, carry=SETTINGS_COLS)
     st["sem_ranked"] = semantic_rank(st["sem_top"])
     st["fused"] = rrf_fuse(st["sem_ranked"], st["fts_ranked"], max(b.rrf_cap, 1))
     st["matches"] = dedupe_matches(st["fused"], dedupe_keep)
+    # The matches are small (<= n * rrf cap rows): materialize them once (cuts
+    # the lineage of the whole search) and push their document keys into the
+    # fragment scan of the expansion, so only matched documents are read.
+    bound = b.n_queries * b.rrf_cap
+    matches, frags = st["matches"], fragments
+    if materialize_matches and bound <= PRUNE_MAX_KEYS:
+        matches = checkpoint(matches)
+        docs = [x[0] for x in matches.select("document_id").distinct().collect()]
+        ctxs = [x[0] for x in matches.select("context_id").distinct().collect()]
+        frags = _prune(_prune(fragments, "context_id", ctxs), "document_id", docs)
     st["expanded"] = expand_neighbors(
-        st["matches"], fragments, broadcast_matches=b.n_queries * b.rrf_cap * b.band_cap <= max_rows,
+        matches, frags, broadcast_matches=b.n_queries * b.rrf_cap * b.band_cap <= max_rows,
         with_vectors=with_vectors)
     out = dedupe_fragments(st["expanded"])
     cols = ["query_id", "context_id", "document_id", "fragment_index", "chunk_index", "id", "value",

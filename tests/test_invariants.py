@@ -85,3 +85,29 @@ def test_stream_equals_batch(spark, sf):
     s = {(r.query_id, r.answer, r.status) for r in stream.collect()}
     b = {(r.query_id, r.answer, r.status) for r in batch.collect()}
     assert s and s <= b
+
+
+def test_stored_table_scans_are_pruned(spark, sf, tmp_path):
+    """On a fragment table stored partitioned by context and sorted by
+    document, the vector scan reads only the batch's contexts and the expansion
+    scan only the matched documents (pushed into the Parquet scan)."""
+    from ragframe.plans.retrieve import retrieve
+    path = str(tmp_path / "fragments")
+    (TD.corpus(spark, sf).repartition("context_id").sortWithinPartitions("document_id", "fragment_index")
+     .write.partitionBy("context_id").parquet(path))
+    frags = spark.read.parquet(path)
+    q = TD.queries(spark, sf).where(F.col("context_id").isin("src1", "src2"))
+    import re
+    st = retrieval_stages(q, frags, TD.contexts(spark, sf))
+    out = st["retrieved"]
+
+    def fmt(df):
+        return df._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert re.search(r"PartitionFilters: \[context_id#\d+ IN \((src1,src2|src2,src1)\)", fmt(st["sem_top"]))
+    plan = fmt(out)
+    assert re.search(r"PartitionFilters: \[context_id#\d+ IN \(", plan)
+    assert "PushedFilters: [In(document_id" in plan
+    expected = retrieve(q, TD.corpus(spark, sf), TD.contexts(spark, sf))
+    cols = ["query_id", "document_id", "fragment_index", "id", "rrf_score"]
+    assert sorted(map(tuple, out.select(*cols).collect())) == sorted(map(tuple, expected.select(*cols).collect()))
