@@ -65,7 +65,7 @@ def cosine_distance(pairs: DataFrame, left: str = "q_vec", right: str = "embeddi
                           .otherwise(F.col(out))).drop("_zero", "_null")
 
 
-def _block_kernel(bc, keys: list[str], carry: list[str], cap: int):
+def _block_kernel(bc, keys: list[str], carry: list[str], cap: int, group_col: str = "context_id"):
     """numpy block product: for each context present in an Arrow batch,
     distances = 1 - (E @ Q^T) / (|E| |Q|); keep, per query, the rows whose raw
     distance is within 1e-8 of the batch's k-th smallest (a superset of the
@@ -74,7 +74,7 @@ def _block_kernel(bc, keys: list[str], carry: list[str], cap: int):
         table = bc.value
         for pdf in batches:
             outs = []
-            for ctx, grp in pdf.groupby("context_id", sort=False):
+            for ctx, grp in pdf.groupby(group_col, sort=False):
                 entry = table.get(ctx)
                 if entry is None:
                     continue
@@ -110,11 +110,12 @@ def _block_kernel(bc, keys: list[str], carry: list[str], cap: int):
     return run
 
 
-def _query_table(queries: DataFrame, carry: list[str]) -> dict:
-    """Per context: query ids, query matrix, norms and settings (numpy)."""
-    pdf = queries.select("query_id", "context_id", "embedding", *carry).toPandas()
+def _query_table(queries: DataFrame, carry: list[str], group_col: str = "context_id") -> dict:
+    """Per group (context, or context and cell): query ids, query matrix, norms
+    and settings (numpy). Called only on a batch whose size was checked."""
+    pdf = queries.select("query_id", group_col, "embedding", *carry).toPandas()
     table = {}
-    for ctx, grp in pdf.groupby("context_id", sort=False):
+    for ctx, grp in pdf.groupby(group_col, sort=False):
         grp = grp[grp["embedding"].notna()]
         if grp.empty:
             continue
@@ -124,6 +125,30 @@ def _query_table(queries: DataFrame, carry: list[str]) -> dict:
     return table
 
 
+def _spark_context(df: DataFrame):
+    try:
+        return df.sparkSession.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext (Connect): row-wise kernel
+        return None
+
+
+def _block_scores(sc, queries: DataFrame, frags: DataFrame, carry: list[str], cap: int,
+                  group_col: str) -> DataFrame:
+    """Distances of every fragment to the queries of its group, per Arrow batch,
+    keeping each batch's share of the top-``cap`` (see :func:`_block_kernel`)."""
+    bc = sc.broadcast(_query_table(queries, carry, group_col))
+    qschema = queries.select("query_id", *carry).schema
+    keys = ["id", *FRAGMENT_KEYS]
+    schema = T.StructType([frags.schema[k] for k in keys] + [qschema["query_id"],
+                          T.StructField("semantic_score", T.DoubleType()),
+                          T.StructField("_zero", T.BooleanType()), T.StructField("_null", T.BooleanType())]
+                          + [qschema[c] for c in carry])
+    scored = frags.mapInPandas(_block_kernel(bc, keys, carry, max(int(cap), 1), group_col), schema)
+    return scored.withColumn(
+        "semantic_score", F.when(F.col("_null"), F.lit(None).cast("double"))
+        .when(F.col("_zero"), F.lit(float("nan"))).otherwise(F.col("semantic_score"))).drop("_zero", "_null")
+
+
 def semantic_search(queries: DataFrame, fragments: DataFrame, limit_col: str = "_sem_limit",
                     limit_cap: int = K.DEFAULT_SEMANTIC_SEARCH_LIMIT,
                     broadcast_queries: bool = True, method: str = "block", carry=()) -> DataFrame:
@@ -140,24 +165,9 @@ def semantic_search(queries: DataFrame, fragments: DataFrame, limit_col: str = "
     semantic_score (rounded distance), limit column, ``carry`` columns."""
     carry = [limit_col] + [c for c in carry if c != limit_col]
     f = fragments.select("id", *FRAGMENT_KEYS, "embedding")
-    sc = None
-    if method == "block" and broadcast_queries:
-        try:
-            sc = queries.sparkSession.sparkContext
-        except Exception:  # noqa: BLE001 - no SparkContext (Connect): row-wise kernel
-            sc = None
+    sc = _spark_context(queries) if method == "block" and broadcast_queries else None
     if sc is not None:
-        bc = sc.broadcast(_query_table(queries, carry))
-        qschema = queries.select("query_id", *carry).schema
-        keys = ["id", *FRAGMENT_KEYS]
-        schema = T.StructType([f.schema[k] for k in keys] + [qschema["query_id"],
-                              T.StructField("semantic_score", T.DoubleType()),
-                              T.StructField("_zero", T.BooleanType()), T.StructField("_null", T.BooleanType())]
-                              + [qschema[c] for c in carry])
-        scored = f.mapInPandas(_block_kernel(bc, keys, carry, max(int(limit_cap), 1)), schema)
-        scored = scored.withColumn(
-            "semantic_score", F.when(F.col("_null"), F.lit(None).cast("double"))
-            .when(F.col("_zero"), F.lit(float("nan"))).otherwise(F.col("semantic_score"))).drop("_zero", "_null")
+        scored = _block_scores(sc, queries, f, carry, limit_cap, "context_id")
     else:
         q = queries.select("query_id", "context_id", F.col("embedding").alias("q_vec"), *carry)
         q = F.broadcast(q) if broadcast_queries else q
@@ -257,7 +267,7 @@ def ivf_assign(model, rows: DataFrame, vec_col: str = "embedding") -> DataFrame:
 
 def ann_search(queries: DataFrame, fragments: DataFrame, model=None, n_cells: int = 16,
                n_probe: int = 4, limit_col: str = "_sem_limit",
-               limit_cap: int = K.DEFAULT_SEMANTIC_SEARCH_LIMIT, method: str = "arrow") -> DataFrame:
+               limit_cap: int = K.DEFAULT_SEMANTIC_SEARCH_LIMIT, method: str = "block") -> DataFrame:
     """Approximate nearest neighbours. Fragments are assigned to k-means
     cells; a query only scans its ``n_probe`` nearest cells (join on
     (context_id, cell)); the rest is exactly ``semantic_search``."""
@@ -275,8 +285,14 @@ def ann_search(queries: DataFrame, fragments: DataFrame, model=None, n_cells: in
     probes = (qc.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_probe)
               .select("query_id", "context_id", "cell", "q_vec", limit_col))
     cells = ivf_assign(model, fragments.select("id", *FRAGMENT_KEYS, "embedding"))
-    pairs = cells.join(F.broadcast(probes), ["context_id", "cell"]).drop("cell")
-    scored = cosine_distance(pairs, "q_vec", "embedding", "semantic_score", method)
+    sc = _spark_context(queries) if method == "block" else None
+    if sc is not None:
+        grp = F.concat_ws("#", F.col("context_id"), F.col("cell").cast("string"))
+        qg = probes.withColumnRenamed("q_vec", "embedding").withColumn("_grp", grp)
+        scored = _block_scores(sc, qg, cells.withColumn("_grp", grp), [limit_col], limit_cap, "_grp")
+    else:
+        pairs = cells.join(F.broadcast(probes), ["context_id", "cell"]).drop("cell")
+        scored = cosine_distance(pairs, "q_vec", "embedding", "semantic_score", method)
     scored = scored.withColumn("semantic_score", F.round("semantic_score", K.DISTANCE_DIGITS))
     wr = Window.partitionBy("query_id").orderBy(F.col("semantic_score").asc_nulls_last(), F.col("id"))
     return (scored.withColumn("_rn", F.row_number().over(wr))

@@ -288,3 +288,13 @@ def test_binary_files_parse(spark, tmp_path):
     native = spark.createDataFrame([("<html><head><title>t</title></head><body><p>Hi &amp; bye</p></body></html>",)],
                                    "html string").select(IG.html_text("html").alias("t")).first().t
     assert native == "Hi & bye"
+
+
+def test_ann_all_cells_equals_exact(spark, sf):
+    """Probing every cell is the exact search (recall 1)."""
+    from ragframe.plans.retrieve import with_settings
+    q = with_settings(TD.queries(spark, sf), TD.contexts(spark, sf))
+    frags = TD.corpus(spark, sf)
+    exact = V.semantic_search(q, frags, "_sem_limit", 20)
+    approx = V.ann_search(q, frags, n_cells=4, n_probe=4)
+    assert V.recall_at_k(approx, exact).agg(F.min("recall")).first()[0] == 1.0
