@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ragframe.session import broadcast_if_small, checkpoint
 
@@ -94,12 +93,15 @@ def assign_ids(rows: DataFrame, order_cols: list[str], start: Column, id_col: st
               .withColumn("_pid", F.spark_partition_id()))
     schema = T.StructType(ranged.schema.fields + [T.StructField("_pos", T.LongType())])
     numbered = checkpoint(ranged.mapInPandas(_positions(order_cols), schema))
-    counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: a window over it is bounded by the partition count
-    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    return (numbered.join(F.broadcast(offsets), "_pid")
-            .withColumn(id_col, start + F.col("_off") + F.col("_pos") + F.lit(1))
-            .drop("_pid", "_pos", "_off"))
+    # one row per partition (bounded by the partition count), as zipWithIndex does
+    counts = sorted((r[0], r[1]) for r in numbered.groupBy("_pid").agg(F.count(F.lit(1))).collect())
+    offsets, acc = [], 0
+    for pid, cnt in counts:
+        offsets += [F.lit(pid), F.lit(acc).cast("long")]
+        acc += cnt
+    off = F.element_at(F.create_map(*offsets), F.col("_pid")) if offsets else F.lit(0).cast("long")
+    return (numbered.withColumn(id_col, start + off + F.col("_pos") + F.lit(1))
+            .drop("_pid", "_pos"))
 
 
 def append_embeddings(current: DataFrame, new: DataFrame, expected_dim: int | None = None,

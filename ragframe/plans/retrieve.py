@@ -95,49 +95,92 @@ def _prune(fragments: DataFrame, col: str, values: list | None) -> DataFrame:
     return fragments if values is None else fragments.where(F.col(col).isin(values))
 
 
+class _Stages(dict):
+    """Lazy mapping of stage name -> DataFrame: a stage (and what it needs,
+    e.g. the index build or the materialized matches) is built on first access."""
+
+    def __init__(self, builders):
+        super().__init__()
+        self._builders = builders
+
+    def __missing__(self, key):
+        value = self._builders[key]()
+        self[key] = value
+        return value
+
+
 def retrieval_stages(queries: DataFrame, fragments: DataFrame, contexts: DataFrame | None = None,
                      index: Bm25Index | None = None, scope: str = "global", method: str = "block",
                      with_vectors: bool = False, dedupe_keep: str = "lowest",
                      materialize_matches: bool = True) -> dict[str, DataFrame]:
-    """Every intermediate of :func:`retrieve`, by name (lazy DataFrames)."""
+    """Every intermediate of :func:`retrieve`, by name (built lazily)."""
     spark = queries.sparkSession
     max_rows = conf_int(spark, BROADCAST_MAX_ROWS, 2_000_000)
     max_bytes = conf_int(spark, BROADCAST_MAX_BYTES, 256 * 1024 * 1024)
-    q = with_settings(queries, contexts)
-    b = batch_bounds(q)
-    index = index or bm25_stats(fragments, materialize=True)
-    st: dict[str, DataFrame] = {"queries": q}
-    st["fts_top"] = bm25_search(q, index, "_fts_limit", max(b.fts_cap, 1), scope,
-                                broadcast_tokens=b.n_queries * b.max_query_tokens <= max_rows,
-                                carry=SETTINGS_COLS)
-    st["fts_ctx"] = context_post_filter(st["fts_top"])
-    st["fts_ranked"] = fulltext_rank(st["fts_ctx"])
-    # vector search only ever reads the batch's contexts
-    st["sem_top"] = semantic_search(q, _prune(fragments, "context_id", b.contexts), "_sem_limit", max(b.sem_cap, 1),
-                                    broadcast_queries=b.n_queries * (b.dim * 4 + 64) <= max_bytes,
-                                    method=method, carry=SETTINGS_COLS)
-    st["sem_ranked"] = semantic_rank(st["sem_top"])
-    st["fused"] = rrf_fuse(st["sem_ranked"], st["fts_ranked"], max(b.rrf_cap, 1))
-    st["matches"] = dedupe_matches(st["fused"], dedupe_keep)
-    # The matches are small (<= n * rrf cap rows): materialize them once (cuts
-    # the lineage of the whole search) and push their document keys into the
-    # fragment scan of the expansion, so only matched documents are read.
-    bound = b.n_queries * b.rrf_cap
-    matches, frags = st["matches"], fragments
-    if materialize_matches and bound <= PRUNE_MAX_KEYS:
-        matches = checkpoint(matches)
-        docs = [x[0] for x in matches.select("document_id").distinct().collect()]
-        ctxs = [x[0] for x in matches.select("context_id").distinct().collect()]
-        frags = _prune(_prune(fragments, "context_id", ctxs), "document_id", docs)
-    st["expanded"] = expand_neighbors(
-        matches, frags, broadcast_matches=b.n_queries * b.rrf_cap * b.band_cap <= max_rows,
-        with_vectors=with_vectors)
-    out = dedupe_fragments(st["expanded"])
-    cols = ["query_id", "context_id", "document_id", "fragment_index", "chunk_index", "id", "value",
-            "metadata"] + (["embedding"] if with_vectors else []) + [
-            "matched_fragment_index", "full_text_score", "semantic_score", "rrf_score",
-            "semantic_rank", "full_text_rank"]
-    st["retrieved"] = out.select(*[c for c in cols if c in out.columns])
+    memo: dict = {}
+
+    def q():
+        if "q" not in memo:
+            memo["q"] = with_settings(queries, contexts)
+        return memo["q"]
+
+    def b() -> BatchBounds:
+        if "b" not in memo:
+            memo["b"] = batch_bounds(q())
+        return memo["b"]
+
+    def ix() -> Bm25Index:
+        if "ix" not in memo:
+            frags = fragments if scope == "global" else _prune(fragments, "context_id", b().contexts)
+            memo["ix"] = index or bm25_stats(frags, materialize=True)
+        return memo["ix"]
+
+    def fts_top():
+        return bm25_search(q(), ix(), "_fts_limit", max(b().fts_cap, 1), scope,
+                           broadcast_tokens=b().n_queries * b().max_query_tokens <= max_rows,
+                           carry=SETTINGS_COLS)
+
+    def sem_top():
+        # vector search only ever reads the batch's contexts
+        return semantic_search(q(), _prune(fragments, "context_id", b().contexts), "_sem_limit",
+                               max(b().sem_cap, 1),
+                               broadcast_queries=b().n_queries * (b().dim * 4 + 64) <= max_bytes,
+                               method=method, carry=SETTINGS_COLS)
+
+    def expanded():
+        # The matches are small (<= n * rrf cap rows): materialize them once (cuts
+        # the lineage of the whole search) and push their document keys into the
+        # fragment scan of the expansion, so only matched documents are read.
+        matches, frags = st["matches"], fragments
+        if materialize_matches and b().n_queries * b().rrf_cap <= PRUNE_MAX_KEYS:
+            matches = checkpoint(matches)
+            docs = [x[0] for x in matches.select("document_id").distinct().collect()]
+            ctxs = [x[0] for x in matches.select("context_id").distinct().collect()]
+            frags = _prune(_prune(fragments, "context_id", ctxs), "document_id", docs)
+        return expand_neighbors(matches, frags,
+                                broadcast_matches=b().n_queries * b().rrf_cap * b().band_cap <= max_rows,
+                                with_vectors=with_vectors)
+
+    def retrieved():
+        out = dedupe_fragments(st["expanded"])
+        cols = ["query_id", "context_id", "document_id", "fragment_index", "chunk_index", "id", "value",
+                "metadata"] + (["embedding"] if with_vectors else []) + [
+                "matched_fragment_index", "full_text_score", "semantic_score", "rrf_score",
+                "semantic_rank", "full_text_rank"]
+        return out.select(*[c for c in cols if c in out.columns])
+
+    st = _Stages({
+        "queries": q,
+        "fts_top": fts_top,
+        "fts_ctx": lambda: context_post_filter(st["fts_top"]),
+        "fts_ranked": lambda: fulltext_rank(st["fts_ctx"]),
+        "sem_top": sem_top,
+        "sem_ranked": lambda: semantic_rank(st["sem_top"]),
+        "fused": lambda: rrf_fuse(st["sem_ranked"], st["fts_ranked"], max(b().rrf_cap, 1)),
+        "matches": lambda: dedupe_matches(st["fused"], dedupe_keep),
+        "expanded": expanded,
+        "retrieved": retrieved,
+    })
     return st
 
 
