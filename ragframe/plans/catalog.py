@@ -48,14 +48,14 @@ def register(name: str, sql: str | None = None):
 _STAGE_CACHE: dict[tuple, dict] = {}
 
 
-def _stages(spark: SparkSession, sf: str, corpus: str = "corpus") -> dict[str, DataFrame]:
+def _stages(spark: SparkSession, sf: str, corpus: str = "corpus", **opts) -> dict[str, DataFrame]:
     """Retrieval stages shared by the registered queries of one session (the
     session object is kept in the entry, so a new session never hits it)."""
-    key = (id(spark), sf, corpus)
+    key = (id(spark), sf, corpus, tuple(sorted(opts.items())))
     hit = _STAGE_CACHE.get(key)
     if hit is None or hit[0] is not spark:
         frags = getattr(TD, corpus)(spark, sf)
-        hit = (spark, retrieval_stages(TD.queries(spark, sf), frags, TD.contexts(spark, sf)))
+        hit = (spark, retrieval_stages(TD.queries(spark, sf), frags, TD.contexts(spark, sf), **opts))
         _STAGE_CACHE[key] = hit
     return hit[1]
 
@@ -137,6 +137,20 @@ def q_rrf_fuse(spark, sf):
     return _stages(spark, sf)["fused"].select(*FUSED_COLS)
 
 
+@register("bm25_search_context_scope", retrieval_with() + f"""
+SELECT {_sel(FTS_COLS)} FROM fts_scored WHERE context_id = q_context_id
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY full_text_score DESC, id) <= fts_limit""")
+def q_bm25_search_context_scope(spark, sf):
+    return _stages(spark, sf, scope="context")["fts_top"].select(*FTS_COLS)
+
+
+@register("dedupe_matches_best", retrieval_with("dup_corpus") + f"""
+SELECT {_sel(FUSED_COLS)} FROM fused
+QUALIFY row_number() OVER (PARTITION BY query_id, document_id, matched_fragment_index ORDER BY rrf_score DESC, id) = 1""")
+def q_dedupe_matches_best(spark, sf):
+    return _stages(spark, sf, "dup_corpus", dedupe_keep="best")["matches"].select(*FUSED_COLS)
+
+
 @register("dedupe_matches", retrieval_with("dup_corpus") + f"\nSELECT {_sel(FUSED_COLS)} FROM matches")
 def q_dedupe_matches(spark, sf):
     return _stages(spark, sf, "dup_corpus")["matches"].select(*FUSED_COLS)

@@ -131,8 +131,9 @@ def retrieval_stages(queries: DataFrame, fragments: DataFrame, contexts: DataFra
 
     def ix() -> Bm25Index:
         if "ix" not in memo:
-            frags = fragments if scope == "global" else _prune(fragments, "context_id", b().contexts)
-            memo["ix"] = index or bm25_stats(frags, materialize=True)
+            # corpus statistics are global in both scopes; 'context' only
+            # restricts which postings are scored
+            memo["ix"] = index or bm25_stats(fragments, materialize=True)
         return memo["ix"]
 
     def fts_top():

@@ -111,3 +111,19 @@ def test_stored_table_scans_are_pruned(spark, sf, tmp_path):
     expected = retrieve(q, TD.corpus(spark, sf), TD.contexts(spark, sf))
     cols = ["query_id", "document_id", "fragment_index", "id", "rrf_score"]
     assert sorted(map(tuple, out.select(*cols).collect())) == sorted(map(tuple, expected.select(*cols).collect()))
+
+
+def test_persisted_index_roundtrip(spark, sf, tmp_path):
+    """An index written to storage (postings partitioned by context) and
+    read back scores exactly like the in-plan one, also with the stored
+    document frequencies."""
+    from ragframe.operators import fulltext as FT
+    from ragframe.plans.retrieve import with_settings
+    ix = FT.bm25_stats(TD.corpus(spark, sf))
+    ix.write(str(tmp_path / "bm25"))
+    back = FT.Bm25Index.read(spark, str(tmp_path / "bm25"))
+    q = with_settings(TD.queries(spark, sf), TD.contexts(spark, sf))
+    cols = ["query_id", "id", "full_text_score"]
+    a = sorted(map(tuple, FT.bm25_search(q, ix, "_fts_limit", 20).select(*cols).collect()))
+    b = sorted(map(tuple, FT.bm25_search(q, back, "_fts_limit", 20, use_index_df=True).select(*cols).collect()))
+    assert a == b and len(a) > 0

@@ -298,3 +298,23 @@ def test_ann_all_cells_equals_exact(spark, sf):
     exact = V.semantic_search(q, frags, "_sem_limit", 20)
     approx = V.ann_search(q, frags, n_cells=4, n_probe=4)
     assert V.recall_at_k(approx, exact).agg(F.min("recall")).first()[0] == 1.0
+
+
+def test_ingest_roundtrip(spark):
+    """An empty document still gets its document row and no embedding;
+    re-ingesting appends again unless replace=True; ids stay dense."""
+    docs = spark.createDataFrame([(1, "c", "doc-1", "First line.\\nSecond line."), (2, "c", "doc-2", "   ")],
+                                 "document_id long, context_id string, name string, text string")
+    empty_docs = TD.documents_table(spark, "/root/testdata/sf0.001").where(F.lit(False))
+    empty_emb = TD.corpus(spark, "/root/testdata/sf0.001").where(F.lit(False))
+    d1, e1, rej = IG.ingest(docs, empty_docs, empty_emb, max_chars=12, dim=8)
+    assert sorted(r.document_id for r in d1.collect()) == [1, 2]
+    rows = e1.collect()
+    assert {r.document_id for r in rows} == {1} and rej.count() == 0
+    assert sorted(r.id for r in rows) == list(range(1, len(rows) + 1))
+    assert all(len(r.value) <= 12 and len(r.embedding) == 8 for r in rows)
+    _, e2, _ = IG.ingest(docs, d1, e1, max_chars=12, dim=8)
+    assert e2.count() == 2 * len(rows)
+    _, e3, _ = IG.ingest(docs, d1, e1, max_chars=12, dim=8, replace=True)
+    assert e3.count() == len(rows)
+    assert IG.ingest_if_absent(docs, e1).collect()[0].document_id == 2
