@@ -894,8 +894,8 @@ def q_eval_correctness(spark, sf):
 
 
 @register("eval_pass_rate", _EVAL_SQL + f"""
-SELECT count(*) AS n_cases, sum(CASE WHEN score >= {K.EVAL_THRESHOLD} THEN 1 ELSE 0 END) AS n_passed,
-       round(avg(CASE WHEN score >= {K.EVAL_THRESHOLD} THEN 1.0 ELSE 0.0 END), 9) AS pass_rate
+SELECT count(*) AS n_cases, CAST(sum(CASE WHEN score >= {K.EVAL_THRESHOLD} THEN 1 ELSE 0 END) AS BIGINT) AS n_passed,
+       CAST(round(avg(CASE WHEN score >= {K.EVAL_THRESHOLD} THEN 1.0 ELSE 0.0 END), 9) AS DOUBLE) AS pass_rate
 FROM scored""")
 def q_eval_pass_rate(spark, sf):
     return EV.pass_rate(EV.eval_correctness(TD.eval_cases(spark, sf)))
