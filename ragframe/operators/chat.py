@@ -4,7 +4,7 @@ Events are rows ``(query_id, seq, [ts,] type, content)`` with type one of
 Retrieval / Partial / Finished. Answer assembly is an *ordered* string
 concatenation; it is done in two levels -- within (query_id, seq bucket), then
 per query over the bucket strings -- so a query with a huge number of events is
-pre-aggregated by many tasks before its final row is built.
+pre-aggregated by many groups before its final row is built.
 """
 
 from __future__ import annotations
@@ -16,10 +16,8 @@ from pyspark.sql import types as T
 
 from ragframe import constants as K
 from ragframe.functions import plugins
-from ragframe.session import broadcast_if_small
 
 SEQ_BUCKET = 1024
-BOUNDS_MAX_ROWS = 2_000_000
 
 
 def complete_chat(messages: DataFrame, completer=None, settings_col: str | None = None) -> DataFrame:
@@ -73,9 +71,10 @@ def subscribe_responses(events: DataFrame, subscriptions: DataFrame,
     """Events of the subscribed queries that arrive within ``timeout`` of
     the subscription start (``start_ts``); earlier events are not replayed."""
     s = subscriptions.select("query_id", "start_ts")
-    # one row per query: broadcast when small, so a hot query's events are not
-    # gathered by a shuffle join
-    j = events.join(broadcast_if_small(s, BOUNDS_MAX_ROWS), "query_id")
+    # Equi-join on query_id: Spark broadcasts the subscriptions when their
+    # measured size is small; otherwise AQE's skew-join split divides a hot
+    # query's events over several tasks (replicating its one subscription row).
+    j = events.join(s, "query_id")
     return j.where((F.col("ts") >= F.col("start_ts")) &
                    (F.col("ts") < F.col("start_ts") + F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")))
 
@@ -86,17 +85,6 @@ def first_event_subscriptions(events: DataFrame) -> DataFrame:
     return events.groupBy("query_id").agg(F.min("ts").alias("start_ts"))
 
 
-def _ordered_concat(parts: DataFrame, key: str = "query_id") -> DataFrame:
-    """Ordered string concatenation of (key, seq, content) in two levels."""
-    lvl1 = (parts.withColumn("_b", F.floor(F.col("seq") / SEQ_BUCKET))
-            .groupBy(key, "_b")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))),
-                                          lambda x: x["content"]), "").alias("_s")))
-    return lvl1.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_s"))), lambda x: x["_s"]), "")
-        .alias("answer"))
-
-
 def assemble_answers(events: DataFrame, mode: str = "until_finished") -> DataFrame:
     """D7 (batch): one answer per query.
 
@@ -104,17 +92,31 @@ def assemble_answers(events: DataFrame, mode: str = "until_finished") -> DataFra
     status 'finished'; without a Finished event status 'timeout' and every
     Partial is used. ``leading``: only the Partials before the first
     non-Partial event (what collecting the *leading* Partials of a stream that
-    starts with Retrieval yields)."""
-    stop_type = (F.col("type") == K.EVENT_FINISHED) if mode == "until_finished" else (
+    starts with Retrieval yields).
+
+    Two aggregations and no join: each (query, seq bucket) group concatenates
+    its Partials before its own first stop event; per query, the buckets up to
+    the first bucket that holds a stop are joined in order. A query with a huge
+    number of events is therefore split over many groups (at most
+    ``SEQ_BUCKET`` events each) before its single answer row is built."""
+    stop = (F.col("type") == K.EVENT_FINISHED) if mode == "until_finished" else (
         F.col("type") != K.EVENT_PARTIAL)
-    bounds = events.groupBy("query_id").agg(
-        F.min(F.when(stop_type, F.col("seq"))).alias("_stop"),
-        F.max(F.when(F.col("type") == K.EVENT_FINISHED, F.lit(1)).otherwise(F.lit(0))).alias("_fin"))
-    parts = (events.where(F.col("type") == K.EVENT_PARTIAL).select("query_id", "seq", "content")
-             .join(broadcast_if_small(bounds, BOUNDS_MAX_ROWS), "query_id")
-             .where(F.col("_stop").isNull() | (F.col("seq") < F.col("_stop")))
-             .select("query_id", "seq", F.coalesce("content", F.lit("")).alias("content")))
-    text = _ordered_concat(parts)
-    return (bounds.join(text, "query_id", "left")
-            .select("query_id", F.coalesce("answer", F.lit("")).alias("answer"),
-                    F.when(F.col("_fin") == 1, F.lit("finished")).otherwise(F.lit("timeout")).alias("status")))
+    item = F.when(F.col("type") == K.EVENT_PARTIAL,
+                  F.struct(F.col("seq"), F.coalesce(F.col("content"), F.lit("")).alias("content")))
+    lvl1 = (events.withColumn("_b", F.floor(F.col("seq") / SEQ_BUCKET))
+            .groupBy("query_id", "_b")
+            .agg(F.min(F.when(stop, F.col("seq"))).alias("_stop"),
+                 F.max(F.when(F.col("type") == K.EVENT_FINISHED, F.lit(1)).otherwise(F.lit(0))).alias("_fin"),
+                 F.array_sort(F.collect_list(item)).alias("_items")))
+    lvl1 = lvl1.select(
+        "query_id", "_b", "_stop", "_fin",
+        F.array_join(F.transform(F.filter("_items", lambda x: F.col("_stop").isNull() | (x["seq"] < F.col("_stop"))),
+                                 lambda x: x["content"]), "").alias("_s"))
+    lvl2 = lvl1.groupBy("query_id").agg(
+        F.min(F.when(F.col("_stop").isNotNull(), F.col("_b"))).alias("_sb"),
+        F.max("_fin").alias("_fin"),
+        F.array_sort(F.collect_list(F.struct("_b", "_s"))).alias("_parts"))
+    answer = F.array_join(F.transform(F.filter("_parts", lambda x: F.col("_sb").isNull() | (x["_b"] <= F.col("_sb"))),
+                                      lambda x: x["_s"]), "")
+    return lvl2.select("query_id", answer.alias("answer"),
+                       F.when(F.col("_fin") == 1, F.lit("finished")).otherwise(F.lit("timeout")).alias("status"))

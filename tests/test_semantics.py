@@ -318,3 +318,27 @@ def test_ingest_roundtrip(spark):
     _, e3, _ = IG.ingest(docs, d1, e1, max_chars=12, dim=8, replace=True)
     assert e3.count() == len(rows)
     assert IG.ingest_if_absent(docs, e1).collect()[0].document_id == 2
+
+
+@pytest.mark.parametrize("mode", ["until_finished", "leading"])
+def test_assemble_buckets_brute_force(spark, monkeypatch, mode):
+    """D7 two-level assembly equals a direct per-query computation, with tiny
+    buckets so stops fall inside later buckets."""
+    import random
+    monkeypatch.setattr(CH, "SEQ_BUCKET", 3)
+    rnd = random.Random(7)
+    rows = []
+    for q in range(40):
+        for seq in rnd.sample(range(60), rnd.randint(0, 25)):
+            t = rnd.choices(["Partial", "Finished", "Retrieval"], [8, 1, 1])[0]
+            rows.append((q, seq, t, f"<{q}.{seq}>" if t == "Partial" else None))
+    ev = spark.createDataFrame(rows, "query_id long, seq long, type string, content string")
+    got = {r.query_id: (r.answer, r.status) for r in CH.assemble_answers(ev, mode=mode).collect()}
+    want = {}
+    for q in {r[0] for r in rows}:
+        evs = sorted(r for r in rows if r[0] == q)
+        stops = [s for _, s, t, _ in evs if (t == "Finished" if mode == "until_finished" else t != "Partial")]
+        stop = min(stops) if stops else None
+        text = "".join(c for _, s, t, c in evs if t == "Partial" and (stop is None or s < stop))
+        want[q] = (text, "finished" if any(t == "Finished" for _, _, t, _ in evs) else "timeout")
+    assert got == want
