@@ -213,6 +213,10 @@ def ingest(docs: DataFrame, documents: DataFrame, embeddings: DataFrame, max_cha
 
 def ingest_if_absent(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Keep only documents that have no embeddings yet for (context,
-    document); the existing keys are reduced to distinct pairs first."""
-    have = embeddings.select("context_id", "document_id").distinct()
-    return docs.join(broadcast_if_small(have, 1_000_000), ["context_id", "document_id"], "left_anti")
+    document). The incoming batch is the small side: its keys are broadcast
+    (size-checked) to filter the embeddings scan map-side."""
+    keys = ["context_id", "document_id"]
+    batch = broadcast_if_small(docs.select(*keys).distinct(), 1_000_000)
+    # the big embeddings table is only scanned and filtered by the (small) batch
+    have = embeddings.select(*keys).join(batch, keys, "left_semi").distinct()
+    return docs.join(have, keys, "left_anti")

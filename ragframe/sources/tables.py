@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ragframe import constants as K
 from ragframe import schemas as S
@@ -44,24 +43,28 @@ def document_list(documents: DataFrame, context_ids: DataFrame) -> DataFrame:
 
 def embeddings_exist(keys: DataFrame, embeddings: DataFrame) -> DataFrame:
     """A5: add ``exists``: whether any embedding row has the key's (context,
-    document). The embedding side is reduced to distinct keys (partial
-    aggregation map-side) before the join."""
-    have = embeddings.select("context_id", "document_id").distinct().withColumn("_e", F.lit(True))
-    return (keys.join(have, ["context_id", "document_id"], "left")
+    document). The key batch is broadcast (size-checked) to filter the
+    embedding scan map-side; only matching keys are de-duplicated."""
+    k = ["context_id", "document_id"]
+    batch = broadcast_if_small(keys.select(*k).distinct(), KEY_SIDE_MAX_ROWS)
+    # scan the big table once, filtered map-side by the broadcast key batch
+    have = embeddings.select(*k).join(batch, k, "left_semi").distinct().withColumn("_e", F.lit(True))
+    return (keys.join(have, k, "left")
             .withColumn("exists", F.coalesce(F.col("_e"), F.lit(False))).drop("_e"))
 
 
 def scan_documents(spark: SparkSession, path: str, glob: str | None = None,
-                   recursive: bool = False) -> DataFrame:
+                   recursive: bool = False, limit: int | None = None) -> DataFrame:
     """Files of a directory as rows (path, modificationTime, length,
-    content) via the ``binaryFile`` source; ``name`` is the base name."""
+    content) via the ``binaryFile`` source; ``name`` is the base name.
+    ``limit`` keeps the first files by path (the seed path takes one)."""
     r = spark.read.format("binaryFile")
     if glob:
         r = r.option("pathGlobFilter", glob)
     if recursive:
         r = r.option("recursiveFileLookup", "true")
-    df = r.load(path)
-    return df.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    df = r.load(path).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return df.orderBy("path").limit(limit) if limit is not None else df
 
 
 def default_context(contexts: DataFrame, default_id: str = "00000000-0000-0000-0000-000000000000",
@@ -123,8 +126,3 @@ def admit_uploads(files: DataFrame, allowed: list[str] | None = None,
                                     F.lit(" exceeds maximum size of "), format_file_size(F.lit(max_bytes)))))
     return files.withColumn("valid", type_ok & size_ok).withColumn("error", err)
 
-
-def first_per_key(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
-    """First row per key by ``order_cols`` (window partitioned by the key)."""
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
