@@ -1,9 +1,11 @@
 """Keyed mutations of the three tables (A6-A11) as DataFrame -> DataFrame
 functions: the caller writes the returned version (Parquet has no MERGE).
 
-Upserts are one full outer join on the key (one shuffle on the key, both
-sides); deletes are anti joins whose key side is broadcast when a size check
-proves it small. Outputs of one call derive from one input snapshot.
+Upserts with a small (size-checked) change batch never shuffle the current
+table: a broadcast left join updates existing rows and a broadcast-filtered key
+scan finds the new ones; a large batch falls back to one full outer join on the
+key. Deletes are anti joins whose key side is broadcast when a size check proves
+it small. Outputs of one call derive from one input snapshot.
 """
 
 from __future__ import annotations
@@ -13,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragframe.session import broadcast_if_small, checkpoint
+from ragframe.session import broadcast_if_small, checkpoint, fits
 
 KEY_SIDE_MAX_ROWS = 1_000_000
+CHANGES_BROADCAST_MAX_ROWS = 1_000_000
 CONTEXT_COLS = ["name", "description", "prompt_template", "retrieval_settings",
                 "chat_completion_settings", "chat_model", "embeddings_model"]
 DOCUMENT_UPDATABLE = ["description", "type", "metadata"]
@@ -31,20 +34,41 @@ def _last_change(changes: DataFrame, key: str, seq_col: str | None) -> DataFrame
             .select(key, *[F.col("_last")[c].alias(c) for c in rest]))
 
 
+def _keyed_merge(current: DataFrame, changes: DataFrame, key: str, select_cols) -> DataFrame:
+    """Merge ``changes`` into ``current`` on ``key``; ``select_cols`` builds the
+    output from aliases ``c`` (current, NULL for new keys) and ``n`` (change,
+    NULL for untouched keys).
+
+    Small change batch (size-checked): no shuffle of the current table --
+    existing rows take a broadcast left join with the changes, new keys are
+    the changes whose key a broadcast-filtered scan of the current keys does not
+    find. Large batch: one full outer join (both sides shuffle on the key)."""
+    if fits(changes, CHANGES_BROADCAST_MAX_ROWS):
+        n = F.broadcast(changes.alias("n"))
+        existing = current.alias("c").join(n, F.col(f"c.{key}") == F.col(f"n.{key}"), "left")
+        hit = current.select(key).join(F.broadcast(changes.select(key)), key, "left_semi")
+        fresh = changes.join(hit, key, "left_anti").alias("n").join(
+            current.limit(0).alias("c"), F.col(f"c.{key}") == F.col(f"n.{key}"), "left")
+        return existing.select(*select_cols()).unionByName(fresh.select(*select_cols()))
+    j = current.alias("c").join(changes.alias("n"), F.col(f"c.{key}") == F.col(f"n.{key}"), "full")
+    return j.select(*select_cols())
+
+
 def upsert_contexts(current: DataFrame, changes: DataFrame, now: Column | None = None,
                     seq_col: str | None = "change_seq") -> DataFrame:
     """Insert new contexts; on an existing id replace every column and set
     ``updated_at = now``."""
     now = now if now is not None else F.current_timestamp()
     ch = _last_change(changes, "context_id", seq_col).withColumn("_new", F.lit(True))
-    c = current.alias("c")
-    n = ch.alias("n")
-    j = c.join(n, F.col("c.context_id") == F.col("n.context_id"), "full")
-    matched = F.col("n._new").isNotNull()
-    cols = [F.coalesce(F.col("n.context_id"), F.col("c.context_id")).alias("context_id")]
-    cols += [F.when(matched, F.col(f"n.{k}")).otherwise(F.col(f"c.{k}")).alias(k) for k in CONTEXT_COLS]
-    cols.append(F.when(matched, now.cast("timestamp")).otherwise(F.col("c.updated_at")).alias("updated_at"))
-    return j.select(*cols)
+
+    def cols():
+        matched = F.col("n._new").isNotNull()
+        out = [F.coalesce(F.col("n.context_id"), F.col("c.context_id")).alias("context_id")]
+        out += [F.when(matched, F.col(f"n.{k}")).otherwise(F.col(f"c.{k}")).alias(k) for k in CONTEXT_COLS]
+        out.append(F.when(matched, now.cast("timestamp")).otherwise(F.col("c.updated_at")).alias("updated_at"))
+        return out
+
+    return _keyed_merge(current, ch, "context_id", cols)
 
 
 def upsert_documents(current: DataFrame, changes: DataFrame, now: Column | None = None,
@@ -54,18 +78,19 @@ def upsert_documents(current: DataFrame, changes: DataFrame, now: Column | None
     their old values."""
     now = now if now is not None else F.current_timestamp()
     ch = _last_change(changes, "document_id", seq_col).withColumn("_new", F.lit(True))
-    c = current.alias("c")
-    n = ch.alias("n")
-    j = c.join(n, F.col("c.document_id") == F.col("n.document_id"), "full")
-    exists = F.col("c.document_id").isNotNull()
-    matched = F.col("n._new").isNotNull()
-    cols = [F.coalesce(F.col("c.document_id"), F.col("n.document_id")).alias("document_id")]
-    for k in ["context_id", "name"]:
-        cols.append(F.when(exists, F.col(f"c.{k}")).otherwise(F.col(f"n.{k}")).alias(k))
-    for k in DOCUMENT_UPDATABLE:
-        cols.append(F.when(matched, F.col(f"n.{k}")).otherwise(F.col(f"c.{k}")).alias(k))
-    cols.append(F.when(exists, F.col("c.updated_at")).otherwise(now.cast("timestamp")).alias("updated_at"))
-    return j.select(*cols)
+
+    def cols():
+        exists = F.col("c.document_id").isNotNull()
+        matched = F.col("n._new").isNotNull()
+        out = [F.coalesce(F.col("c.document_id"), F.col("n.document_id")).alias("document_id")]
+        for k in ["context_id", "name"]:
+            out.append(F.when(exists, F.col(f"c.{k}")).otherwise(F.col(f"n.{k}")).alias(k))
+        for k in DOCUMENT_UPDATABLE:
+            out.append(F.when(matched, F.col(f"n.{k}")).otherwise(F.col(f"c.{k}")).alias(k))
+        out.append(F.when(exists, F.col("c.updated_at")).otherwise(now.cast("timestamp")).alias("updated_at"))
+        return out
+
+    return _keyed_merge(current, ch, "document_id", cols)
 
 
 def _positions(order_cols: list[str]):

@@ -342,3 +342,16 @@ def test_assemble_buckets_brute_force(spark, monkeypatch, mode):
         text = "".join(c for _, s, t, c in evs if t == "Partial" and (stop is None or s < stop))
         want[q] = (text, "finished" if any(t == "Finished" for _, _, t, _ in evs) else "timeout")
     assert got == want
+
+
+def test_upsert_paths_agree(spark, sf, monkeypatch):
+    """The broadcast path and the full-outer-join path give the same table."""
+    from ragframe.plans import catalog
+    out = []
+    for bound in (1_000_000, 0):
+        monkeypatch.setattr(M, "CHANGES_BROADCAST_MAX_ROWS", bound)
+        rows = []
+        for name in ("upsert_contexts", "upsert_documents"):
+            rows.append(sorted(map(tuple, catalog.QUERIES[name](spark, sf).collect())))
+        out.append(rows)
+    assert out[0] == out[1]
