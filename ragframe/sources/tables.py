@@ -126,3 +126,16 @@ def admit_uploads(files: DataFrame, allowed: list[str] | None = None,
                                     F.lit(" exceeds maximum size of "), format_file_size(F.lit(max_bytes)))))
     return files.withColumn("valid", type_ok & size_ok).withColumn("error", err)
 
+
+
+def write_fragments(fragments: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store a fragment (embeddings) table in the layout the retrieval prunes
+    on: partitioned by ``context_id`` (vector search and neighbour expansion read
+    only the batch's contexts), files sorted by (document_id, fragment_index,
+    chunk_index) so pushed ``In(document_id, ...)`` filters skip row groups. The
+    range partitioning on the full key spreads a context that holds a third of
+    all rows over many writer tasks."""
+    n = int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (fragments.repartitionByRange(n, "context_id", "document_id", "fragment_index", "chunk_index")
+     .sortWithinPartitions("context_id", "document_id", "fragment_index", "chunk_index")
+     .write.mode(mode).partitionBy("context_id").parquet(path))

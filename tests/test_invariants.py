@@ -93,8 +93,8 @@ def test_stored_table_scans_are_pruned(spark, sf, tmp_path):
     scan only the matched documents (pushed into the Parquet scan)."""
     from ragframe.plans.retrieve import retrieve
     path = str(tmp_path / "fragments")
-    (TD.corpus(spark, sf).repartition("context_id").sortWithinPartitions("document_id", "fragment_index")
-     .write.partitionBy("context_id").parquet(path))
+    from ragframe.sources.tables import write_fragments
+    write_fragments(TD.corpus(spark, sf), path)
     frags = spark.read.parquet(path)
     q = TD.queries(spark, sf).where(F.col("context_id").isin("src1", "src2"))
     import re
