@@ -355,3 +355,16 @@ def test_upsert_paths_agree(spark, sf, monkeypatch):
             rows.append(sorted(map(tuple, catalog.QUERIES[name](spark, sf).collect())))
         out.append(rows)
     assert out[0] == out[1]
+
+
+def test_retrieval_report_empty_and_escaped(spark):
+    """A query without hits gets one 'No documents retrieved.' row; chunks
+    are HTML-escaped."""
+    q = spark.createDataFrame([(1,), (2,)], "query_id long")
+    r = spark.createDataFrame([(1, 10, 0, 0, 0, 0.03, 0.1, 1.5, "a<b")],
+                              "query_id long, document_id long, fragment_index long, chunk_index long, "
+                              "matched_fragment_index long, rrf_score double, semantic_score double, "
+                              "full_text_score double, value string")
+    rows = {x.query_id: x for x in PR.retrieval_report(r, q).collect()}
+    assert rows[2].message == K.NO_DOCUMENTS_RETRIEVED and rows[2].document_id is None
+    assert rows[1].message == "Document fragments:" and rows[1].chunk_html == "a&lt;b"
