@@ -26,6 +26,7 @@ from ragframe.functions.text import embedding_input
 from ragframe.functions.vector import cosine_distance_batch, cosine_distance_expr, stack
 
 FRAGMENT_KEYS = ["context_id", "document_id", "fragment_index"]
+MAX_BLOCK_CELLS = 4_000_000   # distance-matrix cells per numpy product (~32 MB)
 
 
 def _distance_kernel(left: str, right: str, out: str):
@@ -65,7 +66,8 @@ def cosine_distance(pairs: DataFrame, left: str = "q_vec", right: str = "embeddi
                           .otherwise(F.col(out))).drop("_zero", "_null")
 
 
-def _block_kernel(bc, keys: list[str], carry: list[str], cap: int, group_col: str = "context_id"):
+def _block_kernel(bc, keys: list[str], carry: list[str], cap: int, group_col: str = "context_id",
+                  max_cells: int = MAX_BLOCK_CELLS):
     """numpy block product: for each context present in an Arrow batch,
     distances = 1 - (E @ Q^T) / (|E| |Q|); keep, per query, the rows whose raw
     distance is within 1e-8 of the batch's k-th smallest (a superset of the
@@ -74,42 +76,51 @@ def _block_kernel(bc, keys: list[str], carry: list[str], cap: int, group_col: st
         table = bc.value
         for pdf in batches:
             outs = []
-            for ctx, grp in pdf.groupby(group_col, sort=False):
+            for ctx, whole in pdf.groupby(group_col, sort=False):
                 entry = table.get(ctx)
                 if entry is None:
                     continue
                 qids, qmat, qnorm, qcarry = entry
-                vecs = grp["embedding"]
-                ok = vecs.notna().to_numpy()
-                n = len(grp)
-                dist = np.full((n, len(qids)), np.nan)
-                if ok.any():
-                    e = stack(vecs[ok])
-                    en = np.sqrt(np.einsum("ij,ij->i", e, e))
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        dist[ok] = 1.0 - (e @ qmat.T) / np.outer(en, qnorm)
-                    dist[ok] = np.where(np.outer(en, qnorm) == 0, np.nan, dist[ok])
-                ranked = np.where(np.isnan(dist), np.inf, dist)
-                if n > cap:
-                    kth = np.partition(ranked, cap - 1, axis=0)[cap - 1]
-                    keep = ranked <= kth + 1e-8
-                else:
-                    keep = np.ones_like(ranked, dtype=bool)
-                rows, cols = np.nonzero(keep)
-                part = grp.iloc[rows][keys].reset_index(drop=True)
-                part["query_id"] = qids[cols]
-                d = dist[rows, cols]
-                part["semantic_score"] = np.where(np.isnan(d), 0.0, d)
-                part["_zero"] = np.isnan(d) & ok[rows]
-                part["_null"] = ~ok[rows]
-                for name, arr in qcarry.items():
-                    part[name] = arr[cols]
-                outs.append(part)
+                # bound the distance matrix: rows x queries <= max_cells
+                step = max(1, max_cells // max(len(qids), 1))
+                for lo in range(0, len(whole), step):
+                    outs.append(_score_block(whole.iloc[lo:lo + step], qids, qmat, qnorm, qcarry, keys, cap))
             if outs:
                 yield pd.concat(outs, ignore_index=True)
     return run
 
 
+def _score_block(grp, qids, qmat, qnorm, qcarry, keys, cap):
+    """Distances of one slice of fragments to one group's queries; keeps the
+    slice's share of each query's top-``cap``."""
+    vecs = grp["embedding"]
+    ok = vecs.notna().to_numpy()
+    n = len(grp)
+    dist = np.full((n, len(qids)), np.nan)
+    if ok.any():
+        e = stack(vecs[ok])
+        en = np.sqrt(np.einsum("ij,ij->i", e, e))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dist[ok] = 1.0 - (e @ qmat.T) / np.outer(en, qnorm)
+        dist[ok] = np.where(np.outer(en, qnorm) == 0, np.nan, dist[ok])
+    ranked = np.where(np.isnan(dist), np.inf, dist)
+    if n > cap:
+        kth = np.partition(ranked, cap - 1, axis=0)[cap - 1]
+        keep = ranked <= kth + 1e-8
+    else:
+        keep = np.ones_like(ranked, dtype=bool)
+    rows, cols = np.nonzero(keep)
+    part = grp.iloc[rows][keys].reset_index(drop=True)
+    part["query_id"] = qids[cols]
+    d = dist[rows, cols]
+    part["semantic_score"] = np.where(np.isnan(d), 0.0, d)
+    part["_zero"] = np.isnan(d) & ok[rows]
+    part["_null"] = ~ok[rows]
+    for name, arr in qcarry.items():
+        part[name] = arr[cols]
+    return part
+
+
 def _query_table(queries: DataFrame, carry: list[str], group_col: str = "context_id") -> dict:
     """Per group (context, or context and cell): query ids, query matrix, norms
     and settings (numpy). Called only on a batch whose size was checked."""
@@ -133,7 +144,7 @@ def _spark_context(df: DataFrame):
 
 
 def _block_scores(sc, queries: DataFrame, frags: DataFrame, carry: list[str], cap: int,
-                  group_col: str) -> DataFrame:
+                  group_col: str, max_cells: int = MAX_BLOCK_CELLS) -> DataFrame:
     """Distances of every fragment to the queries of its group, per Arrow batch,
     keeping each batch's share of the top-``cap`` (see :func:`_block_kernel`)."""
     bc = sc.broadcast(_query_table(queries, carry, group_col))
@@ -143,7 +154,7 @@ def _block_scores(sc, queries: DataFrame, frags: DataFrame, carry: list[str], ca
                           T.StructField("semantic_score", T.DoubleType()),
                           T.StructField("_zero", T.BooleanType()), T.StructField("_null", T.BooleanType())]
                           + [qschema[c] for c in carry])
-    scored = frags.mapInPandas(_block_kernel(bc, keys, carry, max(int(cap), 1), group_col), schema)
+    scored = frags.mapInPandas(_block_kernel(bc, keys, carry, max(int(cap), 1), group_col, max_cells), schema)
     return scored.withColumn(
         "semantic_score", F.when(F.col("_null"), F.lit(None).cast("double"))
         .when(F.col("_zero"), F.lit(float("nan"))).otherwise(F.col("semantic_score"))).drop("_zero", "_null")
@@ -151,7 +162,8 @@ def _block_scores(sc, queries: DataFrame, frags: DataFrame, carry: list[str], ca
 
 def semantic_search(queries: DataFrame, fragments: DataFrame, limit_col: str = "_sem_limit",
                     limit_cap: int = K.DEFAULT_SEMANTIC_SEARCH_LIMIT,
-                    broadcast_queries: bool = True, method: str = "block", carry=()) -> DataFrame:
+                    broadcast_queries: bool = True, method: str = "block", carry=(),
+                    block_cells: int = MAX_BLOCK_CELLS) -> DataFrame:
     """The ``limit`` nearest fragments of the query's context.
 
     ``method='block'`` (default; needs the bounded query batch to be broadcast)
@@ -167,7 +179,7 @@ def semantic_search(queries: DataFrame, fragments: DataFrame, limit_col: str = "
     f = fragments.select("id", *FRAGMENT_KEYS, "embedding")
     sc = _spark_context(queries) if method == "block" and broadcast_queries else None
     if sc is not None:
-        scored = _block_scores(sc, queries, f, carry, limit_cap, "context_id")
+        scored = _block_scores(sc, queries, f, carry, limit_cap, "context_id", block_cells)
     else:
         q = queries.select("query_id", "context_id", F.col("embedding").alias("q_vec"), *carry)
         q = F.broadcast(q) if broadcast_queries else q
