@@ -603,8 +603,10 @@ def _subscribed(spark, sf):
 SELECT query_id, seq, type, content, epoch_us(ts) AS ts_us FROM subscribed""")
 def q_subscribe_responses(spark, sf):
     s = _subscribed(spark, sf)
+    # microseconds of the original wall-clock time (independent of the session zone)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return s.select("query_id", "seq", "type", "content",
-                    F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+                    F.timestamp_diff("MICROSECOND", epoch, F.col("ts").cast("timestamp_ntz")).alias("ts_us"))
 
 
 def _answers_sql(src: str, stop: str) -> str:

@@ -63,7 +63,8 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast(S.CHAT_COMPLETION_SETTINGS).alias("chat_completion_settings"),
         F.lit(K.DEFAULT_CHAT_MODEL).alias("chat_model"),
         F.lit(K.DEFAULT_EMBEDDINGS_MODEL).alias("embeddings_model"),
-        F.timestamp_seconds(F.lit(1704067200) + n * 60).alias("updated_at"),
+        # wall-clock literal plus an offset: renders the same in any session time zone
+        F.timestamp_add("MINUTE", n, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("updated_at"),
     )
 
 
@@ -77,7 +78,7 @@ def documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("description"),
         F.lit(K.DEFAULT_DOCUMENT_TYPE).alias("type"),
         F.create_map().cast("map<string,string>").alias("metadata"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("updated_at"),
+        F.timestamp_add("SECOND", F.col("doc_id"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("updated_at"),
     )
 
 

@@ -59,7 +59,7 @@ def _answer(seqs, contents, stop):
     return "".join(c or "" for _, c in parts)
 
 
-def _assembler(timeout_ms: int, mode: str):
+def _assembler(timeout_ms: int, mode: str, session_tz: str = "UTC"):
     def fn(key, pdfs, state):
         qid = int(key[0])
         if state.hasTimedOut:
@@ -74,7 +74,10 @@ def _assembler(timeout_ms: int, mode: str):
         else:
             first_ts, seqs, contents = None, [], []
         ev = pd.concat(list(pdfs), ignore_index=True)
-        ev["ms"] = ev["ts"].astype("datetime64[us]").astype("int64") // 1000
+        ts = ev["ts"]
+        # timestamps arrive as session-local wall clock; timers are epoch (UTC) ms
+        ts = ts.dt.tz_localize(session_tz) if ts.dt.tz is None else ts
+        ev["ms"] = ts.dt.tz_convert("UTC").dt.tz_localize(None).astype("datetime64[us]").astype("int64") // 1000
         ev = ev.sort_values(["ms", "seq"], kind="stable")
         if first_ts is None:
             first_ts = int(ev["ms"].iloc[0])
@@ -103,9 +106,10 @@ def assemble_answers_stream(events: DataFrame, timeout_seconds: int = K.RESPONSE
                             watermark: str = "1 minute", mode: str = "until_finished") -> DataFrame:
     """D7 streaming: one (query_id, answer, status) row per query, emitted
     once (append mode)."""
+    tz = events.sparkSession.conf.get("spark.sql.session.timeZone", "UTC")
     return (events.withWatermark("ts", watermark)
             .groupBy("query_id")
-            .applyInPandasWithState(_assembler(int(timeout_seconds) * 1000, mode), OUT_SCHEMA,
+            .applyInPandasWithState(_assembler(int(timeout_seconds) * 1000, mode, tz), OUT_SCHEMA,
                                     STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
 
 
