@@ -34,6 +34,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -79,3 +80,37 @@ def conf_int(spark: SparkSession, key: str, default: int) -> int:
         return int(spark.conf.get(key, str(default)))
     except Exception:  # noqa: BLE001 - malformed user conf falls back to default
         return default
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the ``ragframe`` package importable on the executors: the Python
+    functions of ``mapInPandas`` / pandas UDFs are pickled by reference, so the
+    workers must import the package. A zip of it is built once per driver
+    process and registered with ``addPyFile`` (``addArtifacts`` on a remote
+    session), which distributes it to every executor."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote (Connect) session
+        sc = None
+    key = id(sc) if sc is not None else id(spark)
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="ragframe-pkg-"), "ragframe.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    if sc is not None:
+        sc.addPyFile(zpath)
+    else:
+        spark.addArtifacts(zpath, pyfile=True)
+    _SHIPPED.add(key)

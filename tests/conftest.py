@@ -15,7 +15,7 @@ SF = os.environ.get("RAGFRAME_TEST_SF", "/root/testdata/sf0.01")
 def spark():
     from pyspark.sql import SparkSession
 
-    from ragframe.session import ensure_checkpoint_dir
+    from ragframe.session import ensure_checkpoint_dir, ship_package
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
@@ -25,6 +25,7 @@ def spark():
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
 
 
