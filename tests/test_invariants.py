@@ -127,3 +127,23 @@ def test_persisted_index_roundtrip(spark, sf, tmp_path):
     a = sorted(map(tuple, FT.bm25_search(q, ix, "_fts_limit", 20).select(*cols).collect()))
     b = sorted(map(tuple, FT.bm25_search(q, back, "_fts_limit", 20, use_index_df=True).select(*cols).collect()))
     assert a == b and len(a) > 0
+
+
+def test_entry_from_foreign_cwd(tmp_path):
+    """The driver imports __spark_entry__ from elsewhere: Python workers must
+    still import the package (shipped with addPyFile)."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled','false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "print('ROWS', E.entry(s).count())\n"
+        "print('ING', E.queries()['chunk_documents'](s, '/root/testdata/sf0.001').count())\n" % root)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True,
+                         timeout=600, env=env)
+    assert "ROWS" in out.stdout and "ING" in out.stdout, out.stderr[-2000:]
