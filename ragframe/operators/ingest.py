@@ -184,16 +184,28 @@ def embedding_inputs(chunks: DataFrame) -> DataFrame:
 # B6 / B7
 # --------------------------------------------------------------------------
 
-def ingest(docs: DataFrame, documents: DataFrame, embeddings: DataFrame, max_chars=512,
-           embedder=None, dim: int = 64, now: Column | None = None, replace: bool = False):
+def ingest(docs: DataFrame, documents: DataFrame, embeddings: DataFrame, max_chars=None,
+           embedder=None, dim: int = 64, now: Column | None = None, replace: bool = False,
+           model: str | None = None, parsers: dict | None = None):
     """parse/split/embed new documents and add them to the tables.
 
-    ``docs``: document_id, context_id, name, text [, description, type,
-    metadata]. Returns (documents', embeddings', rejects). Documents with no
-    fragment still get a document row (and no embedding). With
-    ``replace=True`` previous embeddings of the same keys are deleted first
-    (otherwise they are appended again, like the original)."""
+    ``docs``: document_id, context_id, name and either ``text`` or raw file
+    bytes ``content`` [+ ``mime``] (parsed with ``parsers``) [, description,
+    type, metadata]. The chunk size is ``max_chars``, else the context length
+    of the embedding ``model`` x 1 char per token (default model: 512).
+    Returns (documents', embeddings', rejects). Documents with no fragment still
+    get a document row (and no embedding). With ``replace=True`` previous
+    embeddings of the same keys are deleted first (otherwise they are appended
+    again, like the original)."""
+    if max_chars is None:
+        lengths = dict(K.MODELS)
+        name = model or K.DEFAULT_EMBEDDINGS_MODEL
+        if name not in lengths:
+            raise ValueError(f"unknown embedding model {name!r}")
+        max_chars = lengths[name] * K.CHARS_PER_TOKEN
     d = docs
+    if "text" not in d.columns and "content" in d.columns:
+        d = parse_documents(d, parsers).drop("content")
     for c, v in [("description", F.lit("")), ("type", F.lit(K.DEFAULT_DOCUMENT_TYPE)),
                  ("metadata", F.create_map().cast("map<string,string>"))]:
         if c not in d.columns:

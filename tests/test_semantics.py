@@ -368,3 +368,17 @@ def test_retrieval_report_empty_and_escaped(spark):
     rows = {x.query_id: x for x in PR.retrieval_report(r, q).collect()}
     assert rows[2].message == K.NO_DOCUMENTS_RETRIEVED and rows[2].document_id is None
     assert rows[1].message == "Document fragments:" and rows[1].chunk_html == "a&lt;b"
+
+
+def test_ingest_from_files_with_model(spark, tmp_path):
+    """B6 from raw files: A12 scan -> B1 parse -> split at the model's context
+    length (snowflake-arctic-embed: 512 chars)."""
+    (tmp_path / "a.txt").write_text(("word " * 300).strip())
+    files = TB.scan_documents(spark, str(tmp_path)).select(
+        F.lit(1).cast("long").alias("document_id"), F.lit("c").alias("context_id"), "name", "content")
+    empty_docs = TD.documents_table(spark, "/root/testdata/sf0.001").where(F.lit(False))
+    empty_emb = TD.corpus(spark, "/root/testdata/sf0.001").where(F.lit(False))
+    docs, emb, _ = IG.ingest(files, empty_docs, empty_emb, model="snowflake-arctic-embed", dim=8)
+    vals = [r.value for r in emb.orderBy("fragment_index").collect()]
+    assert len(vals) == 3 and all(len(v) <= 512 for v in vals)
+    assert docs.first().name == "a.txt"
