@@ -382,3 +382,14 @@ def test_ingest_from_files_with_model(spark, tmp_path):
     vals = [r.value for r in emb.orderBy("fragment_index").collect()]
     assert len(vals) == 3 and all(len(v) <= 512 for v in vals)
     assert docs.first().name == "a.txt"
+
+
+def test_retrieve_edge_batches(spark, sf):
+    """Empty batch -> no rows; unknown context -> no rows; a query without
+    tokens still gets its vector matches (text-side empty)."""
+    q = TD.queries(spark, sf)
+    frags, ctx = TD.corpus(spark, sf), TD.contexts(spark, sf)
+    assert retrieve(q.where(F.lit(False)), frags, ctx).count() == 0
+    assert retrieve(q.limit(3).withColumn("context_id", F.lit("nowhere")), frags, ctx).count() == 0
+    r = retrieve(q.limit(3).withColumn("query", F.lit("!!! ...")), frags, ctx).collect()
+    assert r and all(x.full_text_rank is None and x.full_text_score == 0.0 for x in r)
