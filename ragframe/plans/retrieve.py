@@ -155,8 +155,9 @@ def retrieval_stages(queries: DataFrame, fragments: DataFrame, contexts: DataFra
         matches, frags = st["matches"], fragments
         if materialize_matches and b().n_queries * b().rrf_cap <= PRUNE_MAX_KEYS:
             matches = checkpoint(matches)
-            docs = [x[0] for x in matches.select("document_id").distinct().collect()]
-            ctxs = [x[0] for x in matches.select("context_id").distinct().collect()]
+            pairs = matches.select("context_id", "document_id").distinct().collect()
+            ctxs = sorted({p[0] for p in pairs})
+            docs = sorted({p[1] for p in pairs})
             frags = _prune(_prune(fragments, "context_id", ctxs), "document_id", docs)
         return expand_neighbors(matches, frags,
                                 broadcast_matches=b().n_queries * b().rrf_cap * b().band_cap <= max_rows,
