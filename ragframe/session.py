@@ -28,7 +28,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("RAGFRAME_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("RAGFRAME_DRIVER_MEMORY", _default_driver_memory()))
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
         .getOrCreate()
     )
@@ -38,6 +38,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def _default_driver_memory() -> str:
+    """Half of the machine's memory, capped at 16g (local mode: the driver is
+    the only JVM)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return f"{max(1, min(16, int(total / 2**30 * 0.5)))}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
