@@ -175,6 +175,11 @@ def q_retrieve(spark, sf):
     return _stages(spark, sf)["retrieved"].select(*RCOLS)
 
 
+@register("retrieve_context_scope", retrieval_with(scope="context") + f"\nSELECT {RETRIEVED_COLS} FROM retrieved")
+def q_retrieve_context_scope(spark, sf):
+    return _stages(spark, sf, scope="context")["retrieved"].select(*RCOLS)
+
+
 @register("retrieve_dup_corpus", retrieval_with("dup_corpus") + f"\nSELECT {RETRIEVED_COLS} FROM retrieved")
 def q_retrieve_dup(spark, sf):
     return _stages(spark, sf, "dup_corpus")["retrieved"].select(*RCOLS)

@@ -10,7 +10,7 @@ from ragframe.sources.testdata import SQL_VIEWS
 _TOK = r"[\p{L}\p{N}]+"
 
 
-def _fts_chain(corpus: str = "corpus") -> str:
+def _fts_chain(corpus: str = "corpus", scope: str = "global") -> str:
     """BM25 stats + search over ``corpus`` for ``qs`` (queries with settings)."""
     return f"""
 qs AS (
@@ -45,7 +45,7 @@ fts_scored AS (
   FROM postings p JOIN qidf qi USING (token), totals t
   GROUP BY qi.query_id, qi.q_context_id, qi.fts_limit, p.id, p.context_id, p.document_id, p.fragment_index),
 fts_top AS (
-  SELECT * FROM fts_scored
+  SELECT * FROM fts_scored {"WHERE context_id = q_context_id" if scope == "context" else ""}
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY full_text_score DESC, id) <= fts_limit),
 fts_ctx AS (SELECT * FROM fts_top WHERE context_id = q_context_id),
 fts_ranked AS (
@@ -88,9 +88,9 @@ retrieved AS (
                              ORDER BY chunk_index, rrf_score DESC, matched_fragment_index, match_id, id) = 1)"""
 
 
-def retrieval_with(corpus: str = "corpus") -> str:
+def retrieval_with(corpus: str = "corpus", scope: str = "global") -> str:
     views = ["ctx", "corpus", "queries"] + ([corpus] if corpus != "corpus" else [])
-    return "WITH " + ",\n".join(SQL_VIEWS[v].strip() for v in views) + "," + _fts_chain(corpus)
+    return "WITH " + ",\n".join(SQL_VIEWS[v].strip() for v in views) + "," + _fts_chain(corpus, scope)
 
 
 RETRIEVED_COLS = ("query_id, context_id, document_id, fragment_index, chunk_index, id, value, "
