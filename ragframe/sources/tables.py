@@ -98,9 +98,10 @@ def default_context(contexts: DataFrame, default_id: str = "00000000-0000-0000-0
         now.cast("timestamp").alias("updated_at"),
     )
     base = context_list(contexts)
-    # add the default row only when the table is empty (existence probe reads one row)
-    probe = base.select(F.lit(1).alias("_k")).limit(1)
-    extra = dflt.withColumn("_k", F.lit(1)).join(probe, "_k", "left_anti").drop("_k")
+    # add the default row only when the table is empty: a scalar subquery that
+    # reads at most one row of the table
+    present = base.limit(1).agg(F.count(F.lit(1))).scalar()
+    extra = dflt.where(present == 0)
     allc = base.unionByName(extra)
     first = allc.agg(F.min(F.struct("updated_at", "context_id")).alias("_f")).select(
         F.col("_f.context_id").alias("_chosen"))
