@@ -147,3 +147,22 @@ def test_entry_from_foreign_cwd(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True,
                          timeout=600, env=env)
     assert "ROWS" in out.stdout and "ING" in out.stdout, out.stderr[-2000:]
+
+
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("name", ["append_embeddings", "assemble_answers", "upsert_documents",
+                                  "bm25_search", "group_by_document", "eval_correctness",
+                                  "answer_commands"])
+def test_partition_invariance_more(spark, sf, name):
+    """Same rows with 1 and 8 shuffle partitions (ids of A8 included)."""
+    from helpers import spark_rows
+    out = []
+    for n in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        catalog._STAGE_CACHE.clear()
+        out.append(spark_rows(catalog.QUERIES[name](spark, sf))[0])
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    catalog._STAGE_CACHE.clear()
+    assert out[0] == out[1]
