@@ -277,12 +277,24 @@ def ivf_assign(model, rows: DataFrame, vec_col: str = "embedding") -> DataFrame:
     return model.transform(feats).drop("features")
 
 
+def ivf_write(model, fragments: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Persist fragments with their IVF cell, partitioned by cell, so a search
+    reads only the probed cells' files."""
+    (ivf_assign(model, fragments.select("id", *FRAGMENT_KEYS, "embedding"))
+     .write.mode(mode).partitionBy("cell").parquet(path))
+
+
 def ann_search(queries: DataFrame, fragments: DataFrame, model=None, n_cells: int = 16,
                n_probe: int = 4, limit_col: str = "_sem_limit",
-               limit_cap: int = K.DEFAULT_SEMANTIC_SEARCH_LIMIT, method: str = "block") -> DataFrame:
+               limit_cap: int = K.DEFAULT_SEMANTIC_SEARCH_LIMIT, method: str = "block",
+               cells: DataFrame | None = None) -> DataFrame:
     """Approximate nearest neighbours. Fragments are assigned to k-means
     cells; a query only scans its ``n_probe`` nearest cells (join on
-    (context_id, cell)); the rest is exactly ``semantic_search``."""
+    (context_id, cell)); the rest is exactly ``semantic_search``.
+
+    ``cells``: a stored cell assignment (see :func:`ivf_write`); its scan is
+    then pruned to the probed cells (at most k values), so a batch reads only
+    those partitions instead of re-assigning every fragment."""
     model = model or ivf_train(fragments, n_cells)
     centers = model.clusterCenters()  # k x d, small by construction (k cells)
     spark = queries.sparkSession
@@ -296,7 +308,11 @@ def ann_search(queries: DataFrame, fragments: DataFrame, model=None, n_cells: in
     w = Window.partitionBy("query_id").orderBy(F.col("_cd").asc_nulls_last(), F.col("cell"))
     probes = (qc.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_probe)
               .select("query_id", "context_id", "cell", "q_vec", limit_col))
-    cells = ivf_assign(model, fragments.select("id", *FRAGMENT_KEYS, "embedding"))
+    if cells is None:
+        cells = ivf_assign(model, fragments.select("id", *FRAGMENT_KEYS, "embedding"))
+    else:
+        probed = sorted({r[0] for r in probes.select("cell").distinct().collect()})  # <= k cells
+        cells = cells.where(F.col("cell").isin(probed))
     sc = _spark_context(queries) if method == "block" else None
     if sc is not None:
         grp = F.concat_ws("#", F.col("context_id"), F.col("cell").cast("string"))
