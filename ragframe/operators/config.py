@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ragframe import constants as K
 from ragframe import schemas as S
 from ragframe.functions.text import format_file_size as _fmt
+from ragframe.session import broadcast_if_small
 
 # required fields of the retrieval settings, as JSON paths
 _REQUIRED = [("fullTextSearchLimit", ["fullTextSearchLimit"]),
@@ -65,7 +66,8 @@ def resolve_models(rows: DataFrame, model_cols=("chat_model", "embeddings_model"
     out = rows
     errs = []
     for c in model_cols:
-        m = F.broadcast(dim.select(F.col("name").alias(c), F.col("context_length").alias(f"{c}_context_length")))
+        m = broadcast_if_small(dim.select(F.col("name").alias(c), F.col("context_length").alias(f"{c}_context_length")),
+                               100_000)
         out = out.join(m, c, "left")
         errs.append(F.when(F.col(c).isNotNull() & F.col(f"{c}_context_length").isNull(),
                            F.concat(F.lit(f"{c}: unknown model "), F.col(c))))

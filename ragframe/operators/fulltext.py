@@ -28,9 +28,10 @@ from pyspark.sql.window import Window
 from ragframe import constants as K
 from ragframe.functions.text import escape_query as _escape_expr
 from ragframe.functions.text import tokens
-from ragframe.session import checkpoint
+from ragframe.session import checkpoint, fits
 
 FRAGMENT_KEYS = ["context_id", "document_id", "fragment_index"]
+BROADCAST_MAX_ROWS = 2_000_000
 
 
 def escape_query(queries: DataFrame, text_col: str = "query", out_col: str = "escaped") -> DataFrame:
@@ -117,7 +118,7 @@ def query_tokens(queries: DataFrame, text_col: str = "query", carry=()) -> DataF
 
 def bm25_search(queries: DataFrame, index: Bm25Index, limit_col: str = "_fts_limit",
                 limit_cap: int = K.DEFAULT_FULL_TEXT_SEARCH_LIMIT, scope: str = "global",
-                broadcast_tokens: bool = True, text_col: str = "query", carry=(),
+                broadcast_tokens: bool | None = None, text_col: str = "query", carry=(),
                 use_index_df: bool = False) -> DataFrame:
     """C4: fragments matching any query token, BM25-scored, top ``limit`` per
     query. ``scope='global'`` ranks over all contexts (the limit runs before the
@@ -129,6 +130,8 @@ def bm25_search(queries: DataFrame, index: Bm25Index, limit_col: str = "_fts_lim
     the ``carry`` columns of the query (its settings)."""
     carry = [limit_col] + [c for c in carry if c != limit_col]
     qt = query_tokens(queries, text_col, carry=carry)
+    if broadcast_tokens is None:  # standalone call: check the size (retrieve passes a proven bound)
+        broadcast_tokens = fits(qt, BROADCAST_MAX_ROWS)
     # one scalar subquery (reused): the corpus totals
     tot = index.totals.select(F.struct("n_docs", "avgdl").alias("t")).scalar()
     n_docs, avgdl = tot["n_docs"], tot["avgdl"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ragframe import constants as K
+from ragframe.session import fits
 
 LIMIT_COLS = ["_rrf_limit", "_look_back", "_look_ahead"]
 
@@ -60,7 +61,7 @@ def dedupe_matches(matched: DataFrame, keep: str = "lowest") -> DataFrame:
     return matched.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def expand_neighbors(matches: DataFrame, fragments: DataFrame, broadcast_matches: bool = True,
+def expand_neighbors(matches: DataFrame, fragments: DataFrame, broadcast_matches: bool | None = None,
                      look_back: int = K.DEFAULT_LOOK_BACK, look_ahead: int = K.DEFAULT_LOOK_AHEAD,
                      with_vectors: bool = False) -> DataFrame:
     """Every fragment of the same context and document whose index lies in
@@ -75,6 +76,8 @@ def expand_neighbors(matches: DataFrame, fragments: DataFrame, broadcast_matches
     m = (matches.withColumnRenamed("id", "match_id")
          .withColumn("fragment_index", F.explode(
              F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<long>")))))
+    if broadcast_matches is None:  # standalone call: check the size (retrieve passes a proven bound)
+        broadcast_matches = fits(m, 2_000_000)
     m = F.broadcast(m) if broadcast_matches else m
     cols = ["context_id", "document_id", "fragment_index", "chunk_index", "id", "value", "metadata"]
     if with_vectors:

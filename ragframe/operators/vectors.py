@@ -24,9 +24,11 @@ from ragframe import constants as K
 from ragframe.functions import plugins
 from ragframe.functions.text import embedding_input
 from ragframe.functions.vector import cosine_distance_batch, cosine_distance_expr, stack
+from ragframe.session import fits
 
 FRAGMENT_KEYS = ["context_id", "document_id", "fragment_index"]
 MAX_BLOCK_CELLS = 4_000_000   # distance-matrix cells per numpy product (~32 MB)
+BROADCAST_MAX_QUERIES = 100_000  # query vectors shipped to every task at most
 
 
 def _distance_kernel(left: str, right: str, out: str):
@@ -162,7 +164,7 @@ def _block_scores(sc, queries: DataFrame, frags: DataFrame, carry: list[str], ca
 
 def semantic_search(queries: DataFrame, fragments: DataFrame, limit_col: str = "_sem_limit",
                     limit_cap: int = K.DEFAULT_SEMANTIC_SEARCH_LIMIT,
-                    broadcast_queries: bool = True, method: str = "block", carry=(),
+                    broadcast_queries: bool | None = None, method: str = "block", carry=(),
                     block_cells: int = MAX_BLOCK_CELLS) -> DataFrame:
     """The ``limit`` nearest fragments of the query's context.
 
@@ -176,6 +178,8 @@ def semantic_search(queries: DataFrame, fragments: DataFrame, limit_col: str = "
     Output: query_id, id, context_id, document_id, fragment_index,
     semantic_score (rounded distance), limit column, ``carry`` columns."""
     carry = [limit_col] + [c for c in carry if c != limit_col]
+    if broadcast_queries is None:  # standalone call: check the size (retrieve passes a proven bound)
+        broadcast_queries = fits(queries, BROADCAST_MAX_QUERIES)
     f = fragments.select("id", *FRAGMENT_KEYS, "embedding")
     sc = _spark_context(queries) if method == "block" and broadcast_queries else None
     if sc is not None:
@@ -308,18 +312,19 @@ def ann_search(queries: DataFrame, fragments: DataFrame, model=None, n_cells: in
     w = Window.partitionBy("query_id").orderBy(F.col("_cd").asc_nulls_last(), F.col("cell"))
     probes = (qc.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_probe)
               .select("query_id", "context_id", "cell", "q_vec", limit_col))
+    small = fits(probes, BROADCAST_MAX_QUERIES * max(n_probe, 1))  # queries x n_probe rows
     if cells is None:
         cells = ivf_assign(model, fragments.select("id", *FRAGMENT_KEYS, "embedding"))
     else:
         probed = sorted({r[0] for r in probes.select("cell").distinct().collect()})  # <= k cells
         cells = cells.where(F.col("cell").isin(probed))
-    sc = _spark_context(queries) if method == "block" else None
+    sc = _spark_context(queries) if method == "block" and small else None
     if sc is not None:
         grp = F.concat_ws("#", F.col("context_id"), F.col("cell").cast("string"))
         qg = probes.withColumnRenamed("q_vec", "embedding").withColumn("_grp", grp)
         scored = _block_scores(sc, qg, cells.withColumn("_grp", grp), [limit_col], limit_cap, "_grp")
     else:
-        pairs = cells.join(F.broadcast(probes), ["context_id", "cell"]).drop("cell")
+        pairs = cells.join(F.broadcast(probes) if small else probes, ["context_id", "cell"]).drop("cell")
         scored = cosine_distance(pairs, "q_vec", "embedding", "semantic_score", method)
     scored = scored.withColumn("semantic_score", F.round("semantic_score", K.DISTANCE_DIGITS))
     wr = Window.partitionBy("query_id").orderBy(F.col("semantic_score").asc_nulls_last(), F.col("id"))

@@ -24,6 +24,7 @@ from ragframe.operators import prompt as PR
 from ragframe.operators import vectors as V
 from ragframe.plans.oracle_retrieval import RETRIEVED_COLS, retrieval_with
 from ragframe.plans.retrieve import retrieval_stages
+from ragframe.session import broadcast_if_small
 from ragframe.sources import tables as TB
 from ragframe.sources import testdata as TD
 from ragframe.streaming import responses as ST
@@ -117,7 +118,7 @@ def q_fulltext_rank(spark, sf):
 def q_cosine_distance(spark, sf):
     q = TD.queries(spark, sf).select("query_id", "context_id", F.col("embedding").alias("q_vec"))
     f = TD.corpus(spark, sf).select("id", "context_id", "document_id", "fragment_index", "embedding")
-    pairs = f.join(F.broadcast(q), "context_id")
+    pairs = f.join(broadcast_if_small(q, 100_000), "context_id")
     out = V.cosine_distance(pairs, "q_vec", "embedding", "semantic_score")
     return out.select(*SEM_COLS).withColumn("semantic_score", F.round("semantic_score", K.DISTANCE_DIGITS))
 

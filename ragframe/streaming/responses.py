@@ -26,7 +26,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ragframe import constants as K
 from ragframe import schemas as S
-from ragframe.session import ensure_checkpoint_dir
+from ragframe.session import broadcast_if_small, ensure_checkpoint_dir
 
 OUT_SCHEMA = "query_id long, answer string, status string"
 STATE_SCHEMA = "first_ts long, seqs array<long>, contents array<string>"
@@ -49,7 +49,7 @@ def subscribe_stream(events: DataFrame, subscriptions: DataFrame,
     """D6 streaming: stream-static join with (query_id, start_ts), events kept
     from the start until the deadline."""
     s = subscriptions.select("query_id", "start_ts")
-    j = events.join(F.broadcast(s), "query_id")
+    j = events.join(broadcast_if_small(s, 2_000_000), "query_id")
     return j.where((F.col("ts") >= F.col("start_ts")) &
                    (F.col("ts") < F.col("start_ts") + F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")))
 
