@@ -30,12 +30,16 @@ def hashed_embedder(dim: int = 64, seed: int = 0) -> Embedder:
 
     def embed(texts: pd.Series) -> list:
         out = []
+        cache: dict[str, tuple[int, float]] = {}   # token -> (bucket, sign), per batch
         for t in texts:
             v = np.zeros(dim, dtype=np.float64)
             if t is not None:
                 for tok in _WORD.findall(t.lower()):
-                    h = xxhash.xxh64_intdigest(tok, seed)
-                    v[h % dim] += 1.0 if (h >> 63) & 1 else -1.0
+                    hit = cache.get(tok)
+                    if hit is None:
+                        h = xxhash.xxh64_intdigest(tok, seed)
+                        hit = cache[tok] = (h % dim, 1.0 if (h >> 63) & 1 else -1.0)
+                    v[hit[0]] += hit[1]
             n = np.linalg.norm(v)
             out.append((v / n if n > 0 else v).astype(np.float32))
         return out

@@ -412,3 +412,19 @@ def test_ann_stored_cells(spark, sf, tmp_path):
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     import re
     assert re.search(r"PartitionFilters: \[cell#\d+ IN \(", plan)
+
+
+def test_hashed_embedder_stable():
+    """The default embedder is deterministic, unit-norm, and independent of the
+    batch it is called in."""
+    import numpy as np
+    import pandas as pd
+
+    from ragframe.functions.plugins import hashed_embedder
+    emb = hashed_embedder(16)
+    texts = pd.Series(["the cat sat", "The Cat sat on the mat", "", None])
+    together = emb(texts)
+    alone = [emb(pd.Series([t]))[0] for t in texts]
+    for a, b in zip(together, alone):
+        assert np.array_equal(a, b)
+    assert abs(np.linalg.norm(together[0]) - 1.0) < 1e-6 and not together[2].any()
