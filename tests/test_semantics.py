@@ -42,7 +42,8 @@ def test_java_trim(spark):
 
 
 @pytest.mark.parametrize("n,text", [(0, "0 Bytes"), (1, "1 Bytes"), (1536, "1.5 KB"),
-                                    (1048576, "1 MB"), (1073741824, "1 GB"), (1234567, "1.18 MB")])
+                                    (1048576, "1 MB"), (1073741824, "1 GB"), (1234567, "1.18 MB"),
+                                    (1152, "1.13 KB"), (1664, "1.63 KB"), (1023, "1023 Bytes")])
 def test_format_file_size(spark, n, text):
     assert spark.range(1).select(format_file_size(F.lit(n))).first()[0] == text
 
