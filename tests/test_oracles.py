@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
+from ragframe.plans import catalog
 from helpers import duck_rows, spark_rows
 
-ORACLES = E.oracle_sql()
-QUERIES = E.queries()
+ORACLES = {name: q for name, q in E.oracle_sql().items() if name in catalog.ORACLES}
+QUERIES = {name: q for name, q in E.queries().items() if name in catalog.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -6,8 +6,9 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from ragframe.plans import catalog
 
-QUERIES = E.queries()
+QUERIES = {name: q for name, q in E.queries().items() if name in catalog.QUERIES}
 STREAMING = {"assemble_answers_stream", "subscribe_responses_stream"}
 
 
