@@ -7,19 +7,111 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragframe.llm import decontaminate as DC
+from ragframe.llm import embdedup as ED
+from ragframe.llm import html as HT
+from ragframe.llm import langid as LI
+from ragframe.llm import packing as PK
+from ragframe.llm import pii as PI
 from ragframe.llm import simhash as SH
-from ragframe.llm.common import prepare, table
+from ragframe.llm import tokens as TK
+from ragframe.llm import urlfilter as UF
+from ragframe.llm.common import prepare, table, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def register(sql: str | None = None):
+    def deco(fn):
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return fn(spark, sf_dir)
+        query.__name__, query.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[fn.__name__] = query
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return query
+    return deco
 
 
-@register
+@register()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and rejected for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    known = docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    found = LI.identify(docs.select("doc_id", "text"), LI.fit(known))
+    return found.select("doc_id", LI.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@register()
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and how many values were."""
+    return PI.pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+
+
+@register()
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    """doc_id, fingerprint and component_id of every document."""
     return SH.simhash_near_dedup(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the written files."""
+    return TK.tokenized(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+@register()
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page."""
+    return HT.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@register()
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences."""
+    return PK.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+
+
+@register(r"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+         AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS k FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, CAST(least(vec_id, coalesce(m, vec_id)) AS BIGINT) AS component_id,
+       vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN least ON least.a = vec_id""")
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector."""
+    return ED.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register()
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and its edit distance."""
+    return DC.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The rule list of op10: (host, path, verdict).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@register(f"""
+WITH rules(h, p, v) AS (VALUES {", ".join(map(str, URL_RULES))}),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+          FROM (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages))
+SELECT page_id, host, path, h || p AS rule, coalesce(v, 'allow') AS verdict
+FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h) + length(p) DESC, length(h) DESC) = 1""")
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return UF.judge_urls(table(spark, sf_dir, "pages"), rules)
