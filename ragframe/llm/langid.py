@@ -24,6 +24,9 @@ from ragframe.llm.common import text_batches
 UNKNOWN = "und"
 BLOCK = 1024
 LEVEL = 6
+#: Texts of at most so many bytes are compressed at the level that also finds short
+#: matches, behind a run of one byte (zstandard stores blocks raw that it can't shorten).
+SHORT, SHORT_LEVEL, RUN = 160, 19, bytes(64)
 #: Most labelled texts of a language, and most characters of each, that its dictionary is made of.
 SAMPLE_TEXTS = 256
 SAMPLE_CHARS = 400
@@ -61,12 +64,13 @@ class Model:
 
     def __init__(self, content: dict[str, bytes]):
         self.names = sorted(content)
-        self.coders = []
-        for name in self.names:
-            known = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            known.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False,
-                                                        write_checksum=False, write_dict_id=False))
+        self.coders = {level: [self._coder(content[n], level) for n in self.names] for level in (LEVEL, SHORT_LEVEL)}
+
+    @staticmethod
+    def _coder(content: bytes, level: int) -> zstandard.ZstdCompressor:
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, margin). No letter, or no language fitted: ``und`` and 0. Of
@@ -74,8 +78,12 @@ class Model:
         data = letters(text)
         if not data or not self.names:
             return UNKNOWN, 0.0
+        data = b" " + data + b" "
         blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
-        sizes = sorted((sum(len(c.compress(b)) for b in blocks), n) for c, n in zip(self.coders, self.names))
+        coders = self.coders[LEVEL]
+        if len(data) <= SHORT:
+            coders, blocks = self.coders[SHORT_LEVEL], [RUN + data]
+        sizes = sorted((sum(len(c.compress(b)) for b in blocks), n) for c, n in zip(coders, self.names))
         if len(sizes) == 1:
             return sizes[0][1], 1.0
         return sizes[0][1], 1.0 - sizes[0][0] / sizes[1][0]
