@@ -1,25 +1,55 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again.
 
 Part of the optional subpackage :mod:`ragframe.llm`. A stage takes (spark, docs,
-sf_dir) and returns a DataFrame; all but the last return the columns of documents."""
+sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Null or empty tables, texts and ids have the results that the operators state."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragframe.llm.common import prepare, shared_table, table
+from ragframe.llm.common import prepare, shared_table, table, vocabulary
+from ragframe.llm.decontaminate import drop_contaminated
+from ragframe.llm.langid import drop_rejected, fit
+from ragframe.llm.packing import pack_documents
+from ragframe.llm.pii import pseudonymize
 from ragframe.llm.simhash import drop_near_copies
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the compression classifier, fitted on the labelled
+    texts of ``docs``, does not reject."""
+    prepare(spark)
+    return drop_rejected(docs, fit(docs))
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the smallest doc_id."""
+    """One document of each group of near copies: the smallest doc_id."""
     prepare(spark)
     return drop_near_copies(docs)
 
 
-STAGES = [("simhash_near_dedup", simhash_near_dedup)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    prepare(spark)
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by pseudonyms."""
+    return pseudonymize(docs, count_col=None)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences of 2048 tokens."""
+    prepare(spark)
+    return pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1)
+
+
+STAGES = [("language_id", language_id), ("simhash_near_dedup", simhash_near_dedup),
+          ("benchmark_decontamination", benchmark_decontamination), ("pii", pii), ("packing", packing)]
 
-#: Language models of compressed text and packed sequences cannot be written in SQL.
+#: Compressed sizes, random walks and token ids can't be written in SQL.
 ORACLE_SQL = None
 
 

@@ -12,6 +12,7 @@ from ragframe.llm import embdedup as ED
 from ragframe.llm import html as HT
 from ragframe.llm import langid as LI
 from ragframe.llm import packing as PK
+from ragframe.llm import paragraphs as PG
 from ragframe.llm import pii as PI
 from ragframe.llm import simhash as SH
 from ragframe.llm import tokens as TK
@@ -68,6 +69,12 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return HT.extract_pages(table(spark, sf_dir, "pages"))
 
 
+@register()
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that a document shares with others; all but the first are removals."""
+    return PG.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @register()
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences."""

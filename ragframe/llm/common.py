@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores behind it as no column needs."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file; ``RAGFRAME_TOKENIZERS`` names another folder."""
     folder = os.environ.get("RAGFRAME_TOKENIZERS")

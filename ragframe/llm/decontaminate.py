@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ragframe.llm.common import text_batches
+from ragframe.llm.common import fresh, text_batches
 
 MIN_SIMILARITY = 0.8
 RECALL = 0.99
@@ -258,7 +258,5 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    name = "_hits"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs.columns, "_hits")
     return find_items(docs, items, hits_col=name).where(F.size(name) == 0).drop(name)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragframe.llm.common import text_batches
+from ragframe.llm.common import fresh, text_batches
 
 UNKNOWN = "und"
 BLOCK = 1024
@@ -89,13 +89,15 @@ class Model:
         return sizes[0][1], 1.0 - sizes[0][0] / sizes[1][0]
 
 
-def identify(docs: DataFrame, content: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and rejected added; columns of these
-    names in ``docs`` are replaced. Only the text is read for the prediction.
+def identify(docs: DataFrame, content: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN,
+             names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """``docs`` with the language, the score (0 to 1) and whether it is rejected added as
+    ``names``; columns of these names in ``docs`` are replaced. Only the text is read
+    for the prediction.
 
     Null texts and texts without a letter are ``und`` with score 0 and rejected. Every
     row gives one row; an empty table gives none."""
-    new = [("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")]
+    new = list(zip(names, ("string", "double", "boolean")))
     docs = docs.drop(*[n for n, _ in new])
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(", ".join(" ".join(x) for x in new)).fields])
@@ -106,7 +108,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], text_col: str = "text",
             found = [model.predict(t) for t in batch.column(at).to_pylist()]
             extra = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
                      pa.array([f[0] == UNKNOWN or f[1] < min_margin for f in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *[n for n, _ in new]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -116,8 +118,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def identify_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with predictions learned from its own labelled rows outside the
-    held-out fifth."""
-    known = docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    return identify(docs, fit(known))
+def drop_rejected(docs: DataFrame, content: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with their columns only."""
+    names = fresh(docs.columns, "_lang"), fresh(docs.columns, "_margin"), fresh(docs.columns, "_rejected")
+    return identify(docs, content, text_col, min_margin, names).where(~F.col(names[2])).drop(*names)
