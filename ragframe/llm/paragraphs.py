@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import broadcast_up_to, components, fresh, grouped, shared_table, text_batches
+from ragframe.llm.common import components, fresh, grouped, shared_table, text_batches
 
 SHINGLE, MIN_SIMILARITY = 5, 0.8
 MIN_WORDS, LONG, CUT_MASK = 8, 40, 15
@@ -37,7 +37,6 @@ BANDS = 3
 #: Words of a passage at least, and words between two of its units at most.
 MIN_PASSAGE, GAP = 20, 12
 BLOCK = 256
-MAX_BROADCAST_ROWS = 200_000
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"\w+")
@@ -152,15 +151,14 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stored = shared_table(stored, "units")
     keyed = stored.select("hash", F.explode("keys").alias("key"))
     busy = shared_table(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "busy-keys")
-    member = stored.select("doc_id", "start", "n_words", "hash", F.explode("keys").alias("key")).join(
-        broadcast_up_to(busy, MAX_BROADCAST_ROWS), "key")
+    member = stored.select("doc_id", "start", "n_words", "hash", F.explode("keys").alias("key")).join(busy, "key")
     member = shared_table(member, "busy-members")
 
     distinct = member.groupBy("key", "hash").agg(F.count("*").alias("times")).drop("times")
     several = shared_table(distinct.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "mixed-keys")
-    mixed = shared_table(distinct.join(broadcast_up_to(several, MAX_BROADCAST_ROWS), "key"), "mixed-members")
+    mixed = shared_table(distinct.join(several, "key"), "mixed-members")
     wanted = shared_table(mixed.select("hash").distinct(), "mixed-units")
-    words = stored.select("hash", "words").join(broadcast_up_to(wanted, MAX_BROADCAST_ROWS), "hash").groupBy("hash").agg(F.first("words").alias("words"))
+    words = stored.select("hash", "words").join(wanted, "hash", "left_semi").groupBy("hash").agg(F.first("words").alias("words"))
     parts = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("hash"), F.col("parts")).cast("int")
     dealt = mixed.join(words, "hash").withColumn("parts", parts).withColumn("mine", mine)
@@ -173,7 +171,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = shared_table(found.withColumn("cluster", F.coalesce("root", "hash")).drop("root", "hash"), "clustered-units")
     first = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last_doc")).where("first.doc_id <> last_doc")
     first = shared_table(first.select("cluster", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")), "clusters")
-    return found.join(broadcast_up_to(first, MAX_BROADCAST_ROWS), "cluster")
+    return found.join(first, "cluster")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_PASSAGE) -> DataFrame:
