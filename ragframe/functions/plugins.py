@@ -8,6 +8,7 @@ every operator can run (and be tested) without a model server.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from typing import Callable
@@ -22,35 +23,46 @@ Judge = Callable[[pd.DataFrame], pd.Series]       # cases -> score in [0, 1]
 _WORD = re.compile(r"[^\W_]+", re.UNICODE)
 
 
-def hashed_embedder(dim: int = 64, seed: int = 0) -> Embedder:
+def token_bucket(token: str, dim: int) -> tuple[int, float]:
+    """Bucket and sign of a token, from its MD5 (which SQL engines have too): the
+    first four bytes modulo ``dim``, and the first bit of the fifth."""
+    d = hashlib.md5(token.encode("utf-8", "replace")).digest()
+    return int.from_bytes(d[:4], "big") % dim, 1.0 if d[4] >= 128 else -1.0
+
+
+def hashed_embedder(dim: int = 64) -> Embedder:
     """Feature-hashing embedder: lower-cased word tokens hashed into ``dim``
-    signed buckets, L2-normalised, float32. Stable across processes (xxhash, not
-    Python's salted ``hash``)."""
-    import xxhash
+    signed buckets, L2-normalised, float32. Each distinct token of a batch is
+    hashed once; the counts of all its texts are one ``bincount``."""
 
     def embed(texts: pd.Series) -> list:
-        out = []
-        cache: dict[str, tuple[int, float]] = {}   # token -> (bucket, sign), per batch
-        for t in texts:
-            v = np.zeros(dim, dtype=np.float64)
-            if t is not None:
-                for tok in _WORD.findall(t.lower()):
-                    hit = cache.get(tok)
-                    if hit is None:
-                        h = xxhash.xxh64_intdigest(tok, seed)
-                        hit = cache[tok] = (h % dim, 1.0 if (h >> 63) & 1 else -1.0)
-                    v[hit[0]] += hit[1]
-            n = np.linalg.norm(v)
-            out.append((v / n if n > 0 else v).astype(np.float32))
-        return out
+        ids: dict[str, int] = {}
+        rows, cols = [], []
+        for i, t in enumerate(texts):
+            toks = _WORD.findall(t.lower()) if t is not None else []
+            rows.append(np.full(len(toks), i))
+            cols.extend(ids.setdefault(tok, len(ids)) for tok in toks)
+        n = len(rows)
+        if not n:
+            return []
+        hashed = [token_bucket(tok, dim) for tok in ids]
+        bucket = np.array([h[0] for h in hashed], dtype=np.int64)
+        sign = np.array([h[1] for h in hashed], dtype=np.float64)
+        cols = np.array(cols, dtype=np.int64)
+        counts = np.bincount(np.concatenate(rows) * dim + (bucket[cols] if len(cols) else 0),
+                             weights=sign[cols] if len(cols) else None, minlength=n * dim)
+        counts = counts.astype(np.float64).reshape(n, dim)
+        norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        return list(np.where(norm > 0, counts / np.where(norm > 0, norm, 1.0), counts).astype(np.float32))
 
     return embed
 
 
-def extractive_completer(max_words: int = 40) -> Completer:
-    """Stand-in for a chat model: answers with the first words of the retrieved
-    context found in the last user message, or "I don't know." when the context
-    is empty. Input frame has columns ``messages`` (list of {role, content})."""
+def extractive_completer() -> Completer:
+    """Stand-in for a chat model: answers with the retrieved context found in the
+    last user message (all of it, runs of white space as one space), or "I don't
+    know." when it is empty. Input frame has columns ``messages`` (list of {role,
+    content})."""
     ctx_re = re.compile(r"<context>\s*(.*?)\s*</context>", re.S)
 
     def complete(batch: pd.DataFrame) -> pd.Series:
@@ -62,7 +74,7 @@ def extractive_completer(max_words: int = 40) -> Completer:
                     user = m["content"] or ""
             found = ctx_re.search(user)
             words = (found.group(1) if found else "").split()
-            answers.append(" ".join(words[:max_words]) if words else "I don't know.")
+            answers.append(" ".join(words) if words else "I don't know.")
         return pd.Series(answers, dtype=object)
 
     return complete

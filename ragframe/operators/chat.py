@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ragframe import constants as K
 from ragframe.functions import plugins
+from ragframe.operators.fusion import group_by_document
 
 SEQ_BUCKET = 1024
 
@@ -26,12 +27,11 @@ def complete_chat(messages: DataFrame, completer=None, settings_col: str | None
     batch completer is applied per Arrow batch. Output (query_id, answer); a
     missing choice gives ''."""
     completer = completer or plugins.extractive_completer()
+    extra = [F.any_value(settings_col).alias(settings_col)] if settings_col else []
     grouped = messages.groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "role", "content"))),
                     lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-        .alias("messages"))
-    if settings_col:
-        grouped = grouped.join(messages.select("query_id", settings_col).distinct(), "query_id", "left")
+        .alias("messages"), *extra)
 
     def run(batches):
         for pdf in batches:
@@ -46,17 +46,24 @@ def complete_chat(messages: DataFrame, completer=None, settings_col: str | None
 def response_events(answers: DataFrame, retrieved: DataFrame | None = None,
                     answer_col: str = "answer") -> DataFrame:
     """Per query one Retrieval event (seq 0, with the number of retrieved
-    fragments), the answer as Partial events (one per word with its leading
+    fragments and the fragments themselves grouped by document, as JSON in
+    ``content``), the answer as Partial events (one per word with its leading
     whitespace, seq 1..n), then Finished (seq n+1)."""
     a = answers.select("query_id", F.regexp_extract_all(F.coalesce(F.col(answer_col), F.lit("")),
                                                         F.lit(r"(\s*\S+)"), 1).alias("_parts"))
     if retrieved is not None:
-        counts = retrieved.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_fragments"))
-        a = a.join(counts, "query_id", "left").withColumn("n_fragments", F.coalesce("n_fragments", F.lit(0)))
+        docs = group_by_document(retrieved).select("query_id", F.size("fragments").alias("_n"), F.struct(
+            "document_id", F.transform("fragments", lambda x: F.struct(
+                x["fragment_index"].alias("fragment_index"), x["chunk_index"].alias("chunk_index"),
+                x["value"].alias("value"))).alias("fragments")).alias("_doc"))
+        counts = docs.groupBy("query_id").agg(F.sum("_n").alias("n_fragments"),
+                                              F.to_json(F.array_sort(F.collect_list("_doc"))).alias("_grouped"))
+        a = (a.join(counts, "query_id", "left").withColumn("n_fragments", F.coalesce("n_fragments", F.lit(0)))
+             .withColumn("_grouped", F.coalesce("_grouped", F.lit("[]"))))
     else:
-        a = a.withColumn("n_fragments", F.lit(None).cast("long"))
+        a = a.withColumn("n_fragments", F.lit(None).cast("long")).withColumn("_grouped", F.lit(None).cast("string"))
     ret = a.select("query_id", F.lit(0).cast("long").alias("seq"), F.lit(K.EVENT_RETRIEVAL).alias("type"),
-                   F.lit(None).cast("string").alias("content"), F.col("n_fragments").cast("long").alias("n_fragments"))
+                   F.col("_grouped").alias("content"), F.col("n_fragments").cast("long").alias("n_fragments"))
     parts = a.select("query_id", F.posexplode("_parts").alias("_p", "content")).select(
         "query_id", (F.col("_p") + 1).cast("long").alias("seq"), F.lit(K.EVENT_PARTIAL).alias("type"),
         "content", F.lit(None).cast("long").alias("n_fragments"))

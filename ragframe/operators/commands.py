@@ -4,7 +4,9 @@ checked) per-name context table and one join to the answers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragframe import constants as K
@@ -20,16 +22,24 @@ def encode_form(rows: DataFrame, fields: list[str], out_col: str = "body") -> Da
     return rows.withColumn(out_col, F.concat_ws("&", *pairs))
 
 
+def _named(field: str):
+    return lambda p: p["k"] == field
+
+
 def decode_commands(raw: DataFrame, body_col: str = "body"):
     """Form body -> 13 typed columns. Blank values count as missing; a
     missing required field (or a non-boolean ``is_enterprise_install``) rejects
-    the row. Returns (commands, rejects) where rejects carry ``error``."""
-    m = F.str_to_map(F.col(body_col), F.lit("&"), F.lit("="))
+    the row. Names and values are URL-decoded; of a repeated field the first
+    value counts. Returns (commands, rejects) where rejects carry ``error``."""
+    pairs = F.transform(F.split(F.col(body_col), "&"), lambda p: F.struct(
+        F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"),
+        F.when(F.instr(p, "=") > 0, F.try_url_decode(p.substr(F.instr(p, "=") + 1, F.length(p)))).alias("v")))
+    raw = raw.withColumn("_pairs", pairs)
     cols = []
     for f in K.COMMAND_FIELDS:
-        v = F.try_url_decode(F.element_at(m, F.lit(f)))
+        v = F.try_element_at(F.filter("_pairs", _named(f)), F.lit(1))["v"]
         cols.append(F.when(F.length(F.trim(v)) > 0, v).alias(f))
-    d = raw.select(*[c for c in raw.columns if c != body_col], *cols)
+    d = raw.select(*[c for c in raw.columns if c not in (body_col, "_pairs")], *cols)
     flag = F.lower(F.col("is_enterprise_install"))
     d = d.withColumn("is_enterprise_install",
                      F.when(flag == "true", F.lit(True)).when(flag == "false", F.lit(False)))
@@ -71,34 +81,38 @@ def resolve_context(parsed: DataFrame, contexts: DataFrame) -> DataFrame:
     return parsed.join(broadcast_if_small(byname, 1_000_000), "context_name", "left")
 
 
+def _filled(template: str, **values) -> Column:
+    """``template`` with each ``{name}`` replaced by its column, as one concatenation."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p])
+
+
 def route_commands(resolved: DataFrame, text_col: str = "text") -> DataFrame:
     """``route`` in (unparsed, unknown_context, query) and the reply text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     route = (F.when(~F.col("parsed"), F.lit("unparsed"))
              .when(F.col("context_id").isNull(), F.lit("unknown_context"))
              .otherwise(F.lit("query")))
-    reply = (F.when(route == "unparsed",
-                    F.concat(F.lit("I'm sorry, I didn't understand that. Your query was `"), text, F.lit("`")))
-             .when(route == "unknown_context",
-                   F.concat(F.lit("I'm sorry, I couldn't find any context for "), F.col("context_name"),
-                            F.lit(". Your query was `"), text, F.lit("`")))
-             .otherwise(F.concat(F.lit("Querying the "), F.col("context_label"), F.lit(" context with `"),
-                                 F.col("user_query"), F.lit("` ..."))))
+    reply = (F.when(route == "unparsed", _filled(K.REPLY_UNPARSED, text=text))
+             .when(route == "unknown_context", _filled(K.REPLY_UNKNOWN_CONTEXT, context=F.col("context_name"), text=text))
+             .otherwise(_filled(K.REPLY_ACK, name=F.col("context_label"), query=F.col("user_query"))))
     return resolved.withColumn("route", route).withColumn("reply", reply)
 
 
 def answer_commands(routed: DataFrame, answers: DataFrame, key: str = "query_id") -> DataFrame:
     """E5: per routed command the outgoing messages: acknowledgement (plain)
     then the answer (markdown) for a query; one plain error message otherwise.
-    Output (command_id, pos, kind, text)."""
+    Output (command_id, pos, kind, text) and, where the commands have it,
+    ``response_url``, the address that the message is sent to."""
     j = routed.join(answers.select(key, "answer"), key, "left")
     msgs = F.when(F.col("route") == "query",
                   F.array(F.struct(F.lit("plain").alias("kind"), F.col("reply").alias("text")),
                           F.struct(F.lit("markdown").alias("kind"),
                                    F.coalesce(F.col("answer"), F.lit("")).alias("text")))
                   ).otherwise(F.array(F.struct(F.lit("plain").alias("kind"), F.col("reply").alias("text"))))
-    return (j.select("command_id", F.posexplode(msgs).alias("pos", "m"))
-            .select("command_id", F.col("pos").cast("long").alias("pos"),
+    to = [c for c in ("response_url",) if c in routed.columns]
+    return (j.select("command_id", *to, F.posexplode(msgs).alias("pos", "m"))
+            .select("command_id", *to, F.col("pos").cast("long").alias("pos"),
                     F.col("m.kind").alias("kind"), F.col("m.text").alias("text")))
 
 

@@ -11,35 +11,65 @@ from ragframe import schemas as S
 from ragframe.functions.text import format_file_size as _fmt
 from ragframe.session import broadcast_if_small
 
-# required fields of the retrieval settings, as JSON paths
-_REQUIRED = [("fullTextSearchLimit", ["fullTextSearchLimit"]),
-             ("semanticSearchLimit", ["semanticSearchLimit"]),
-             ("rrfLimit", ["rrfLimit"]),
-             ("fragmentLookupRange.lookBack", ["fragmentLookupRange", "lookBack"]),
-             ("fragmentLookupRange.lookAhead", ["fragmentLookupRange", "lookAhead"])]
+# fields of the three JSON columns: (path, kind, required)
+_FIELDS = {
+    "retrieval_settings": (S.RETRIEVAL_SETTINGS, [
+        ("fullTextSearchLimit", "an integer", True), ("semanticSearchLimit", "an integer", True),
+        ("rrfLimit", "an integer", True), ("fragmentLookupRange.lookBack", "an integer", True),
+        ("fragmentLookupRange.lookAhead", "an integer", True)]),
+    "prompt_template": (S.PROMPT_TEMPLATE, [
+        ("taskContext", "a string", True), ("toneContext", "a string", False), ("taskDescription", "a string", False),
+        ("examples", "a list", True), ("queryTemplate", "a string", True), ("queryContextTemplate", "a string", True),
+        ("precognition", "a string", False), ("outputFormatting", "a string", False), ("prefill", "a string", False)]),
+    "chat_completion_settings": (S.CHAT_COMPLETION_SETTINGS, [
+        ("logitBias", "a map", False), ("maxTokens", "an integer", False), ("n", "an integer", False),
+        ("frequencyPenalty", "a number", False), ("presencePenalty", "a number", False),
+        ("temperature", "a number", False), ("topP", "a number", False)]),
+}
 
 
-def parse_settings(raw: DataFrame, json_col: str = "settings_json"):
-    """JSON text -> typed ``retrieval_settings``. Rows with malformed JSON,
-    a missing field or a field of the wrong type are rejected with every
-    problem as ``path: message``, joined by ", ". Returns (valid, rejects)."""
-    parsed = F.from_json(F.col(json_col), S.RETRIEVAL_SETTINGS, {"mode": "PERMISSIVE"})
-    d = raw.withColumn("retrieval_settings", parsed)
+def _parsed(json_col: str, kind: str, prefix: str = ""):
+    """(typed value or NULL, array of problems) of one JSON column."""
+    schema, fields = _FIELDS[kind]
+    text = F.col(json_col)
     # presence in the raw JSON tells "missing" apart from "wrong type"
-    malformed = F.get_json_object(F.col(json_col), "$").isNull()
-    d = d.withColumn("retrieval_settings", F.when(~malformed, F.col("retrieval_settings")))
-    errs = [F.when(malformed, F.lit("$: malformed JSON"))]
-    for path, parts in _REQUIRED:
-        v = F.col("retrieval_settings")
-        for p in parts:
+    malformed = F.get_json_object(text, "$").isNull()
+    value = F.when(~malformed, F.from_json(text, schema, {"mode": "PERMISSIVE"}))
+    errs = [F.when(malformed, F.lit(f"{prefix or '$'}: malformed JSON"))]
+    for path, what, required in fields:
+        v = value
+        for p in path.split("."):
             v = v[p]
-        raw_v = F.get_json_object(F.col(json_col), "$." + ".".join(parts))
-        errs.append(F.when(F.col("retrieval_settings").isNotNull() & v.isNull(),
-                           F.when(raw_v.isNull(), F.lit(f"{path}: missing"))
-                           .otherwise(F.lit(f"{path}: expected an integer"))))
-    d = d.withColumn("errors", F.array_join(F.array_compact(F.array(*errs)), ", "))
+        absent = F.get_json_object(text, "$." + path).isNull()
+        name = f"{prefix}.{path}" if prefix else path
+        errs.append(F.when(~malformed & v.isNull(), F.when(~absent, F.lit(f"{name}: expected {what}"))
+                           .otherwise(F.lit(f"{name}: missing") if required else F.lit(None).cast("string"))))
+    return value, F.array_compact(F.array(*errs))
+
+
+def parse_settings(raw: DataFrame, json_col: str = "settings_json", kind: str = "retrieval_settings"):
+    """JSON text -> typed settings column ``kind``. Rows with malformed JSON,
+    a missing field or a field of the wrong type are rejected with every
+    problem as ``path: message``, joined by ", ". Returns (valid, rejects)."""
+    value, errors = _parsed(json_col, kind)
+    d = raw.withColumn(kind, value).withColumn("errors", F.array_join(errors, ", "))
     ok = d.where(F.col("errors") == "").drop("errors")
-    bad = d.where(F.col("errors") != "").drop("retrieval_settings")
+    bad = d.where(F.col("errors") != "").drop(kind)
+    return ok, bad
+
+
+def parse_context_settings(raw: DataFrame, suffix: str = "_json"):
+    """F1 for a whole context form: the columns ``<kind><suffix>`` of all three
+    kinds become typed columns; a row with any problem is rejected with the
+    problems of all three. Returns (valid, rejects)."""
+    d, errors = raw, []
+    for kind in _FIELDS:
+        value, errs = _parsed(kind + suffix, kind, kind)
+        d = d.withColumn(kind, value)
+        errors.append(errs)
+    d = d.withColumn("errors", F.array_join(F.concat(*errors), ", "))
+    ok = d.where(F.col("errors") == "").drop("errors", *[k + suffix for k in _FIELDS])
+    bad = d.where(F.col("errors") != "").drop(*_FIELDS)
     return ok, bad
 
 

@@ -11,14 +11,16 @@ Distributed form
 * ``bm25_search`` joins the postings with the *query tokens* of a batch. The
   query side is bounded by (queries x distinct tokens per query) and is
   broadcast when that bound is small, so the postings are filtered map-side and
-  never shuffled on ``token`` (hot tokens cannot skew the join). Scores are
-  partially aggregated by (query_id, id) before the shuffle; the per-query limit
-  is a ``row_number <= literal`` filter, which Spark turns into a partial
-  ``WindowGroupLimit`` before the exchange.
+  never shuffled on ``token`` (hot tokens cannot skew the join). The index is
+  distributed by fragment when it is built, so the scores of a (query, fragment)
+  are summed where the fragment lies; the per-query limit is a ``row_number <=
+  literal`` filter, which Spark turns into a partial ``WindowGroupLimit`` before
+  the only exchange.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -28,7 +30,7 @@ from pyspark.sql.window import Window
 from ragframe import constants as K
 from ragframe.functions.text import escape_query as _escape_expr
 from ragframe.functions.text import tokens
-from ragframe.session import checkpoint, fits
+from ragframe.session import checkpoint, ensure_checkpoint_dir, fits
 
 FRAGMENT_KEYS = ["context_id", "document_id", "fragment_index"]
 BROADCAST_MAX_ROWS = 2_000_000
@@ -51,22 +53,39 @@ def analyze_text(rows: DataFrame, text_col: str = "value", keep=("id",),
 @dataclass
 class Bm25Index:
     """Corpus statistics. ``postings``: id, keys, dl, token, tf. ``doc_freq``:
-    token, df. ``totals``: one row n_docs, avgdl."""
+    token, df. ``totals``: one row n_docs, avgdl. ``stored``: the frequencies
+    are a stored table, so a search reads them instead of counting postings."""
     postings: DataFrame
     doc_freq: DataFrame
     totals: DataFrame
+    stored: bool = False
 
     def write(self, path: str, mode: str = "overwrite") -> None:
-        """Persist the index (postings partitioned on disk by context)."""
-        self.postings.write.mode(mode).partitionBy("context_id").parquet(f"{path}/postings")
-        self.doc_freq.write.mode(mode).parquet(f"{path}/doc_freq")
+        """Persist the index: postings clustered by fragment (one fragment's rows
+        lie together, sorted by token), frequencies sorted by token."""
+        self.postings.repartition("id").sortWithinPartitions("id", "token").write.mode(mode).parquet(f"{path}/postings")
+        self.doc_freq.sortWithinPartitions("token").write.mode(mode).parquet(f"{path}/doc_freq")
         self.totals.write.mode(mode).parquet(f"{path}/totals")
 
     @staticmethod
     def read(spark, path: str) -> "Bm25Index":
-        return Bm25Index(spark.read.parquet(f"{path}/postings"),
-                         spark.read.parquet(f"{path}/doc_freq"),
-                         spark.read.parquet(f"{path}/totals"))
+        """A stored index. Its postings are distributed by fragment once, so that
+        searches of any number of batches score them without an exchange."""
+        postings = by_fragment(spark.read.parquet(f"{path}/postings"))
+        return Bm25Index(postings, spark.read.parquet(f"{path}/doc_freq"),
+                         spark.read.parquet(f"{path}/totals"), stored=True)
+
+
+def by_fragment(rows: DataFrame) -> DataFrame:
+    """``rows`` stored in the shared checkpoint folder as a table bucketed by ``id``:
+    Spark knows that a fragment's rows lie together, so grouping by keys that
+    include ``id`` needs no exchange, in any number of searches."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"ragframe_index_{uuid.uuid4().hex}"
+    (rows.repartition(n, "id").write.bucketBy(n, "id").format("parquet")
+     .option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name))
+    return spark.table(name)
 
 
 def term_frequencies(rows: DataFrame, toks_col: str = "_toks") -> DataFrame:
@@ -90,14 +109,15 @@ def bm25_stats(fragments: DataFrame, id_col: str = "id", text_col: str = "value"
 
     The index is built map-side (no shuffle): a *forward index* row per
     fragment holds its length and (token, tf) array; postings are its explode.
-    With ``materialize=True`` the forward index is checkpointed into the shared
-    checkpoint folder (the index build), so postings, totals and frequencies are
-    cheap scans of it and the text is tokenized once. N counts every fragment
+    With ``materialize=True`` (the index build) the forward index is distributed
+    by fragment and checkpointed into the shared checkpoint folder, and so are
+    the frequencies: the text is tokenized once, and a search groups postings by
+    fragment without moving them. N counts every fragment
     (also those without tokens), as a BM25 index does."""
     toks = fragments.select(F.col(id_col).alias("id"), *keys, tokens(text_col).alias("_toks"))
     fwd = term_frequencies(toks).select("id", *keys, F.size("_toks").cast("long").alias("dl"), "_tf")
     if materialize:
-        fwd = checkpoint(fwd)
+        fwd = by_fragment(fwd)
     # explode_outer: a plain explode makes the optimizer infer size(_tf) > 0 and
     # push it below the projection, re-sorting the tokens inside the lambdas
     postings = (fwd.select("id", *keys, "dl", F.explode_outer("_tf").alias("p"))
@@ -107,7 +127,14 @@ def bm25_stats(fragments: DataFrame, id_col: str = "id", text_col: str = "value"
     # one-row totals (partial aggregation map-side)
     totals = fwd.agg(F.count(F.lit(1)).alias("n_docs"),
                      (F.sum("dl").cast("double") / F.count(F.lit(1))).alias("avgdl"))
-    return Bm25Index(postings, doc_freq, totals)
+    if materialize:
+        doc_freq, totals = checkpoint(doc_freq), checkpoint(totals)
+    return Bm25Index(postings, doc_freq, totals, stored=materialize)
+
+
+def max_limit(queries: DataFrame, limit_col: str) -> int:
+    """The batch's largest limit (one row), at least 1."""
+    return max(1, int(queries.agg(F.max(limit_col)).first()[0] or 0))
 
 
 def query_tokens(queries: DataFrame, text_col: str = "query", carry=()) -> DataFrame:
@@ -117,18 +144,27 @@ def query_tokens(queries: DataFrame, text_col: str = "query", carry=()) -> DataF
 
 
 def bm25_search(queries: DataFrame, index: Bm25Index, limit_col: str = "_fts_limit",
-                limit_cap: int = K.DEFAULT_FULL_TEXT_SEARCH_LIMIT, scope: str = "global",
+                limit_cap: int | None = None, scope: str = "global",
                 broadcast_tokens: bool | None = None, text_col: str = "query", carry=(),
-                use_index_df: bool = False) -> DataFrame:
+                use_index_df: bool | None = None) -> DataFrame:
     """C4: fragments matching any query token, BM25-scored, top ``limit`` per
     query. ``scope='global'`` ranks over all contexts (the limit runs before the
     context filter, S1); ``scope='context'`` filters the postings first.
-    ``use_index_df=True`` reads document frequencies from a persisted index
-    instead of counting them from the postings.
+    ``use_index_df`` reads document frequencies from the index instead of
+    counting them from the postings (default: if they are stored). ``limit_cap``
+    is the batch's largest limit, a literal that Spark needs to cut each task's
+    rows before the exchange; None: read from ``limit_col``.
+
+    Postings distributed by ``id`` (a built or stored index) are scored in place:
+    only each task's best ``limit`` rows of a query move.
 
     Output: query_id, q_context_id, id, keys, full_text_score, limit column and
     the ``carry`` columns of the query (its settings)."""
     carry = [limit_col] + [c for c in carry if c != limit_col]
+    if limit_cap is None:
+        limit_cap = max_limit(queries, limit_col)
+    if use_index_df is None:
+        use_index_df = index.stored
     qt = query_tokens(queries, text_col, carry=carry)
     if broadcast_tokens is None:  # standalone call: check the size (retrieve passes a proven bound)
         broadcast_tokens = fits(qt, BROADCAST_MAX_ROWS)

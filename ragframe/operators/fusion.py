@@ -15,12 +15,13 @@ from ragframe.session import fits
 LIMIT_COLS = ["_rrf_limit", "_look_back", "_look_ahead"]
 
 
-def rrf_fuse(semantic: DataFrame, fulltext: DataFrame, limit_cap: int = K.DEFAULT_RRF_LIMIT,
+def rrf_fuse(semantic: DataFrame, fulltext: DataFrame, limit_cap: int | None = None,
              limit_col: str = "_rrf_limit") -> DataFrame:
     """C11: full outer join of the two ranked lists on (query_id, id);
     ``rrf = sum 1/(60 + rank)``; a hit missing from a list scores 0 there (both
     score columns are 0 when absent, S2); top ``rrfLimit`` per query by rrf desc,
-    ties by id.
+    ties by id. The limit is ``limit_col``'s; ``limit_cap`` is the batch's largest
+    (or, where no column has it, the limit).
 
     ``semantic`` needs query_id, id, keys, semantic_score, semantic_rank;
     ``fulltext`` query_id, id, keys, full_text_score, full_text_rank; both carry
@@ -47,9 +48,11 @@ def rrf_fuse(semantic: DataFrame, fulltext: DataFrame, limit_cap: int = K.DEFAUL
         F.round(rrf, K.RRF_DIGITS).alias("rrf_score"),
     )
     w = Window.partitionBy("query_id").orderBy(F.col("rrf_score").desc_nulls_first(), F.col("id"))
-    lim = F.col(limit_col) if limit_col in out.columns else F.lit(limit_cap)
-    return (out.withColumn("_rn", F.row_number().over(w))
-            .where((F.col("_rn") <= lim) & (F.col("_rn") <= F.lit(limit_cap))).drop("_rn"))
+    out = out.withColumn("_rn", F.row_number().over(w))
+    if limit_col in out.columns:
+        out = out.where(F.col("_rn") <= F.col(limit_col))
+        return (out if limit_cap is None else out.where(F.col("_rn") <= F.lit(limit_cap))).drop("_rn")
+    return out.where(F.col("_rn") <= F.lit(limit_cap or K.DEFAULT_RRF_LIMIT)).drop("_rn")
 
 
 def dedupe_matches(matched: DataFrame, keep: str = "lowest") -> DataFrame:

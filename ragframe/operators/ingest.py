@@ -26,48 +26,48 @@ from ragframe.session import broadcast_if_small, checkpoint
 # B1 parse
 # --------------------------------------------------------------------------
 
-_BLOCKS = ["script", "style", "head"]
-# fixed values: entities decoded by the native HTML-to-text expression ('&amp;' last)
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-             ("&nbsp;", " "), ("&amp;", "&")]
+# the first element of an HTML document, after comments, a prolog and white space
+_HTML_START = re.compile(r"\ufeff?(?:\s|<!--.*?-->|<\?.*?\?>)*<(?:!doctype\s+html|html|head|body)\b", re.S | re.I)
 
 
-def html_text(col) -> Column:
-    """Native HTML-to-text: drop script/style/head blocks, replace tags by a space,
-    decode the common entities, collapse whitespace."""
-    c = F.col(col) if isinstance(col, str) else col
-    for tag in _BLOCKS:
-        c = F.regexp_replace(c, F.lit(f"(?is)<{tag}\\b.*?</{tag}\\s*>"), F.lit(" "))
-    c = F.regexp_replace(c, F.lit("(?s)<[^>]*>"), F.lit(" "))
-    for src, dst in _ENTITIES:
-        c = F.replace(c, F.lit(src), F.lit(dst))
-    return F.trim(F.regexp_replace(c, F.lit(r"\s+"), F.lit(" ")))
+def detect_type(content: bytes) -> str:
+    """HTML when the first element of the text is HTML's, however much comes before it."""
+    return "text/html" if _HTML_START.match(content.decode("utf-8", errors="replace")) else "text/plain"
 
 
 def parse_documents(files: DataFrame, parsers: dict | None = None, content_col: str = "content",
-                    mime_col: str | None = "mime", out_col: str = "text") -> DataFrame:
+                    mime_col: str | None = "mime", out_col: str = "text", error_col: str = "parse_error") -> DataFrame:
     """B1: bytes -> plain text with a pluggable ``mime -> parser`` map. Without a
-    MIME column the type is detected from the content (HTML or text). Unparseable
-    types give NULL text (the caller reports them)."""
+    MIME type it is detected from the content (HTML or text). A file that cannot
+    be parsed -- no content, no parser for its type, or a parser that fails -- has
+    NULL text and the reason in ``error_col``; it never fails the job."""
     parsers = parsers or plugins.default_parsers()
+    result = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 
-    @F.pandas_udf(T.StringType())
-    def _parse(content: pd.Series, mime: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf(result)
+    def _parse(content: pd.Series, mime: pd.Series) -> pd.DataFrame:
+        texts, errors = [], []
         for b, m in zip(content, mime):
+            text, error = None, None
             if b is None:
-                out.append(None)
-                continue
-            b = bytes(b)
-            if not m:
-                head = b[:512].lstrip().lower()
-                m = "text/html" if head.startswith((b"<!doctype html", b"<html")) else "text/plain"
-            p = parsers.get(m)
-            out.append(p(b) if p else None)
-        return pd.Series(out, dtype=object)
+                error = "no content"
+            else:
+                b = bytes(b)
+                m = m or detect_type(b)
+                if m not in parsers:
+                    error = f"no parser for {m}"
+                else:
+                    try:
+                        text = parsers[m](b)
+                    except Exception as e:  # noqa: BLE001 - a broken file is a reject
+                        error = f"{m}: {type(e).__name__}: {e}"
+            texts.append(text)
+            errors.append(error)
+        return pd.DataFrame({"text": pd.Series(texts, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     mime = F.col(mime_col) if mime_col and mime_col in files.columns else F.lit(None).cast("string")
-    return files.withColumn(out_col, _parse(F.col(content_col), mime))
+    return (files.withColumn("_parsed", _parse(F.col(content_col), mime))
+            .withColumn(out_col, F.col("_parsed.text")).withColumn(error_col, F.col("_parsed.error")).drop("_parsed"))
 
 
 # --------------------------------------------------------------------------
@@ -116,7 +116,7 @@ def _split_level(text: str, level: int, max_chars: int) -> list[str]:
 
 def _with_overlap(pieces: list[str], max_chars: int, overlap: int) -> list[str]:
     """Prefix each piece with the whole trailing sentences of the previous piece
-    that fit in ``overlap`` characters (and keep the piece within max)."""
+    that fit in ``overlap`` characters; pieces are packed with room for them."""
     if overlap <= 0 or len(pieces) < 2:
         return pieces
     out = [pieces[0]]
@@ -137,12 +137,15 @@ def _with_overlap(pieces: list[str], max_chars: int, overlap: int) -> list[str]:
 
 def split_text(text: str | None, max_chars: int, overlap: int = K.CHUNK_OVERLAP_CHARS) -> list[str]:
     """Recursive split (paragraph, line, sentence, word, character), greedy
-    packing of each level's pieces up to ``max_chars``. Pure helper; linear in the
-    text length."""
+    packing of each level's pieces, with their overlap, up to ``max_chars``. Pure
+    helper; linear in the text length."""
     if text is None:
         return []
-    max_chars = max(int(max_chars), 1)
-    return _with_overlap(_split_level(text.strip(), 0, max_chars), max_chars, overlap)
+    max_chars, text = max(int(max_chars), 1), text.strip()
+    if len(text) <= max_chars:
+        return [text] if text else []
+    room = max_chars - overlap - 1 if 0 < overlap < max_chars // 2 else max_chars
+    return _with_overlap(_split_level(text, 0, room), max_chars, overlap)
 
 
 def split_documents(docs: DataFrame, max_chars, overlap: int = K.CHUNK_OVERLAP_CHARS,
@@ -186,17 +189,21 @@ def embedding_inputs(chunks: DataFrame) -> DataFrame:
 
 def ingest(docs: DataFrame, documents: DataFrame, embeddings: DataFrame, max_chars=None,
            embedder=None, dim: int = 64, now: Column | None = None, replace: bool = False,
-           model: str | None = None, parsers: dict | None = None):
+           model: str | None = None, parsers: dict | None = None,
+           overlap: int = K.CHUNK_OVERLAP_CHARS):
     """parse/split/embed new documents and add them to the tables.
 
     ``docs``: document_id, context_id, name and either ``text`` or raw file
     bytes ``content`` [+ ``mime``] (parsed with ``parsers``) [, description,
     type, metadata]. The chunk size is ``max_chars``, else the context length
     of the embedding ``model`` x 1 char per token (default model: 512).
-    Returns (documents', embeddings', rejects). Documents with no fragment still
-    get a document row (and no embedding). With ``replace=True`` previous
-    embeddings of the same keys are deleted first (otherwise they are appended
-    again, like the original)."""
+    Returns (documents', embeddings', rejects). Rejects are documents that could
+    not be parsed (they enter neither table) and fragments without a vector of
+    the right length: document_id, context_id, fragment_index (NULL: the whole
+    document) and error. Documents with no fragment still get a document row
+    (and no embedding). With ``replace=True`` previous embeddings of the same
+    keys are deleted first (otherwise they are appended again, like the
+    original)."""
     if max_chars is None:
         lengths = dict(K.MODELS)
         name = model or K.DEFAULT_EMBEDDINGS_MODEL
@@ -206,14 +213,23 @@ def ingest(docs: DataFrame, documents: DataFrame, embeddings: DataFrame, max_cha
     d = docs
     if "text" not in d.columns and "content" in d.columns:
         d = parse_documents(d, parsers).drop("content")
+    else:
+        d = d.withColumn("parse_error", F.when(F.col("text").isNull(), F.lit("no content")))
     for c, v in [("description", F.lit("")), ("type", F.lit(K.DEFAULT_DOCUMENT_TYPE)),
                  ("metadata", F.create_map().cast("map<string,string>"))]:
         if c not in d.columns:
             d = d.withColumn(c, v)
-    frags = chunk_documents(d, max_chars)
+    d = checkpoint(d)  # parsed once; both tables and the rejects read it
+    unparsed = d.where(F.col("parse_error").isNotNull())
+    d = d.where(F.col("parse_error").isNull())
+    frags = chunk_documents(d, max_chars, overlap)
     vec = checkpoint(embed_chunks(frags, embedder, dim, expected_dim=dim))
     good = vec.where(F.col("dim_ok")).drop("dim_ok")
-    rejects = vec.where(~F.col("dim_ok")).drop("dim_ok")
+    rejects = unparsed.select("document_id", "context_id", F.lit(None).cast("long").alias("fragment_index"),
+                              F.col("parse_error").alias("error")).unionByName(
+        vec.where(~F.col("dim_ok")).select("document_id", "context_id", "fragment_index", F.when(
+            F.col("embedding").isNull(), F.lit("no embedding")).otherwise(F.concat(
+                F.lit("embedding of length "), F.size("embedding").cast("string"))).alias("error")))
     emb_base = embeddings
     if replace:
         emb_base = M.delete_embeddings(embeddings, d.select("context_id", "document_id"))

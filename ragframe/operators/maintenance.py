@@ -93,18 +93,6 @@ def upsert_documents(current: DataFrame, changes: DataFrame, now: Column | None
     return _keyed_merge(current, ch, "document_id", cols)
 
 
-def _positions(order_cols: list[str]):
-    def run(batches):
-        pos = 0
-        for pdf in batches:
-            n = len(pdf)
-            pdf = pdf.copy()
-            pdf["_pos"] = pd.Series(range(pos, pos + n), index=pdf.index, dtype="int64")
-            pos += n
-            yield pdf
-    return run
-
-
 def assign_ids(rows: DataFrame, order_cols: list[str], start: Column, id_col: str = "id",
                num_partitions: int | None = None) -> DataFrame:
     """Dense, consecutive ids ``start + 1, start + 2, ...`` in ``order_cols``
@@ -116,17 +104,18 @@ def assign_ids(rows: DataFrame, order_cols: list[str], start: Column, id_col: st
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (rows.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_pos", T.LongType())])
-    numbered = checkpoint(ranged.mapInPandas(_positions(order_cols), schema))
+    # the low 33 bits of the generated id are the row's place in its partition
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = checkpoint(ranged.withColumn("_pos", place))
     # one row per partition (bounded by the partition count), as zipWithIndex does
     counts = sorted((r[0], r[1]) for r in numbered.groupBy("_pid").agg(F.count(F.lit(1))).collect())
     offsets, acc = [], 0
     for pid, cnt in counts:
-        offsets += [F.lit(pid), F.lit(acc).cast("long")]
+        offsets.append((pid, acc))
         acc += cnt
-    off = F.element_at(F.create_map(*offsets), F.col("_pid")) if offsets else F.lit(0).cast("long")
-    return (numbered.withColumn(id_col, start + off + F.col("_pos") + F.lit(1))
-            .drop("_pid", "_pos"))
+    table = spark.createDataFrame(offsets, "_pid int, _off long")
+    return (numbered.join(F.broadcast(table), "_pid")
+            .withColumn(id_col, start + F.col("_off") + F.col("_pos") + F.lit(1)).drop("_pid", "_pos", "_off"))
 
 
 def append_embeddings(current: DataFrame, new: DataFrame, expected_dim: int | None = None,

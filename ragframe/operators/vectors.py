@@ -1,9 +1,9 @@
 """Vector retrieval: cosine distance, exact per-context top-k, ranks, IVF
 approximate search, and embedding of chunks/queries (B5, C7-C10, C17).
 
-Distributed form of ``semantic_search``: the query batch (bounded, checked by
-the caller) is broadcast and joined to the fragment table on ``context_id``, so
-the fragment table -- the big side -- is only scanned, never shuffled, and a
+Distributed form of ``semantic_search``: the query batch is sent to the fragment
+table in blocks of checked size and met with it by ``context_id``, so the
+fragment table -- the big side -- is only scanned, never shuffled, and a
 context holding a third of all fragments is spread over all scan tasks. The
 distances are computed map-side (numpy on Arrow batches, or native
 higher-order functions), the per-query limit becomes a partial
@@ -13,8 +13,14 @@ higher-order functions), the per-query limit becomes a partial
 
 from __future__ import annotations
 
+import math
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +30,13 @@ from ragframe import constants as K
 from ragframe.functions import plugins
 from ragframe.functions.text import embedding_input
 from ragframe.functions.vector import cosine_distance_batch, cosine_distance_expr, stack
-from ragframe.session import fits
+from ragframe.operators.fulltext import max_limit
+from ragframe.session import checkpoint, ensure_checkpoint_dir, measured
 
 FRAGMENT_KEYS = ["context_id", "document_id", "fragment_index"]
 MAX_BLOCK_CELLS = 4_000_000   # distance-matrix cells per numpy product (~32 MB)
-BROADCAST_MAX_QUERIES = 100_000  # query vectors shipped to every task at most
+BLOCK_BYTES = 32 * 1024 * 1024  # query vectors and settings sent to every task at once
+MAX_IVF_CELLS = 4096
 
 
 def _distance_kernel(left: str, right: str, out: str):
@@ -68,73 +76,83 @@ def cosine_distance(pairs: DataFrame, left: str = "q_vec", right: str = "embeddi
                           .otherwise(F.col(out))).drop("_zero", "_null")
 
 
+def _vectors(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(float64 matrix of the usable rows, mask of usable rows) of an array
+    column: one reshape of its flattened values. NULL vectors and vectors of
+    another length are not usable (their distance is NULL)."""
+    col = pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) else col
+    ok = pc.fill_null(pc.equal(pc.list_value_length(col), dim), False).to_numpy(zero_copy_only=False).astype(bool)
+    flat = col.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(-1, dim), ok
+
+
 def _block_kernel(bc, keys: list[str], carry: list[str], cap: int, group_col: str = "context_id",
                   max_cells: int = MAX_BLOCK_CELLS):
-    """numpy block product: for each context present in an Arrow batch,
-    distances = 1 - (E @ Q^T) / (|E| |Q|); keep, per query, the rows whose raw
-    distance is within 1e-8 of the batch's k-th smallest (a superset of the
-    batch's share of the exact, rounded top-k; the final cut is Spark's)."""
+    """numpy block product: for each group present in an Arrow batch, distances =
+    1 - (E @ Q^T) / (|E| |Q|); keep, per query, the rows whose raw distance is
+    within 1e-8 of the batch's k-th smallest (a superset of the batch's share of
+    the exact, rounded top-k; the final cut is Spark's). Undefined (NaN) and NULL
+    distances rank last, so of each the ``cap`` smallest ids are kept."""
     def run(batches):
         table = bc.value
-        for pdf in batches:
-            outs = []
-            for ctx, whole in pdf.groupby(group_col, sort=False):
-                entry = table.get(ctx)
-                if entry is None:
+        for batch in batches:
+            coded = batch.column(batch.schema.get_field_index(group_col)).dictionary_encode()
+            codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+            for code, name in enumerate(coded.dictionary.to_pylist()):
+                if name not in table:
                     continue
-                qids, qmat, qnorm, qcarry = entry
+                part = batch.take(pa.array(np.nonzero(codes == code)[0]))
+                part = part.take(pc.sort_indices(part.column(part.schema.get_field_index("id"))))
                 # bound the distance matrix: rows x queries <= max_cells
-                step = max(1, max_cells // max(len(qids), 1))
-                for lo in range(0, len(whole), step):
-                    outs.append(_score_block(whole.iloc[lo:lo + step], qids, qmat, qnorm, qcarry, keys, cap))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
+                step = max(1, max_cells // max(len(table[name][1]), 1))
+                for lo in range(0, part.num_rows, step):
+                    yield _score_block(part.slice(lo, step), *table[name], keys, carry, cap)
     return run
 
 
-def _score_block(grp, qids, qmat, qnorm, qcarry, keys, cap):
-    """Distances of one slice of fragments to one group's queries; keeps the
-    slice's share of each query's top-``cap``."""
-    vecs = grp["embedding"]
-    ok = vecs.notna().to_numpy()
-    n = len(grp)
-    dist = np.full((n, len(qids)), np.nan)
-    if ok.any():
-        e = stack(vecs[ok])
-        en = np.sqrt(np.einsum("ij,ij->i", e, e))
+def _score_block(part, queries, qmat, qok, keys, carry, cap):
+    """Distances of one slice of fragments (by id) to one group's queries; keeps
+    the slice's share of each query's top-``cap``."""
+    n, dim = part.num_rows, qmat.shape[1]
+    e, ok = _vectors(part.column(part.schema.get_field_index("embedding")), dim)
+    q = qmat.astype(np.float64)
+    dist = np.full((n, len(q)), np.nan)
+    if ok.any() and dim:
+        norms = np.outer(np.sqrt(np.einsum("ij,ij->i", e, e)), np.sqrt(np.einsum("ij,ij->i", q, q)))
         with np.errstate(divide="ignore", invalid="ignore"):
-            dist[ok] = 1.0 - (e @ qmat.T) / np.outer(en, qnorm)
-        dist[ok] = np.where(np.outer(en, qnorm) == 0, np.nan, dist[ok])
-    ranked = np.where(np.isnan(dist), np.inf, dist)
+            dist[ok] = np.where(norms == 0, np.nan, 1.0 - (e @ q.T) / norms)
+    null = ~ok[:, None] | ~qok[None, :]
+    finite = ~np.isnan(dist) & ~null
+    keep = finite
     if n > cap:
-        kth = np.partition(ranked, cap - 1, axis=0)[cap - 1]
-        keep = ranked <= kth + 1e-8
-    else:
-        keep = np.ones_like(ranked, dtype=bool)
+        ranked = np.where(finite, dist, np.inf)
+        keep = finite & (ranked <= np.partition(ranked, cap - 1, axis=0)[cap - 1] + 1e-8)
+    for last in (~finite & ~null, null):
+        keep = keep | (last & (np.cumsum(last, axis=0) <= cap))
     rows, cols = np.nonzero(keep)
-    part = grp.iloc[rows][keys].reset_index(drop=True)
-    part["query_id"] = qids[cols]
-    d = dist[rows, cols]
-    part["semantic_score"] = np.where(np.isnan(d), 0.0, d)
-    part["_zero"] = np.isnan(d) & ok[rows]
-    part["_null"] = ~ok[rows]
-    for name, arr in qcarry.items():
-        part[name] = arr[cols]
-    return part
+    out = [part.column(part.schema.get_field_index(k)).take(pa.array(rows)) for k in keys]
+    out.append(queries.column("query_id").combine_chunks().take(pa.array(cols)))
+    out.append(pa.array(dist[rows, cols], pa.float64(), mask=null[rows, cols], from_pandas=False))
+    out += [queries.column(c).combine_chunks().take(pa.array(cols)) for c in carry]
+    return pa.RecordBatch.from_arrays(out, [*keys, "query_id", "semantic_score", *carry])
 
 
 def _query_table(queries: DataFrame, carry: list[str], group_col: str = "context_id") -> dict:
-    """Per group (context, or context and cell): query ids, query matrix, norms
-    and settings (numpy). Called only on a batch whose size was checked."""
-    pdf = queries.select("query_id", group_col, "embedding", *carry).toPandas()
+    """Per group (context, or context and cell): the queries' ids and settings
+    (Arrow), their float32 matrix and which of them have a vector. Called only
+    on a block whose bytes were checked."""
+    rows = queries.select("query_id", group_col, "embedding", *carry).toArrow().combine_chunks()
+    sizes = pc.max(pc.list_value_length(rows.column("embedding"))).as_py() or 0
     table = {}
-    for ctx, grp in pdf.groupby(group_col, sort=False):
-        grp = grp[grp["embedding"].notna()]
-        if grp.empty:
+    groups = np.array(rows.column(group_col).to_pylist(), dtype=object)
+    for name in dict.fromkeys(groups.tolist()):
+        if name is None:
             continue
-        qmat = stack(grp["embedding"])
-        table[ctx] = (grp["query_id"].to_numpy(), qmat, np.sqrt(np.einsum("ij,ij->i", qmat, qmat)),
-                      {c: grp[c].to_numpy() for c in carry})
+        part = rows.take(pa.array(np.nonzero(groups == name)[0]))
+        found, ok = _vectors(part.column("embedding"), sizes)
+        mat = np.zeros((part.num_rows, sizes), dtype=np.float32)
+        mat[ok] = found
+        table[name] = (part.select(["query_id", *carry]), mat, ok)
     return table
 
 
@@ -152,51 +170,70 @@ def _block_scores(sc, queries: DataFrame, frags: DataFrame, carry: list[str], ca
     bc = sc.broadcast(_query_table(queries, carry, group_col))
     qschema = queries.select("query_id", *carry).schema
     keys = ["id", *FRAGMENT_KEYS]
-    schema = T.StructType([frags.schema[k] for k in keys] + [qschema["query_id"],
-                          T.StructField("semantic_score", T.DoubleType()),
-                          T.StructField("_zero", T.BooleanType()), T.StructField("_null", T.BooleanType())]
+    schema = T.StructType([frags.schema[k] for k in keys] + [qschema["query_id"], T.StructField("semantic_score", T.DoubleType())]
                           + [qschema[c] for c in carry])
-    scored = frags.mapInPandas(_block_kernel(bc, keys, carry, max(int(cap), 1), group_col, max_cells), schema)
-    return scored.withColumn(
-        "semantic_score", F.when(F.col("_null"), F.lit(None).cast("double"))
-        .when(F.col("_zero"), F.lit(float("nan"))).otherwise(F.col("semantic_score"))).drop("_zero", "_null")
+    return frags.mapInArrow(_block_kernel(bc, keys, carry, max(int(cap), 1), group_col, max_cells), schema)
+
+
+def _nearest(scored: DataFrame, limit_col: str, cap: int) -> DataFrame:
+    """The ``limit`` nearest rows of each query: NULLs last, ties by id."""
+    scored = scored.withColumn("semantic_score", F.round("semantic_score", K.DISTANCE_DIGITS))
+    w = Window.partitionBy("query_id").orderBy(F.col("semantic_score").asc_nulls_last(), F.col("id").asc())
+    return (scored.withColumn("_rn", F.row_number().over(w))
+            .where((F.col("_rn") <= F.col(limit_col)) & (F.col("_rn") <= F.lit(cap))).drop("_rn"))
+
+
+def query_blocks(queries: DataFrame, max_bytes: int = BLOCK_BYTES) -> int:
+    """Blocks that the batch is cut into so that one block's vectors and settings
+    take at most ``max_bytes``, from one measuring aggregate."""
+    small = queries.select(*[c for c in queries.columns if c not in ("query", "retrieval_settings")])
+    return max(1, -(-measured(small)[1] // max_bytes))
 
 
 def semantic_search(queries: DataFrame, fragments: DataFrame, limit_col: str = "_sem_limit",
-                    limit_cap: int = K.DEFAULT_SEMANTIC_SEARCH_LIMIT,
-                    broadcast_queries: bool | None = None, method: str = "block", carry=(),
+                    limit_cap: int | None = None, blocks: int | None = None, method: str = "block", carry=(),
                     block_cells: int = MAX_BLOCK_CELLS) -> DataFrame:
     """The ``limit`` nearest fragments of the query's context.
 
-    ``method='block'`` (default; needs the bounded query batch to be broadcast)
-    ships the query matrix of each context to the tasks once and multiplies
-    every Arrow batch of fragment vectors against it -- each fragment vector
-    crosses to Python once, whatever the number of queries. ``'arrow'`` joins
-    fragments to queries on context (broadcast or shuffled) and computes
+    The fragment table is only scanned, never shuffled: queries are sent to it in
+    ``blocks`` of checked size (None: measured), one scan for each. With more than
+    one, each block's result is stored before the next block is sent, so the
+    driver and the tasks hold one block at a time.
+
+    ``method='block'`` (default) ships the query matrix of each context to the
+    tasks and multiplies every Arrow batch of fragment vectors against it -- each
+    fragment vector crosses to Python once, whatever the number of queries.
+    ``'arrow'`` joins fragments to the broadcast block on context and computes
     row-wise distances; ``'sql'`` does the same with native expressions.
 
+    A query with a NULL vector, or a fragment with one, has NULL distance and
+    ranks last, on every path. ``limit_cap`` is the batch's largest limit (None:
+    read from ``limit_col``).
+
     Output: query_id, id, context_id, document_id, fragment_index,
     semantic_score (rounded distance), limit column, ``carry`` columns."""
     carry = [limit_col] + [c for c in carry if c != limit_col]
-    if broadcast_queries is None:  # standalone call: check the size (retrieve passes a proven bound)
-        broadcast_queries = fits(queries, BROADCAST_MAX_QUERIES)
+    if limit_cap is None:
+        limit_cap = max_limit(queries, limit_col)
+    if blocks is None:
+        blocks = query_blocks(queries)
     f = fragments.select("id", *FRAGMENT_KEYS, "embedding")
-    sc = _spark_context(queries) if method == "block" and broadcast_queries else None
-    if sc is not None:
-        scored = _block_scores(sc, queries, f, carry, limit_cap, "context_id", block_cells)
-    else:
-        q = queries.select("query_id", "context_id", F.col("embedding").alias("q_vec"), *carry)
-        q = F.broadcast(q) if broadcast_queries else q
-        pairs = f.join(q, "context_id")
-        scored = cosine_distance(pairs, "q_vec", "embedding", "semantic_score",
-                                 "sql" if method == "sql" else "arrow")
-    scored = scored.withColumn("semantic_score", F.round("semantic_score", K.DISTANCE_DIGITS))
-    w = Window.partitionBy("query_id").orderBy(F.col("semantic_score").asc_nulls_last(),
-                                               F.col("id").asc())
-    rn = F.row_number().over(w)
-    return (scored.withColumn("_rn", rn)
-            .where((F.col("_rn") <= F.col(limit_col)) & (F.col("_rn") <= F.lit(limit_cap)))
-            .drop("_rn"))
+    sc = _spark_context(queries) if method == "block" else None
+    results = []
+    for i in range(blocks):
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        if sc is not None:
+            scored = _block_scores(sc, block, f, carry, limit_cap, "context_id", block_cells)
+        else:
+            q = block.select("query_id", "context_id", F.col("embedding").alias("q_vec"), *carry)
+            scored = cosine_distance(f.join(F.broadcast(q), "context_id"), "q_vec", "embedding", "semantic_score",
+                                     "sql" if method == "sql" else "arrow")
+        top = _nearest(scored, limit_col, limit_cap)
+        results.append(top if blocks == 1 else checkpoint(top))
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 def semantic_rank(hits: DataFrame) -> DataFrame:
@@ -213,8 +250,10 @@ def _embed_kernel(embedder, text_col: str, out_col: str):
     def run(batches):
         for pdf in batches:
             vecs = embedder(pdf[text_col]) if len(pdf) else []
+            if len(vecs) != len(pdf):  # no telling which vector is whose: the batch has none
+                vecs = [None] * len(pdf)
             res = pdf.drop(columns=[text_col])
-            res[out_col] = pd.Series([np.asarray(v, dtype=np.float32) for v in vecs],
+            res[out_col] = pd.Series([None if v is None else np.asarray(v, dtype=np.float32) for v in vecs],
                                      index=pdf.index, dtype=object)
             yield res
     return run
@@ -239,7 +278,7 @@ def embed_chunks(chunks: DataFrame, embedder=None, dim: int = 64,
     inp = chunks.withColumn("_input", embedding_input("metadata", "value"))
     out = embed_texts(inp, "_input", embedder, "embedding", dim)
     if expected_dim is not None:
-        out = out.withColumn("dim_ok", F.size("embedding") == F.lit(expected_dim))
+        out = out.withColumn("dim_ok", F.coalesce(F.size("embedding") == F.lit(expected_dim), F.lit(False)))
     return out
 
 
@@ -268,8 +307,8 @@ def ivf_train(fragments: DataFrame, n_cells: int = 16, seed: int = 7, max_iter:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = fragments.select(array_to_vector(_unit("embedding")).alias("features")).where(
-        F.col("features").isNotNull())
+    units = fragments.select(_unit("embedding").alias("u")).where(F.col("u").isNotNull())
+    data = units.select(array_to_vector("u").alias("features"))
     return KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features",
                   predictionCol="cell").fit(data)
 
@@ -277,60 +316,90 @@ def ivf_train(fragments: DataFrame, n_cells: int = 16, seed: int = 7, max_iter:
 def ivf_assign(model, rows: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """Add the nearest cell of every row (a map-side model transform)."""
     from pyspark.ml.functions import array_to_vector
-    feats = rows.withColumn("features", array_to_vector(F.coalesce(_unit(vec_col), F.col(vec_col).cast("array<double>"))))
+    dim = len(model.clusterCenters()[0])
+    # a vector without a direction has a cell like any other, and is found in it
+    nowhere = F.array_repeat(F.lit(0.0), dim)
+    feats = rows.withColumn("features", array_to_vector(F.coalesce(_unit(vec_col), nowhere)))
     return model.transform(feats).drop("features")
 
 
-def ivf_write(model, fragments: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Persist fragments with their IVF cell, partitioned by cell, so a search
-    reads only the probed cells' files."""
-    (ivf_assign(model, fragments.select("id", *FRAGMENT_KEYS, "embedding"))
-     .write.mode(mode).partitionBy("cell").parquet(path))
-
-
-def ann_search(queries: DataFrame, fragments: DataFrame, model=None, n_cells: int = 16,
-               n_probe: int = 4, limit_col: str = "_sem_limit",
-               limit_cap: int = K.DEFAULT_SEMANTIC_SEARCH_LIMIT, method: str = "block",
-               cells: DataFrame | None = None) -> DataFrame:
-    """Approximate nearest neighbours. Fragments are assigned to k-means
-    cells; a query only scans its ``n_probe`` nearest cells (join on
-    (context_id, cell)); the rest is exactly ``semantic_search``.
-
-    ``cells``: a stored cell assignment (see :func:`ivf_write`); its scan is
-    then pruned to the probed cells (at most k values), so a batch reads only
-    those partitions instead of re-assigning every fragment."""
-    model = model or ivf_train(fragments, n_cells)
-    centers = model.clusterCenters()  # k x d, small by construction (k cells)
-    spark = queries.sparkSession
-    cdf = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)],
-                                "cell int, centroid array<double>")
-    qv = queries.select("query_id", "context_id", F.col("embedding").alias("q_vec"), limit_col)
-    # distance from each query to each centroid: queries x k rows (k is a small parameter)
-    qc = qv.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(len(centers) - 1)))) \
-        .join(F.broadcast(cdf), "cell")
-    qc = qc.withColumn("_cd", cosine_distance_expr("q_vec", "centroid"))
-    w = Window.partitionBy("query_id").orderBy(F.col("_cd").asc_nulls_last(), F.col("cell"))
-    probes = (qc.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_probe)
-              .select("query_id", "context_id", "cell", "q_vec", limit_col))
-    small = fits(probes, BROADCAST_MAX_QUERIES * max(n_probe, 1))  # queries x n_probe rows
-    if cells is None:
-        cells = ivf_assign(model, fragments.select("id", *FRAGMENT_KEYS, "embedding"))
-    else:
-        probed = sorted({r[0] for r in probes.select("cell").distinct().collect()})  # <= k cells
-        cells = cells.where(F.col("cell").isin(probed))
-    sc = _spark_context(queries) if method == "block" and small else None
-    if sc is not None:
-        grp = F.concat_ws("#", F.col("context_id"), F.col("cell").cast("string"))
-        qg = probes.withColumnRenamed("q_vec", "embedding").withColumn("_grp", grp)
-        scored = _block_scores(sc, qg, cells.withColumn("_grp", grp), [limit_col], limit_cap, "_grp")
-    else:
-        pairs = cells.join(F.broadcast(probes) if small else probes, ["context_id", "cell"]).drop("cell")
-        scored = cosine_distance(pairs, "q_vec", "embedding", "semantic_score", method)
-    scored = scored.withColumn("semantic_score", F.round("semantic_score", K.DISTANCE_DIGITS))
-    wr = Window.partitionBy("query_id").orderBy(F.col("semantic_score").asc_nulls_last(), F.col("id"))
-    return (scored.withColumn("_rn", F.row_number().over(wr))
-            .where((F.col("_rn") <= F.col(limit_col)) & (F.col("_rn") <= F.lit(limit_cap)))
-            .drop("_rn"))
+@dataclass
+class IvfIndex:
+    """Stored cells. ``centers``: k x d unit centroids. ``cells``: fragments with
+    their ``cell``, stored partitioned by cell. ``sizes``: rows by context and cell."""
+    centers: np.ndarray
+    cells: DataFrame
+    sizes: DataFrame
+
+
+def ivf_build(fragments: DataFrame, path: str | None = None, n_cells: int | None = None, max_iter: int = 10) -> IvfIndex:
+    """Train on and store the cells of a fragment table, once per version of it.
+    ``n_cells`` None: the square root of the number of fragments."""
+    spark = fragments.sparkSession
+    path = path or f"{ensure_checkpoint_dir(spark)}/ivf-{uuid.uuid4().hex}"
+    n_cells = n_cells or max(1, min(MAX_IVF_CELLS, math.isqrt(fragments.count())))
+    model = ivf_train(fragments, n_cells, max_iter=max_iter)
+    placed = ivf_assign(model, fragments.select("id", *FRAGMENT_KEYS, "embedding"))
+    placed.repartition("cell").sortWithinPartitions("context_id").write.partitionBy("cell").parquet(f"{path}/cells")
+    cells = spark.read.parquet(f"{path}/cells")
+    cells.groupBy("context_id", "cell").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/sizes")
+    return IvfIndex(np.array(model.clusterCenters()), cells, spark.read.parquet(f"{path}/sizes"))
+
+
+def _probes(queries: DataFrame, index: IvfIndex, n_probe: int, limit_col: str):
+    """(query_id, cell) of the cells that each query of one block searches: its
+    ``n_probe`` nearest ones of its context, and as many more as hold ``limit``
+    rows together. A query without a direction searches all cells."""
+    rows = queries.select("query_id", "context_id", "embedding", limit_col).toArrow()
+    dim = index.centers.shape[1]
+    found, ok = _vectors(rows.column("embedding").combine_chunks(), dim)
+    norm = np.linalg.norm(found, axis=1, keepdims=True)
+    near = np.zeros((rows.num_rows, len(index.centers)))
+    near[ok] = np.where(norm > 0, found / np.where(norm > 0, norm, 1), 0) @ index.centers.T
+    plain = ~ok
+    plain[np.nonzero(ok)[0]] = norm[:, 0] == 0
+    wanted = queries.select("context_id").distinct()
+    held = {}
+    for r in index.sizes.join(F.broadcast(wanted), "context_id").collect():  # contexts of the block x cells
+        held.setdefault(r["context_id"], np.zeros(len(index.centers), np.int64))[r["cell"]] = r["n"]
+    out = []
+    for i, (qid, ctx, limit) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("query_id", "context_id", limit_col)))):
+        n = held.get(ctx)
+        if n is None:
+            continue
+        order = np.argsort(-near[i], kind="stable")
+        order = order[n[order] > 0]
+        before = np.cumsum(n[order]) - n[order]
+        take = order if plain[i] else order[(np.arange(len(order)) < n_probe) | (before < limit)]
+        out += [(qid, int(c)) for c in take]
+    return out
+
+
+def ann_search(queries: DataFrame, index: IvfIndex, n_probe: int | None = None, limit_col: str = "_sem_limit",
+               limit_cap: int | None = None, blocks: int | None = None) -> DataFrame:
+    """Approximate nearest neighbours over stored cells. A query searches the
+    ``n_probe`` nearest cells that hold rows of its context (None: a quarter of
+    all), and more until they hold its limit, so it gets min(limit, rows of its
+    context) rows; with all cells the result is exactly ``semantic_search``'s. The
+    scan reads the partitions of the probed cells only."""
+    if limit_cap is None:
+        limit_cap = max_limit(queries, limit_col)
+    if blocks is None:
+        blocks = query_blocks(queries)
+    n_probe = n_probe or max(8, len(index.centers) // 4)
+    spark, sc, out = queries.sparkSession, queries.sparkSession.sparkContext, None
+    kind = queries.schema["query_id"].dataType.simpleString()
+    for i in range(blocks):
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        probes = _probes(block, index, n_probe, limit_col)
+        pairs = spark.createDataFrame(probes, f"query_id {kind}, cell int")
+        group = F.concat_ws("#", F.col("context_id"), F.col("cell").cast("string"))
+        asked = block.select("query_id", "context_id", "embedding", limit_col).join(F.broadcast(pairs), "query_id").withColumn("_grp", group)
+        cells = index.cells.where(F.col("cell").isin(sorted({c for _, c in probes}) or [-1])).withColumn("_grp", group)
+        top = _nearest(_block_scores(sc, asked, cells, [limit_col], limit_cap, "_grp"), limit_col, limit_cap)
+        top = top if blocks == 1 else checkpoint(top)
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

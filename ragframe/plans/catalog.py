@@ -5,6 +5,7 @@ match the oracle's."""
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from ragframe.operators import prompt as PR
 from ragframe.operators import vectors as V
 from ragframe.plans.oracle_retrieval import RETRIEVED_COLS, retrieval_with
 from ragframe.plans.retrieve import retrieval_stages
-from ragframe.session import broadcast_if_small
+from ragframe.session import ensure_checkpoint_dir
 from ragframe.sources import tables as TB
 from ragframe.sources import testdata as TD
 from ragframe.streaming import responses as ST
@@ -47,20 +48,52 @@ def register(name: str, sql: str | None = None):
 # --------------------------------------------------------------------------
 
 _STAGE_CACHE: dict[tuple, dict] = {}
+_CACHED = 6
 
 
-def _stages(spark: SparkSession, sf: str, corpus: str = "corpus", **opts) -> dict[str, DataFrame]:
-    """Retrieval stages shared by the registered queries of one session (the
-    session object is kept in the entry, so a new session never hits it)."""
-    key = (id(spark), sf, corpus, tuple(sorted(opts.items())))
-    hit = _STAGE_CACHE.get(key)
+def _kept(spark: SparkSession, key: tuple, build):
+    """``build()``, kept for this session and this version of the tables. The few
+    latest results stay; a rewritten table or a new session never hits an old one."""
+    hit = _STAGE_CACHE.pop(key, None)
     if hit is None or hit[0] is not spark:
-        frags = getattr(TD, corpus)(spark, sf)
-        hit = (spark, retrieval_stages(TD.queries(spark, sf), frags, TD.contexts(spark, sf), **opts))
-        _STAGE_CACHE[key] = hit
+        hit = (spark, build())
+    _STAGE_CACHE[key] = hit
+    while len(_STAGE_CACHE) > _CACHED:
+        _STAGE_CACHE.pop(next(iter(_STAGE_CACHE)))
     return hit[1]
 
 
+def _fragments(spark: SparkSession, sf: str, corpus: str = "corpus") -> DataFrame:
+    """The fragment table as an engine holds it: stored, partitioned by context."""
+    def build():
+        path = f"{ensure_checkpoint_dir(spark)}/fragments-{uuid.uuid4().hex}"
+        TB.write_fragments(getattr(TD, corpus)(spark, sf), path)
+        return spark.read.parquet(path)
+    return _kept(spark, ("fragments", id(spark), sf, corpus, TD.version(spark, sf)), build)
+
+
+def _index(spark: SparkSession, sf: str, corpus: str = "corpus"):
+    """The stored text index of the fragment table."""
+    return _kept(spark, ("index", id(spark), sf, corpus, TD.version(spark, sf)),
+                 lambda: FT.bm25_stats(_fragments(spark, sf, corpus), materialize=True))
+
+
+def _stages(spark: SparkSession, sf: str, corpus: str = "corpus", **opts) -> dict[str, DataFrame]:
+    """Retrieval stages over the stored fragment table and its stored index."""
+    key = ("stages", id(spark), sf, corpus, tuple(sorted(opts.items())), TD.version(spark, sf))
+    return _kept(spark, key, lambda: retrieval_stages(
+        TD.queries(spark, sf), _fragments(spark, sf, corpus), TD.contexts(spark, sf), _index(spark, sf, corpus), **opts))
+
+
+def _digest(vec: str = "embedding"):
+    """A whole-number digest of a vector: its values at six decimals, by place."""
+    scaled = F.transform(vec, lambda x, i: F.round(x.cast("double") * 1000000).cast("long") * (i + 1))
+    return F.aggregate(scaled, F.lit(0).cast("long"), lambda acc, x: acc + x).alias("digest")
+
+
+_DIGEST_SQL = """CAST(list_sum(list_transform(embedding, lambda x, i: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) * i)) AS BIGINT) AS digest"""
+
+
 FTS_COLS = ["query_id", "q_context_id", "id", "context_id", "document_id", "fragment_index",
             "full_text_score"]
 SEM_COLS = ["query_id", "id", "context_id", "document_id", "fragment_index", "semantic_score"]
@@ -114,12 +147,16 @@ def q_fulltext_rank(spark, sf):
     return _stages(spark, sf)["fts_ranked"].select(*FTS_COLS, "full_text_rank")
 
 
-@register("cosine_distance", retrieval_with() + f"\nSELECT {_sel(SEM_COLS)} FROM sem_scored")
+@register("cosine_distance", retrieval_with() + f"""
+SELECT {_sel(["f." + c for c in SEM_COLS[:-1]])}, round(list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), {K.DISTANCE_DIGITS}) AS semantic_score
+FROM fts_top f JOIN corpus e ON e.id = f.id JOIN qs q ON q.query_id = f.query_id""")
 def q_cosine_distance(spark, sf):
-    q = TD.queries(spark, sf).select("query_id", "context_id", F.col("embedding").alias("q_vec"))
-    f = TD.corpus(spark, sf).select("id", "context_id", "document_id", "fragment_index", "embedding")
-    pairs = f.join(broadcast_if_small(q, 100_000), "context_id")
-    out = V.cosine_distance(pairs, "q_vec", "embedding", "semantic_score")
+    """Distances of the pairs that the text search found (at most its limit a query)."""
+    st = _stages(spark, sf)
+    hits = st["fts_top"].select("query_id", "id")
+    q = st["queries"].select("query_id", F.col("embedding").alias("q_vec"))
+    f = _fragments(spark, sf).select("id", "context_id", "document_id", "fragment_index", "embedding")
+    out = V.cosine_distance(f.join(hits, "id").join(q, "query_id"), "q_vec", "embedding", "semantic_score")
     return out.select(*SEM_COLS).withColumn("semantic_score", F.round("semantic_score", K.DISTANCE_DIGITS))
 
 
@@ -176,6 +213,15 @@ def q_retrieve(spark, sf):
     return _stages(spark, sf)["retrieved"].select(*RCOLS)
 
 
+@register("retrieve_with_vectors", retrieval_with() + f"""
+SELECT query_id, id, fragment_index, rrf_score, '{{}}' AS metadata, {_DIGEST_SQL} FROM (
+  SELECT r.*, c.embedding FROM retrieved r JOIN corpus c USING (id))""")
+def q_retrieve_with_vectors(spark, sf):
+    """The flagship with metadata and vectors in its output."""
+    st = _stages(spark, sf, with_vectors=True)
+    return st["retrieved"].select("query_id", "id", "fragment_index", "rrf_score", F.to_json("metadata").alias("metadata"), _digest())
+
+
 @register("retrieve_context_scope", retrieval_with(scope="context") + f"\nSELECT {RETRIEVED_COLS} FROM retrieved")
 def q_retrieve_context_scope(spark, sf):
     return _stages(spark, sf, scope="context")["retrieved"].select(*RCOLS)
@@ -197,22 +243,33 @@ def q_group_by_document(spark, sf):
                                  ",").alias("fragment_list"))
 
 
-@register("embed_queries")
+@register("embed_queries", "WITH " + TD._vectors_sql("made", "benchmark", "item_id", "text", f"""
+  SELECT item_id AS query_id, 'src' || CAST(item_id % 5 AS VARCHAR) AS context_id, CAST(len(embedding) AS INTEGER) AS dim, {_DIGEST_SQL}
+  FROM made_vec JOIN benchmark ON id = item_id""").strip() + " SELECT * FROM made")
 def q_embed_queries(spark, sf):
     out = V.embed_queries(TD.queries(spark, sf).select("query_id", "context_id", "query"), dim=64)
-    return out.select("query_id", "context_id", F.size("embedding").alias("dim"),
-                      F.round(norm_expr("embedding"), 6).alias("norm"), "embedding")
+    return out.select("query_id", "context_id", F.size("embedding").alias("dim"), _digest())
+
+
+def _ivf(spark, sf):
+    return _kept(spark, ("ivf", id(spark), sf, TD.version(spark, sf)), lambda: V.ivf_build(_fragments(spark, sf)))
 
 
 @register("ann_search")
 def q_ann_search(spark, sf):
     st = _stages(spark, sf)
-    q = st["queries"]
-    approx = V.ann_search(q, TD.corpus(spark, sf), n_cells=8, n_probe=3)
+    approx = V.ann_search(st["queries"], _ivf(spark, sf))
     rec = V.recall_at_k(approx, st["sem_top"])
     return approx.join(rec, "query_id", "left").select("query_id", "id", "semantic_score", "recall")
 
 
+@register("ann_search_all_cells", retrieval_with() + f"\nSELECT {_sel(SEM_COLS)} FROM sem_top")
+def q_ann_search_all_cells(spark, sf):
+    """The approximate search's own path with every cell probed: the exact result."""
+    index = _ivf(spark, sf)
+    return V.ann_search(_stages(spark, sf)["queries"], index, n_probe=len(index.centers)).select(*SEM_COLS)
+
+
 # --------------------------------------------------------------------------
 # Tables (A)
 # --------------------------------------------------------------------------
@@ -268,13 +325,13 @@ def q_document_list(spark, sf):
     return d.select("document_id", "context_id", "name", "description", "type")
 
 
-@register("embeddings_exist", TD.sql_with("docs", "corpus") + """
+@register("embeddings_exist", TD.sql_with("docs", "labelled_chunks") + """
 SELECT d.context_id, d.document_id,
-       EXISTS (SELECT 1 FROM corpus c WHERE c.context_id = d.context_id AND c.document_id = d.document_id) AS "exists"
+       EXISTS (SELECT 1 FROM labelled_chunks c WHERE c.context_id = d.context_id AND c.document_id = d.document_id) AS "exists"
 FROM docs d""")
 def q_embeddings_exist(spark, sf):
     keys = TD.documents_table(spark, sf).select("context_id", "document_id")
-    return TB.embeddings_exist(keys, TD.corpus(spark, sf)).select("context_id", "document_id", "exists")
+    return TB.embeddings_exist(keys, TD.labelled_chunks(spark, sf)).select("context_id", "document_id", "exists")
 
 
 @register("upsert_contexts", TD.sql_with("ctx") + f""",
@@ -313,7 +370,7 @@ changes AS (
          'doc-' || CAST(l.doc_id AS VARCHAR) AS name
   FROM labels l JOIN documents d ON d.doc_id = l.doc_id
   UNION ALL
-  SELECT l.doc_id + 1000000, 'new', 'PDF', 'new', 'doc-new-' || CAST(l.doc_id AS VARCHAR) FROM labels l)
+  SELECT l.doc_id + (SELECT max(doc_id) + 1 FROM documents), 'new', 'PDF', 'new', 'doc-new-' || CAST(l.doc_id AS VARCHAR) FROM labels l)
 SELECT COALESCE(c.document_id, n.document_id) AS document_id,
        CASE WHEN c.document_id IS NOT NULL THEN c.context_id ELSE n.context_id END AS context_id,
        CASE WHEN c.document_id IS NOT NULL THEN c.name ELSE n.name END AS name,
@@ -330,7 +387,8 @@ def q_upsert_documents(spark, sf):
         F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("description"),
         F.when(F.col("toxic") == 1, F.lit("flagged")).otherwise(F.lit("PDF")).alias("type"),
         F.create_map(F.lit("quality"), F.col("quality").cast("string")).alias("metadata"))
-    new = lab.select((F.col("doc_id") + 1000000).alias("document_id"), F.lit("new").alias("context_id"),
+    top = d.agg(F.max("doc_id").alias("m")).scalar()
+    new = lab.select((F.col("doc_id") + top + 1).alias("document_id"), F.lit("new").alias("context_id"),
                      F.concat(F.lit("doc-new-"), F.col("doc_id").cast("string")).alias("name"),
                      F.lit("new").alias("description"), F.lit("PDF").alias("type"),
                      F.create_map().cast("map<string,string>").alias("metadata"))
@@ -339,13 +397,13 @@ def q_upsert_documents(spark, sf):
                       F.col("updated_at").cast("string").alias("updated_at"))
 
 
-@register("append_embeddings", TD.sql_with("corpus", "line_chunks") + """
-SELECT id, context_id, document_id, fragment_index, chunk_index FROM corpus
+@register("append_embeddings", TD.sql_with("labelled_chunks") + """
+SELECT id, context_id, document_id, fragment_index, chunk_index FROM labelled_chunks
 UNION ALL
-SELECT (SELECT max(id) FROM corpus) + row_number() OVER (ORDER BY document_id, fragment_index, chunk_index),
+SELECT (SELECT max(id) FROM labelled_chunks) + row_number() OVER (ORDER BY document_id, fragment_index, chunk_index),
        context_id, document_id, fragment_index, chunk_index FROM line_chunks""")
 def q_append_embeddings(spark, sf):
-    cur = TD.corpus(spark, sf)
+    cur = V.embed_chunks(TD.labelled_chunks(spark, sf), dim=64)
     new = V.embed_chunks(TD.line_chunks(spark, sf).drop("id"), dim=64)
     out, _rej = M.append_embeddings(cur, new, expected_dim=64)
     return out.select("id", "context_id", "document_id", "fragment_index", "chunk_index")
@@ -405,9 +463,16 @@ def q_purge_contexts(spark, sf):
                     F.coalesce("n_embeddings", F.lit(0)).cast("long").alias("n_embeddings")))
 
 
-@register("scan_documents")
+@register("scan_documents", """
+SELECT page_id, CAST(length(html) AS BIGINT) AS n_chars, md5(html) AS digest FROM pages""")
 def q_scan_documents(spark, sf):
-    return TB.scan_documents(spark, sf, glob="*.parquet").select("name", "length")
+    """Pages written out as text files, one JSON line each, and read back as files."""
+    path = f"{ensure_checkpoint_dir(spark)}/scan-{uuid.uuid4().hex}"
+    TD.read(spark, sf, "pages").select(F.to_json(F.struct("page_id", "html")).alias("value")).write.text(path)
+    lines = TB.scan_documents(spark, path, glob="part-*").select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line"))
+    page = F.from_json("line", "page_id long, html string")
+    return lines.where("line <> ''").select(page.alias("p")).select(
+        "p.page_id", F.length("p.html").cast("long").alias("n_chars"), F.md5("p.html").alias("digest"))
 
 
 @register("default_context", TD.sql_with("ctx") + """
@@ -453,28 +518,47 @@ def q_admit_uploads(spark, sf):
 
 
 def _html_sql(x: str) -> str:
+    """The HTML parser on this data's entities, '&amp;' last so that nothing is decoded twice."""
     s = x
     for tag in ["script", "style", "head"]:
         s = f"regexp_replace({s}, '(?is)<{tag}\\b.*?</{tag}\\s*>', ' ', 'g')"
     s = f"regexp_replace({s}, '(?s)<[^>]*>', ' ', 'g')"
-    for a, b in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"),
-                 ("&nbsp;", " "), ("&amp;", "&")]:
-        s = f"replace({s}, '{a}', '{b}')"
-    return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
+    for name, char in [("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "\u00a9"), ("middot", "\u00b7"), ("amp", "&")]:
+        s = f"regexp_replace({s}, '&{name};?', '{char}', 'g')"
+    return f"regexp_replace(regexp_replace({s}, '[ \\t\\r\\f\\v]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
-@register("parse_documents", f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
+@register("parse_documents", f"""
+SELECT page_id, CASE WHEN page_id % 3 <> 2 THEN {_html_sql('html')} END AS text,
+       CASE WHEN page_id % 3 = 2 THEN 'no parser for application/pdf' END AS parse_error FROM pages""")
 def q_parse_documents(spark, sf):
+    """Pages as raw bytes: a third typed as HTML, a third of unknown type (detected),
+    a third of a type without a parser (rejected)."""
     p = TD.read(spark, sf, "pages")
-    return p.select("page_id", IG.html_text("html").alias("text"))
+    mime = F.when(F.col("page_id") % 3 == 0, "text/html").when(F.col("page_id") % 3 == 2, "application/pdf")
+    files = p.select("page_id", F.encode("html", "UTF-8").alias("content"), mime.alias("mime"))
+    return IG.parse_documents(files).select("page_id", "text", "parse_error")
 
 
-@register("chunk_documents")
+@register("chunk_documents", r"""
+SELECT doc_id AS document_id, md5(regexp_replace(text, '\s+', '', 'g')) AS digest, true AS within, true AS dense
+FROM documents WHERE trim(text) <> ''""")
 def q_chunk_documents(spark, sf):
+    """Per document: digest of all pieces without white space, whether every piece is
+    within the size, and whether the fragment indexes are dense."""
     d = TD.read(spark, sf, "documents").select(F.col("doc_id").alias("document_id"),
                                                 F.col("source").alias("context_id"), "text")
-    out = IG.chunk_documents(d, 512)
-    return out.select("document_id", "fragment_index", F.length("value").alias("n_chars"))
+    out = IG.chunk_documents(d, 512, overlap=0)
+    return _document_digest(out).select("document_id", "digest", "within", "dense")
+
+
+def _document_digest(fragments: DataFrame) -> DataFrame:
+    pieces = F.array_sort(F.collect_list(F.struct("fragment_index", "value")))
+    g = fragments.groupBy("document_id").agg(
+        F.array_join(F.transform(pieces, lambda x: x["value"]), "").alias("_all"),
+        (F.max(F.length("value")) <= 512).alias("within"), F.count(F.lit(1)).alias("n"),
+        ((F.min("fragment_index") == 0) & (F.max("fragment_index") == F.count(F.lit(1)) - 1)).alias("dense"))
+    return g.withColumn("digest", F.md5(F.regexp_replace("_all", r"\s+", ""))).drop("_all")
 
 
 @register("index_fragments", TD.sql_with("line_chunks") + """
@@ -497,28 +581,62 @@ def q_embedding_input(spark, sf):
     return IG.embedding_inputs(rows).select("id", "embedding_input")
 
 
-@register("embed_chunks")
+@register("embed_chunks", TD.sql_with("line_chunks") + ",\n" + TD._vectors_sql("made", "line_chunks", "id", "value", f"""
+  SELECT id, CAST(len(embedding) AS INTEGER) AS dim, {_DIGEST_SQL} FROM made_vec""").strip() + " SELECT * FROM made")
 def q_embed_chunks(spark, sf):
     out = V.embed_chunks(TD.line_chunks(spark, sf), dim=64)
-    return out.select("id", F.size("embedding").alias("dim"), F.round(norm_expr("embedding"), 6).alias("norm"))
+    return out.select("id", F.size("embedding").alias("dim"), _digest())
 
 
-@register("ingest")
-def q_ingest(spark, sf):
+def _uploaded(spark, sf):
+    """The whole upload path: the uploads that are admitted, as files with their MIME
+    type, into tables that hold the labelled documents already."""
+    labelled = TD.read(spark, sf, "labels").select(F.col("doc_id").alias("document_id")).distinct()
+    have = TD.documents_table(spark, sf).join(labelled, "document_id", "left_semi")
+    emb = V.embed_chunks(TD.labelled_chunks(spark, sf), dim=64)
+    files = TB.admit_uploads(TD.uploads(spark, sf)).where("valid").select(F.col("file_id").alias("document_id"), "mime")
     d = TD.read(spark, sf, "documents").select(
         F.col("doc_id").alias("document_id"), F.col("source").alias("context_id"),
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), "text")
-    docs, emb, _rej = IG.ingest(d, TD.documents_table(spark, sf).where(F.lit(False)),
-                                TD.corpus(spark, sf).where(F.lit(False)), max_chars=512, dim=64, now=_now())
-    return emb.select("id", "context_id", "document_id", "fragment_index", "chunk_index",
-                      F.length("value").alias("n_chars"), F.size("embedding").alias("dim"))
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+    new = IG.ingest_if_absent(d.join(files, "document_id"), emb)
+    return IG.ingest(new, have, emb, max_chars=512, dim=64, now=_now(), overlap=0)
+
 
+_UPLOADED_SQL = ",\n".join(["WITH " + _UPLOADS_SQL.strip(), f"""
+held AS (SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+sent AS (SELECT d.*, u.mime FROM documents d JOIN uploads u ON u.file_id = d.doc_id
+         WHERE list_contains({_ALLOWED_SQL}, u.mime) AND NOT (u.size > {K.MAX_UPLOAD_BYTES})
+           AND d.doc_id NOT IN (SELECT doc_id FROM held))"""])
 
-@register("ingest_if_absent", TD.sql_with("docs", "corpus") + """
+
+@register("ingest", _UPLOADED_SQL + """
+SELECT doc_id AS document_id, md5(regexp_replace(text, '\\s+', '', 'g')) AS digest, true AS dense, true AS in_documents, true AS ids_follow
+FROM documents WHERE doc_id IN (SELECT doc_id FROM held) OR doc_id IN (SELECT doc_id FROM sent WHERE mime <> 'application/pdf')""")
+def q_ingest(spark, sf):
+    """Both tables after the upload, per document: digest of its fragments' text, dense
+    indexes, a document row, and new ids that follow the largest old one."""
+    docs, emb, _rej = _uploaded(spark, sf)
+    labelled = TD.read(spark, sf, "labels").select(F.col("doc_id").alias("document_id"), F.lit(True).alias("old")).distinct()
+    top = TD.labelled_chunks(spark, sf).agg(F.max("id").alias("m")).scalar()
+    ids = emb.groupBy("document_id").agg(F.min("id").alias("first"), F.max("id").alias("last")).join(labelled, "document_id", "left")
+    follow = F.when(F.col("old"), F.col("last") <= top).otherwise(F.col("first") > top)
+    out = _document_digest(emb).join(docs.select("document_id", F.lit(True).alias("in_documents")), "document_id", "full")
+    return out.join(ids.select("document_id", follow.alias("ids_follow")), "document_id", "left").select(
+        "document_id", "digest", "dense", F.coalesce("in_documents", F.lit(False)).alias("in_documents"), "ids_follow")
+
+
+@register("ingest_rejects", _UPLOADED_SQL + """
+SELECT doc_id AS document_id, source AS context_id, 'no parser for ' || mime AS error FROM sent WHERE mime = 'application/pdf'""")
+def q_ingest_rejects(spark, sf):
+    """Uploads that were admitted and could not be parsed."""
+    return _uploaded(spark, sf)[2].select("document_id", "context_id", "error")
+
+
+@register("ingest_if_absent", TD.sql_with("docs", "labelled_chunks") + """
 SELECT document_id, context_id FROM docs d
-WHERE NOT EXISTS (SELECT 1 FROM corpus c WHERE c.context_id = d.context_id AND c.document_id = d.document_id)""")
+WHERE NOT EXISTS (SELECT 1 FROM labelled_chunks c WHERE c.context_id = d.context_id AND c.document_id = d.document_id)""")
 def q_ingest_if_absent(spark, sf):
-    out = IG.ingest_if_absent(TD.documents_table(spark, sf), TD.corpus(spark, sf))
+    out = IG.ingest_if_absent(TD.documents_table(spark, sf), TD.labelled_chunks(spark, sf))
     return out.select("document_id", "context_id")
 
 
@@ -575,15 +693,20 @@ def q_build_messages(spark, sf):
     return PR.build_messages(_rendered(spark, sf))
 
 
-@register("complete_chat")
+@register("complete_chat", retrieval_with() + _CTX_TEXT_SQL + r"""
+SELECT query_id, CASE WHEN t = '' THEN 'I don''t know.' ELSE t END AS answer
+FROM (SELECT query_id, trim(regexp_replace(regexp_extract("user", '(?s)<context>\s*(.*?)\s*</context>', 1), '\s+', ' ', 'g')) AS t FROM rendered)""")
 def q_complete_chat(spark, sf):
     return CH.complete_chat(PR.build_messages(_rendered(spark, sf)))
 
 
 @register("response_events", retrieval_with() + r""",
 ans AS (SELECT query_id, regexp_extract_all(query, '(\s*\S+)', 1) AS parts FROM queries),
-cnt AS (SELECT query_id, count(*) AS n FROM retrieved GROUP BY query_id)
-SELECT a.query_id, CAST(0 AS BIGINT) AS seq, 'Retrieval' AS type, CAST(NULL AS VARCHAR) AS content,
+frag AS (SELECT query_id, document_id, count(*) AS n, list({'fragment_index': fragment_index, 'chunk_index': chunk_index, 'value': value} ORDER BY fragment_index, chunk_index) AS fragments
+         FROM retrieved GROUP BY query_id, document_id),
+cnt AS (SELECT query_id, sum(n) AS n, CAST(to_json(list({'document_id': document_id, 'fragments': fragments} ORDER BY document_id)) AS VARCHAR) AS grouped
+        FROM frag GROUP BY query_id)
+SELECT a.query_id, CAST(0 AS BIGINT) AS seq, 'Retrieval' AS type, COALESCE(c.grouped, '[]') AS content,
        CAST(COALESCE(c.n, 0) AS BIGINT) AS n_fragments
 FROM ans a LEFT JOIN cnt c USING (query_id)
 UNION ALL SELECT query_id, CAST(generate_subscripts(parts, 1) AS BIGINT), 'Partial', unnest(parts), NULL FROM ans
@@ -608,7 +731,10 @@ def _subscribed(spark, sf):
 @register("subscribe_responses", TD.sql_with("event_stream") + _SUBS_SQL + """
 SELECT query_id, seq, type, content, epoch_us(ts) AS ts_us FROM subscribed""")
 def q_subscribe_responses(spark, sf):
-    s = _subscribed(spark, sf)
+    return _with_micros(_subscribed(spark, sf))
+
+
+def _with_micros(s: DataFrame) -> DataFrame:
     # microseconds of the original wall-clock time (independent of the session zone)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return s.select("query_id", "seq", "type", "content",
@@ -686,7 +812,10 @@ def _raw_commands(spark, sf):
         F.lit("/ask").alias("command"), "text",
         F.concat(F.lit("https://hooks.example/"), cid).alias("response_url"),
         F.concat(F.lit("trig-"), cid).alias("trigger_id"), F.lit("false").alias("is_enterprise_install"))
-    return CM.encode_form(rows, K.COMMAND_FIELDS).select("command_id", "body")
+    body = CM.encode_form(rows, K.COMMAND_FIELDS)
+    # every third body repeats a field (the first value counts) and has an encoded name
+    again = F.concat(F.regexp_replace("body", "user_id=", "user%5Fid="), F.lit("&text=again&channel_id=again"))
+    return body.select("command_id", F.when(F.col("command_id") % 3 == 0, again).otherwise(F.col("body")).alias("body"))
 
 
 def _commands(spark, sf):
@@ -721,9 +850,9 @@ routed AS (
 
 _MSGS_SQL = """,
 msgs AS (
-  SELECT command_id, CAST(0 AS BIGINT) AS pos, 'plain' AS kind, reply AS text FROM routed
+  SELECT command_id, 'https://hooks.example/' || command_id AS response_url, CAST(0 AS BIGINT) AS pos, 'plain' AS kind, reply AS text FROM routed
   UNION ALL
-  SELECT r.command_id, 1, 'markdown', COALESCE(a.answer, '') FROM routed r
+  SELECT r.command_id, 'https://hooks.example/' || r.command_id, 1, 'markdown', COALESCE(a.answer, '') FROM routed r
   LEFT JOIN answers a ON a.query_id = CASE WHEN r.command_id >= 0 THEN r.command_id // 100 END
   WHERE r.route = 'query')"""
 
@@ -769,7 +898,7 @@ def _command_messages(spark, sf):
 
 @register("answer_commands", TD.sql_with("slash", "ctx", "chat_events") + _CMD_SQL
           + _answers_sql("chat_events", "type = 'Finished'") + _MSGS_SQL
-          + "\nSELECT command_id, pos, kind, text FROM msgs")
+          + "\nSELECT command_id, response_url, pos, kind, text FROM msgs")
 def q_answer_commands(spark, sf):
     return _command_messages(spark, sf)
 
@@ -852,6 +981,36 @@ def q_parse_settings(spark, sf):
     return a.unionByName(b)
 
 
+def _forms(spark, sf):
+    """Context forms with their three JSON columns: as rendered, and with one fault each."""
+    ok = CF.render_settings(TD.contexts(spark, sf)).select(
+        "context_id", *[f"{k}_json" for k in ("retrieval_settings", "prompt_template", "chat_completion_settings")])
+    faults = {
+        "ok": {}, "hot": {"chat_completion_settings_json": F.lit('{"temperature":"hot","n":2}')},
+        "no_template": {"prompt_template_json": F.regexp_replace("prompt_template_json", r',"queryTemplate":"[^"]*"', "")},
+        "two": {"prompt_template_json": F.lit('{"taskContext":'), "retrieval_settings_json": F.lit('{"rrfLimit":1}')},
+    }
+    out = None
+    for name, new in faults.items():
+        part = ok.select("context_id", F.lit(name).alias("variant"), *[new.get(c, F.col(c)).alias(c) for c in ok.columns[1:]])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("parse_context_settings", TD.sql_with("ctx") + """
+SELECT context_id, variant, errors, CASE WHEN errors = '' THEN rrf_limit END AS rrf_limit, CASE WHEN errors = '' THEN tone_context END AS tone
+FROM (SELECT context_id, CAST(rrf_limit AS BIGINT) AS rrf_limit, tone_context, unnest(['ok', 'hot', 'no_template', 'two']) AS variant, unnest([
+        '', 'chat_completion_settings.temperature: expected a number', 'prompt_template.queryTemplate: missing',
+        'retrieval_settings.fullTextSearchLimit: missing, retrieval_settings.semanticSearchLimit: missing, ' ||
+        'retrieval_settings.fragmentLookupRange.lookBack: missing, retrieval_settings.fragmentLookupRange.lookAhead: missing, ' ||
+        'prompt_template: malformed JSON']) AS errors FROM ctx)""")
+def q_parse_context_settings(spark, sf):
+    ok, bad = CF.parse_context_settings(_forms(spark, sf))
+    a = ok.select("context_id", "variant", F.lit("").alias("errors"), F.col("retrieval_settings.rrfLimit").cast("long").alias("rrf_limit"),
+                  F.col("prompt_template.toneContext").alias("tone"))
+    return a.unionByName(bad.select("context_id", "variant", "errors", F.lit(None).cast("long").alias("rrf_limit"), F.lit(None).cast("string").alias("tone")))
+
+
 _MODELS_SQL = "(VALUES " + ", ".join(f"('{n}', {c})" for n, c in K.MODELS) + ") m(name, context_length)"
 
 
@@ -915,13 +1074,17 @@ def q_eval_pass_rate(spark, sf):
 
 
 
-@register("assemble_answers_stream")
+@register("assemble_answers_stream", TD.sql_with("event_stream") + _SUBS_SQL + _answers_sql("subscribed", "type = 'Finished'") + """
+SELECT query_id, answer, status FROM answers JOIN subs USING (query_id)
+WHERE status = 'finished' OR start_ts + INTERVAL 300 SECOND <= (SELECT max(ts) - INTERVAL 60 SECOND FROM event_stream)
+   OR EXISTS (SELECT 1 FROM event_stream e WHERE e.query_id = answers.query_id AND e.ts >= start_ts + INTERVAL 300 SECOND)""")
 def q_assemble_answers_stream(spark, sf):
     return ST.run_to_table(ST.assemble_answers_stream(TD.event_file_stream(spark, sf)), "answers")
 
 
-@register("subscribe_responses_stream")
+@register("subscribe_responses_stream", TD.sql_with("event_stream") + _SUBS_SQL + """
+SELECT query_id, seq, type, content, epoch_us(ts) AS ts_us FROM subscribed""")
 def q_subscribe_responses_stream(spark, sf):
     subs = CH.first_event_subscriptions(TD.event_stream(spark, sf))
     s = ST.subscribe_stream(TD.event_file_stream(spark, sf), subs)
-    return ST.run_to_table(s.select("query_id", "seq", "type", "content", "ts"), "subscribed")
+    return _with_micros(ST.run_to_table(s.select("query_id", "seq", "type", "content", "ts"), "subscribed"))

@@ -89,7 +89,7 @@ retrieved AS (
 
 
 def retrieval_with(corpus: str = "corpus", scope: str = "global") -> str:
-    views = ["ctx", "corpus", "queries"] + ([corpus] if corpus != "corpus" else [])
+    views = ["ctx", "line_chunks", "corpus", "queries"] + ([corpus] if corpus != "corpus" else [])
     return "WITH " + ",\n".join(SQL_VIEWS[v].strip() for v in views) + "," + _fts_chain(corpus, scope)
 
 

@@ -11,7 +11,8 @@ Those numbers also *prove* the size of every small side before it is broadcast:
 * query vectors  <= n_queries * dimension
 * expanded band  <= n_queries * rrf cap * (lookBack + lookAhead + 1)
 
-Above the bounds the same plan runs with shuffle joins (AQE handles skew).
+Above the bounds the query vectors are sent in several blocks, and the other
+sides are joined by shuffle (AQE handles skew); the stages stay the same.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ from ragframe.session import checkpoint, conf_int, fits
 SETTINGS_COLS = ["_fts_limit", "_sem_limit", "_rrf_limit", "_look_back", "_look_ahead"]
 BROADCAST_MAX_ROWS = "ragframe.broadcast.maxRows"
 BROADCAST_MAX_BYTES = "ragframe.broadcast.maxBytes"
-PRUNE_MAX_KEYS = 10_000
 
 
 @dataclass
@@ -44,7 +44,6 @@ class BatchBounds:
     band_cap: int
     max_query_tokens: int
     dim: int
-    contexts: list | None = None   # distinct query contexts, when few enough to list
 
 
 def with_settings(queries: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
@@ -77,22 +76,16 @@ def batch_bounds(q: DataFrame, text_col: str = "query") -> BatchBounds:
         F.max(F.col("_look_back") + F.col("_look_ahead") + 1).alias("band"),
         F.max(F.size(F.array_distinct(tokens(text_col)))).alias("toks"),
         F.max(F.size("embedding")).alias("dim"),
-        F.approx_count_distinct("context_id").alias("n_ctx"),
     ).first()
-    ctxs = None
-    if (r["n_ctx"] or 0) <= PRUNE_MAX_KEYS:
-        # bounded by the batch's context count (checked just above)
-        ctxs = [x[0] for x in q.select("context_id").distinct().collect()]
-        ctxs = ctxs if len(ctxs) <= PRUNE_MAX_KEYS else None
     return BatchBounds(int(r["n"] or 0), int(r["fts"] or 0), int(r["sem"] or 0), int(r["rrf"] or 0),
-                       int(r["band"] or 1), max(int(r["toks"] or 0), 0), max(int(r["dim"] or 0), 0), ctxs)
+                       int(r["band"] or 1), max(int(r["toks"] or 0), 0), max(int(r["dim"] or 0), 0))
 
 
-def _prune(fragments: DataFrame, col: str, values: list | None) -> DataFrame:
-    """Filter a fragment scan to a bounded key list. Spark pushes it into the
-    Parquet scan: partition pruning when the table is partitioned by the column,
-    row-group skipping (min/max) when files are sorted by it."""
-    return fragments if values is None else fragments.where(F.col(col).isin(values))
+def _only(fragments: DataFrame, keys: DataFrame, on: list[str], small: bool) -> DataFrame:
+    """The fragments whose key is among ``keys``: a semi-join (broadcast behind its
+    bound), which prunes the partitions of a table stored by that key."""
+    keys = keys.select(*on).distinct()
+    return fragments.join(F.broadcast(keys) if small else keys, on, "left_semi")
 
 
 class _Stages(dict):
@@ -116,7 +109,7 @@ def retrieval_stages(queries: DataFrame, fragments: DataFrame, contexts: DataFra
     """Every intermediate of :func:`retrieve`, by name (built lazily)."""
     spark = queries.sparkSession
     max_rows = conf_int(spark, BROADCAST_MAX_ROWS, 2_000_000)
-    max_bytes = conf_int(spark, BROADCAST_MAX_BYTES, 256 * 1024 * 1024)
+    max_bytes = conf_int(spark, BROADCAST_MAX_BYTES, 32 * 1024 * 1024)
     memo: dict = {}
 
     def q():
@@ -143,25 +136,20 @@ def retrieval_stages(queries: DataFrame, fragments: DataFrame, contexts: DataFra
 
     def sem_top():
         # vector search only ever reads the batch's contexts
-        return semantic_search(q(), _prune(fragments, "context_id", b().contexts), "_sem_limit",
-                               max(b().sem_cap, 1),
-                               broadcast_queries=b().n_queries * (b().dim * 4 + 64) <= max_bytes,
+        return semantic_search(q(), _only(fragments, q(), ["context_id"], b().n_queries <= max_rows), "_sem_limit",
+                               max(b().sem_cap, 1), blocks=max(1, -(-b().n_queries * (b().dim * 4 + 64) // max_bytes)),
                                method=method, carry=SETTINGS_COLS)
 
+    def matches():
+        # at most n * rrf cap rows: stored once, which cuts the lineage of the search
+        found = dedupe_matches(st["fused"], dedupe_keep)
+        return checkpoint(found) if materialize_matches else found
+
     def expanded():
-        # The matches are small (<= n * rrf cap rows): materialize them once (cuts
-        # the lineage of the whole search) and push their document keys into the
-        # fragment scan of the expansion, so only matched documents are read.
-        matches, frags = st["matches"], fragments
-        if materialize_matches and b().n_queries * b().rrf_cap <= PRUNE_MAX_KEYS:
-            matches = checkpoint(matches)
-            pairs = matches.select("context_id", "document_id").distinct().collect()
-            ctxs = sorted({p[0] for p in pairs})
-            docs = sorted({p[1] for p in pairs})
-            frags = _prune(_prune(fragments, "context_id", ctxs), "document_id", docs)
-        return expand_neighbors(matches, frags,
-                                broadcast_matches=b().n_queries * b().rrf_cap * b().band_cap <= max_rows,
-                                with_vectors=with_vectors)
+        small = b().n_queries * b().rrf_cap * b().band_cap <= max_rows
+        # text is read of the matched documents only
+        frags = _only(fragments, st["matches"], ["context_id", "document_id"], small)
+        return expand_neighbors(st["matches"], frags, broadcast_matches=small, with_vectors=with_vectors)
 
     def retrieved():
         out = dedupe_fragments(st["expanded"])
@@ -179,7 +167,7 @@ def retrieval_stages(queries: DataFrame, fragments: DataFrame, contexts: DataFra
         "sem_top": sem_top,
         "sem_ranked": lambda: semantic_rank(st["sem_top"]),
         "fused": lambda: rrf_fuse(st["sem_ranked"], st["fts_ranked"], max(b().rrf_cap, 1)),
-        "matches": lambda: dedupe_matches(st["fused"], dedupe_keep),
+        "matches": matches,
         "expanded": expanded,
         "retrieved": retrieved,
     })

@@ -51,7 +51,8 @@ def _default_driver_memory() -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) is a scratch folder created."""
+    Only a local session without one (tests) gets a scratch folder; a cluster
+    must name a folder that the driver and all executors share."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - remote (Connect) session: the server owns the folder
@@ -62,6 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
         conf_dir = tempfile.mkdtemp(prefix="ragframe-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -74,14 +77,50 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads at most max_rows+1."""
-    return df.limit(max_rows + 1).count() <= max_rows
+#: Bytes of a side that may be broadcast (as measured, before Spark's own overhead).
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of ``df``, from file sizes (no job)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - remote (Connect) session: no plan object
+        return 1 << 62
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of ``df``: one aggregate, combined in each task, of what its
+    values take (strings by their bytes, arrays and maps by their elements)."""
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            n = F.octet_length(c)
+        elif kind == "array" and f.dataType.elementType.typeName() not in ("string", "binary", "struct", "array", "map"):
+            n = F.size(c) * 8
+        elif kind in ("array", "map", "struct"):
+            n = F.octet_length(F.to_json(F.struct(c)))
+        else:
+            n = F.lit(8)
+        size = size + F.coalesce(F.greatest(n, F.lit(0)), F.lit(0)) + 8
+    r = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return int(r[0]), int(r[1] or 0)
+
+
+def fits(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """True when ``df`` is proven to have at most ``max_rows`` rows and
+    ``max_bytes`` bytes: by the plan's size where that is far below the bound
+    (files are compressed), else by one aggregate over it."""
+    if plan_bytes(df) * 16 <= min(max_bytes, max_rows * 8):
+        return True
+    rows, size = measured(df)
+    return rows <= max_rows and size <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint behind a size check; beyond the bound the plain DataFrame is
-    returned and Spark shuffles (AQE may still convert at runtime)."""
+    """Broadcast hint behind a size check in rows and bytes; beyond the bound the
+    plain DataFrame is returned and Spark shuffles (AQE may still convert)."""
     return F.broadcast(df) if fits(df, max_rows) else df
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ragframe import constants as K
 from ragframe import schemas as S
+from ragframe.operators.vectors import embed_chunks, embed_queries
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -23,6 +24,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def version(spark: SparkSession, sf_dir: str, names=tuple(TABLES)) -> tuple:
+    """(name, bytes, modification time) of the tables' files as they are now, read
+    through Spark's file system so that any store works."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            files = [f for f in fs.listStatus(path)]
+            out.append((name, sum(f.getLen() for f in files), max([f.getModificationTime() for f in files], default=0)))
+    return tuple(out)
+
+
 def _src_num(col: str = "source"):
     return F.regexp_extract(F.col(col), r"(\d+)", 1).cast("int")
 
@@ -94,59 +108,66 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``line_chunks``: each document line is one fragment (chunk 0)."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    """``line_chunks``: each document line is one fragment (chunk 0). Ids are
+    document * (most lines of a document) + line, so they never collide."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n").alias("lines"))
+    most = d.agg(F.coalesce(F.max(F.size("lines")), F.lit(1)).cast("long").alias("m")).scalar()
     return d.select(
-        F.col("doc_id").alias("document_id"), F.col("source").alias("context_id"),
-        F.posexplode(F.split(F.col("text"), "\n")).alias("fragment_index", "value"),
+        F.col("doc_id").alias("document_id"), F.col("source").alias("context_id"), "doc_id",
+        F.posexplode("lines").alias("fragment_index", "value"),
     ).select(
-        (F.col("document_id") * 100000 + F.col("fragment_index")).alias("id"),
+        (F.col("document_id") * most + F.col("fragment_index")).alias("id"),
         "context_id", "document_id", F.col("fragment_index").cast("long").alias("fragment_index"),
         F.lit(0).cast("long").alias("chunk_index"), "value",
         F.create_map().cast("map<string,string>").alias("metadata"),
     )
 
 
+def labelled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fragments of the documents that have a label: a table that holds a
+    part of all documents."""
+    keys = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id")).distinct()
+    return line_chunks(spark, sf_dir).join(keys, "document_id", "left_semi")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``corpus``: fragments with vectors. 10 fragments per document, 5 documents
-    per context, contexts ``src0``..``src4``."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    j = e.join(d, e.vec_id == d.doc_id)
-    return j.select(
-        F.col("vec_id").alias("id"),
-        F.concat(F.lit("src"), (F.expr("vec_id div 50") % 5).cast("string")).alias("context_id"),
-        F.expr("vec_id div 10").alias("document_id"),
-        (F.col("vec_id") % 10).alias("fragment_index"),
-        F.lit(0).cast("long").alias("chunk_index"),
-        F.col("text").alias("value"),
-        F.create_map().cast("map<string,string>").alias("metadata"),
-        F.col("embedding"),
-    )
+    """``corpus``: every fragment of every document with a vector: the given
+    embedding of the document's id for its first fragment, where there is one,
+    else the default embedder's."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit(0).cast("long").alias("fragment_index"),
+                                                 F.col("embedding").alias("given"))
+    made = embed_chunks(line_chunks(spark, sf_dir), dim=64)
+    return made.join(e, ["document_id", "fragment_index"], "left").select(
+        "id", "context_id", "document_id", "fragment_index", "chunk_index", "value", "metadata",
+        F.coalesce("given", "embedding").alias("embedding"))
+
+
+def _copied(c: DataFrame, chunk_index: int) -> DataFrame:
+    """``c`` and its rows once more, under ids that follow the largest one."""
+    top = c.agg(F.max("id").alias("m")).scalar()
+    return c.unionByName(c.withColumn("chunk_index", F.lit(chunk_index).cast("long")).withColumn("id", F.col("id") + top + 1))
 
 
 def corpus2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
-    return c.unionByName(c.withColumn("chunk_index", F.lit(1).cast("long"))
-                          .withColumn("id", F.col("id") + 1000000))
+    """``corpus`` with a second chunk in every fragment."""
+    return _copied(corpus(spark, sf_dir), 1)
 
 
 def dup_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
-    return c.unionByName(c.withColumn("id", F.col("id") + 2000000))
+    """``corpus`` with every row twice."""
+    return _copied(corpus(spark, sf_dir), 0)
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``queries``: every benchmark item, its vector is the corpus vector with the
-    same id, its context ``src(item_id % 5)``."""
+    """``queries``: every benchmark item; its vector is the given embedding with
+    the same id, else the default embedder's; its context ``src(item_id % 5)``."""
     b = read(spark, sf_dir, "benchmark")
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return b.join(e, b.item_id == e.vec_id).select(
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("given"))
+    made = embed_queries(b.select(
         F.col("item_id").alias("query_id"),
         F.concat(F.lit("src"), (F.col("item_id") % 5).cast("string")).alias("context_id"),
-        F.col("text").alias("query"),
-        F.col("embedding"),
-    )
+        F.col("text").alias("query")), dim=64)
+    return made.join(e, "query_id", "left").select("query_id", "context_id", "query", F.coalesce("given", "embedding").alias("embedding"))
 
 
 def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +220,24 @@ def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TASK = K.DEFAULT_TASK_CONTEXT.replace("'", "''")
 
+
+def _vectors_sql(name: str, src: str, key: str, text: str, body: str) -> str:
+    """The view ``name`` with the default embedder's vectors of ``src`` beside it."""
+    return f"""
+{name}_bucket AS (
+  SELECT id, CAST(CAST('0x' || substr(md5(token), 1, 8) AS UBIGINT) % 64 AS INTEGER) AS b,
+         sum(CASE WHEN substr(md5(token), 9, 1) >= '8' THEN 1 ELSE -1 END) AS c
+  FROM (SELECT {key} AS id, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS token FROM {src})
+  GROUP BY 1, 2),
+{name}_vec AS (
+  SELECT s.{key} AS id,
+         list_transform(range(64), lambda i: CAST(CASE WHEN n.norm > 0 THEN COALESCE(n.m[i], 0) / n.norm ELSE 0 END AS FLOAT)) AS embedding
+  FROM {src} s LEFT JOIN (
+    SELECT id, sqrt(CAST(sum(c * c) AS DOUBLE)) AS norm, map_from_entries(list((CAST(b AS BIGINT), CAST(c AS DOUBLE)))) AS m
+    FROM {name}_bucket GROUP BY id) n ON n.id = s.{key}),
+{name} AS ({body})"""
+
+
 SQL_VIEWS: dict[str, str] = {
     "ctx": f"""
 ctx AS (
@@ -224,35 +263,35 @@ docs AS (
          '' AS description, 'PDF' AS type,
          TIMESTAMP '2024-01-01 00:00:00' + TO_SECONDS(doc_id) AS updated_at
   FROM documents)""",
-    "corpus": """
-corpus AS (
-  SELECT e.vec_id AS id, 'src' || CAST((e.vec_id // 50) % 5 AS VARCHAR) AS context_id,
-         e.vec_id // 10 AS document_id, e.vec_id % 10 AS fragment_index,
-         CAST(0 AS BIGINT) AS chunk_index, d.text AS value, e.embedding
-  FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)""",
+    "corpus": _vectors_sql("corpus", "line_chunks", "id", "value", """
+  SELECT l.id, l.context_id, l.document_id, l.fragment_index, l.chunk_index, l.value,
+         COALESCE(e.embedding, v.embedding) AS embedding
+  FROM line_chunks l JOIN corpus_vec v USING (id)
+  LEFT JOIN embeddings e ON e.vec_id = l.document_id AND l.fragment_index = 0"""),
     "corpus2": """
 corpus2 AS (
   SELECT * FROM corpus
   UNION ALL
-  SELECT id + 1000000, context_id, document_id, fragment_index, CAST(1 AS BIGINT), value, embedding FROM corpus)""",
+  SELECT id + (SELECT max(id) + 1 FROM corpus), context_id, document_id, fragment_index, CAST(1 AS BIGINT), value, embedding FROM corpus)""",
     "dup_corpus": """
 dup_corpus AS (
   SELECT * FROM corpus
   UNION ALL
-  SELECT id + 2000000, context_id, document_id, fragment_index, chunk_index, value, embedding FROM corpus)""",
+  SELECT id + (SELECT max(id) + 1 FROM corpus), context_id, document_id, fragment_index, chunk_index, value, embedding FROM corpus)""",
     "line_chunks": """
 line_chunks AS (
-  SELECT document_id * 100000 + fragment_index AS id, context_id, document_id, fragment_index,
-         CAST(0 AS BIGINT) AS chunk_index, value
+  SELECT document_id * (SELECT max(len(string_split(text, chr(10)))) FROM documents) + fragment_index AS id,
+         context_id, document_id, fragment_index, CAST(0 AS BIGINT) AS chunk_index, value
   FROM (SELECT doc_id AS document_id, source AS context_id,
                unnest(string_split(text, chr(10))) AS value,
                CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS fragment_index
         FROM documents))""",
-    "queries": """
-queries AS (
-  SELECT b.item_id AS query_id, 'src' || CAST(b.item_id % 5 AS VARCHAR) AS context_id,
-         b.text AS query, e.embedding
-  FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id)""",
+    "labelled_chunks": """
+labelled_chunks AS (SELECT * FROM line_chunks WHERE document_id IN (SELECT doc_id FROM labels))""",
+    "queries": _vectors_sql("queries", "benchmark", "item_id", "text", """
+  SELECT b.item_id AS query_id, 'src' || CAST(b.item_id % 5 AS VARCHAR) AS context_id, b.text AS query,
+         COALESCE(e.embedding, v.embedding) AS embedding
+  FROM benchmark b JOIN queries_vec v ON v.id = b.item_id LEFT JOIN embeddings e ON b.item_id = e.vec_id"""),
     "chat_events": """
 chat_events AS (
   SELECT conv_id AS query_id, turn AS seq,
@@ -286,7 +325,7 @@ eval_cases AS (
 }
 
 # dependencies between SQL views
-_SQL_DEPS = {"corpus2": ["corpus"], "dup_corpus": ["corpus"]}
+_SQL_DEPS = {"corpus": ["line_chunks"], "corpus2": ["corpus"], "dup_corpus": ["corpus"], "labelled_chunks": ["line_chunks"]}
 
 
 def sql_with(*names: str) -> str:

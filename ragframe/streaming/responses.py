@@ -10,13 +10,13 @@
   passes the deadline (status ``timeout``). A quiet stream keeps its state until
   later events move the watermark.
 
-State per query is the buffered Partials of that one answer; it is dropped as
-soon as the answer is emitted.
+State per query is the buffered Partials of that one answer. Once the answer is
+emitted only a marker stays, so that later events of the query, in whatever
+micro-batch they come, never start a second answer.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import pandas as pd
@@ -29,7 +29,7 @@ from ragframe import schemas as S
 from ragframe.session import broadcast_if_small, ensure_checkpoint_dir
 
 OUT_SCHEMA = "query_id long, answer string, status string"
-STATE_SCHEMA = "first_ts long, seqs array<long>, contents array<string>"
+STATE_SCHEMA = "first_ts long, frozen boolean, done boolean, seqs array<long>, contents array<string>"
 
 
 def event_source(spark: SparkSession, path: str, glob: str | None = None,
@@ -59,20 +59,31 @@ def _answer(seqs, contents, stop):
     return "".join(c or "" for _, c in parts)
 
 
-def _assembler(timeout_ms: int, mode: str, session_tz: str = "UTC"):
+def _assembler(timeout_ms: int, mode: str, session_tz: str = "UTC", forget_ms: int | None = None):
     def fn(key, pdfs, state):
         qid = int(key[0])
+
+        def emit(first_ts, status, seqs, contents, stop=None):
+            """The answer, and the marker that stays in the state."""
+            state.update((first_ts, True, True, [], []))
+            if forget_ms is not None:
+                state.setTimeoutTimestamp(max(first_ts + timeout_ms + forget_ms, state.getCurrentWatermarkMs() + 1))
+            return pd.DataFrame({"query_id": [qid], "answer": [_answer(seqs, contents, stop)], "status": [status]})
+
         if state.hasTimedOut:
-            first_ts, seqs, contents = state.get
-            state.remove()
-            yield pd.DataFrame({"query_id": [qid], "answer": [_answer(seqs, contents, None)],
-                                "status": ["timeout"]})
+            first_ts, frozen, done, seqs, contents = state.get
+            if done:
+                state.remove()
+            else:
+                yield emit(first_ts, "timeout", seqs, contents)
             return
         if state.exists:
-            first_ts, seqs, contents = state.get
+            first_ts, frozen, done, seqs, contents = state.get
+            if done:
+                return
             seqs, contents = list(seqs), list(contents)
         else:
-            first_ts, seqs, contents = None, [], []
+            first_ts, frozen, seqs, contents = None, False, [], []
         ev = pd.concat(list(pdfs), ignore_index=True)
         ts = ev["ts"]
         # timestamps arrive as session-local wall clock; timers are epoch (UTC) ms
@@ -84,45 +95,51 @@ def _assembler(timeout_ms: int, mode: str, session_tz: str = "UTC"):
         deadline = first_ts + timeout_ms
         for r in ev.itertuples(index=False):
             if r.ms >= deadline:
-                state.remove()
-                yield pd.DataFrame({"query_id": [qid], "answer": [_answer(seqs, contents, None)],
-                                    "status": ["timeout"]})
+                yield emit(first_ts, "timeout", seqs, contents)
                 return
-            stop = (r.type == K.EVENT_FINISHED) if mode == "until_finished" else (r.type != K.EVENT_PARTIAL)
-            if stop:
-                state.remove()
-                yield pd.DataFrame({"query_id": [qid], "answer": [_answer(seqs, contents, int(r.seq))],
-                                    "status": ["finished" if r.type == K.EVENT_FINISHED else "stopped"]})
+            if r.type == K.EVENT_FINISHED:
+                yield emit(first_ts, "finished", seqs, contents, None if frozen else int(r.seq))
                 return
             if r.type == K.EVENT_PARTIAL:
-                seqs.append(int(r.seq))
-                contents.append(r.content)
-        state.update((first_ts, seqs, contents))
-        state.setTimeoutTimestamp(deadline)
+                if not frozen:
+                    seqs.append(int(r.seq))
+                    contents.append(r.content)
+            elif mode == "leading" and not frozen:
+                # the answer is complete; its status is known at the end
+                frozen = True
+                kept = [(s, c) for s, c in zip(seqs, contents) if s < int(r.seq)]
+                seqs, contents = [s for s, _ in kept], [c for _, c in kept]
+        state.update((first_ts, frozen, False, seqs, contents))
+        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
     return fn
 
 
 def assemble_answers_stream(events: DataFrame, timeout_seconds: int = K.RESPONSE_TIMEOUT_SECONDS,
-                            watermark: str = "1 minute", mode: str = "until_finished") -> DataFrame:
+                            watermark: str = "1 minute", mode: str = "until_finished",
+                            forget_after_seconds: int | None = None) -> DataFrame:
     """D7 streaming: one (query_id, answer, status) row per query, emitted
-    once (append mode)."""
+    once (append mode), with the statuses of the batch form. A marker of a few
+    bytes stays for every answered query; ``forget_after_seconds`` drops it that
+    long (in event time) after the query's deadline, for streams whose queries
+    have no events after that."""
     tz = events.sparkSession.conf.get("spark.sql.session.timeZone", "UTC")
+    forget = None if forget_after_seconds is None else int(forget_after_seconds) * 1000
     return (events.withWatermark("ts", watermark)
             .groupBy("query_id")
-            .applyInPandasWithState(_assembler(int(timeout_seconds) * 1000, mode, tz), OUT_SCHEMA,
+            .applyInPandasWithState(_assembler(int(timeout_seconds) * 1000, mode, tz, forget), OUT_SCHEMA,
                                     STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
 
 
-def run_to_table(stream: DataFrame, name: str | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, name: str | None = None, path: str | None = None) -> DataFrame:
     """Run a streaming DataFrame over everything available (``availableNow``)
-    into a parquet table in the shared checkpoint folder and return it as a
-    batch DataFrame. Fault tolerant: progress is in the query's checkpoint."""
+    into a parquet table under ``path`` (None: a new place in the shared
+    checkpoint folder) and return it as a batch DataFrame. Fault tolerant:
+    progress is in the query's checkpoint beside the table."""
     spark = stream.sparkSession
-    base = ensure_checkpoint_dir(spark).replace("file:", "")
-    run = os.path.join(base, f"stream-{name or 'out'}-{uuid.uuid4().hex[:8]}")
+    path = path or f"{ensure_checkpoint_dir(spark)}/stream-{name or 'out'}-{uuid.uuid4().hex[:8]}"
     q = (stream.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", os.path.join(run, "_checkpoint"))
-         .option("path", os.path.join(run, "data"))
+         .option("checkpointLocation", f"{path}/_checkpoint")
+         .option("path", f"{path}/data")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(os.path.join(run, "data"))
+    return spark.read.schema(stream.schema).parquet(f"{path}/data")

@@ -286,9 +286,14 @@ def test_binary_files_parse(spark, tmp_path):
     got = {r.name: r.text for r in IG.parse_documents(files).collect()}
     assert got["a.txt"] == "hello world\nsecond line"
     assert got["b.html"] == "Hi & bye"
-    native = spark.createDataFrame([("<html><head><title>t</title></head><body><p>Hi &amp; bye</p></body></html>",)],
-                                   "html string").select(IG.html_text("html").alias("t")).first().t
-    assert native == "Hi & bye"
+    late = b"<?xml version='1.0'?><!-- " + b"x" * 2000 + b" --><html><body><p>late</p></body></html>"
+    rows = spark.createDataFrame([(1, late, None), (2, b"caf&eacute; &mdash; <b>x</b>", "text/html"), (3, b"%PDF", "application/pdf"),
+                                  (4, None, "text/plain"), (5, b"a < b", None)], "id int, content binary, mime string")
+    by = {r.id: (r.text, r.parse_error) for r in IG.parse_documents(rows).collect()}
+    assert by == {1: ("late", None), 2: ("caf\u00e9 \u2014 x", None), 3: (None, "no parser for application/pdf"),
+                  4: (None, "no content"), 5: ("a < b", None)}
+    broken = IG.parse_documents(rows, {"text/plain": lambda b: 1 / 0, "text/html": lambda b: "ok"}).where("id = 5").first()
+    assert broken.text is None and "ZeroDivisionError" in broken.parse_error
 
 
 def test_ann_all_cells_equals_exact(spark, sf):
@@ -297,7 +302,7 @@ def test_ann_all_cells_equals_exact(spark, sf):
     q = with_settings(TD.queries(spark, sf), TD.contexts(spark, sf))
     frags = TD.corpus(spark, sf)
     exact = V.semantic_search(q, frags, "_sem_limit", 20)
-    approx = V.ann_search(q, frags, n_cells=4, n_probe=4)
+    approx = V.ann_search(q, V.ivf_build(frags, n_cells=4), n_probe=4)
     assert V.recall_at_k(approx, exact).agg(F.min("recall")).first()[0] == 1.0
 
 
@@ -396,23 +401,111 @@ def test_retrieve_edge_batches(spark, sf):
     assert r and all(x.full_text_rank is None and x.full_text_score == 0.0 for x in r)
 
 
-def test_ann_stored_cells(spark, sf, tmp_path):
-    """C10 over a stored cell assignment: same result as assigning on the fly,
-    and the scan is pruned to the probed cells."""
+def test_ann_fills_the_limit(spark, sf):
+    """Whatever is probed, every query gets min(limit, rows of its context)
+    rows, in one block or several, and the scan is pruned to the probed cells."""
+    import re
+
     from ragframe.plans.retrieve import with_settings
-    q = with_settings(TD.queries(spark, sf), TD.contexts(spark, sf))
+    q = with_settings(TD.queries(spark, sf), TD.contexts(spark, sf)).withColumn("_sem_limit", F.lit(50))
     frags = TD.corpus(spark, sf)
-    model = V.ivf_train(frags, 4)
-    V.ivf_write(model, frags, str(tmp_path / "cells"))
-    stored = spark.read.parquet(str(tmp_path / "cells"))
-    a = V.ann_search(q, frags, model=model, n_probe=2)
-    b = V.ann_search(q, frags, model=model, n_probe=2, cells=stored)
+    index = V.ivf_build(frags, n_cells=40)
+    a = V.ann_search(q, index, n_probe=1)
+    sizes = {r.context_id: r["count"] for r in frags.groupBy("context_id").count().collect()}
+    want = {r.query_id: min(50, sizes.get(r.context_id, 0)) for r in q.collect()}
+    assert {r.query_id: r["count"] for r in a.groupBy("query_id").count().collect()} == {k: v for k, v in want.items() if v}
     cols = ["query_id", "id", "semantic_score"]
+    b = V.ann_search(q, index, n_probe=1, blocks=3)
     assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
-    plan = b._jdf.queryExecution().explainString(
+    plan = a._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    import re
-    assert re.search(r"PartitionFilters: \[cell#\d+ IN \(", plan)
+    assert re.search(r"PartitionFilters: \[.*cell#\d+ IN", plan)
+
+
+def test_limits_and_null_vectors(spark, sf):
+    """Limits above the defaults hold, and a query without a vector gets its limit
+    of rows with NULL distance, on every path and for any number of blocks."""
+    from ragframe.operators import fulltext as FT
+    from ragframe.operators import fusion as FU
+    from ragframe.plans.retrieve import with_settings
+    q = with_settings(TD.queries(spark, sf), TD.contexts(spark, sf)).limit(6)
+    q = q.withColumn("_sem_limit", F.lit(40)).withColumn("_fts_limit", F.lit(35)).withColumn("_rrf_limit", F.lit(30))
+    null = q.limit(1).withColumn("query_id", F.lit(-1).cast("long")).withColumn("embedding", F.lit(None).cast("array<float>"))
+    both = q.unionByName(null)
+    frags = TD.corpus(spark, sf)
+    res = {}
+    for m, blocks in (("block", 1), ("block", 4), ("arrow", 2), ("sql", 1)):
+        rows = V.semantic_search(both, frags, blocks=blocks, method=m).collect()
+        res[m, blocks] = sorted((r.query_id, r.id, r.semantic_score) for r in rows if r.query_id >= 0), sorted(
+            (r.id, r.semantic_score) for r in rows if r.query_id == -1)
+    first = res["block", 1]
+    assert all(x == first for x in res.values())
+    assert len(first[1]) == 40 and all(s is None for _, s in first[1]) and len(first[0]) == 40 * 6
+    fts = FT.bm25_search(q, FT.bm25_stats(frags))
+    assert fts.groupBy("query_id").count().agg(F.max("count")).first()[0] == 35
+    fused = FU.rrf_fuse(V.semantic_rank(V.semantic_search(q, frags, carry=["_rrf_limit"])), FT.fulltext_rank(FT.context_post_filter(FT.bm25_search(q, FT.bm25_stats(frags), carry=["_rrf_limit"]))))
+    assert fused.groupBy("query_id").count().agg(F.max("count")).first()[0] == 30
+
+
+def test_corpus_holds_every_fragment(spark, sf):
+    docs = TD.read(spark, sf, "documents")
+    lines = docs.select(F.sum(F.size(F.split("text", "\n")))).first()[0]
+    c = TD.corpus(spark, sf)
+    n = c.agg(F.count(F.lit(1)), F.count_distinct("id"), F.count("embedding"), F.count_distinct("document_id")).first()
+    assert tuple(n) == (lines, lines, lines, docs.count())
+
+
+def test_repeated_form_fields(spark):
+    """The first value of a repeated field counts; names are decoded."""
+    from ragframe import constants as K
+    body = "&".join(f"{f}=x%20{f}" for f in K.COMMAND_FIELDS if f != "is_enterprise_install") + "&is_enterprise%5Finstall=true&text=b&text=c&novalue"
+    ok, bad = CM.decode_commands(spark.createDataFrame([(1, body)], "command_id int, body string"))
+    row = ok.first()
+    assert row.text == "x text" and row.is_enterprise_install and bad.count() == 0
+
+
+def test_chat_with_settings_column(spark):
+    """Settings with a map travel with their prompt."""
+    from ragframe import schemas as S
+    m = spark.createDataFrame([(1, 0, "user", "<context> a  b\nc </context>")], "query_id long, pos long, role string, content string")
+    m = m.withColumn("settings", F.from_json(F.lit('{"logitBias":{"x":1.0},"n":1}'), S.CHAT_COMPLETION_SETTINGS))
+    assert CH.complete_chat(m, settings_col="settings").first().answer == "a b c"
+
+
+def test_rejects_of_ingest(spark):
+    """Unparseable files and vectors of the wrong kind are rejects; the rest enters."""
+    files = spark.createDataFrame([(1, "c", "doc-1", b"one two", "text/plain"), (2, "c", "doc-2", b"%PDF", "application/pdf"), (3, "c", "doc-3", b"bad", "text/plain")],
+                                  "document_id long, context_id string, name string, content binary, mime string")
+    empty = "/root/testdata/sf0.001"
+    docs, emb, rej = IG.ingest(files, TD.documents_table(spark, empty).where("false"), TD.corpus(spark, empty).where("false"), dim=2,
+                               embedder=lambda texts: [[1.0] if "bad" in t else [1.0, 2.0] for t in texts])
+    assert sorted(r.document_id for r in docs.collect()) == [1, 3] and [r.document_id for r in emb.collect()] == [1]
+    assert sorted((r.document_id, r.error) for r in rej.collect()) == [(2, "no parser for application/pdf"), (3, "embedding of length 1")]
+    short = IG.ingest(files.where("document_id = 1"), TD.documents_table(spark, empty).where("false"), TD.corpus(spark, empty).where("false"), dim=2,
+                      embedder=lambda texts: [])
+    assert [r.error for r in short[2].collect()] == ["no embedding"] and short[1].count() == 0
+
+
+def test_no_scratch_folder_on_a_cluster(monkeypatch):
+    """Only a local session may fall back to a scratch checkpoint folder."""
+    import pytest
+
+    from ragframe import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())
 
 
 def test_hashed_embedder_stable():
