@@ -57,6 +57,7 @@ GOOD = set("article content main post entry story body text".split())
 CLOSES_P = set("""address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table td th tr ul""".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+REPEATS = set("# p li dt dd tr td th option".split())
 SCOPES = {"ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", "div", "article", "section", "body"}
 # ------------------------------------------------------------------------------------------
 
@@ -165,6 +166,12 @@ def _same(a: list, b: list) -> bool:
     return a[0] == b[0]
 
 
+def _alike(a: list, b: list) -> bool:
+    """Whether siblings can be one repeated group: equal signatures, and where these
+    say little (no class, no item of a list or table) equal children too."""
+    return a[0] == b[0] and (a[0] in REPEATS or "." in a[0] or [k[0] for k in a[1]] == [k[0] for k in b[1]])
+
+
 def _fold(kids: list) -> list:
     """Siblings with repeated runs merged into repeated groups; empty elements left out."""
     out: list = []
@@ -173,7 +180,7 @@ def _fold(kids: list) -> list:
             k[1] = _fold(k[1])
             if not k[1]:
                 continue
-        if out and out[-1][0] == k[0]:
+        if out and _alike(out[-1], k):
             out[-1] = _merged(out[-1], k)
             out[-1][2] = True
         else:
@@ -183,7 +190,7 @@ def _fold(kids: list) -> list:
         while i + 2 * size <= len(out):
             first = out[i:i + size]
             times = 1
-            while [x[0] for x in out[i + times * size:i + (times + 1) * size]] == [x[0] for x in first]:
+            while i + (times + 1) * size <= len(out) and all(map(_alike, first, out[i + times * size:i + (times + 1) * size])):
                 times += 1
             if times > 1:
                 for t in range(1, times):
