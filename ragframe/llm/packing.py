@@ -12,6 +12,7 @@ gives the same pieces again."""
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ TASK_BYTES = 16 << 20
 _SEED = 7
 
 
+@functools.cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each id (a multiplicative hash, so no table over the vocabulary) and
     the projection's columns."""
@@ -131,7 +133,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, length: in
         enc = encoder(vocabulary)
         wide = "<u2" if enc.bits <= 16 and end_id < 1 << 16 else "<u4"
         for batch in text_batches(batches, 1, 4 << 20):
-            found = [np.append(i, np.uint32(end_id)) for i in enc.encode_many(batch.column(1).to_pylist())]
+            found = [np.append(i, np.uint32(end_id)) for i in map(enc.encode, batch.column(1).to_pylist())]
             keys = hilbert_key(np.array([curve_point(i) for i in found]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys), pa.array([wide == "<u2"] * len(found)), pa.array([i.astype(wide).tobytes() for i in found])],

@@ -22,6 +22,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +34,35 @@ from pyspark.sql import functions as F
 from ragframe.llm.common import shared_path, shared_table, text_batches
 
 #: Remembered pieces in each of the two generations of a task's table.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 BLOCK_TOKENS = 1 << 16
 #: Bytes of text that go to one file.
 FILE_BYTES = 24 << 20
 
 _HEAD = struct.Struct("<4sBIIQII")  # magic, bits, file, block, first token, pieces, tokens
 _PIECE = np.dtype([("doc_id", "<i8"), ("n", "<u4"), ("flags", "u1")])  # flags: 1 last piece, 2 null id
-_ODD_SPACE = re.compile(r"[^\S ] ")
+#: White space before a space, in any engine's view of white space.
+_ODD_PAIRS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+#: Byte-level BPE writes each byte as a letter: itself where that prints, else one from 256 on.
+_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: b for b in _PRINTS} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTS)))}
+
+
+class Pieces(dict):
+    """Ids by piece, made when first asked for. Two generations of at most
+    ``REMEMBERED`` pieces each bound it; a piece in use moves to the younger one."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece) or self.make(piece)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -52,6 +74,7 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.tokenize = self.tok.model.tokenize
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         pre = made.get("pre_tokenizer") or {}
@@ -63,60 +86,68 @@ class Encoder:
         else:
             self.lead = None
         self.bits = max(1, (self.tok.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = pieces - self.young.keys()
-        if not new:
-            return
-        if len(self.young) + len(new) > REMEMBERED:
-            self.old, self.young = self.young, {}
-            new = pieces
-        again = new & self.old.keys()
-        for p in again:
-            self.young[p] = self.old[p]
-        new = list(new - again)
-        self.young.update(zip(new, self._encode([self.lead + p for p in new])))
+        self.pieces = Pieces(self._piece)
+        if self.lead is not None:
+            # letters for the splitting pattern; those whose lower case is a matter of course, where it is taken
+            self.plain = str.isalpha if self.lead else _LATIN.fullmatch
+            self.space = "\u0120" if self.lead else ""
+            self.ends = {c: self._encode(c) for c in ",.;:!?"}
+            self.line_end = self._encode("\n")
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str, lead: str) -> bytes:
+        """Ids of a word of letters only: one run for the pattern that splits text, so
+        the model gets it at once, in its own letters for bytes."""
+        if not self.lead:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.tokenize(lead + word)]).tobytes()
+
+    def _quick(self, piece: str) -> bytes | None:
+        """Ids of a word, a word with one mark behind it, or such with a line's end and
+        a word behind it; None for anything else."""
+        if self.plain(piece):
+            return self._word(piece, self.space)
+        end = self.ends.get(piece[-1:])
+        if end is not None and self.plain(piece[:-1]):
+            return (self.pieces.get(piece[:-1]) or self._word(piece[:-1], self.space)) + end
+        if "\n" in piece:
+            first, _, word = piece.partition("\n")
+            head = self._quick(first) if first and self.plain(word) else None
+            if head is not None:
+                return head + self.line_end + self._word(word, "")
+        return None
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            return array("I", [t.id for t in self.tokenize(self.space + (piece if self.lead else piece.lower()))]).tobytes()
+        ids = self._quick(piece)
+        return self._encode(self.lead + piece) if ids is None else ids
 
     def _whole(self, text: str) -> bool:
+        """Whether a cut at each space could change the ids: beside other white space."""
         if self.lead is None:
             return True
-        return bool(self.lead) and ("  " in text or text[:1] == " " or text[-1:] == " " or _ODD_SPACE.search(text) is not None)
+        return bool(self.lead) and (text[:1] == " " or text[-1:] == " " or any(pair in text for pair in _ODD_PAIRS))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of one text; null is empty."""
         if not text:
             return np.empty(0, "<u4")
-        text = text.encode("utf-8", "replace").decode()
         if self._whole(text):
-            return np.frombuffer(self._encode([text])[0], "<u4")
+            return np.frombuffer(self._encode(text), "<u4")
+        if not self.lead:
+            try:  # in these letters the lower case is a matter of course: fewer pieces to remember
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
         words = text.split(" ")
-        parts = []
-        for i in range(0, len(words), 50_000):  # bounds the pieces that one text adds at once
-            some = words[i:i + 50_000]
-            if i == 0 and self.lead:
-                parts.append(self._encode([some[0]])[0])
-                some = some[1:]
-            self._learn(set(some))
-            parts.append(b"".join(map(self.young.__getitem__, some)))
-        return np.frombuffer(b"".join(parts), "<u4")
-
-    def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """As :meth:`encode`, learning the pieces of some texts together."""
-        if self.lead is not None:
-            some: set[str] = set()
-            for t in texts:
-                if t and not self._whole(t):
-                    some.update(t.encode("utf-8", "replace").decode().split(" ")[1 if self.lead else 0:])
-                if len(some) > REMEMBERED // 4:
-                    break
-            self._learn(some)
-        for t in texts:
-            yield self.encode(t)
+        first = [self._encode(words.pop(0))] if self.lead else []
+        return np.frombuffer(b"".join([*first, *map(self.pieces.__getitem__, words)]), "<u4")
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -253,7 +284,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int |
             return pa.RecordBatch.from_arrays([pa.array(items, pa.binary())], ["block"]) if items else None
 
         for batch in text_batches(batches, 1, 4 << 20):
-            ids = enc.encode_many(batch.column(1).to_pylist())
+            ids = map(enc.encode, batch.column(1).to_pylist())
             for doc_id, i in zip(batch.column(0).to_pylist(), ids):
                 got = packed(out.add(doc_id, np.concatenate([i, tail])))
                 if got is not None:
