@@ -1,8 +1,8 @@
 """Passages that repeat across documents: paragraph MinHash banding.
 
 **Paragraphs.** Copied passages start and end anywhere in a line, so the unit is the
-sentence; sentences of more than ``LONG`` words are cut on at places that their words
-alone determine. Units of fewer than ``MIN_WORDS`` words are not compared. Cuts depend on
+sentence, or a run of short ones; those of more than ``LONG`` words are cut on at places
+that their words alone determine. Units of fewer than ``MIN_WORDS`` words are not compared. Cuts depend on
 nearby words only, so a passage is cut alike wherever it stands.
 
 **Banding.** A unit's shingles are its runs of five words. ``BANDS`` bands of one
@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from ragframe.llm.common import components, fresh, grouped, shared_table, text_batches
 
 SHINGLE, MIN_SIMILARITY = 5, 0.8
-MIN_WORDS, LONG, CUT_MASK = 8, 40, 15
+MIN_WORDS, LONG, CUT_MASK = 8, 40, 7
 BANDS = 3
 #: Words of a passage at least, and words between two of its units at most.
-MIN_PASSAGE, GAP = 20, 12
+MIN_PASSAGE, GAP = 30, 7
 BLOCK = 256
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -57,23 +57,35 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _cut(words: list[str], at: int) -> list[tuple[int, list[str]]]:
+    """A long run of words parted at places that its words alone determine."""
+    if len(words) <= LONG:
+        return [(at, words)]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, (w.encode("utf-8", "replace") for w in words)), np.uint64, len(words))
+    out, start = [], 0
+    for cut in (np.nonzero((_grams(h, 2) & np.uint64(CUT_MASK)) == 0)[0] + 2).tolist():
+        if cut - start >= MIN_WORDS and cut < len(words):
+            out.append((at + start, words[start:cut]))
+            start = cut
+    return [*out, (at + start, words[start:])]
+
+
 def units(text: str | None) -> list[tuple[int, list[str]]]:
-    """(first word's place, words) of each unit of a text, short ones included."""
-    out, at = [], 0
+    """(first word's place, words) of each unit of a text: sentences, and neighbouring
+    short sentences as one; units that stay too short to be compared included."""
+    out, at, short = [], 0, []
     for sentence in _SENTENCE.split(text or ""):
         words = _WORD.findall(sentence.lower())
-        if len(words) > LONG:
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, (w.encode("utf-8", "replace") for w in words)), np.uint64, len(words))
-            start = 0
-            for cut in (np.nonzero((_grams(h, 2) & np.uint64(CUT_MASK)) == 0)[0] + 2).tolist():
-                if cut - start >= MIN_WORDS and cut < len(words):
-                    out.append((at + start, words[start:cut]))
-                    start = cut
-            out.append((at + start, words[start:]))
-        elif words:
-            out.append((at, words))
+        if len(words) < MIN_WORDS:
+            short += words
+            continue
+        if short:
+            out += _cut(short, at)
+            at += len(short)
+            short = []
+        out += _cut(words, at)
         at += len(words)
-    return out
+    return out + (_cut(short, at) if short else [])
 
 
 def _signatures(batch_units: list[list[str]]) -> np.ndarray:

@@ -44,7 +44,7 @@ def test_chains_copies_and_odd_vectors(spark, cells, block):
             if rng.random() < 0.3:
                 rows.append((i, (v * 3).tolist() if i % 2 else v.tolist(), 1))
                 i += 1
-    rows += [(i, None, 1), (i + 1, [0.0] * 6, 1), (i + 2, [float("nan")] * 6, 1), (i + 3, [1.0, None, 0, 0, 0, 0], 1), (i + 4, [], 1),
+    rows += [(i, None, 1), (i + 1, [0.0] * 6, 1), (i + 2, [float("nan")] * 6, 1), (i + 3, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (i + 4, [], 1),
              (i + 5, [1.0, 1.0], 1), (i + 6, [1.0, 1.0], None), (i + 7, [2.0, 2.0], 1), (i + 8, [float("inf"), 1.0], 1), (i + 9, [1e-300, 1e-300], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumnRenamed("x", "node")
     assert result(ED.near_duplicates(df, cells=cells, block=block)) == slow(rows)
