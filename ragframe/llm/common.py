@@ -15,9 +15,13 @@ from ragframe.session import ensure_checkpoint_dir, ship_package
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package to the executors and make sure a shared folder is known."""
+    """Ship the package to the executors, make sure a shared folder is known, and let
+    Arrow batches hold fewer rows (whole texts are wide) unless the session says how many."""
     ship_package(spark)
     ensure_checkpoint_dir(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +54,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read back: cuts
     lineage, survives executor loss, and is read as often as needed."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
