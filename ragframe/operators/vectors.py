@@ -378,15 +378,15 @@ def _probes(queries: DataFrame, index: IvfIndex, n_probe: int, limit_col: str):
 def ann_search(queries: DataFrame, index: IvfIndex, n_probe: int | None = None, limit_col: str = "_sem_limit",
                limit_cap: int | None = None, blocks: int | None = None) -> DataFrame:
     """Approximate nearest neighbours over stored cells. A query searches the
-    ``n_probe`` nearest cells that hold rows of its context (None: a quarter of
-    all), and more until they hold its limit, so it gets min(limit, rows of its
+    ``n_probe`` nearest cells that hold rows of its context (None: two thirds of
+    all, for a recall over 0.95), and more until they hold its limit, so it gets min(limit, rows of its
     context) rows; with all cells the result is exactly ``semantic_search``'s. The
     scan reads the partitions of the probed cells only."""
     if limit_cap is None:
         limit_cap = max_limit(queries, limit_col)
     if blocks is None:
         blocks = query_blocks(queries)
-    n_probe = n_probe or max(8, len(index.centers) // 4)
+    n_probe = n_probe or max(8, 2 * len(index.centers) // 3)
     spark, sc, out = queries.sparkSession, queries.sparkSession.sparkContext, None
     kind = queries.schema["query_id"].dataType.simpleString()
     for i in range(blocks):
