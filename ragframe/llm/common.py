@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragframe.session import ensure_checkpoint_dir, ship_package
+from ragframe.session import ensure_checkpoint_dir, measured, ship_package
 
 
 def prepare(spark: SparkSession) -> None:
@@ -58,10 +58,11 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_up_to(stored: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint for a stored table of narrow rows with at most ``max_rows``
-    rows; a larger one is left to a shuffle join (AQE splits its hot keys)."""
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+def broadcast_up_to(stored: DataFrame, max_rows: int, max_bytes: int = 32 << 20) -> DataFrame:
+    """Broadcast hint for a stored table of at most ``max_rows`` rows and ``max_bytes``
+    bytes, both measured; a larger one is left to a shuffle join (AQE splits its hot keys)."""
+    rows, size = measured(stored)
+    return F.broadcast(stored) if rows <= max_rows and size <= max_bytes else stored
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], text_at: int, max_chars: int = 8 << 20) -> Iterator[pa.RecordBatch]:
