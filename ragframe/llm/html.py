@@ -7,10 +7,10 @@ over such trees: siblings that match are merged level by level, those that only
 side has become optional groups, and texts become slots with what is known of them
 (pages, characters, whether the text never changes).
 
-The wrapper then says which slots are the article: those in its article (else main,
-else content) element, or without one those whose text changes from page to page,
-outside menus, headers, footers, sidebars, notices, adverts, forms and comments. Every
-page is aligned with its host's wrapper once more and its texts in such slots are kept.
+Every page is aligned with its host's wrapper once more, and its own elements say which
+of its texts are the article: those in all its article (else main, else content)
+elements, or without one those in slots whose text changes from page to page, outside
+menus, headers, footers, sidebars, notices, adverts, forms and comments.
 
 A task folds its pages of a host into one wrapper before anything is shuffled, so only
 wrappers move, and a host with a third of all pages is no hot group. Partial wrappers
@@ -58,6 +58,8 @@ CLOSES_P = set("""address article aside blockquote center details dialog dir div
     h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table td th tr ul""".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 REPEATS = set("# p li dt dd tr td th option".split())
+BLOCKS = {"div", "section", "td", "th", "tr", "tbody", "table", "center", "figure", "blockquote", "dl", "ul", "ol", "li", "dd"}
+CONTENT = {"article", "content", "entry", "story", "post"}
 SCOPES = {"ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", "div", "article", "section", "body"}
 # ------------------------------------------------------------------------------------------
 
@@ -69,11 +71,27 @@ _BODY_START = re.compile(r"<body[\s>]", re.I)
 
 
 def _signature(tag: str, attrs: str) -> str:
-    """Tag and the words of its class, id, role and itemprop; digits do not count."""
+    """Tag and the words of its class, id, role and itemprop; digits do not count. Of an
+    element that can hold the article only the words that say so count."""
     if not attrs or "=" not in attrs:
         return tag
     words = {w.lower() for _, v in _ATTR.findall(attrs) for w in _NAME.findall(v)}
-    return ".".join([tag, *sorted(words)])
+    sig = ".".join([tag, *sorted(words)])
+    if tag == "header" or tag in ASIDE_TAGS or _marked(sig):
+        return sig
+    return {3: tag if tag == "article" else f"{tag}.article.body", 2: tag if tag == "main" else f"{tag}.main", 1: f"{tag}.content", 0: sig}[_kind(sig)]
+
+
+def _kind(sig: str) -> int:
+    """What an element's own words name it: 3 article, 2 main, 1 content, else 0."""
+    tag, *words = sig.split(".")
+    if tag == "article":
+        return 3
+    if tag == "main":
+        return 2
+    if tag not in BLOCKS:
+        return 0
+    return 3 if "articlebody" in "".join(words) else 2 if "main" in words else 1 if tag in ("div", "section", "td") and CONTENT & set(words) else 0
 
 
 def _marked(sig: str) -> bool:
@@ -297,28 +315,9 @@ def _beside(node: list, inside: bool) -> bool:
     return tag in ASIDE_TAGS or _marked(sig)
 
 
-def _regions(kids: list, wanted) -> list[list]:
-    out = []
-    for k in kids:
-        if _beside(k, False):
-            continue
-        if wanted(k[0].split(".")):
-            out.append(k)
-        else:
-            out += _regions(k[1], wanted)
-    return out
-
-
 def decide(wrapper: list) -> list:
-    """The wrapper with a truth value in place of each slot's info: kept or not."""
-    region = None
-    for wanted in (lambda s: s[0] == "article" or "articlebody" in "".join(s[1:]), lambda s: s[0] == "main" or "main" in s[1:],
-                   lambda s: s[0] in ("div", "section", "td") and {"article", "content", "entry", "story", "post"} & set(s[1:])):
-        found = _regions(wrapper, wanted)
-        if found:
-            region = max(found, key=_chars)
-            break
-
+    """The wrapper with a truth value in place of each node's info: whether an element is
+    no part of the article, and whether a slot's text is the same on all its pages."""
     def slots(node):
         return ([node] if node[0] == "#" else []) + [s for k in node[1] for s in slots(k)]
 
@@ -326,33 +325,27 @@ def decide(wrapper: list) -> list:
     pages = max((s[4][0] for s in every), default=0)
     changing = pages >= 2 and any(s[4][2] is None for s in every)
 
-    def go(kids, inside, out):
-        new = []
-        for k in kids:
-            here = inside or k is region
-            off = out or _beside(k, here)
-            keep = None
-            if k[0] == "#":
-                fixed = changing and region is None and k[4][0] >= 2 and k[4][2] is not None
-                keep = not off and (here if region is not None else not fixed)
-            new.append([k[0], go(k[1], here, off), k[2], k[3], keep])
-        return new
-    return go(wrapper, False, False)
+    def go(kids, inside):
+        return [[k[0], go(k[1], inside or _kind(k[0]) > 0), k[2], k[3],
+                 changing and k[4][0] >= 2 and k[4][2] is not None if k[0] == "#" else _beside(k, inside)] for k in kids]
+    return go(wrapper, False)
 
 
 def extract(html: str | None, decided: list) -> str:
     """The kept texts of one page, joined by an empty line."""
     tree, texts = read_page(html)
-    kept: set[int] = set()
+    found: list[tuple[list[int], set[int], bool]] = []  # places, kinds of elements around them, unchanging
 
-    def go(wrapper, kids):
+    def go(wrapper, kids, kinds):
         for x, y in _pairs(wrapper, kids):
-            if kids[y][0] == "#":
-                if wrapper[x][4]:
-                    kept.update(kids[y][4])
-            else:
-                go(wrapper[x][1], kids[y][1])
-    go(decided, tree)
+            k, known = kids[y], wrapper[x][4]
+            if k[0] == "#":
+                found.append((k[4], kinds, known))
+            elif not known:
+                go(wrapper[x][1], k[1], kinds | {_kind(k[0])})
+    go(decided, tree, {0})
+    kind = max((k for _, kinds, _ in found for k in kinds), default=0)
+    kept = {p for places, kinds, fixed in found if (kind in kinds if kind else not fixed) for p in places}
     return "\n\n".join(t for i, t in enumerate(texts) if i in kept)
 
 

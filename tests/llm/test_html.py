@@ -50,6 +50,14 @@ def test_wrapper_without_article_element_keeps_what_changes():
     assert "'table', [['tr'" in flat and any(k[0] == "table" and k[3] for k in wrapper)  # an optional group
 
 
+def test_every_page_by_its_own_regions():
+    pages = ["<article class='post category-news'><p>A one<p>A two</article>", "<article class='post category-sport'><p>B one</article>",
+             "<main><p>C one</main><p>Beside", "<div class='content wide'><p>D one</div>", "<p>E one<p>E two", "<article><p>F one</article><nav>N</nav><article class=more><p>F two</article>"]
+    _, got = one(pages)
+    assert got == ["A one\n\nA two", "B one", "C one", "D one", "E one\n\nE two", "F one\n\nF two"]
+    assert one(["<h1 class=main-title>T</h1><div class=content><p>x</div>"])[1] == ["x"]
+
+
 def test_repeated_groups():
     tree, _ = HT.read_page("<dl>" + "<dt>t<dd>d" * 4 + "</dl>")
     assert [k[0] for k in tree[0][1]] == ["(dt dd)"] and tree[0][1][0][2]
