@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,8 +38,8 @@ HELD_HOSTS = 512
 BROADCAST_BYTES = 16 << 20
 #: Elements nested deeper are read as part of their ancestor at this depth.
 MAX_DEPTH = 60
-#: Most cells of one alignment table; longer sibling lists are aligned greedily.
-MAX_CELLS = 40_000
+#: Most cells (bits) of one alignment table; longer sibling lists are halved (Hirschberg), so memory stays linear.
+MAX_CELLS = 1 << 24
 #: Longest group of siblings that is looked for as a repeated group.
 MAX_PERIOD = 4
 
@@ -54,12 +55,14 @@ STRONG = set("""ad ads adv advert adverts advertisement advertising sponsor spon
     copyright advertisment adsbygoogle contentinfo complementary""".split())
 WEAK = set("header masthead side sidebar banner share sharing social widget notice notices notification alert toolbar skip overlay".split())
 GOOD = set("article content main post entry story body text".split())
+MARKING = STRONG | WEAK | GOOD
 CLOSES_P = set("""address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table td th tr ul""".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 REPEATS = set("# p li dt dd tr td th option".split())
 BLOCKS = {"div", "section", "td", "th", "tr", "tbody", "table", "center", "figure", "blockquote", "dl", "ul", "ol", "li", "dd"}
 CONTENT = {"article", "content", "entry", "story", "post"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 SCOPES = {"ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", "div", "article", "section", "body"}
 # ------------------------------------------------------------------------------------------
 
@@ -71,11 +74,15 @@ _BODY_START = re.compile(r"<body[\s>]", re.I)
 
 
 def _signature(tag: str, attrs: str) -> str:
-    """Tag and the words of its class, id, role and itemprop; digits do not count. Of an
-    element that can hold the article only the words that say so count."""
+    """Tag and the words of its class, role and itemprop; digits do not count. Of an
+    element that can hold the article only the words that say so count, of an id those
+    that mark an element, and none of a heading's, which is the name of a place."""
     if not attrs or "=" not in attrs:
         return tag
-    words = {w.lower() for _, v in _ATTR.findall(attrs) for w in _NAME.findall(v)}
+    words = set()
+    for name, v in _ATTR.findall(attrs):
+        new = {w.lower() for w in _NAME.findall(v)}
+        words |= new if name.lower() != "id" else set() if tag in HEADINGS else new & MARKING
     sig = ".".join([tag, *sorted(words)])
     if tag == "header" or tag in ASIDE_TAGS or _marked(sig):
         return sig
@@ -109,7 +116,14 @@ def read_page(html: str | None) -> tuple[list, list[str]]:
     html = html or ""
     texts: list[str] = []
     root: list = ["", [], False, False, None]
+    # elements deeper than MAX_DEPTH are open like the others, but stand for their ancestor
     stack, names, parts, pos = [root], [""], [], 0
+    is_open: dict[str, int] = {}
+
+    def close_from(at):
+        for n in names[at:]:
+            is_open[n] -= 1
+        del stack[at:], names[at:]
 
     def text_ends():
         if parts:
@@ -148,34 +162,36 @@ def read_page(html: str | None) -> tuple[list, list[str]]:
             pos = end.end() if end else len(html)
             continue
         sig = tag if close else _signature(tag, attrs)
-        if tag in INLINE and not (close and tag in names) and (close or not _marked(sig)):
+        if tag in INLINE and not (close and is_open.get(tag)) and (close or not _marked(sig)):
             if tag == "br":
                 parts.append(" ")
             continue
         text_ends()
         if close:
-            if tag in names:
-                at = len(names) - 1 - names[::-1].index(tag)
-                del stack[at:], names[at:]
+            if is_open.get(tag):
+                close_from(next(at for at in range(len(names) - 1, 0, -1) if names[at] == tag))
             continue
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P and "p" in names:
-            at = len(names) - 1 - names[::-1].index("p")
-            if not any(n in SCOPES for n in names[at + 1:]):
-                del stack[at:], names[at:]
-        for at in range(len(names) - 1, 0, -1):
-            if names[at] in SELF_CLOSING.get(tag, ()):
-                del stack[at:], names[at:]
-                break
-            if names[at] in SCOPES:
-                break
-        if tag in VOID or attrs.rstrip().endswith("/") and tag not in CLOSES_P or len(stack) > MAX_DEPTH:
+        for ends in ({"p"} if tag in CLOSES_P else (), SELF_CLOSING.get(tag, ())):
+            if not any(is_open.get(e) for e in ends):
+                continue
+            for at in range(len(names) - 1, 0, -1):
+                if names[at] in ends:
+                    close_from(at)
+                    break
+                if names[at] in SCOPES:
+                    break
+        if tag in VOID or attrs.rstrip().endswith("/") and tag not in CLOSES_P:
             continue
-        node = [sig, [], False, False, None]
-        stack[-1][1].append(node)
-        stack.append(node)
+        if len(stack) > MAX_DEPTH:
+            stack.append(stack[-1])
+        else:
+            node = [sig, [], False, False, None]
+            stack[-1][1].append(node)
+            stack.append(node)
         names.append(tag)
+        is_open[tag] = is_open.get(tag, 0) + 1
     text_ends()
     return _fold(root[1]), texts
 
@@ -218,6 +234,48 @@ def _fold(kids: list) -> list:
     return out
 
 
+def _rows(x: list[str], y: list[str]):
+    """For each prefix of x (none first) the places of y, as zero bits, at which a longest
+    common subsequence with the prefixes of y grows (Hyyro's bit-parallel form)."""
+    places: dict[str, int] = {}
+    for j, k in enumerate(y):
+        places[k] = places.get(k, 0) | 1 << j
+    full = row = (1 << len(y)) - 1
+    yield row
+    for k in x:
+        hit = row & places.get(k, 0)
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def _lengths(x: list[str], y: list[str]) -> list[int]:
+    """Length of a longest common subsequence of x and each prefix of y."""
+    for row in _rows(x, y):
+        pass
+    return [0, *accumulate(c == "0" for c in reversed(f"{row:0{len(y)}b}"))] if y else [0]
+
+
+def _common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, exact at any length."""
+    if not x or not y:
+        return []
+    if len(x) * len(y) > MAX_CELLS and len(x) > 1:
+        half = len(x) // 2
+        left, right = _lengths(x[:half], y), _lengths(x[half:][::-1], y[::-1])
+        cut = max(range(len(y) + 1), key=lambda j: left[j] + right[len(y) - j])
+        return _common(x[:half], y[:cut]) + [(half + i, cut + j) for i, j in _common(x[half:], y[cut:])]
+    rows, i, j, out = list(_rows(x, y)), len(x), len(y), []
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif rows[i] >> j - 1 & 1:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
+
+
 def _pairs(a: list, b: list) -> list[tuple[int, int]]:
     """Places of siblings of both lists that are aligned: a longest common subsequence."""
     n, m = len(a), len(b)
@@ -229,27 +287,7 @@ def _pairs(a: list, b: list) -> list[tuple[int, int]]:
         end += 1
     out = [(i, i) for i in range(low)]
     x, y = a[low:n - end], b[low:m - end]
-    if len(x) * len(y) > MAX_CELLS:
-        j = 0
-        for i, k in enumerate(x):
-            hit = next((p for p in range(j, min(len(y), j + 50)) if _same(k, y[p])), None)
-            if hit is not None:
-                out.append((low + i, low + hit))
-                j = hit + 1
-    elif x and y:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if _same(x[i], y[j]) else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < len(x) and j < len(y):
-            if _same(x[i], y[j]):
-                out.append((low + i, low + j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
+    out += [(low + i, low + j) for i, j in _common([k[0] for k in x], [k[0] for k in y])]
     return out + [(n - e, m - e) for e in range(end, 0, -1)]
 
 
@@ -337,12 +375,14 @@ def extract(html: str | None, decided: list) -> str:
     found: list[tuple[list[int], set[int], bool]] = []  # places, kinds of elements around them, unchanging
 
     def go(wrapper, kids, kinds):
-        for x, y in _pairs(wrapper, kids):
-            k, known = kids[y], wrapper[x][4]
+        """What the wrapper does not match is judged by its own and its ancestors' words."""
+        match = {y: wrapper[x] for x, y in _pairs(wrapper, kids)}
+        for y, k in enumerate(kids):
+            w = match.get(y)
             if k[0] == "#":
-                found.append((k[4], kinds, known))
-            elif not known:
-                go(wrapper[x][1], k[1], kinds | {_kind(k[0])})
+                found.append((k[4], kinds, w is not None and w[4]))
+            elif not (_beside(k, len(kinds) > 1) if w is None else w[4]):
+                go(w[1] if w else [], k[1], kinds | {_kind(k[0])})
     go(decided, tree, {0})
     kind = max((k for _, kinds, _ in found for k in kinds), default=0)
     kept = {p for places, kinds, fixed in found if (kind in kinds if kind else not fixed) for p in places}

@@ -1,6 +1,7 @@
 """Main text of pages: given pages against their article, and planted templates."""
 
 import html
+import random
 import re
 
 from ragframe.llm import html as HT
@@ -58,6 +59,40 @@ def test_every_page_by_its_own_regions():
     assert one(["<h1 class=main-title>T</h1><div class=content><p>x</div>"])[1] == ["x"]
 
 
+def test_long_sibling_lists_are_aligned_exactly(monkeypatch):
+    def slow(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            new = [0]
+            for j, b in enumerate(y):
+                new.append(row[j] + 1 if a == b else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(3)
+    for cells in (HT.MAX_CELLS, 20):
+        monkeypatch.setattr(HT, "MAX_CELLS", cells)
+        for _ in range(200):
+            x, y = rng.choices("abcde", k=rng.randint(0, 40)), rng.choices("abcdef", k=rng.randint(0, 60))
+            got = HT._common(x, y)
+            assert len(got) == slow(x, y) and all(x[i] == y[j] for i, j in got) and got == sorted(got) and len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+
+
+def test_texts_without_a_partner_stay():
+    page = "<article>" + "".join(f"<h2 id=part-{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}>H{i}</h2><p class=k{'abcdefg'[i % 7]}>P{i}</p>" for i in range(90)) + "</article>"
+    other = "<article><section><p>S</section><ul><li>x<li>y</ul></article>"
+    decided = HT.decide(HT.to_wrapper(*HT.read_page(other)))
+    assert HT.extract(page, decided) == "\n\n".join(f"{c}{i}" for i in range(90) for c in "HP")
+    assert HT.extract("<article><nav>N</nav><div><p>a</div><div class=comments>c</div></article>", decided) == "a"
+    assert HT.read_page("<h2 id=history>x</h2>")[0][0][0] == "h2"
+    assert one([page, other])[1] == ["\n\n".join(f"{c}{i}" for i in range(90) for c in "HP"), "S\n\nx\n\ny"]
+
+
+def test_ends_of_deep_elements_close_nothing_else():
+    page = "<div><article>" + "<div>" * 80 + "deep" + "</div>" * 80 + "<p>after</article></div><p>out"
+    assert one([page])[1] == ["deep\n\nafter"]
+
+
 def test_repeated_groups():
     tree, _ = HT.read_page("<dl>" + "<dt>t<dd>d" * 4 + "</dl>")
     assert [k[0] for k in tree[0][1]] == ["(dt dd)"] and tree[0][1][0][2]
