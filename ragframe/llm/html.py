@@ -5,7 +5,7 @@ are folded: repeated runs of siblings become repeated groups. Pages of one host
 aligned one after the other with the host's wrapper, a union-free regular expression
 over such trees: siblings that match are merged level by level, those that only one
 side has become optional groups, and texts become slots with what is known of them
-(pages, characters, whether the text never changes).
+(whether different pages have it, whether the text never changes).
 
 Every page is aligned with its host's wrapper once more, and its own elements say which
 of its texts are the article: those in all its article (else main, else content)
@@ -24,6 +24,7 @@ from html import unescape
 from itertools import accumulate
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -292,12 +293,13 @@ def _pairs(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def _info(a, b):
-    """Of leaves: places of a page's texts, or (pages, characters, link share kept out, text or None)."""
+    """Of leaves: places of a page's texts, or (hash of the only page that has it or None,
+    hash of the whole text or None if it changes). Copies of a page are one page."""
     if a is None or b is None:
         return a or b
     if isinstance(a, list):
         return a + b
-    return a[0] + b[0], a[1] + b[1], a[2] if a[2] == b[2] else None
+    return tuple(x if x == y else None for x, y in zip(a, b))
 
 
 def _merged(a: list, b: list) -> list:
@@ -318,12 +320,17 @@ def align(a: list, b: list) -> list:
     return out
 
 
-def to_wrapper(tree: list, texts: list[str]) -> list:
-    """One page's wrapper: leaves know their pages, characters and unchanging text."""
+def _hash(text: str) -> str:
+    return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "replace"))
+
+
+def to_wrapper(tree: list, texts: list[str], page: str | None = None) -> list:
+    """One page's wrapper: leaves know their page and their unchanging text by hashes."""
+    page = _hash("\0".join(texts)) if page is None else page
+
     def leaf(places):
-        held = [texts[p] for p in places]
-        return 1, sum(map(len, held)), held[0][:200] if len(held) == 1 else None
-    return [[k[0], to_wrapper(k[1], texts), k[2], k[3], leaf(k[4]) if k[0] == "#" else None] for k in tree]
+        return page, _hash(texts[places[0]]) if len(places) == 1 else None
+    return [[k[0], to_wrapper(k[1], texts, page), k[2], k[3], leaf(k[4]) if k[0] == "#" else None] for k in tree]
 
 
 def _from_json(kids: list) -> list:
@@ -334,10 +341,6 @@ def load_wrapper(text: str) -> list:
     return _from_json(json.loads(text))
 
 
-def _chars(node: list) -> int:
-    return (node[4][1] if node[0] == "#" else 0) + sum(_chars(k) for k in node[1])
-
-
 def _has(node: list, tags: tuple[str, ...]) -> bool:
     return any(k[0].split(".")[0] in tags or _has(k, tags) for k in node[1])
 
@@ -360,12 +363,11 @@ def decide(wrapper: list) -> list:
         return ([node] if node[0] == "#" else []) + [s for k in node[1] for s in slots(k)]
 
     every = [s for k in wrapper for s in slots(k)]
-    pages = max((s[4][0] for s in every), default=0)
-    changing = pages >= 2 and any(s[4][2] is None for s in every)
+    changing = any(s[4] == (None, None) for s in every)
 
     def go(kids, inside):
         return [[k[0], go(k[1], inside or _kind(k[0]) > 0), k[2], k[3],
-                 changing and k[4][0] >= 2 and k[4][2] is not None if k[0] == "#" else _beside(k, inside)] for k in kids]
+                 changing and k[4][0] is None and k[4][1] is not None if k[0] == "#" else _beside(k, inside)] for k in kids]
     return go(wrapper, False)
 
 

@@ -93,6 +93,13 @@ def test_ends_of_deep_elements_close_nothing_else():
     assert one([page])[1] == ["deep\n\nafter"]
 
 
+def test_whole_texts_and_copies_of_pages():
+    lead = "The same lead of every day. " * 10
+    pages = [f"<div><p>Top line</p></div><div><h2>{t}</h2><p>{lead}{t} rest</p></div>{extra}" for t, extra in (("A", ""), ("B", "<blockquote>Only B</blockquote>"), ("C", ""))]
+    _, got = one([*pages, pages[1].replace("<h2>", "<!-- copy --><h2>")])
+    assert got[:3] == [f"A\n\n{lead}A rest", f"B\n\n{lead}B rest\n\nOnly B", f"C\n\n{lead}C rest"] and got[3] == got[1]
+
+
 def test_repeated_groups():
     tree, _ = HT.read_page("<dl>" + "<dt>t<dd>d" * 4 + "</dl>")
     assert [k[0] for k in tree[0][1]] == ["(dt dd)"] and tree[0][1][0][2]
