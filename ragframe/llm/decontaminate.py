@@ -1,10 +1,11 @@
 """Benchmark decontamination by edit distance.
 
-Texts and items are sequences of lower-cased words. A document holds an item if some
+Texts and items are sequences of lower-cased words; in scripts without spaces (Chinese,
+Japanese, Thai, ...) each letter is a word. A document holds an item if some
 run of its words is within ``max_edits = 0.2 n`` word edits of the item's n words.
 
 1. **Windows.** n words with that few edits keep a run of q words unchanged (q = 4 for
-   n >= 16, 3 from 8 on, 2 from 5 on), by counting. Only places that share such a
+   n >= 16, 3 from 8 on, 2 from 5 on; below 5 all n words, as no edit is allowed), by counting. Only places that share such a
    q-gram with an item can hold it; each gives a window of the item's size, laid so that
    the shared words coincide. Nothing is lost by this.
 2. **CGK.** A random walk writes a window to 3n symbols: at step j the current word is
@@ -14,7 +15,8 @@ run of its words is within ``max_edits = 0.2 n`` word edits of the item's n word
 3. **Bit sampling.** A table samples ``SAMPLED`` of the written positions of one of
    ``WALKS`` walks; a window passes if it agrees with its item in all samples of some
    table. The number of tables is fitted so that copies of the items with the largest
-   allowed number of random edits pass at the target recall.
+   allowed number of random edits pass at the target recall; all windows of an item of
+   which a copy failed all tables are verified.
 4. **Verification.** The exact edit distance of the item to the best run of words around
    the window decides.
 
@@ -35,18 +37,23 @@ from ragframe.llm.common import fresh, text_batches
 
 MIN_SIMILARITY = 0.8
 RECALL = 0.99
-MIN_WORDS = 5
+MIN_WORDS = 1
 WALKS, SAMPLED, MAX_TABLES = 16, 2, 512
 #: Words of items that one pass over the corpus carries at most.
 BLOCK_WORDS = 1 << 18
-#: Items that the number of tables is fitted on at most.
-FIT_ITEMS = 64
+#: Edited copies of each item that the number of tables is fitted on, and copies or windows embedded at once.
+FIT_COPIES, AT_ONCE = 8, 1 << 20
+# ---- fixed values: letters of scripts that are written without spaces -------------------
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _WORD = re.compile(r"\w+")
+_UNSPACED = re.compile(f"[{UNSPACED}]")
+_WORD_OR_LETTER = re.compile(rf"[^\W{UNSPACED}]+|(?=\w)[{UNSPACED}]")
 _SEED = 23
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return (_WORD if text.isascii() or not _UNSPACED.search(text) else _WORD_OR_LETTER).findall(text)
 
 
 def gram_size(n: int) -> int:
@@ -109,7 +116,11 @@ class Items:
         # each table: a walk, and places as shares of the item's 3n written symbols
         self.places = [(t % WALKS, rng.random(SAMPLED)) for t in range(MAX_TABLES)]
         everyone = np.arange(len(self.items))
-        self.samples = self._sample(self._pad([x for _, x in self.items]), everyone)
+        padded = self._pad([x for _, x in self.items])
+        self.samples = self._sample(padded, everyone)
+        self.starts = np.pad(padded, ((0, 0), (0, 4)), constant_values=-1)[:, :4].copy()
+        #: Items whose windows are all verified.
+        self.direct = np.zeros(len(self.items), bool)
         self.places = self.places[:tables or self._fit()]
         self.samples = self.samples[:len(self.places)]
 
@@ -142,27 +153,34 @@ class Items:
         return (self._sample(windows, who) == self.samples[:, :, who]).all(1)
 
     def _fit(self) -> int:
-        """Tables needed for ``RECALL`` on randomly edited copies of the items."""
+        """Tables needed for ``RECALL`` on randomly edited copies of the items. Items with a
+        copy that passes none of them become direct."""
         rng = np.random.default_rng(_SEED + 1)
-        who = np.repeat(np.linspace(0, len(self.items) - 1, min(FIT_ITEMS, len(self.items))).astype(int), 8) if self.items else []
+        who = np.repeat(np.nonzero(self.sizes * (1 - MIN_SIMILARITY) + 1e-9 >= 1)[0], FIT_COPIES)
         if not len(who):
             return 1
-        rows = []
-        for i in who:
-            s = list(self.items[i][1])
-            for _ in range(int((1 - MIN_SIMILARITY) * len(s) + 1e-9)):
-                at, kind = rng.integers(len(s)), rng.integers(3)
-                new = int(rng.integers(len(self.words), 2 * len(self.words) + 9))
-                if kind == 0:
-                    s[at] = new
-                elif kind == 1:
-                    s.insert(at, new)
-                elif len(s) > 1:
-                    del s[at]
-            rows.append(np.array(s[:len(self.items[i][1])], np.int64))
-        passed = np.cumsum(self.agree(self._pad(rows), who), axis=0) > 0
-        share = passed.mean(1)
-        return int(np.argmax(share >= RECALL)) + 1 if share[-1] >= RECALL else MAX_TABLES
+        first = np.empty(len(who), np.int64)  # table that a copy passes first
+        step = max(1, min(8192, AT_ONCE // self.longest))
+        for low in range(0, len(who), step):
+            rows, some = [], who[low:low + step]
+            for i in some:
+                s = list(self.items[i][1])
+                for _ in range(int((1 - MIN_SIMILARITY) * len(s) + 1e-9)):
+                    at, kind = rng.integers(len(s)), rng.integers(3)
+                    new = int(rng.integers(len(self.words), 2 * len(self.words) + 9))
+                    if kind == 0:
+                        s[at] = new
+                    elif kind == 1:
+                        s.insert(at, new)
+                    elif len(s) > 1:
+                        del s[at]
+                rows.append(np.array(s[:len(self.items[i][1])], np.int64))
+            passed = self.agree(self._pad(rows), some)
+            first[low:low + step] = np.where(passed.any(0), passed.argmax(0), MAX_TABLES)
+        share = np.cumsum(np.bincount(first, minlength=MAX_TABLES + 1)[:MAX_TABLES]) / len(who)
+        tables = int(np.argmax(share >= RECALL)) + 1 if share[-1] >= RECALL else MAX_TABLES
+        self.direct[who[first >= tables]] = True
+        return tables
 
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text (item_id, n_words, distance, start word) of each item it holds."""
@@ -188,13 +206,25 @@ class Items:
             return held
         triples = np.unique(np.stack([np.concatenate(home), np.concatenate(who), np.concatenate(start)], 1), axis=0)
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        # items without an edit: all words equal, at the first such place
+        whole = self.sizes[triples[:, 1]] * (1 - MIN_SIMILARITY) + 1e-9 < 1
+        exact, triples = triples[whole], triples[~whole]
+        for low in range(0, len(exact), 1 << 18):
+            doc, item, at = exact[low:low + (1 << 18)].T
+            same = (at >= first[doc]) & (at + self.sizes[item] < first[doc + 1])
+            for o in range(int(self.sizes[item].max())):
+                same &= (self.starts[item, o] == -1) | (seq[np.minimum(at + o, len(seq) - 1)] == self.starts[item, o])
+            doc, item, at = doc[same], item[same], at[same]
+            for r in np.unique(np.stack([doc, item], 1), axis=0, return_index=True)[1].tolist():
+                best.setdefault((int(doc[r]), int(item[r])), (0, int(at[r] + self.sizes[item[r]])))
         col = np.arange(self.longest + 1)[None, :]
-        for low in range(0, len(triples), 8192):
-            doc, item, at = triples[low:low + 8192].T
+        step = max(1, min(8192, AT_ONCE // self.longest))
+        for low in range(0, len(triples), step):
+            doc, item, at = triples[low:low + step].T
             begin, end = np.maximum(at, first[doc]), np.minimum(at + self.sizes[item], first[doc + 1] - 1)
             place = begin[:, None] + col
             windows = np.where(place < end[:, None], seq[np.minimum(place, len(seq) - 1)], -1)
-            for r in np.nonzero(self.agree(windows, item).any(0))[0].tolist():
+            for r in np.nonzero(self.direct[item] | self.agree(windows, item).any(0))[0].tolist():
                 d, i, words = int(doc[r]), int(item[r]), self.items[item[r]][1]
                 most = int((1 - MIN_SIMILARITY) * len(words) + 1e-9)
                 left = max(int(first[d]), int(at[r]) - most)
@@ -210,7 +240,7 @@ class Items:
 def _blocks(items: DataFrame, id_col: str, text_col: str):
     """The items in lists of at most about ``BLOCK_WORDS`` words."""
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct()
-    size = rows.agg(F.sum(F.size(F.split("text", r"\W+"))), F.count("*")).first()
+    size = rows.agg(F.sum(F.size(F.split("text", r"\W+")) + F.length(F.regexp_replace("text", f"[^{UNSPACED}]", ""))), F.count("*")).first()
     n = max(1, (size[0] or 0) // (BLOCK_WORDS // 2) + 1)
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else rows
@@ -223,8 +253,8 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     one entry per item that the text holds, by (block and) item; a column of that name
     is replaced. ``distance`` is in words, at most 0.2 of the item's.
 
-    Null and empty texts hold nothing. Items with a null text or fewer than five words
-    are looked for in vain: they are left out. Repeated items are looked for once, items
+    Null and empty texts hold nothing. Items with a null text or without a
+    word are left out; those under five words are looked for exactly. Repeated items are looked for once, items
     of one text are each reported. Every row of ``docs`` gives one row."""
     kind = items.schema[item_id].dataType.simpleString()
     out = docs.drop(hits_col)

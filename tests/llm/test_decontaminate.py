@@ -75,6 +75,29 @@ def test_texts_of_a_batch_are_apart():
     assert block.find(["x a b c d e f", "g h i j k l", None, "", "a b c d e f g h i j k l"]) == [[], [], [], [], [(1, 12, 0, 0)]]
 
 
+def test_short_items_and_scripts_without_spaces():
+    chinese = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\uff0c\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65\u3002"
+    block = DC.Items([(1, "one two"), (2, "Yes"), (3, "a b c d"), (4, chinese), (5, "!")])
+    got = block.find(["x one two, one two", "one. yes a b c", "a b c d", "one", "two one", "\u4ed6\u8bf4" + chinese.replace("\u5f88", "\u771f") + "\u662f", "yes yes"])
+    assert got == [[(1, 2, 0, 1)], [(2, 1, 0, 1)], [(3, 4, 0, 0)], [], [], [(4, 13, 1, 2)], [(2, 1, 0, 0)]]
+
+
+def test_items_that_no_table_passes_are_verified(monkeypatch):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(40))) for i in range(100)]
+    monkeypatch.setattr(DC, "MAX_TABLES", 1)
+    monkeypatch.setattr(DC, "SAMPLED", 12)
+    block = DC.Items(items)
+    texts = []
+    for _, text in items:
+        words = text.split()
+        for at in range(0, 40, 5):
+            words[at] = "w0"
+        texts.append(" ".join(words))
+    found = block.find(texts)
+    assert block.direct.sum() > 90 and sum(any(h[0] == i for h in f) for i, f in enumerate(found)) > 90
+
+
 def test_odd_rows_and_blocks(spark, monkeypatch):
     passage = "one two three four five six seven eight nine ten"
     rows = [(1, None, 1), (2, "", 2), (3, f"x {passage.upper()}! y", 3), (3, f"x {passage.upper()}! y", 3), (None, passage, 4), (5, "word " * 200_000 + passage, 5)]
