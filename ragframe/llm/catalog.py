@@ -11,6 +11,7 @@ from ragframe.llm import decontaminate as DC
 from ragframe.llm import embdedup as ED
 from ragframe.llm import html as HT
 from ragframe.llm import langid as LI
+from ragframe.llm import merkle as MK
 from ragframe.llm import packing as PK
 from ragframe.llm import paragraphs as PG
 from ragframe.llm import pii as PI
@@ -122,3 +123,59 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return UF.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+#: crc32 of a decimal number, unsigned, as a DuckDB expression over ``crc_table(t)``.
+_CRC_TABLE_SQL = """crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+         lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END)) AS t)"""
+
+
+def _crc_sql(number: str) -> str:
+    return f"""xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])))"""
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(
+        f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+        for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+@register(f"""
+WITH RECURSIVE {_CRC_TABLE_SQL},
+d AS (SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+             CASE WHEN {_crc_sql("doc_id")} % 5 = 0
+                  THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS claimed
+      FROM documents, crc_table),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+lev(source, lvl, pos, n, h) AS (
+  SELECT source, 0, pos, n, leaf FROM placed
+  UNION ALL SELECT source, lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM lev WHERE n > 1 GROUP BY source, lvl, pos // 16, n),
+sub AS (SELECT source, lvl, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM lev WHERE n = 1),
+toplev(lvl, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM sub
+  UNION ALL SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM toplev WHERE n > 1 GROUP BY lvl, pos // 16, n),
+walk AS (
+  SELECT p.doc_id, p.leaf, l.lvl AS step, p.pos // CAST(pow(16, l.lvl) AS BIGINT) AS at, l.pos AS sib, l.h
+  FROM placed p JOIN lev l ON l.source IS NOT DISTINCT FROM p.source AND l.n > 1
+   AND l.pos // 16 = p.pos // CAST(pow(16, l.lvl + 1) AS BIGINT)
+  UNION ALL
+  SELECT p.doc_id, p.leaf, s.lvl + l.lvl, s.pos // CAST(pow(16, l.lvl) AS BIGINT), l.pos, l.h
+  FROM placed p JOIN sub s ON s.source IS NOT DISTINCT FROM p.source JOIN toplev l ON l.n > 1
+   AND l.pos // 16 = s.pos // CAST(pow(16, l.lvl + 1) AS BIGINT)),
+seg AS (SELECT doc_id, leaf, step, coalesce(string_agg(h, '' ORDER BY sib) FILTER (WHERE sib < at), '') AS l,
+               coalesce(string_agg(h, '' ORDER BY sib) FILTER (WHERE sib > at), '') AS r FROM walk GROUP BY doc_id, leaf, step),
+fold(doc_id, leaf, step, h) AS (
+  SELECT doc_id, leaf, 0, coalesce(claimed, leaf) FROM d
+  UNION ALL SELECT f.doc_id, f.leaf, f.step + 1, sha256(s.l || f.h || s.r) FROM fold f JOIN seg s USING (doc_id, leaf, step)),
+folded AS (SELECT doc_id, leaf, arg_max(h, step) AS folded_root FROM fold GROUP BY doc_id, leaf),
+proof AS (SELECT doc_id, leaf, sha256(string_agg(l || r, '' ORDER BY step)) AS proof_sha256 FROM seg GROUP BY doc_id, leaf)
+SELECT p.doc_id, p.leaf, s.h AS subroot, t.h AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, f.folded_root,
+       f.folded_root = t.h AS verified
+FROM placed p JOIN sub s ON s.source IS NOT DISTINCT FROM p.source JOIN (SELECT h FROM toplev WHERE n = 1) t ON true
+JOIN folded f USING (doc_id, leaf) LEFT JOIN proof q USING (doc_id, leaf)""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of every document."""
+    return MK.tampered_manifest(table(spark, sf_dir, "documents"))
