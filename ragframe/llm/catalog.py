@@ -158,15 +158,15 @@ toplev(lvl, pos, n, h) AS (
   SELECT 0, pos, n, h FROM sub
   UNION ALL SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM toplev WHERE n > 1 GROUP BY lvl, pos // 16, n),
 walk AS (
-  SELECT p.doc_id, p.leaf, l.lvl AS step, p.pos // CAST(pow(16, l.lvl) AS BIGINT) AS at, l.pos AS sib, l.h
+  SELECT p.doc_id, p.leaf, l.lvl AS step, p.pos // CAST(pow(16, l.lvl) AS BIGINT) AS mine, l.pos AS sib, l.h
   FROM placed p JOIN lev l ON l.source IS NOT DISTINCT FROM p.source AND l.n > 1
    AND l.pos // 16 = p.pos // CAST(pow(16, l.lvl + 1) AS BIGINT)
   UNION ALL
   SELECT p.doc_id, p.leaf, s.lvl + l.lvl, s.pos // CAST(pow(16, l.lvl) AS BIGINT), l.pos, l.h
   FROM placed p JOIN sub s ON s.source IS NOT DISTINCT FROM p.source JOIN toplev l ON l.n > 1
    AND l.pos // 16 = s.pos // CAST(pow(16, l.lvl + 1) AS BIGINT)),
-seg AS (SELECT doc_id, leaf, step, coalesce(string_agg(h, '' ORDER BY sib) FILTER (WHERE sib < at), '') AS l,
-               coalesce(string_agg(h, '' ORDER BY sib) FILTER (WHERE sib > at), '') AS r FROM walk GROUP BY doc_id, leaf, step),
+seg AS (SELECT doc_id, leaf, step, coalesce(string_agg(h, '' ORDER BY sib) FILTER (WHERE sib < mine), '') AS l,
+               coalesce(string_agg(h, '' ORDER BY sib) FILTER (WHERE sib > mine), '') AS r FROM walk GROUP BY doc_id, leaf, step),
 fold(doc_id, leaf, step, h) AS (
   SELECT doc_id, leaf, 0, coalesce(claimed, leaf) FROM d
   UNION ALL SELECT f.doc_id, f.leaf, f.step + 1, sha256(s.l || f.h || s.r) FROM fold f JOIN seg s USING (doc_id, leaf, step)),
