@@ -14,6 +14,7 @@ from ragframe.llm import langid as LI
 from ragframe.llm import merkle as MK
 from ragframe.llm import packing as PK
 from ragframe.llm import paragraphs as PG
+from ragframe.llm import periodic as PR
 from ragframe.llm import pii as PI
 from ragframe.llm import simhash as SH
 from ragframe.llm import tokens as TK
@@ -179,3 +180,9 @@ JOIN folded f USING (doc_id, leaf) LEFT JOIN proof q USING (doc_id, leaf)""")
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of every document."""
     return MK.tampered_manifest(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document: their number, the longest one, digests of all and of the collapsed text."""
+    return PR.run_report(table(spark, sf_dir, "documents"))
