@@ -19,6 +19,7 @@ from ragframe.llm import pii as PI
 from ragframe.llm import simhash as SH
 from ragframe.llm import tokens as TK
 from ragframe.llm import urlfilter as UF
+from ragframe.llm import warc as WA
 from ragframe.llm.common import prepare, table, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +187,22 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document: their number, the longest one, digests of all and of the collapsed text."""
     return PR.run_report(table(spark, sf_dir, "documents"))
+
+
+@register("""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+first AS (SELECT payload_digest, min(page_id) AS lead FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN lead <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN lead <> page_id THEN lead END AS refers_to,
+       row_number() OVER (ORDER BY url_key, pmod, page_id) - 1 AS position
+FROM (SELECT p.*, lead, u.url_key, u.page_id % 4294967296 AS pmod FROM p LEFT JOIN first USING (payload_digest) JOIN (
+  SELECT page_id, list_aggregate(list_reverse(string_split(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www[0-9]*[.]', ''), '.')), 'string_agg', ',')
+         || ')' || CASE WHEN starts_with(tail, '/') THEN tail ELSE '/' || tail END AS url_key
+  FROM (SELECT page_id, url, regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS tail FROM pages)) u USING (page_id))""")
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and the capture's
+    position in the merged index, of every page, read back from the archives. Pages have
+    no capture time, so they count as captured one second apart by page_id."""
+    found = WA.archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
