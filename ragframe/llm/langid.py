@@ -11,9 +11,8 @@ The margin 1 - best / second best is the score; a text whose margin is below
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,15 +26,16 @@ LEVEL = 6
 #: Texts of at most so many bytes are compressed at the level that also finds short
 #: matches, behind a run of one byte (zstandard stores blocks raw that it can't shorten).
 SHORT, SHORT_LEVEL, RUN = 160, 19, bytes(64)
-#: Most labelled texts of a language, and most characters of each, that its dictionary is made of.
+#: Most labelled texts of a language, and most bytes of them (whole texts, the last one
+#: may exceed it), that its dictionary is made of.
 SAMPLE_TEXTS = 256
-SAMPLE_CHARS = 400
-#: Languages at most; every language costs one compression of every text.
-MAX_LANGUAGES = 256
+SAMPLE_BYTES = 100_000
+#: Most bytes of all dictionaries together: with very many languages each has less.
+SAMPLE_TOTAL = 64 << 20
 #: A narrower margin between the best two languages rejects a text.
 MIN_MARGIN = 0.01
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"\P{L}+")
 
 
 def letters(text: str | None) -> bytes:
@@ -44,19 +44,20 @@ def letters(text: str | None) -> bytes:
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, bytes]:
-    """Dictionary content by language, from at most ``SAMPLE_TEXTS`` texts of each
-    (those first by a hash of their id). Rows with a null language, a null text or a
-    text without letters teach nothing; no usable row gives no language."""
+    """Dictionary content by language, from at most ``SAMPLE_TEXTS`` whole texts and about
+    ``SAMPLE_BYTES`` bytes of each (those first by a hash of their id; any number of
+    languages, which share ``SAMPLE_TOTAL`` bytes). Rows with a null language, a null text
+    or a text without letters teach nothing; no usable row gives no language."""
+    rows = (labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+            .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")))
+    languages = rows.agg(F.countDistinct("lang")).first()[0]
+    most = min(SAMPLE_BYTES, SAMPLE_TOTAL // max(1, languages))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "text")
-    rows = (labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"),
-                            F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("text"))
-            .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-            .withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_TEXTS)
-            .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("texts"))
-            .orderBy("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return {r.lang: b" ".join(letters(t.text) for t in r.texts) for r in rows}
+    before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = (rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_TEXTS)
+            .withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") < most) | (F.col("n") == 1))
+            .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("texts")).collect())
+    return {r.lang: b" ".join(letters(t.text) for t in r.texts)[-2 * most:] for r in rows}
 
 
 class Model:

@@ -4,7 +4,7 @@
 and the ids are remembered (two generations of a bounded table). A piece is a word with
 the space before it (byte-level BPE) or a word (BPE that drops white space): both
 tokenizers split there first, so the pieces' ids in a row are the text's ids. Texts in
-which a cut at a space could differ are encoded whole.
+which a cut at a space could differ, or that hold an added token's string, are encoded whole.
 
 **Files.** A file is a row of blocks and an index, each followed by a newline byte. A
 block holds at most ``BLOCK_TOKENS`` ids, each in the fewest bits that the vocabulary
@@ -71,12 +71,14 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.tok.no_truncation()
         self.tok.no_padding()
         self.tokenize = self.tok.model.tokenize
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
+        # texts with a token's own string in them are encoded whole
+        self.added = [t["content"].lower() for t in made.get("added_tokens") or []]
+        self.signs = {t[:1] for t in self.added}
         pre = made.get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers", [pre])
         if made.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
@@ -128,8 +130,9 @@ class Encoder:
         return self._encode(self.lead + piece) if ids is None else ids
 
     def _whole(self, text: str) -> bool:
-        """Whether a cut at each space could change the ids: beside other white space."""
-        if self.lead is None:
+        """Whether a cut at each space could change the ids: beside other white space, or
+        where the string of an added token stands in the text (in any case of letters)."""
+        if self.lead is None or any(c in text or c.upper() in text for c in self.signs) and any(t in text.lower() for t in self.added):
             return True
         return bool(self.lead) and (text[:1] == " " or text[-1:] == " " or any(pair in text for pair in _ODD_PAIRS))
 

@@ -50,10 +50,13 @@ def test_chains_copies_and_odd_vectors(spark, cells, block):
     assert result(ED.near_duplicates(df, cells=cells, block=block)) == slow(rows)
 
 
-def test_check_data_against_sql(spark):
-    import duckdb
-    rows = duckdb.sql("SELECT vec_id, embedding, label FROM '/root/testdata/check_h/embeddings.parquet/*.parquet' WHERE label = 1 ORDER BY vec_id").fetchall()[:1500]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+def test_hot_label_against_all_pairs(spark):
+    """One label holds most rows: a large group of equal vectors, one of near copies, and singles."""
+    rng = np.random.default_rng(8)
+    base, near = rng.standard_normal(64), rng.standard_normal(64)
+    vectors = [base] * 400 + [near + rng.standard_normal(64) * 0.05 for _ in range(300)] + list(rng.standard_normal((800, 64)))
+    rows = [(i, np.float32(v).tolist(), 1 if i % 9 else 2) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(7)
     assert result(ED.near_duplicates(df, block=64)) == slow(rows)
 
 

@@ -121,7 +121,7 @@ def test_odd_rows(spark):
     rows = [(1, None, "<p>x</p>", 1), (2, "http://a/b", None, 1), (3, "http://a/c", "", 1), (3, "http://a/c", "<article><p>y</article>", 1), (3, "http://a/c", "<article><p>y</article>", 1), (None, "http://a/d", "<p>q", 2)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
     got = sorted(HT.extract_pages(pages).collect(), key=lambda r: (r.page_id or 0, r.text))
-    assert [(r.page_id, r.text, r.n_chars) for r in got] == [(None, "", 0), (1, "x", 1), (2, "", 0), (3, "", 0), (3, "y", 1), (3, "y", 1)]
+    assert [(r.page_id, r.text, r.n_chars) for r in got] == [(None, "q", 1), (1, "x", 1), (2, "", 0), (3, "", 0), (3, "y", 1), (3, "y", 1)]
     assert HT.extract_pages(pages.limit(0)).count() == 0
 
 

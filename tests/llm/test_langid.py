@@ -45,3 +45,20 @@ def test_odd_rows(spark):
     assert LI.identify(docs.limit(0), {"de": b"x"}).count() == 0
     assert {r.lang_pred for r in LI.identify(docs, {}).collect()} == {"und"}
     assert LI.fit(spark.createDataFrame([(1, "a", None), (2, None, "de"), (3, "7", "de")], "doc_id long, text string, lang string")) == {}
+
+
+def test_number_signs_are_no_letters():
+    model = LI.Model({"de": b"das haus und der garten", "en": b"the house and the garden"})
+    for text in ("½ ²", "Ⅷ", "①②", "٣ _ 7", "§ €"):
+        assert model.predict(text) == ("und", 0.0)
+    assert model.predict("the house and the garden Ⅷ")[0] == "en"
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """300 languages, whose dictionaries share a bound in bytes; whole texts are learned from."""
+    rows = [(i, "kalt " * 500 + f"word{chr(97 + i % 26)}{chr(97 + i // 26)}", f"l{i % 300}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = LI.fit(docs)
+    assert len(got) == 300 and all(v.count(b"word") == 2 for v in got.values())
+    monkeypatch.setattr(LI, "SAMPLE_TOTAL", 300 * 100)
+    assert sum(map(len, LI.fit(docs).values())) <= 2 * 300 * 100

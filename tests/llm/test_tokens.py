@@ -17,9 +17,7 @@ SF = "/root/testdata/sf0.01"
 @functools.cache
 def tokenizer(path):
     from tokenizers import Tokenizer
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    return tok
+    return Tokenizer.from_file(path)
 
 
 def whole(path, text):
@@ -42,7 +40,7 @@ def test_pieces_give_the_ids_of_the_whole_text(name):
     enc = TK.Encoder(vocabulary(name))
     texts = ["", " ", "  a", "a  b", "a \n b", "a\n b", "a\t b", "a ", "\n", "don't we'll 's", "x<|endoftext|>y <|endoftext|>", "İstanbul ΑΣ ÉÑ", "a\u00a0 b", "!\x1c! \x1c", "naïve 你好 world  ",
              "a\u3000 b", "e\u0301 \u0301x", " ".join(str(i) for i in range(3000)), "Wörter, Größe. Ñandú;\nÉté. x.\ny z,\nÎle I\u0307x ŉ ſt ÅÅ ﬁn", "word.\n\nNext a.\n b ,. x., y,\nz.",
-             "<|startoftext|>, a <|endoftext|>."]
+             "<|startoftext|>, a <|endoftext|>.", "a <|endoftext|> b", "<|ENDOFTEXT|> x <|StartOfText|>", "<|endoftext|>", "a<|endoftext|><|endoftext|> b <|endof text|>"]
     for t in texts:
         assert enc.encode(t).tolist() == whole(vocabulary(name), t), repr(t)
     texts += [r[0] for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' ORDER BY doc_id LIMIT 150").fetchall()]
