@@ -528,37 +528,37 @@ def _html_sql(x: str) -> str:
     return f"regexp_replace(regexp_replace({s}, '[ \\t\\r\\f\\v]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
+_EXTRA_PAGES = [(-1, "application/pdf", "no magic"), (-2, "text/html", None), (-3, None, "plain <text>"), (-4, "application/json", '{"a": 1}')]
+
+
 @register("parse_documents", f"""
-SELECT page_id, CASE WHEN page_id % 3 <> 2 THEN {_html_sql('html')} END AS text,
-       CASE WHEN page_id % 3 = 2 THEN 'no parser for application/pdf' END AS parse_error FROM pages""")
+SELECT page_id, {_html_sql('html')} AS text, CAST(NULL AS VARCHAR) AS parse_error FROM pages
+UNION ALL SELECT * FROM (VALUES (-1, NULL, 'no parser for application/pdf'), (-2, NULL, 'no content'), (-3, 'plain <text>', NULL),
+  (-4, '{{"a": 1}}', NULL)) t(page_id, text, parse_error)""")
 def q_parse_documents(spark, sf):
-    """Pages as raw bytes: a third typed as HTML, a third of unknown type (detected),
-    a third of a type without a parser (rejected)."""
+    """All pages as raw bytes, half typed as HTML and half of unknown type (detected), and
+    four files added by hand: without a parser, without content, plain text, JSON."""
     p = TD.read(spark, sf, "pages")
-    mime = F.when(F.col("page_id") % 3 == 0, "text/html").when(F.col("page_id") % 3 == 2, "application/pdf")
-    files = p.select("page_id", F.encode("html", "UTF-8").alias("content"), mime.alias("mime"))
-    return IG.parse_documents(files).select("page_id", "text", "parse_error")
+    files = p.select("page_id", F.encode("html", "UTF-8").alias("content"), F.when(F.col("page_id") % 2 == 0, "text/html").alias("mime"))
+    extra = spark.createDataFrame(_EXTRA_PAGES, "page_id long, mime string, content string").select(
+        "page_id", F.encode("content", "UTF-8").alias("content"), "mime")
+    return IG.parse_documents(files.unionByName(extra)).select("page_id", "text", "parse_error")
 
 
-@register("chunk_documents", r"""
-SELECT doc_id AS document_id, md5(regexp_replace(text, '\s+', '', 'g')) AS digest, true AS within, true AS dense
-FROM documents WHERE trim(text) <> ''""")
+@register("chunk_documents", "WITH RECURSIVE " + TD.chunks_sql("documents", 512).strip() + """
+SELECT doc_id AS document_id, fragment_index, length(value) AS n_chars, md5(value) AS digest FROM chunks""")
 def q_chunk_documents(spark, sf):
-    """Per document: digest of all pieces without white space, whether every piece is
-    within the size, and whether the fragment indexes are dense."""
+    """Every piece of every document, with the splitter's own overlap."""
     d = TD.read(spark, sf, "documents").select(F.col("doc_id").alias("document_id"),
                                                 F.col("source").alias("context_id"), "text")
-    out = IG.chunk_documents(d, 512, overlap=0)
-    return _document_digest(out).select("document_id", "digest", "within", "dense")
+    out = IG.chunk_documents(d, 512)
+    return out.select("document_id", "fragment_index", F.length("value").cast("long").alias("n_chars"), F.md5("value").alias("digest"))
 
 
 def _document_digest(fragments: DataFrame) -> DataFrame:
     pieces = F.array_sort(F.collect_list(F.struct("fragment_index", "value")))
-    g = fragments.groupBy("document_id").agg(
-        F.array_join(F.transform(pieces, lambda x: x["value"]), "").alias("_all"),
-        (F.max(F.length("value")) <= 512).alias("within"), F.count(F.lit(1)).alias("n"),
-        ((F.min("fragment_index") == 0) & (F.max("fragment_index") == F.count(F.lit(1)) - 1)).alias("dense"))
-    return g.withColumn("digest", F.md5(F.regexp_replace("_all", r"\s+", ""))).drop("_all")
+    return fragments.groupBy("document_id").agg(
+        F.md5(F.array_join(F.transform(pieces, lambda x: x["value"]), "\n")).alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
 @register("index_fragments", TD.sql_with("line_chunks") + """
@@ -589,32 +589,33 @@ def q_embed_chunks(spark, sf):
 
 
 def _uploaded(spark, sf):
-    """The whole upload path: the uploads that are admitted, as files with their MIME
-    type, into tables that hold the labelled documents already."""
+    """The whole upload path: all files, checked, read by their MIME type, into tables that
+    hold the labelled documents already."""
     labelled = TD.read(spark, sf, "labels").select(F.col("doc_id").alias("document_id")).distinct()
     have = TD.documents_table(spark, sf).join(labelled, "document_id", "left_semi")
     emb = V.embed_chunks(TD.labelled_chunks(spark, sf), dim=64)
-    files = TB.admit_uploads(TD.uploads(spark, sf)).where("valid").select(F.col("file_id").alias("document_id"), "mime")
-    d = TD.read(spark, sf, "documents").select(
-        F.col("doc_id").alias("document_id"), F.col("source").alias("context_id"),
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.encode("text", "UTF-8").alias("content"))
-    new = IG.ingest_if_absent(d.join(files, "document_id"), emb)
-    return IG.ingest(new, have, emb, max_chars=512, dim=64, now=_now(), overlap=0)
+    sent = TB.admit_uploads(TD.upload_files(spark, sf)).where("valid").select(
+        F.col("file_id").alias("document_id"), "context_id", F.concat(F.lit("doc-"), F.col("file_id").cast("string")).alias("name"), "content", "mime")
+    return IG.ingest(IG.ingest_if_absent(sent, emb), have, emb, max_chars=512, dim=64, now=_now())
 
 
-_UPLOADED_SQL = ",\n".join(["WITH " + _UPLOADS_SQL.strip(), f"""
-held AS (SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
-sent AS (SELECT d.*, u.mime FROM documents d JOIN uploads u ON u.file_id = d.doc_id
-         WHERE list_contains({_ALLOWED_SQL}, u.mime) AND NOT (u.size > {K.MAX_UPLOAD_BYTES})
-           AND d.doc_id NOT IN (SELECT doc_id FROM held))"""])
+_UPLOADED_SQL = f"""
+WITH RECURSIVE extra(doc_id, mime, size, text) AS (VALUES {", ".join(f"({i}, '{m}', {n}, " + ("NULL" if t is None else f"'{t}'") + ")" for i, m, n, t in TD.EXTRA_FILES)}),
+files AS (SELECT doc_id, source AS context_id, 'text/plain' AS mime, octet_length(encode(text)) AS size, text FROM documents
+          UNION ALL SELECT doc_id, 'extra', mime, size, text FROM extra),
+held AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+sent AS (SELECT * FROM files WHERE list_contains({_ALLOWED_SQL}, mime) AND NOT (size > {K.MAX_UPLOAD_BYTES})
+           AND doc_id NOT IN (SELECT doc_id FROM held)),
+new AS (SELECT doc_id, text FROM sent WHERE mime <> 'application/pdf' AND text IS NOT NULL)"""
 
 
-@register("ingest", _UPLOADED_SQL + """
-SELECT doc_id AS document_id, md5(regexp_replace(text, '\\s+', '', 'g')) AS digest, true AS dense, true AS in_documents, true AS ids_follow
-FROM documents WHERE doc_id IN (SELECT doc_id FROM held) OR doc_id IN (SELECT doc_id FROM sent WHERE mime <> 'application/pdf')""")
+@register("ingest", _UPLOADED_SQL + "," + TD.chunks_sql("new", 512) + """
+SELECT doc_id AS document_id, md5(text) AS digest, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n, true AS in_documents, true AS ids_follow FROM held
+UNION ALL
+SELECT doc_id, md5(string_agg(value, chr(10) ORDER BY fragment_index)), count(value), true, true FROM new LEFT JOIN chunks USING (doc_id) GROUP BY doc_id""")
 def q_ingest(spark, sf):
-    """Both tables after the upload, per document: digest of its fragments' text, dense
-    indexes, a document row, and new ids that follow the largest old one."""
+    """Both tables after the upload of every document, per document: digest of its fragments
+    in order, their number, a document row, and new ids that follow the largest old one."""
     docs, emb, _rej = _uploaded(spark, sf)
     labelled = TD.read(spark, sf, "labels").select(F.col("doc_id").alias("document_id"), F.lit(True).alias("old")).distinct()
     top = TD.labelled_chunks(spark, sf).agg(F.max("id").alias("m")).scalar()
@@ -622,11 +623,13 @@ def q_ingest(spark, sf):
     follow = F.when(F.col("old"), F.col("last") <= top).otherwise(F.col("first") > top)
     out = _document_digest(emb).join(docs.select("document_id", F.lit(True).alias("in_documents")), "document_id", "full")
     return out.join(ids.select("document_id", follow.alias("ids_follow")), "document_id", "left").select(
-        "document_id", "digest", "dense", F.coalesce("in_documents", F.lit(False)).alias("in_documents"), "ids_follow")
+        "document_id", "digest", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("in_documents", F.lit(False)).alias("in_documents"),
+        F.coalesce("ids_follow", F.lit(True)).alias("ids_follow"))
 
 
 @register("ingest_rejects", _UPLOADED_SQL + """
-SELECT doc_id AS document_id, source AS context_id, 'no parser for ' || mime AS error FROM sent WHERE mime = 'application/pdf'""")
+SELECT doc_id AS document_id, context_id, CASE WHEN text IS NULL THEN 'no content' ELSE 'no parser for ' || mime END AS error
+FROM sent WHERE mime = 'application/pdf' OR text IS NULL""")
 def q_ingest_rejects(spark, sf):
     """Uploads that were admitted and could not be parsed."""
     return _uploaded(spark, sf)[2].select("document_id", "context_id", "error")

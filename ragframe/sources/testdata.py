@@ -97,6 +97,7 @@ def documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names' types and sizes for the admission check alone: every fifth is of each type."""
     d = read(spark, sf_dir, "documents").select("doc_id", "n_chars")
     mimes = F.array(F.lit("application/pdf"), F.lit("text/plain"), F.lit("text/html"),
                     F.lit("image/png"), F.lit(""))
@@ -107,6 +108,21 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Files added by hand: (id, MIME type, size, content).
+EXTRA_FILES = [(-1, "application/pdf", 9, "no magic "), (-2, "image/png", 3, "png"), (-3, "text/plain", 1 << 40, "too large"),
+               (-4, "text/plain", 0, None), (-5, "text/plain", 8, "an extra"), (-6, "application/pdf", 4, "text")]
+
+
+def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files``: every document as an uploaded file of its own type and size, and the files added by hand."""
+    d = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("file_id"), F.col("source").alias("context_id"), F.lit("text/plain").alias("mime"),
+        F.octet_length("text").cast("long").alias("size"), F.encode("text", "UTF-8").alias("content"))
+    extra = spark.createDataFrame(EXTRA_FILES, "file_id long, mime string, size long, content string").select(
+        "file_id", F.lit("extra").alias("context_id"), "mime", "size", F.encode("content", "UTF-8").alias("content"))
+    return d.unionByName(extra)
+
+
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_chunks``: each document line is one fragment (chunk 0). Ids are
     document * (most lines of a document) + line, so they never collide."""
@@ -238,6 +254,53 @@ def _vectors_sql(name: str, src: str, key: str, text: str, body: str) -> str:
 {name} AS ({body})"""
 
 
+def chunks_sql(src: str, max_chars: int, overlap: int = K.CHUNK_OVERLAP_CHARS) -> str:
+    """Views that end with ``chunks`` (doc_id, fragment_index, value): the pieces of the
+    texts of ``src`` (doc_id, text) by the splitter's rule. Needs ``WITH RECURSIVE``. A
+    text is split at the coarsest separator, pieces that are too long at the next one, and
+    neighbours are packed greedily; each piece then begins with the whole last sentences of
+    the one before it that fit in ``overlap``."""
+    room = max_chars - overlap - 1 if 0 < overlap < max_chars // 2 else max_chars
+    sentences = "string_split(regexp_replace({t}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    return f"""
+whole AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM {src}),
+node(doc_id, path, lvl, t) AS (
+  SELECT doc_id, CAST([] AS BIGINT[]), -1, t FROM whole WHERE length(t) > {max_chars}
+  UNION ALL
+  SELECT doc_id, list_append(path, i), lvl + 1, parts[i]
+  FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM (
+    SELECT doc_id, path, lvl, CASE lvl
+        WHEN -1 THEN regexp_split_to_array(t, '\\s*\\n\\s*\\n\\s*') WHEN 0 THEN regexp_split_to_array(t, '\\s*\\n\\s*')
+        WHEN 1 THEN {sentences.format(t="t")} WHEN 2 THEN regexp_split_to_array(t, '\\s+')
+        ELSE list_transform(range(0, length(t), {room}), lambda k: substr(t, k + 1, {room})) END AS parts
+    FROM node WHERE length(t) > {room} AND lvl < 4)) WHERE parts[i] <> ''),
+sib AS (SELECT *, path[:-2] AS parent, path[-1] AS i, length(t) > {room} AS big, CASE lvl WHEN 0 THEN 2 ELSE 1 END AS jl FROM node WHERE lvl >= 0),
+atom AS (SELECT * FROM (SELECT *, sum(CAST(big AS INTEGER)) OVER (PARTITION BY doc_id, parent ORDER BY i) AS box FROM sib) WHERE NOT big),
+placed AS (SELECT *, row_number() OVER w AS k, sum(length(t) + jl) OVER w AS upto FROM atom
+           WINDOW w AS (PARTITION BY doc_id, parent, box ORDER BY i)),
+jump AS (SELECT a.doc_id, a.parent, a.box, a.k, min(b.k) AS nxt FROM placed a LEFT JOIN placed b
+           ON b.doc_id = a.doc_id AND b.parent = a.parent AND b.box = a.box AND b.k > a.k
+          AND (a.lvl = 4 OR b.upto - (a.upto - length(a.t) - a.jl) - a.jl > {room})
+         GROUP BY a.doc_id, a.parent, a.box, a.k),
+start(doc_id, parent, box, k, nxt) AS (
+  SELECT * FROM jump WHERE k = 1
+  UNION ALL SELECT j.* FROM start s JOIN jump j ON j.doc_id = s.doc_id AND j.parent = s.parent AND j.box = s.box AND j.k = s.nxt),
+packed AS (
+  SELECT s.doc_id, min(p.path) AS path, string_agg(CASE WHEN p.k = s.k THEN '' WHEN p.lvl = 0 THEN chr(10) || chr(10) WHEN p.lvl = 1 THEN chr(10) ELSE ' ' END || p.t, '' ORDER BY p.k) AS t
+  FROM start s JOIN placed p ON p.doc_id = s.doc_id AND p.parent = s.parent AND p.box = s.box AND p.k >= s.k AND (s.nxt IS NULL OR p.k < s.nxt)
+  GROUP BY s.doc_id, s.parent, s.box, s.k),
+pieces AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS fragment_index, t, CAST(NULL AS VARCHAR) AS prev FROM whole WHERE t <> '' AND length(t) <= {max_chars}
+  UNION ALL
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1, t, lag(t) OVER (PARTITION BY doc_id ORDER BY path) FROM packed),
+tails AS (
+  SELECT *, list_filter(list_transform(range(1, len(s)), lambda k: array_to_string(s[-k:], ' ')), lambda x: length(x) <= {overlap}) AS fit
+  FROM (SELECT *, list_filter({sentences.format(t="coalesce(prev, '')")}, lambda x: x <> '') AS s FROM pieces)),
+chunks AS (
+  SELECT doc_id, fragment_index, CASE WHEN len(fit) > 0 AND length(fit[-1]) + 1 + length(t) <= {max_chars} THEN fit[-1] || ' ' || t ELSE t END AS value
+  FROM tails)"""
+
+
 SQL_VIEWS: dict[str, str] = {
     "ctx": f"""
 ctx AS (
