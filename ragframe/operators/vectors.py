@@ -346,57 +346,87 @@ def ivf_build(fragments: DataFrame, path: str | None = None, n_cells: int | None
     return IvfIndex(np.array(model.clusterCenters()), cells, spark.read.parquet(f"{path}/sizes"))
 
 
-def _probes(queries: DataFrame, index: IvfIndex, n_probe: int, limit_col: str):
-    """(query_id, cell) of the cells that each query of one block searches: its
-    ``n_probe`` nearest ones of its context, and as many more as hold ``limit``
-    rows together. A query without a direction searches all cells."""
-    rows = queries.select("query_id", "context_id", "embedding", limit_col).toArrow()
-    dim = index.centers.shape[1]
-    found, ok = _vectors(rows.column("embedding").combine_chunks(), dim)
-    norm = np.linalg.norm(found, axis=1, keepdims=True)
-    near = np.zeros((rows.num_rows, len(index.centers)))
-    near[ok] = np.where(norm > 0, found / np.where(norm > 0, norm, 1), 0) @ index.centers.T
-    plain = ~ok
-    plain[np.nonzero(ok)[0]] = norm[:, 0] == 0
-    wanted = queries.select("context_id").distinct()
-    held = {}
-    for r in index.sizes.join(F.broadcast(wanted), "context_id").collect():  # contexts of the block x cells
-        held.setdefault(r["context_id"], np.zeros(len(index.centers), np.int64))[r["cell"]] = r["n"]
-    out = []
-    for i, (qid, ctx, limit) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("query_id", "context_id", limit_col)))):
-        n = held.get(ctx)
-        if n is None:
+def _probed(table: dict, index: IvfIndex, sizes: pa.Table, n_probe: int, limit_col: str) -> dict:
+    """By context of the block, which cells each of its queries searches (queries x cells):
+    the ``n_probe`` nearest ones with rows of the context, and as many more as hold the
+    query's limit. A query without a direction searches all of them."""
+    k = len(index.centers)
+    held = {c: np.zeros(k, np.int64) for c in table}
+    for c, cell, n in zip(*(sizes.column(x).to_pylist() for x in ("context_id", "cell", "n"))):
+        held[c][cell] = n
+    out = {}
+    for name, (queries, mat, ok) in table.items():
+        full = held[name] > 0
+        norm = np.sqrt(np.einsum("ij,ij->i", mat, mat, dtype=np.float64))
+        plain = ~ok | (norm == 0)
+        if mat.shape[1] != index.centers.shape[1]:
+            out[name] = np.repeat(full[None], len(mat), axis=0)
             continue
-        order = np.argsort(-near[i], kind="stable")
-        order = order[n[order] > 0]
-        before = np.cumsum(n[order]) - n[order]
-        take = order if plain[i] else order[(np.arange(len(order)) < n_probe) | (before < limit)]
-        out += [(qid, int(c)) for c in take]
+        near = np.where(full, mat.astype(np.float64) @ index.centers.T / np.where(plain, 1, norm)[:, None], -np.inf)
+        order = np.argsort(-near, axis=1, kind="stable")
+        before = np.cumsum(held[name][order], axis=1) - held[name][order]
+        limit = np.array([n or 0 for n in queries.column(limit_col).to_pylist()])
+        take = (np.arange(k) < n_probe) | (before < limit[:, None])
+        mask = np.zeros((len(mat), k), bool)
+        np.put_along_axis(mask, order, take, axis=1)
+        out[name] = (mask | plain[:, None]) & full
     return out
 
 
+def _cell_kernel(bc, keys: list[str], carry: list[str], cap: int):
+    """:func:`_block_kernel` over stored cells: the rows of a (context, cell) meet the
+    queries of the context that search this cell."""
+    def run(batches):
+        table, probed = bc.value
+        for batch in batches:
+            ctx = batch.column(batch.schema.get_field_index("context_id")).dictionary_encode()
+            cell = batch.column(batch.schema.get_field_index("cell")).to_numpy(zero_copy_only=False).astype(np.int64)
+            names = ctx.dictionary.to_pylist()
+            codes = pc.fill_null(ctx.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = np.where(codes < 0, -1, codes * (cell.max(initial=0) + 1) + cell)
+            for g in np.unique(group[group >= 0]):
+                name, c = names[g // (cell.max() + 1)], g % (cell.max() + 1)
+                if name not in table:
+                    continue
+                asked = np.nonzero(probed[name][:, c])[0]
+                if not len(asked):
+                    continue
+                queries, mat, ok = table[name]
+                part = batch.take(pa.array(np.nonzero(group == g)[0]))
+                part = part.take(pc.sort_indices(part.column(part.schema.get_field_index("id"))))
+                chosen = queries.take(pa.array(asked)), mat[asked], ok[asked]
+                step = max(1, MAX_BLOCK_CELLS // len(asked))
+                for lo in range(0, part.num_rows, step):
+                    yield _score_block(part.slice(lo, step), *chosen, keys, carry, cap)
+    return run
+
+
 def ann_search(queries: DataFrame, index: IvfIndex, n_probe: int | None = None, limit_col: str = "_sem_limit",
                limit_cap: int | None = None, blocks: int | None = None) -> DataFrame:
-    """Approximate nearest neighbours over stored cells. A query searches the
-    ``n_probe`` nearest cells that hold rows of its context (None: two thirds of
-    all, for a recall over 0.95), and more until they hold its limit, so it gets min(limit, rows of its
-    context) rows; with all cells the result is exactly ``semantic_search``'s. The
-    scan reads the partitions of the probed cells only."""
+    """C10 over stored cells. A query searches the ``n_probe`` nearest cells that hold rows
+    of its context (None: two thirds of all, for a recall over 0.95 on vectors that are
+    hardly clustered), and more until they hold its limit, so it gets min(limit, rows of its
+    context) rows; with all cells the result is exactly ``semantic_search``'s. The scan reads
+    the partitions of the probed cells only. A block's vectors go to the tasks once, with a
+    bit for each query and cell."""
     if limit_cap is None:
         limit_cap = max_limit(queries, limit_col)
     if blocks is None:
         blocks = query_blocks(queries)
     n_probe = n_probe or max(8, 2 * len(index.centers) // 3)
-    spark, sc, out = queries.sparkSession, queries.sparkSession.sparkContext, None
-    kind = queries.schema["query_id"].dataType.simpleString()
+    sc, out = queries.sparkSession.sparkContext, None
+    keys = ["id", *FRAGMENT_KEYS]
+    schema = T.StructType([index.cells.schema[k] for k in keys] + [queries.schema["query_id"], T.StructField("semantic_score", T.DoubleType()),
+                                                                   queries.schema[limit_col]])
     for i in range(blocks):
         block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        probes = _probes(block, index, n_probe, limit_col)
-        pairs = spark.createDataFrame(probes, f"query_id {kind}, cell int")
-        group = F.concat_ws("#", F.col("context_id"), F.col("cell").cast("string"))
-        asked = block.select("query_id", "context_id", "embedding", limit_col).join(F.broadcast(pairs), "query_id").withColumn("_grp", group)
-        cells = index.cells.where(F.col("cell").isin(sorted({c for _, c in probes}) or [-1])).withColumn("_grp", group)
-        top = _nearest(_block_scores(sc, asked, cells, [limit_col], limit_cap, "_grp"), limit_col, limit_cap)
+        table = _query_table(block, [limit_col])
+        wanted = F.broadcast(block.select("context_id").distinct())
+        probed = _probed(table, index, index.sizes.join(wanted, "context_id").toArrow(), n_probe, limit_col)
+        cells = np.nonzero(np.any([m.any(axis=0) for m in probed.values()], axis=0))[0].tolist() if probed else []
+        rows = index.cells.where(F.col("cell").isin(cells or [-1]))
+        kernel = _cell_kernel(sc.broadcast((table, probed)), keys, [limit_col], max(int(limit_cap), 1))
+        top = _nearest(rows.select(*keys, "embedding", "cell").mapInArrow(kernel, schema), limit_col, limit_cap)
         top = top if blocks == 1 else checkpoint(top)
         out = top if out is None else out.unionByName(top)
     return out

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ragframe import constants as K
 from ragframe.functions.vector import norm_expr
 from ragframe.operators import chat as CH
+from ragframe.operators import codes as BC
 from ragframe.operators import commands as CM
 from ragframe.operators import config as CF
 from ragframe.operators import evals as EV
@@ -255,14 +256,27 @@ def _ivf(spark, sf):
     return _kept(spark, ("ivf", id(spark), sf, TD.version(spark, sf)), lambda: V.ivf_build(_fragments(spark, sf)))
 
 
+def _codes(spark, sf):
+    return _kept(spark, ("codes", id(spark), sf, TD.version(spark, sf)), lambda: BC.code_build(_fragments(spark, sf), dim=64))
+
+
 @register("ann_search")
 def q_ann_search(spark, sf):
+    """The approximate search by binary codes and each query's recall against the exact one."""
     st = _stages(spark, sf)
-    approx = V.ann_search(st["queries"], _ivf(spark, sf))
+    approx = BC.code_search(st["queries"], _codes(spark, sf))
     rec = V.recall_at_k(approx, st["sem_top"])
     return approx.join(rec, "query_id", "left").select("query_id", "id", "semantic_score", "recall")
 
 
+@register("ann_search_all_codes", retrieval_with() + f"\nSELECT {_sel(SEM_COLS)} FROM sem_top")
+def q_ann_search_all_codes(spark, sf):
+    """The same path with a shortlist of every row of the context: the exact result."""
+    index = _codes(spark, sf)
+    rows = index.codes.count()
+    return BC.code_search(_stages(spark, sf)["queries"], index, oversample=rows).select(*SEM_COLS)
+
+
 @register("ann_search_all_cells", retrieval_with() + f"\nSELECT {_sel(SEM_COLS)} FROM sem_top")
 def q_ann_search_all_cells(spark, sf):
     """The approximate search's own path with every cell probed: the exact result."""
