@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragframe.llm.common import fresh, text_batches
+from ragframe.llm.common import broadcast_up_to, fresh, shared_table, text_batches
 
 UNKNOWN = "und"
 BLOCK = 1024
@@ -49,15 +49,22 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     languages, which share ``SAMPLE_TOTAL`` bytes). Rows with a null language, a null text
     or a text without letters teach nothing; no usable row gives no language."""
     rows = (labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")))
-    languages = rows.agg(F.countDistinct("lang")).first()[0]
+            .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("size", F.octet_length("text")))
+    # chosen without their texts, which are read afterwards; rows of one id share its place
+    light = rows.select("lang", "id", "size")
+    languages = light.agg(F.countDistinct("lang")).first()[0]
     most = min(SAMPLE_BYTES, SAMPLE_TOTAL // max(1, languages))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "text")
-    before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = (rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_TEXTS)
-            .withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") < most) | (F.col("n") == 1))
-            .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("texts")).collect())
-    return {r.lang: b" ".join(letters(t.text) for t in r.texts)[-2 * most:] for r in rows}
+
+    def first(df, *ties):
+        order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), *ties)
+        df = df.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_TEXTS)
+        before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        return df.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") < most) | (F.col("n") == 1)).drop("before")
+
+    chosen = shared_table(first(light, "size").select("lang", F.xxhash64("id").alias("key")).distinct(), "sample")
+    texts = rows.withColumn("key", F.xxhash64("id")).join(broadcast_up_to(chosen, 1_000_000), ["lang", "key"], "left_semi")
+    found = first(texts, "size", "text").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("texts")).collect()
+    return {r.lang: b" ".join(letters(t.text) for t in r.texts)[-2 * most:] for r in found}
 
 
 class Model:
