@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -136,23 +137,62 @@ class Encoder:
             return True
         return bool(self.lead) and (text[:1] == " " or text[-1:] == " " or any(pair in text for pair in _ODD_PAIRS))
 
+    def _lower(self, text: str) -> str:
+        """The text, for a model without capitals in lower case where that is a matter of
+        course: fewer pieces to remember."""
+        if not self.lead:
+            try:
+                text.encode("latin-1")
+                return text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text
+
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of one text; null is empty."""
         if not text:
             return np.empty(0, "<u4")
         if self._whole(text):
             return np.frombuffer(self._encode(text), "<u4")
-        if not self.lead:
-            try:  # in these letters the lower case is a matter of course: fewer pieces to remember
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        words = text.split(" ")
+        words = self._lower(text).split(" ")
         first = [self._encode(words.pop(0))] if self.lead else []
         return np.frombuffer(b"".join([*first, *map(self.pieces.__getitem__, words)]), "<u4")
 
 
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text. The texts' pieces are counted off in one table, so every
+        distinct one is looked up once, and the ids are gathered by number."""
+        out = [np.empty(0, "<u4")] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if self._whole(t):
+                out[i] = self.encode(t)
+            else:
+                plain.append(i)
+        if not plain:
+            return out
+        cut = pc.split_pattern(pa.array([self._lower(texts[i]) for i in plain], pa.large_string()), " ")
+        ends = cut.offsets.to_numpy()
+        pieces = cut.flatten().dictionary_encode()
+        codes = pieces.indices.to_numpy().astype(np.int64)
+        ids = list(map(self.pieces.__getitem__, pieces.dictionary.to_pylist()))
+        if self.lead:  # a text's first word has no space before it
+            first = ends[:-1]
+            ids += [self._encode(w) for w in cut.flatten().take(pa.array(first)).to_pylist()]
+            codes[first] = len(pieces.dictionary) + np.arange(len(first))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        held = np.frombuffer(b"".join(ids), "<u4")
+        n = size[codes]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        found = held[np.arange(upto[-1]) + np.repeat(start[codes] - upto[:-1], n)]
+        for i, a, b in zip(plain, upto[ends[:-1]].tolist(), upto[ends[1:]].tolist()):
+            out[i] = found[a:b]
+        return out
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -287,7 +327,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int |
             return pa.RecordBatch.from_arrays([pa.array(items, pa.binary())], ["block"]) if items else None
 
         for batch in text_batches(batches, 1, 4 << 20):
-            ids = map(enc.encode, batch.column(1).to_pylist())
+            ids = enc.encode_many(batch.column(1).to_pylist())
             for doc_id, i in zip(batch.column(0).to_pylist(), ids):
                 got = packed(out.add(doc_id, np.concatenate([i, tail])))
                 if got is not None:

@@ -45,6 +45,9 @@ def test_pieces_give_the_ids_of_the_whole_text(name):
         assert enc.encode(t).tolist() == whole(vocabulary(name), t), repr(t)
     texts += [r[0] for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' ORDER BY doc_id LIMIT 150").fetchall()]
     assert all(enc.encode(t).tolist() == whole(vocabulary(name), t) for t in texts)
+    many = TK.Encoder(vocabulary(name)).encode_many([None, *texts, "", None])
+    assert [m.tolist() for m in many] == [whole(vocabulary(name), t) for t in [None, *texts, "", None]]
+    assert TK.Encoder(vocabulary(name)).encode_many([]) == [] and len(TK.Encoder(vocabulary(name)).encode_many([None])[0]) == 0
 
 
 def test_memory_of_pieces_is_bounded(monkeypatch):
