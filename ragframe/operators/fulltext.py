@@ -126,7 +126,7 @@ def bm25_stats(fragments: DataFrame, id_col: str = "id", text_col: str = "value"
     doc_freq = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # one-row totals (partial aggregation map-side)
     totals = fwd.agg(F.count(F.lit(1)).alias("n_docs"),
-                     (F.sum("dl").cast("double") / F.count(F.lit(1))).alias("avgdl"))
+                     F.try_divide(F.sum("dl").cast("double"), F.count(F.lit(1))).alias("avgdl"))
     if materialize:
         doc_freq, totals = checkpoint(doc_freq), checkpoint(totals)
     return Bm25Index(postings, doc_freq, totals, stored=materialize)

@@ -23,6 +23,7 @@ from ragframe.operators import fusion as FU
 from ragframe.operators import ingest as IG
 from ragframe.operators import maintenance as M
 from ragframe.operators import prompt as PR
+from ragframe.operators import textindex as TI
 from ragframe.operators import vectors as V
 from ragframe.plans.oracle_retrieval import RETRIEVED_COLS, retrieval_with
 from ragframe.plans.retrieve import retrieval_stages
@@ -138,6 +139,31 @@ def q_bm25_search(spark, sf):
     return _stages(spark, sf)["fts_top"].select(*FTS_COLS)
 
 
+def _text_index(spark, sf):
+    """The stored index in blocks of the whole fragment table."""
+    return _kept(spark, ("text_index", id(spark), sf, TD.version(spark, sf)), lambda: TI.TextIndex.create(
+        spark, f"{ensure_checkpoint_dir(spark)}/text-index-{uuid.uuid4().hex}", _fragments(spark, sf)))
+
+
+@register("bm25_search_blocks", retrieval_with() + f"\nSELECT {_sel(FTS_COLS)} FROM fts_top")
+def q_bm25_search_blocks(spark, sf):
+    """The search that reads only the blocks of postings that can reach each query's threshold."""
+    return _text_index(spark, sf).search(_stages(spark, sf)["queries"]).select(*FTS_COLS)
+
+
+@register("index_upkeep", retrieval_with("kept_corpus") + f"\nSELECT {_sel(FTS_COLS)} FROM fts_top")
+def q_index_upkeep(spark, sf):
+    """An index of the labelled documents, to which all others are appended and from which
+    the toxic ones are deleted: its search finds what a fresh index of the rest would."""
+    f = _fragments(spark, sf)
+    labels = TD.read(spark, sf, "labels").select(F.col("doc_id").alias("document_id")).distinct()
+    index = TI.TextIndex.create(spark, f"{ensure_checkpoint_dir(spark)}/text-index-{uuid.uuid4().hex}",
+                                f.join(labels, "document_id", "left_semi"), batch="labelled")
+    index.append(f.join(labels, "document_id", "left_anti"), batch="others")
+    index.delete(_keys(spark, sf, F.col("toxic") == 1), batch="toxic")
+    return index.search(_stages(spark, sf)["queries"]).select(*FTS_COLS)
+
+
 @register("context_post_filter", retrieval_with() + f"\nSELECT {_sel(FTS_COLS)} FROM fts_ctx")
 def q_context_post_filter(spark, sf):
     return _stages(spark, sf)["fts_ctx"].select(*FTS_COLS)

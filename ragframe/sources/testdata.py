@@ -341,6 +341,9 @@ dup_corpus AS (
   SELECT * FROM corpus
   UNION ALL
   SELECT id + (SELECT max(id) + 1 FROM corpus), context_id, document_id, fragment_index, chunk_index, value, embedding FROM corpus)""",
+    "kept_corpus": """
+kept_corpus AS (
+  SELECT * FROM corpus WHERE document_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))""",
     "line_chunks": """
 line_chunks AS (
   SELECT document_id * (SELECT max(len(string_split(text, chr(10)))) FROM documents) + fragment_index AS id,
