@@ -23,7 +23,6 @@ no query needs aren't scanned. The result equals the exhaustive search's."""
 from __future__ import annotations
 
 import itertools
-import json
 import math
 
 import pandas as pd
@@ -36,6 +35,7 @@ from ragframe.functions.text import tokens
 from ragframe.operators.fulltext import (BROADCAST_MAX_ROWS, FRAGMENT_KEYS, Bm25Index, max_limit, query_tokens,
                                          term_frequencies)
 from ragframe.session import broadcast_if_small, checkpoint, fits
+from ragframe.sources import versions
 
 LEVELS = 32
 #: Tokens in fewer fragments of a segment than this are one class.
@@ -76,21 +76,16 @@ class TextIndex:
     @staticmethod
     def open(spark: SparkSession, path: str) -> "TextIndex":
         """The latest whole version under ``path``."""
-        path = path.rstrip("/")
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        whole = [n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/{n}/_SUCCESS"))]
-        text = spark.read.text(f"{path}/manifest/{max(whole)}").first()[0]
-        return TextIndex(spark, path, json.loads(text))
+        found = versions.latest(spark, path.rstrip("/"))
+        if found is None:
+            raise FileNotFoundError(f"no text index under {path}")
+        return TextIndex(spark, path.rstrip("/"), found)
 
     def _commit(self, changes: dict, batch: str | None = None) -> "TextIndex":
-        done = {**self.manifest, **changes, "version": self.manifest["version"] + 1}
+        done = {**self.manifest, **changes}
         if batch is not None:
             done["batches"] = [*self.manifest["batches"], batch]
-        row = self.spark.createDataFrame([(json.dumps(done),)], "value string")
-        row.coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/v{done['version']:09d}")
-        self.manifest = done
+        self.manifest = versions.commit(self.spark, self.path, done)
         return self
 
     def done(self, batch: str | None) -> bool:

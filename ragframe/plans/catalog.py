@@ -30,6 +30,7 @@ from ragframe.plans.retrieve import retrieval_stages
 from ragframe.session import ensure_checkpoint_dir
 from ragframe.sources import tables as TB
 from ragframe.sources import testdata as TD
+from ragframe.streaming import ingest as SI
 from ragframe.streaming import responses as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -675,6 +676,29 @@ def q_ingest_rejects(spark, sf):
     return _uploaded(spark, sf)[2].select("document_id", "context_id", "error")
 
 
+_SENT_SQL = _UPLOADED_SQL.replace("AND doc_id NOT IN (SELECT doc_id FROM held)", "")
+
+
+@register("ingest_stream", _SENT_SQL + "," + TD.chunks_sql("new", 512) + """
+SELECT doc_id AS document_id, 'doc-' || CAST(doc_id AS VARCHAR) AS name, md5(string_agg(value, chr(10) ORDER BY fragment_index)) AS digest,
+       count(value) AS n, (SELECT count(*) FROM chunks) AS n_ids
+FROM new LEFT JOIN chunks USING (doc_id) GROUP BY doc_id""")
+def q_ingest_stream(spark, sf):
+    """Every document as a file that arrives in a stream of several micro-batches: both tables
+    afterwards, per document, and the number of distinct ids (1 to n_ids)."""
+    base = f"{ensure_checkpoint_dir(spark)}/arriving-{uuid.uuid4().hex}"
+    sent = TB.admit_uploads(TD.upload_files(spark, sf)).where("valid").select(
+        F.col("file_id").alias("document_id"), "context_id", F.concat(F.lit("doc-"), F.col("file_id").cast("string")).alias("name"), "content", "mime")
+    sent.repartition(4, "document_id").write.parquet(f"{base}/files")
+    files = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", "1").parquet(f"{base}/files")
+    store = SI.Store(spark, f"{base}/tables")
+    SI.ingest_stream(files, store, f"{base}/progress", now=_now()).awaitTermination()
+    emb = store.embeddings()
+    ids = emb.agg(F.when(F.min("id") >= 1, F.countDistinct("id")).alias("n")).where(F.col("n") == F.lit(store.manifest()["max_id"]))
+    return store.documents().select("document_id", "name").join(_document_digest(emb), "document_id", "left").select(
+        "document_id", "name", "digest", F.coalesce("n", F.lit(0)).alias("n"), ids.select("n").scalar().alias("n_ids"))
+
+
 @register("ingest_if_absent", TD.sql_with("docs", "labelled_chunks") + """
 SELECT document_id, context_id FROM docs d
 WHERE NOT EXISTS (SELECT 1 FROM labelled_chunks c WHERE c.context_id = d.context_id AND c.document_id = d.document_id)""")
