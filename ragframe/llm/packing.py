@@ -3,7 +3,7 @@
 A document's token ids are counted in hashed buckets, the unit vector of the counts is
 projected to few dimensions, and its place on a Hilbert curve through them is the
 document's key: documents with near keys use alike tokens. Documents are range-sorted
-by key and laid end to end; sequences of ``length`` tokens are cut from that line, so
+by key, in ranges of equal bytes, and laid end to end; sequences of ``length`` tokens are cut from that line, so
 neighbours on the curve share sequences and only the last sequence of a partition can
 be short. That rest is cut at powers of two, which need no padding.
 
@@ -28,8 +28,10 @@ from ragframe.llm.tokens import encoder
 
 LENGTH = 2048
 BUCKETS, DIMS, CURVE_BITS = 512, 3, 10
-#: Bytes of ids that one packing task gets.
+#: Bytes of ids that one packing task gets, and the leading bits of the curve's keys by
+#: which they are counted: a task's range ends at such a stretch.
 TASK_BYTES = 16 << 20
+CELL_BITS = 16
 _SEED = 7
 
 
@@ -133,7 +135,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, length: in
         enc = encoder(vocabulary)
         wide = "<u2" if enc.bits <= 16 and end_id < 1 << 16 else "<u4"
         for batch in text_batches(batches, 1, 4 << 20):
-            found = [np.append(i, np.uint32(end_id)) for i in map(enc.encode, batch.column(1).to_pylist())]
+            found = [np.append(i, np.uint32(end_id)) for i in enc.encode_many(batch.column(1).to_pylist())]
             keys = hilbert_key(np.array([curve_point(i) for i in found]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys), pa.array([wide == "<u2"] * len(found)), pa.array([i.astype(wide).tobytes() for i in found])],
@@ -142,8 +144,14 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, length: in
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     stored = shared_table(rows.mapInArrow(encode, f"doc_id {kind}, curve long, narrow boolean, ids binary"), "packing-ids")
-    size = stored.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    tasks = max(1, size // TASK_BYTES + 1)
+    # bytes by stretch of the curve: at most 65,536 rows, whatever the number of documents
+    cell = F.shiftright("curve", DIMS * CURVE_BITS - CELL_BITS)
+    held = sorted(map(tuple, stored.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("ids") + F.lit(32))).collect()))
+    ranges, before = [], 0
+    for c, n in held:
+        ranges.append((c, before // TASK_BYTES, max(1, -(-n // TASK_BYTES))))
+        before += n
+    tasks = max([1, *[first + parts for _, first, parts in ranges]])
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
@@ -170,6 +178,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, length: in
         if pieces:
             yield batch_of(pieces, id_type)
 
-    line = stored.withColumn("tie", F.xxhash64("ids")).repartitionByRange(tasks, "curve", "doc_id", "tie")
-    line = line.sortWithinPartitions("curve", "doc_id", "tie").select("doc_id", "narrow", "ids")
+    # a stretch with more than a task's bytes is dealt to several tasks by hash
+    cells = F.broadcast(stored.sparkSession.createDataFrame(ranges, "cell long, first int, parts int"))
+    line = stored.withColumn("tie", F.xxhash64("ids")).join(cells, cell.cast("long") == F.col("cell"))
+    line = line.withColumn("part", F.col("first") + F.pmod(F.xxhash64("doc_id", "tie"), F.col("parts")).cast("int"))
+    line = line.repartitionById(tasks, "part").sortWithinPartitions("curve", "doc_id", "tie").select("doc_id", "narrow", "ids")
     return line.mapInArrow(cut, schema)
