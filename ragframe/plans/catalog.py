@@ -30,6 +30,7 @@ from ragframe.plans.retrieve import retrieval_stages
 from ragframe.session import ensure_checkpoint_dir
 from ragframe.sources import tables as TB
 from ragframe.sources import testdata as TD
+from ragframe.streaming import answers as SA
 from ragframe.streaming import ingest as SI
 from ragframe.streaming import responses as ST
 
@@ -1149,6 +1150,26 @@ def q_assemble_answers_stream(spark, sf):
     return ST.run_to_table(ST.assemble_answers_stream(TD.event_file_stream(spark, sf)), "answers")
 
 
+_ANSWERS_STREAM_SQL = ORACLES["assemble_answers_stream"]
+
+
+@register("assemble_answers_by_bucket", _ANSWERS_STREAM_SQL)
+def q_assemble_answers_by_bucket(spark, sf):
+    """The answers with a state in small entries by query and bucket of sequence numbers."""
+    return SA.run(SA.assemble_answers_by_bucket(TD.event_file_stream(spark, sf)), "answers")
+
+
+@register("subscribe_streams", TD.sql_with("event_stream") + _SUBS_SQL + """
+SELECT query_id, seq, type, content, epoch_us(ts) AS ts_us FROM subscribed""")
+def q_subscribe_streams(spark, sf):
+    """Events and subscriptions (at each query's first event) both arrive as streams."""
+    path = f"{ensure_checkpoint_dir(spark)}/subscriptions-{uuid.uuid4().hex}"
+    subs = CH.first_event_subscriptions(TD.event_stream(spark, sf))
+    subs.write.parquet(path)
+    arriving = spark.readStream.schema(subs.schema).parquet(path)
+    return _with_micros(ST.run_to_table(SA.subscribe_streams(TD.event_file_stream(spark, sf), arriving), "subscribed"))
+
+
 @register("subscribe_responses_stream", TD.sql_with("event_stream") + _SUBS_SQL + """
 SELECT query_id, seq, type, content, epoch_us(ts) AS ts_us FROM subscribed""")
 def q_subscribe_responses_stream(spark, sf):

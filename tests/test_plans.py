@@ -9,7 +9,8 @@ import __spark_entry__ as E
 from ragframe.plans import catalog
 
 QUERIES = {name: q for name, q in E.queries().items() if name in catalog.QUERIES}
-STREAMING = {"assemble_answers_stream", "subscribe_responses_stream", "ingest_stream"}
+STREAMING = {"assemble_answers_stream", "subscribe_responses_stream", "ingest_stream",
+             "assemble_answers_by_bucket", "subscribe_streams"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMING))
