@@ -31,6 +31,7 @@ from ragframe.session import ensure_checkpoint_dir
 from ragframe.sources import tables as TB
 from ragframe.sources import testdata as TD
 from ragframe.streaming import answers as SA
+from ragframe.streaming import chat as SC
 from ragframe.streaming import ingest as SI
 from ragframe.streaming import responses as ST
 
@@ -784,6 +785,26 @@ def q_response_events(spark, sf):
     return CH.response_events(ans, _stages(spark, sf)["retrieved"])
 
 
+@register("answer_stream", retrieval_with() + _CTX_TEXT_SQL + r""",
+ans AS (SELECT query_id, regexp_extract_all(CASE WHEN t = '' THEN 'I don''t know.' ELSE t END, '(\s*\S+)', 1) AS parts
+  FROM (SELECT query_id, trim(regexp_replace(regexp_extract("user", '(?s)<context>\s*(.*?)\s*</context>', 1), '\s+', ' ', 'g')) AS t FROM rendered)),
+frag AS (SELECT query_id, count(*) AS n FROM retrieved GROUP BY query_id)
+SELECT a.query_id, CAST(0 AS BIGINT) AS seq, 'Retrieval' AS type, CAST(NULL AS VARCHAR) AS part, CAST(COALESCE(f.n, 0) AS BIGINT) AS n_fragments
+FROM ans a LEFT JOIN frag f USING (query_id)
+UNION ALL SELECT query_id, CAST(generate_subscripts(parts, 1) AS BIGINT), 'Partial', unnest(parts), NULL FROM ans
+UNION ALL SELECT query_id, CAST(len(parts) + 1 AS BIGINT), 'Finished', NULL, NULL FROM ans""")
+def q_answer_stream(spark, sf):
+    """Every question as a stream of several micro-batches against the stored fragments and
+    index: the events in the log afterwards."""
+    base = f"{ensure_checkpoint_dir(spark)}/questions-{uuid.uuid4().hex}"
+    q = TD.queries(spark, sf)
+    q.repartition(3, "query_id").write.parquet(f"{base}/asked")
+    asked = spark.readStream.schema(q.schema).option("maxFilesPerTrigger", "1").parquet(f"{base}/asked")
+    log = SC.EventLog(spark, f"{base}/log")
+    SC.answer_stream(asked, log, f"{base}/progress", _fragments(spark, sf), TD.contexts(spark, sf), _index(spark, sf)).awaitTermination()
+    return log.table().select("query_id", "seq", "type", F.when(F.col("type") == K.EVENT_PARTIAL, F.col("content")).alias("part"), "n_fragments")
+
+
 _SUBS_SQL = """,
 subs AS (SELECT query_id, min(ts) AS start_ts FROM event_stream GROUP BY query_id),
 subscribed AS (

@@ -7,9 +7,9 @@ literal caps that let Spark push the limits below the shuffles are the maxima
 over the batch, read in one single-row aggregate together with the batch size.
 Those numbers also *prove* the size of every small side before it is broadcast:
 
-* query tokens   <= n_queries * max distinct tokens per query
+* query tokens   <= n_queries * max distinct tokens per query, and the bytes of their texts
 * query vectors  <= n_queries * dimension
-* expanded band  <= n_queries * rrf cap * (lookBack + lookAhead + 1)
+* expanded band  <= matches, measured in rows and bytes, * (lookBack + lookAhead + 1)
 
 Above the bounds the query vectors are sent in several blocks, and the other
 sides are joined by shuffle (AQE handles skew); the stages stay the same.
@@ -28,7 +28,7 @@ from ragframe.operators.fulltext import (Bm25Index, bm25_search, bm25_stats, con
                                          fulltext_rank)
 from ragframe.operators.fusion import dedupe_fragments, dedupe_matches, expand_neighbors, rrf_fuse
 from ragframe.operators.vectors import semantic_rank, semantic_search
-from ragframe.session import checkpoint, conf_int, fits
+from ragframe.session import checkpoint, conf_int, fits, measured
 
 SETTINGS_COLS = ["_fts_limit", "_sem_limit", "_rrf_limit", "_look_back", "_look_ahead"]
 BROADCAST_MAX_ROWS = "ragframe.broadcast.maxRows"
@@ -44,6 +44,17 @@ class BatchBounds:
     band_cap: int
     max_query_tokens: int
     dim: int
+    text_bytes: int
+    key_bytes: int
+
+    def tokens_fit(self, max_rows: int, max_bytes: int) -> bool:
+        """Whether the batch's query tokens, with their settings, may be broadcast."""
+        rows = self.n_queries * self.max_query_tokens
+        return rows <= max_rows and self.text_bytes + rows * (64 + self.key_bytes // max(self.n_queries, 1)) <= max_bytes
+
+    def keys_fit(self, max_rows: int, max_bytes: int) -> bool:
+        """Whether the batch's context ids may be broadcast."""
+        return self.n_queries <= max_rows and self.key_bytes + self.n_queries * 16 <= max_bytes
 
 
 def with_settings(queries: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
@@ -76,9 +87,11 @@ def batch_bounds(q: DataFrame, text_col: str = "query") -> BatchBounds:
         F.max(F.col("_look_back") + F.col("_look_ahead") + 1).alias("band"),
         F.max(F.size(F.array_distinct(tokens(text_col)))).alias("toks"),
         F.max(F.size("embedding")).alias("dim"),
+        F.sum(F.octet_length(text_col)).alias("bytes"), F.sum(F.octet_length("context_id")).alias("keys"),
     ).first()
     return BatchBounds(int(r["n"] or 0), int(r["fts"] or 0), int(r["sem"] or 0), int(r["rrf"] or 0),
-                       int(r["band"] or 1), max(int(r["toks"] or 0), 0), max(int(r["dim"] or 0), 0))
+                       int(r["band"] or 1), max(int(r["toks"] or 0), 0), max(int(r["dim"] or 0), 0),
+                       int(r["bytes"] or 0), int(r["keys"] or 0))
 
 
 def _only(fragments: DataFrame, keys: DataFrame, on: list[str], small: bool) -> DataFrame:
@@ -131,12 +144,12 @@ def retrieval_stages(queries: DataFrame, fragments: DataFrame, contexts: DataFra
 
     def fts_top():
         return bm25_search(q(), ix(), "_fts_limit", max(b().fts_cap, 1), scope,
-                           broadcast_tokens=b().n_queries * b().max_query_tokens <= max_rows,
+                           broadcast_tokens=b().tokens_fit(max_rows, max_bytes),
                            carry=SETTINGS_COLS)
 
     def sem_top():
         # vector search only ever reads the batch's contexts
-        return semantic_search(q(), _only(fragments, q(), ["context_id"], b().n_queries <= max_rows), "_sem_limit",
+        return semantic_search(q(), _only(fragments, q(), ["context_id"], b().keys_fit(max_rows, max_bytes)), "_sem_limit",
                                max(b().sem_cap, 1), blocks=max(1, -(-b().n_queries * (b().dim * 4 + 64) // max_bytes)),
                                method=method, carry=SETTINGS_COLS)
 
@@ -146,7 +159,9 @@ def retrieval_stages(queries: DataFrame, fragments: DataFrame, contexts: DataFra
         return checkpoint(found) if materialize_matches else found
 
     def expanded():
-        small = b().n_queries * b().rrf_cap * b().band_cap <= max_rows
+        # the stored matches are measured in rows and bytes; each meets a band of fragments
+        rows, size = measured(st["matches"])
+        small = rows * b().band_cap <= max_rows and size * b().band_cap <= 2 * max_bytes
         # text is read of the matched documents only
         frags = _only(fragments, st["matches"], ["context_id", "document_id"], small)
         return expand_neighbors(st["matches"], frags, broadcast_matches=small, with_vectors=with_vectors)

@@ -10,7 +10,7 @@ from ragframe.plans import catalog
 
 QUERIES = {name: q for name, q in E.queries().items() if name in catalog.QUERIES}
 STREAMING = {"assemble_answers_stream", "subscribe_responses_stream", "ingest_stream",
-             "assemble_answers_by_bucket", "subscribe_streams"}
+             "assemble_answers_by_bucket", "subscribe_streams", "answer_stream"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMING))

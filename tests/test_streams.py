@@ -96,3 +96,50 @@ def test_subscriptions_as_a_stream(spark, base):
         subscriptions = arriving(spark, f"{base}/s{k}", subs, "query_id long, start_ts timestamp", b)
         got = SA.subscribe_streams(events, subscriptions, 200, events_delay="20 minutes", subscriptions_delay="20 minutes")
         assert plain(ST.run_to_table(got, path=f"{base}/out{k}")) == want
+
+
+def chat_world(spark):
+    """Two contexts with the default settings, fragments with vectors, and questions."""
+    from ragframe.operators import vectors as V
+    from ragframe.sources import tables as TB
+    one = TB.default_context(spark.createDataFrame([], TB.S.CONTEXTS)).drop("is_default")
+    contexts = one.withColumn("context_id", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    lines = [(d * 10 + i, "ab"[d % 2], d, i, 0, f"topic{d} fact{i} of document {d}") for d in range(8) for i in range(6)]
+    f = spark.createDataFrame(lines, "id long, context_id string, document_id long, fragment_index long, chunk_index long, value string").withColumn(
+        "metadata", F.create_map().cast("map<string,string>"))
+    questions = [(i, "ab"[i % 2], f"what is topic{i % 8} fact{i % 6}", at(i)) for i in range(12)] + [(99, "none", "no context", at(99))]
+    return contexts, V.embed_chunks(f), questions
+
+
+def events(df):
+    return sorted((r.query_id, r.seq, r.ts, r.type, r.content, r.n_fragments) for r in df.collect())
+
+
+def test_questions_as_a_stream(spark, base):
+    """Any cut into micro-batches gives the batch's events; a failed batch is replayed, one
+    that was logged does nothing; D7 over the log gives each question's answer."""
+    from ragframe.functions.plugins import extractive_completer
+    from ragframe.streaming import chat as SC
+    contexts, fragments, questions = chat_world(spark)
+    schema = "query_id long, context_id string, query string, asked_at timestamp"
+    want = events(SC.answer_batch(spark.createDataFrame(questions, schema), fragments, contexts))
+    assert {e[0] for e in want} == set(range(12)) and {e[3] for e in want} == {"Retrieval", "Partial", "Finished"}
+    stream, log = arriving(spark, f"{base}/q", questions, schema, 3), SC.EventLog(spark, f"{base}/log")
+    plain = extractive_completer()
+
+    def broken(batch):
+        if any("topic4" in str(m) for m in batch["messages"]):
+            raise RuntimeError("model is away")
+        return plain(batch)
+
+    with pytest.raises(Exception, match="model is away"):
+        SC.answer_stream(stream, log, f"{base}/c", fragments, contexts, completer=broken).awaitTermination()
+    assert len(log.manifest()["batches"]) < 3
+    SC.answer_stream(stream, log, f"{base}/c", fragments, contexts).awaitTermination()
+    assert events(log.table()) == want
+    log.add(log.table(), "000000000")
+    assert events(log.table()) == want
+    answers = SA.run(SA.assemble_answers_by_bucket(log.stream(), watermark="1 second"), path=f"{base}/answers").collect()
+    got = {r.query_id: r.answer for r in answers}
+    assert got == {q: "".join(e[4] for e in want if e[0] == q and e[3] == "Partial") for q in range(12)}
+    assert all(r.status == "finished" for r in answers)
