@@ -19,6 +19,7 @@ from ragframe import constants as K
 from ragframe.functions import plugins
 from ragframe.functions.text import embedding_input
 from ragframe.operators import maintenance as M
+from ragframe.operators.filetypes import check_types
 from ragframe.operators.vectors import embed_chunks
 from ragframe.session import broadcast_if_small, checkpoint
 
@@ -36,11 +37,13 @@ def detect_type(content: bytes) -> str:
 
 
 def parse_documents(files: DataFrame, parsers: dict | None = None, content_col: str = "content",
-                    mime_col: str | None = "mime", out_col: str = "text", error_col: str = "parse_error") -> DataFrame:
+                    mime_col: str | None = "mime", out_col: str = "text", error_col: str = "parse_error",
+                    verify_types: bool = False) -> DataFrame:
     """B1: bytes -> plain text with a pluggable ``mime -> parser`` map. Without a
     MIME type it is detected from the content (HTML or text). A file that cannot
     be parsed -- no content, no parser for its type, or a parser that fails -- has
-    NULL text and the reason in ``error_col``; it never fails the job."""
+    NULL text and the reason in ``error_col``; it never fails the job. With
+    ``verify_types`` a file whose content contradicts its MIME type is one of these."""
     parsers = parsers or plugins.default_parsers()
     result = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 
@@ -66,8 +69,12 @@ def parse_documents(files: DataFrame, parsers: dict | None = None, content_col:
         return pd.DataFrame({"text": pd.Series(texts, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     mime = F.col(mime_col) if mime_col and mime_col in files.columns else F.lit(None).cast("string")
-    return (files.withColumn("_parsed", _parse(F.col(content_col), mime))
-            .withColumn(out_col, F.col("_parsed.text")).withColumn(error_col, F.col("_parsed.error")).drop("_parsed"))
+    wrong = F.lit(None).cast("string")
+    if verify_types and mime_col and mime_col in files.columns:
+        files, wrong = check_types(files, content_col, mime_col, "_detected", "_wrong"), F.col("_wrong")
+    out = files.withColumn("_parsed", _parse(F.when(wrong.isNull(), F.col(content_col)), mime))
+    return (out.withColumn(out_col, F.col("_parsed.text")).withColumn(error_col, F.coalesce(wrong, F.col("_parsed.error")))
+            .drop("_parsed", "_detected", "_wrong"))
 
 
 # --------------------------------------------------------------------------

@@ -18,6 +18,7 @@ from ragframe.operators import codes as BC
 from ragframe.operators import commands as CM
 from ragframe.operators import config as CF
 from ragframe.operators import evals as EV
+from ragframe.operators import filetypes as FY
 from ragframe.operators import fulltext as FT
 from ragframe.operators import fusion as FU
 from ragframe.operators import ingest as IG
@@ -588,6 +589,30 @@ def q_parse_documents(spark, sf):
     return IG.parse_documents(files.unionByName(extra)).select("page_id", "text", "parse_error")
 
 
+_TYPED_FILES = [("a.png", "text/plain", "89504E470D0A1A0A"), ("b.pdf", "application/pdf", "255044462D312E37"), ("c.json", "application/json", "7B20"),
+                ("d.json", "application/json", "7B7D"), ("e.pdf", "application/pdf", "74657874"), ("f.zip", "application/epub+zip", "504B030400"), ("g", "", "FF00")]
+
+
+@register("detect_types", """
+SELECT 'page-' || CAST(page_id AS VARCHAR) AS name, 'text/html' AS detected, CAST(NULL AS VARCHAR) AS type_error FROM pages
+UNION ALL SELECT 'doc-' || CAST(doc_id AS VARCHAR), 'text/plain', NULL FROM documents
+UNION ALL SELECT 'doc-as-pdf-' || CAST(doc_id AS VARCHAR), 'text/plain', 'content is text/plain, not application/pdf' FROM documents
+UNION ALL SELECT * FROM (VALUES ('a.png', 'image/png', 'content is image/png, not text/plain'), ('b.pdf', 'application/pdf', NULL),
+  ('c.json', 'text/plain', 'content is text/plain, not application/json'), ('d.json', 'application/json', NULL),
+  ('e.pdf', 'text/plain', 'content is text/plain, not application/pdf'), ('f.zip', 'application/zip', 'content is application/zip, not application/epub+zip'),
+  ('g', 'application/octet-stream', NULL)) t(name, detected, type_error)""")
+def q_detect_types(spark, sf):
+    """Types by content: every page, every document as text and once more declared as PDF,
+    and files added by hand."""
+    p = TD.read(spark, sf, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("name"),
+                                           F.lit("text/html").alias("mime"), F.encode("html", "UTF-8").alias("content"))
+    d = TD.read(spark, sf, "documents")
+    as_text, as_pdf = (d.select(F.concat(F.lit(prefix), F.col("doc_id").cast("string")).alias("name"), F.lit(mime).alias("mime"),
+                                F.encode("text", "UTF-8").alias("content")) for prefix, mime in (("doc-", "text/plain"), ("doc-as-pdf-", "application/pdf")))
+    extra = spark.createDataFrame(_TYPED_FILES, "name string, mime string, content string").withColumn("content", F.unhex("content"))
+    return FY.check_types(p.unionByName(as_text).unionByName(as_pdf).unionByName(extra)).select("name", "detected", "type_error")
+
+
 @register("chunk_documents", "WITH RECURSIVE " + TD.chunks_sql("documents", 512).strip() + """
 SELECT doc_id AS document_id, fragment_index, length(value) AS n_chars, md5(value) AS digest FROM chunks""")
 def q_chunk_documents(spark, sf):
