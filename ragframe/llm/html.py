@@ -7,10 +7,10 @@ over such trees: siblings that match are merged level by level, those that only
 side has become optional groups, and texts become slots with what is known of them
 (whether different pages have it, whether the text never changes).
 
-Every page is aligned with its host's wrapper once more, and its own elements say which
-of its texts are the article: those in all its article (else main, else content)
-elements, or without one those in slots whose text changes from page to page, outside
-menus, headers, footers, sidebars, notices, adverts, forms and comments.
+Every page is aligned with its host's wrapper once more. The article is in all its article
+(else main, else content) elements, or without one in slots whose text changes from page
+to page, outside menus, headers, footers, sidebars, notices, adverts, forms and comments.
+Within it the wrapper says what is the template's, the readers' or a teaser (:func:`decide`).
 
 A task folds its pages of a host into one wrapper before anything is shuffled, so only
 wrappers move, and a host with a third of all pages is no hot group. Partial wrappers
@@ -188,7 +188,7 @@ def read_page(html: str | None) -> tuple[list, list[str]]:
         if len(stack) > MAX_DEPTH:
             stack.append(stack[-1])
         else:
-            node = [sig, [], False, False, None]
+            node = [sig, [], False, False, 1]
             stack[-1][1].append(node)
             stack.append(node)
         names.append(tag)
@@ -230,7 +230,7 @@ def _fold(kids: list) -> list:
             if times > 1:
                 for t in range(1, times):
                     first = [_merged(a, b) for a, b in zip(first, out[i + t * size:i + (t + 1) * size])]
-                out[i:i + times * size] = [["(" + " ".join(x[0] for x in first) + ")", first, True, False, None]]
+                out[i:i + times * size] = [["(" + " ".join(x[0] for x in first) + ")", first, True, False, times]]
             i += 1
     return out
 
@@ -294,12 +294,11 @@ def _pairs(a: list, b: list) -> list[tuple[int, int]]:
 
 def _info(a, b):
     """Of leaves: places of a page's texts, or (hash of the only page that has it or None,
-    hash of the whole text or None if it changes). Copies of a page are one page."""
-    if a is None or b is None:
-        return a or b
-    if isinstance(a, list):
+    hash of the whole text or None if it changes, characters in all). Copies of a page are
+    one page. Of elements: how often they occur."""
+    if isinstance(a, (list, int)):
         return a + b
-    return tuple(x if x == y else None for x, y in zip(a, b))
+    return (*(x if x == y else None for x, y in zip(a[:2], b[:2])), a[2] + b[2])
 
 
 def _merged(a: list, b: list) -> list:
@@ -329,12 +328,12 @@ def to_wrapper(tree: list, texts: list[str], page: str | None = None) -> list:
     page = _hash("\0".join(texts)) if page is None else page
 
     def leaf(places):
-        return page, _hash(texts[places[0]]) if len(places) == 1 else None
-    return [[k[0], to_wrapper(k[1], texts, page), k[2], k[3], leaf(k[4]) if k[0] == "#" else None] for k in tree]
+        return page, _hash("\0".join(texts[p] for p in places)), sum(len(texts[p]) for p in places)
+    return [[k[0], to_wrapper(k[1], texts, page), k[2], k[3], leaf(k[4]) if k[0] == "#" else k[4]] for k in tree]
 
 
 def _from_json(kids: list) -> list:
-    return [[s, _from_json(c), p, o, tuple(i) if i is not None else None] for s, c, p, o, i in kids]
+    return [[s, _from_json(c), p, o, tuple(i) if isinstance(i, list) else i] for s, c, p, o, i in kids]
 
 
 def load_wrapper(text: str) -> list:
@@ -356,18 +355,74 @@ def _beside(node: list, inside: bool) -> bool:
     return tag in ASIDE_TAGS or _marked(sig)
 
 
+def _slots(node: list) -> list:
+    return ([node] if node[0] == "#" else []) + [s for k in node[1] for s in _slots(k)]
+
+
+def _tag(node: list) -> str:
+    return node[0].split(".")[0]
+
+
+def _template(node: list) -> bool:
+    """Whether a container holds the same texts on all its pages, two different ones at least."""
+    slots = _slots(node)
+    return _tag(node) in ("div", "section") and all(s[4][0] is None and s[4][1] is not None for s in slots)
+
+
+def _items(node: list):
+    """The repeated containers right below an element (or below a group of them)."""
+    for k in node[1]:
+        if k[0][:1] == "(":
+            yield from _items(k)
+        elif k[2] and _tag(k) in ("div", "section", "article", "li"):
+            yield k
+
+
+def _by_readers(node: list) -> bool:
+    """Whether an optional element inside the article holds what readers wrote: a list of
+    containers, each with a name or time beside its text, and no heading or table."""
+    return (node[3] and _tag(node) in ("div", "section", "ol", "ul") and any(len(_slots(i)) > 1 for i in _items(node))
+            and not _has(node, (*sorted(HEADINGS), "table", "dl", "pre", "figure", "blockquote")))
+
+
+def _chars(node: list) -> float:
+    """Characters in one occurrence of an element, on average."""
+    return sum(s[4][2] for s in _slots(node)) / max(node[4], 1)
+
+
 def decide(wrapper: list) -> list:
     """The wrapper with a truth value in place of each node's info: whether an element is
-    no part of the article, and whether a slot's text is the same on all its pages."""
-    def slots(node):
-        return ([node] if node[0] == "#" else []) + [s for k in node[1] for s in slots(k)]
-
-    every = [s for k in wrapper for s in slots(k)]
-    changing = any(s[4] == (None, None) for s in every)
+    no part of the article, and whether a slot's text is the same on all its pages.
+
+    Slots and groups decide first: a container inside the article whose texts are the same
+    on different pages is the template's, an optional list of containers behind the
+    article's own paragraphs is its readers', and repeated articles with less than half of
+    the text of the host's single one are teasers. What an element's words say comes second."""
+    every = [s for k in wrapper for s in _slots(k)]
+    changing = any(s[4][:2] == (None, None) for s in every)
+
+    def articles(kids, repeated, inside):
+        for k in kids:
+            if k[0] != "#" and not _beside(k, inside):
+                if _kind(k[0]) == 3:
+                    yield k, repeated or k[2]
+                else:
+                    yield from articles(k[1], repeated or k[2], inside or _kind(k[0]) > 0)
+
+    found = list(articles(wrapper, False, False))
+    single = max((_chars(k) for k, repeated in found if not repeated), default=0)
+    teasers = {id(k) for k, repeated in found if repeated and 2 * _chars(k) < single}
 
     def go(kids, inside):
-        return [[k[0], go(k[1], inside or _kind(k[0]) > 0), k[2], k[3],
-                 changing and k[4][0] is None and k[4][1] is not None if k[0] == "#" else _beside(k, inside)] for k in kids]
+        out, own = [], False
+        for k in kids:
+            if k[0] == "#":
+                value = changing and k[4][0] is None and k[4][1] is not None
+            else:
+                value = _beside(k, inside) or id(k) in teasers or inside and (_template(k) or own and _by_readers(k))
+                own = own or _tag(k) == "p" or "p" in k[0].strip("()").split(" ")
+            out.append([k[0], go(k[1], inside or _kind(k[0]) > 0), k[2], k[3], value])
+        return out
     return go(wrapper, False)
 
 
@@ -403,7 +458,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string()))], ["host", "share", "wrapper"])
 
         for batch in text_batches(batches, 1):
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for host, html in sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), key=lambda x: (x[0], _hash(x[1]))):
                 one = to_wrapper(*read_page(html))
                 held[host] = align(held[host], one) if host in held else one
             if len(held) > HELD_HOSTS:
@@ -422,8 +477,9 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         return run
 
     parts = pages.select("host", "html").mapInArrow(fold, "host string, share int, wrapper string")
-    some = grouped(parts, ["host", "share"], merge(False), "host string, wrapper string")
-    return grouped(some, ["host"], merge(True), "host string, decided string")
+    # in an order of their own, so that a task that is run again gives the same wrapper
+    some = grouped(parts, ["host", "share"], merge(False), "host string, wrapper string", order=["wrapper"])
+    return grouped(some, ["host"], merge(True), "host string, decided string", order=["wrapper"])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

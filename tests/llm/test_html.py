@@ -130,3 +130,43 @@ def test_wrappers_do_not_depend_on_the_partitions(spark):
     a = {r.page_id: r.text for r in HT.extract_pages(pages.repartition(1)).collect()}
     b = {r.page_id: r.text for r in HT.extract_pages(pages.repartition(13)).collect()}
     assert a == b
+
+
+def plain_host(n=6):
+    """Pages whose classes say nothing: a box of the template and readers' words inside the
+    article, cards of other articles beside it."""
+    pages, want = [], []
+    for i in range(n):
+        said = "".join(f"<div class=alfa><span>Name {i}{j}</span><p>Opinion {i} {j}</p></div>" for j in range(i % 3))
+        cards = "".join(f"<article class=bravo><h2>Card {i}{j}</h2><p>Short {i}{j}</p></article>" for j in range(3))
+        body = f"<h1>Title {i}</h1><p>{f'First {i}. ' * 12}</p><p>{f'Second {i}. ' * 9}</p>"
+        pages.append(f"<body><main><article>{body}<div class=charlie><p>Written by the desk</p><p>All about us</p></div>"
+                     + (f"<div class=delta>{said}</div>" if said else "") + f"</article></main><section class=echo>{cards}</section></body>")
+        want.append(f"Title {i}\n\n" + f"First {i}. " * 11 + f"First {i}.\n\n" + f"Second {i}. " * 8 + f"Second {i}.")
+    return pages, want
+
+
+def test_the_wrapper_decides_where_words_say_nothing(spark):
+    """Box, readers' words and cards go by the wrapper; an empty one keeps them all."""
+    pages, want = plain_host()
+    _, got = one(pages)
+    assert got == want
+    empty = [HT.extract(p, []) for p in pages]
+    assert all(len(e) > len(w) + 60 and w.split("\n\n")[0] in e for e, w in zip(empty, want))
+    rows = [(i, f"http://h{k}.org/{i}", p) for k in range(2) for i, p in enumerate(pages, 100 * k)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 3, 12):
+        got = {r.page_id: r.text for r in HT.extract_pages(df.repartition(n)).collect()}
+        assert got == {i: want[i % 100] for i, _, _ in rows}
+
+
+def test_content_that_only_looks_like_it_stays():
+    """Sections with headings, lists, tables, a list of articles of equal size, boxes that
+    only copies of one page share."""
+    pages = ["<article><p>Lead %d</p><div class=q><h3>Q %d</h3><p>A %d</p></div><div class=q><h3>Q2 %d</h3><p>A2 %d</p></div><ul><li>x%d<li>y%d</ul></article>" % ((i,) * 7)
+             if i % 2 else "<article><p>Lead %d</p></article>" % i for i in range(4)]
+    assert one(pages)[1][1] == "Lead 1\n\nQ 1\n\nA 1\n\nQ2 1\n\nA2 1\n\nx1\n\ny1"
+    index = ["<main>" + "".join(f"<article><h2>T{i}{j}</h2><p>Body {i}{j}</p></article>" for j in range(3)) + "</main>" for i in range(3)]
+    assert one(index)[1][2] == "\n\n".join(f"T2{j}\n\nBody 2{j}" for j in range(3))
+    box = "<article><p>a</p><div class=k><p>b</p></div></article>"
+    assert one([box, box + "<!-- copy -->"])[1] == ["a\n\nb"] * 2
