@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ragframe import constants as K
 from ragframe.functions.vector import norm_expr
+from ragframe.operators import balls as BA
 from ragframe.operators import chat as CH
 from ragframe.operators import codes as BC
 from ragframe.operators import commands as CM
@@ -196,6 +197,13 @@ def q_semantic_search(spark, sf):
     return _stages(spark, sf)["sem_top"].select(*SEM_COLS)
 
 
+@register("semantic_search_balls", retrieval_with() + f"\nSELECT {_sel(SEM_COLS)} FROM sem_top")
+def q_semantic_search_balls(spark, sf):
+    """The exact search that skips balls of fragments beyond each query's bound."""
+    index = _kept(spark, ("balls", id(spark), sf, TD.version(spark, sf)), lambda: BA.ball_build(_fragments(spark, sf)))
+    return BA.ball_search(_stages(spark, sf)["queries"], index).select(*SEM_COLS)
+
+
 @register("semantic_rank", retrieval_with() + f"\nSELECT {_sel(SEM_COLS)}, semantic_rank FROM sem_ranked")
 def q_semantic_rank(spark, sf):
     return _stages(spark, sf)["sem_ranked"].select(*SEM_COLS, "semantic_rank")
