@@ -90,15 +90,16 @@ _LEVELS = [
     (re.compile(r"\s+"), " "),                 # words
 ]
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+SENTENCES = 2  # the level of sentences
 
 
-def _split_level(text: str, level: int, max_chars: int) -> list[str]:
+def _split_level(text: str, level: int, max_chars: int, sentences=None) -> list[str]:
     if len(text) <= max_chars:
         return [text] if text else []
     if level >= len(_LEVELS):
         return [text[i:i + max_chars] for i in range(0, len(text), max_chars)]
     sep_re, joiner = _LEVELS[level]
-    parts = [p for p in sep_re.split(text) if p]
+    parts = sentences(text) if sentences is not None and level == SENTENCES else [p for p in sep_re.split(text) if p]
     out: list[str] = []
     cur: list[str] = []
     cur_len = 0
@@ -107,7 +108,7 @@ def _split_level(text: str, level: int, max_chars: int) -> list[str]:
             if cur:
                 out.append(joiner.join(cur))
                 cur, cur_len = [], 0
-            out.extend(_split_level(p, level + 1, max_chars))
+            out.extend(_split_level(p, level + 1, max_chars, sentences))
             continue
         add = len(p) + (len(joiner) if cur else 0)
         if cur and cur_len + add > max_chars:
@@ -121,14 +122,14 @@ def _split_level(text: str, level: int, max_chars: int) -> list[str]:
     return out
 
 
-def _with_overlap(pieces: list[str], max_chars: int, overlap: int) -> list[str]:
+def _with_overlap(pieces: list[str], max_chars: int, overlap: int, sentences=None) -> list[str]:
     """Prefix each piece with the whole trailing sentences of the previous piece
     that fit in ``overlap`` characters; pieces are packed with room for them."""
     if overlap <= 0 or len(pieces) < 2:
         return pieces
     out = [pieces[0]]
     for prev, cur in zip(pieces, pieces[1:]):
-        sents = [s for s in _SENTENCE.split(prev) if s]
+        sents = sentences(prev) if sentences is not None else [s for s in _SENTENCE.split(prev) if s]
         tail: list[str] = []
         size = 0
         for s in reversed(sents[1:]):  # never the whole previous piece
@@ -142,28 +143,30 @@ def _with_overlap(pieces: list[str], max_chars: int, overlap: int) -> list[str]:
     return out
 
 
-def split_text(text: str | None, max_chars: int, overlap: int = K.CHUNK_OVERLAP_CHARS) -> list[str]:
+def split_text(text: str | None, max_chars: int, overlap: int = K.CHUNK_OVERLAP_CHARS, sentences=None) -> list[str]:
     """Recursive split (paragraph, line, sentence, word, character), greedy
     packing of each level's pieces, with their overlap, up to ``max_chars``. Pure
-    helper; linear in the text length."""
+    helper; linear in the text length. ``sentences``: text -> its sentences (None: by
+    white space behind a mark)."""
     if text is None:
         return []
     max_chars, text = max(int(max_chars), 1), text.strip()
     if len(text) <= max_chars:
         return [text] if text else []
     room = max_chars - overlap - 1 if 0 < overlap < max_chars // 2 else max_chars
-    return _with_overlap(_split_level(text, 0, room), max_chars, overlap)
+    return _with_overlap(_split_level(text, 0, room, sentences), max_chars, overlap, sentences)
 
 
 def split_documents(docs: DataFrame, max_chars, overlap: int = K.CHUNK_OVERLAP_CHARS,
-                    text_col: str = "text", out_col: str = "pieces") -> DataFrame:
+                    text_col: str = "text", out_col: str = "pieces", model=None) -> DataFrame:
     """B2: add ``pieces`` array<string> per document. ``max_chars`` is an int or a
     column (e.g. the embedding model's context length x 1 char per token).
-    Partitioned by document; no shuffle."""
+    Partitioned by document; no shuffle. ``model``: a learned ``SentenceModel``."""
+    sentences = None if model is None else model.split
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def _split(texts: pd.Series, maxes: pd.Series) -> pd.Series:
-        return pd.Series([split_text(t, m, overlap) for t, m in zip(texts, maxes)], dtype=object)
+        return pd.Series([split_text(t, m, overlap, sentences) for t, m in zip(texts, maxes)], dtype=object)
 
     m = max_chars if isinstance(max_chars, Column) else F.lit(int(max_chars))
     return docs.withColumn(out_col, _split(F.col(text_col), m.cast("long")))
@@ -180,9 +183,9 @@ def index_fragments(split: DataFrame, pieces_col: str = "pieces",
 
 
 def chunk_documents(docs: DataFrame, max_chars, overlap: int = K.CHUNK_OVERLAP_CHARS,
-                    text_col: str = "text", keep=("context_id", "document_id")) -> DataFrame:
+                    text_col: str = "text", keep=("context_id", "document_id"), model=None) -> DataFrame:
     """B2 + B3: documents -> indexed fragments."""
-    return index_fragments(split_documents(docs, max_chars, overlap, text_col), keep=keep)
+    return index_fragments(split_documents(docs, max_chars, overlap, text_col, model=model), keep=keep)
 
 
 def embedding_inputs(chunks: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from ragframe.operators import fusion as FU
 from ragframe.operators import ingest as IG
 from ragframe.operators import maintenance as M
 from ragframe.operators import prompt as PR
+from ragframe.operators import sentences as SE
 from ragframe.operators import textindex as TI
 from ragframe.operators import vectors as V
 from ragframe.plans.oracle_retrieval import RETRIEVED_COLS, retrieval_with
@@ -637,6 +638,43 @@ def _document_digest(fragments: DataFrame) -> DataFrame:
         F.md5(F.array_join(F.transform(pieces, lambda x: x["value"]), "\n")).alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
+_WORDS_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ts FROM documents),
+toks AS (SELECT doc_id, unnest(generate_series(1, len(ts))) AS i, unnest(ts) AS tok FROM t),
+words AS (SELECT doc_id, i, tok, lag(tok) OVER (PARTITION BY doc_id ORDER BY i) AS before,
+                 lower(regexp_extract(tok, '^[^\p{L}\p{N}]*(\p{L}(?:[\p{L}\p{N}.-]*[\p{L}\p{N}])?)', 1)) AS word FROM toks),
+wc AS (SELECT word, count(*) AS n, count(*) FILTER (WHERE regexp_matches(tok, '[\p{L}\p{N}]\.$')) AS n_period FROM words WHERE word <> '' GROUP BY word),
+tot AS (SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(sum(n_period) AS DOUBLE) / sum(n) AS rate FROM wc),
+abbr AS (SELECT * FROM (
+  SELECT word, wc.n, n_period, round(2 * (n_period * ln(0.99) + (wc.n - n_period) * ln(1 - 0.99) - n_period * ln(rate) - (wc.n - n_period) * ln(1 - rate))
+         * exp(-length(replace(word, '.', ''))) * (length(word) - length(replace(word, '.', '')) + 1)
+         * pow(CAST(length(replace(word, '.', '')) AS DOUBLE), n_period - wc.n), 9) AS score
+  FROM wc, tot WHERE wc.n >= 5 AND n_period > 0) WHERE score >= 0.3)"""
+
+
+@register("sentence_abbreviations", _WORDS_SQL + "\nSELECT word, n, n_period, round(score, 6) AS score FROM abbr")
+def q_sentence_abbreviations(spark, sf):
+    """The abbreviations of the corpus by their collocation with a period."""
+    return SE.abbreviations(TD.read(spark, sf, "documents")).select("word", "n", F.col("n_period").cast("long").alias("n_period"), F.round("score", 6).alias("score"))
+
+
+@register("sentence_starters", _WORDS_SQL + r""",
+flag AS (SELECT w.word, coalesce(regexp_matches(before, '[.!?]$'), false) AND regexp_matches(tok, '^[^\p{L}\p{N}]*\p{Lu}')
+                AND NOT (coalesce(regexp_matches(before, '[\p{L}\p{N}]\.$'), false) AND a.word IS NOT NULL) AS stop
+         FROM words w LEFT JOIN abbr a ON a.word = lower(regexp_extract(w.before, '^[^\p{L}\p{N}]*(\p{L}(?:[\p{L}\p{N}.-]*[\p{L}\p{N}])?)', 1)) WHERE w.word <> ''),
+sc AS (SELECT word, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE stop) AS DOUBLE) AS s FROM flag GROUP BY word),
+st AS (SELECT sum(n) AS tn, sum(s) AS ts FROM sc)
+SELECT word, CAST(n AS BIGINT) AS n, CAST(s AS BIGINT) AS n_start FROM (
+  SELECT word, n, s, 2 * (CASE WHEN s > 0 THEN s * ln(s * tn / (n * ts)) ELSE 0 END + CASE WHEN n - s > 0 THEN (n - s) * ln((n - s) * tn / (n * (tn - ts))) ELSE 0 END
+    + CASE WHEN ts - s > 0 THEN (ts - s) * ln((ts - s) * tn / ((tn - n) * ts)) ELSE 0 END
+    + CASE WHEN tn - n - ts + s > 0 THEN (tn - n - ts + s) * ln((tn - n - ts + s) * tn / ((tn - n) * (tn - ts))) ELSE 0 END) AS score, tn, ts
+  FROM sc, st WHERE n >= 5) WHERE s * tn > n * ts AND round(score, 6) >= 30""")
+def q_sentence_starters(spark, sf):
+    """The words that start sentences more often than chance."""
+    d = TD.read(spark, sf, "documents")
+    return SE.starters(d, SE.abbreviations(d)).select("word", "n", F.col("n_start").cast("long").alias("n_start"))
+
+
 @register("index_fragments", TD.sql_with("line_chunks") + """
 SELECT context_id, document_id, fragment_index, chunk_index, value FROM line_chunks""")
 def q_index_fragments(spark, sf):
