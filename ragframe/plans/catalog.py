@@ -23,6 +23,7 @@ from ragframe.operators import filetypes as FY
 from ragframe.operators import fulltext as FT
 from ragframe.operators import fusion as FU
 from ragframe.operators import ingest as IG
+from ragframe.operators import lsa as LS
 from ragframe.operators import maintenance as M
 from ragframe.operators import prompt as PR
 from ragframe.operators import sentences as SE
@@ -702,6 +703,16 @@ def q_embed_chunks(spark, sf):
     return out.select("id", F.size("embedding").alias("dim"), _digest())
 
 
+@register("embed_fitted", TD.sql_with("line_chunks") + r"""
+SELECT id, CAST(64 AS INTEGER) AS dim, regexp_matches(lower(value), '[\p{L}\p{N}]') AS has_direction FROM line_chunks""")
+def q_embed_fitted(spark, sf):
+    """Vectors of all fragments by an embedder that was fitted to them."""
+    chunks = TD.line_chunks(spark, sf)
+    model = LS.fit(chunks, dim=64)
+    out = V.embed_texts(chunks.select("id", "value"), "value", model.embedder())
+    return out.select("id", F.size("embedding").alias("dim"), F.exists("embedding", lambda x: x != 0).alias("has_direction"))
+
+
 def _uploaded(spark, sf):
     """The whole upload path: all files, checked, read by their MIME type, into tables that
     hold the labelled documents already."""
