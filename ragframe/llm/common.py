@@ -114,6 +114,28 @@ def grouped(df: DataFrame, keys: list[str], fn: Callable, schema: str, order: li
     return out.mapInArrow(run, schema)
 
 
+#: Rows from which a group is joined by broadcast, and into how many keys the rows of such groups are spread.
+HOT_ROWS, SPREAD = 1000, 4096
+
+
+def join_group(rows: DataFrame, groups: DataFrame, key: str, size_col: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with the other columns of ``groups`` (one row for each ``key``, stored;
+    ``size_col``, the group's number of rows, is left out). Large groups, of which there are
+    few, are broadcast behind a size check; their rows are spread over all tasks of the join
+    that serves the others, so no group's rows meet in one task."""
+    values = [c for c in groups.columns if c not in (key, size_col)]
+    packed = groups.select(key, F.struct(*values).alias("_group"), F.col(size_col).alias("_size"))
+    hot = broadcast_up_to(packed.where(F.col("_size") >= hot_rows).select(key, F.col("_group").alias("_hot")), 1_000_000)
+    cold = packed.where(F.col("_size") < hot_rows).select(key, "_group", F.lit(0).alias("_spread"))
+    names = rows.columns
+    out = rows.join(hot, key, "left").withColumn("_spread", F.when(F.col("_hot").isNull(), 0).otherwise(
+        1 + F.pmod(F.xxhash64(*[c for c in names if c != key] or [key]), F.lit(SPREAD)).cast("int")))
+    out = out.join(cold, [key, "_spread"], "left").withColumn("_group", F.coalesce("_hot", "_group"))
+    if how == "inner":
+        out = out.where(F.col("_group").isNotNull())
+    return out.select(*names, *[F.col("_group")[c].alias(c) for c in values])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected ``edges`` (u, v): one row (node, root)
     for each node of an edge, ``root`` the smallest node reachable.

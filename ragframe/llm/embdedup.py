@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import broadcast_up_to, components, grouped, shared_table
+from ragframe.llm.common import broadcast_up_to, components, grouped, join_group, shared_table
 
 #: The sample that centroids are fitted on: rows for each cell, and bytes at most.
 SAMPLE_PER_CELL, SAMPLE_BYTES = 32, 32 << 20
@@ -159,10 +159,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     roots = components(found.select("u", "v"))
     links = found.where("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     named = classes.select("node", "weight", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "root").join(links, "node", "left").select(
-        "node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    return rows.select("vec_id", "node").join(named, "node", "left").select(
+    least = shared_table(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")), "embedding-least")
+    named = join_group(named, least, "root", "members").join(links, "node", "left").select(
+        "node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id", "weight")
+    return join_group(rows.select("vec_id", "node"), shared_table(named, "embedding-named"), "node", "weight", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn(
         "kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

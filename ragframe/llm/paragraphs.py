@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import components, fresh, grouped, shared_table, text_batches
+from ragframe.llm.common import broadcast_up_to, components, fresh, grouped, join_group, shared_table, text_batches
 
 SHINGLE, MIN_SIMILARITY = 5, 0.8
 MIN_WORDS, LONG, CUT_MASK = 8, 40, 7
@@ -170,7 +170,13 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     several = shared_table(distinct.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "mixed-keys")
     mixed = shared_table(distinct.join(several, "key"), "mixed-members")
     wanted = shared_table(mixed.select("hash").distinct(), "mixed-units")
-    words = stored.select("hash", "words").join(wanted, "hash", "left_semi").groupBy("hash").agg(F.first("words").alias("words"))
+    # copies become one row in each task, before or (where the list is too long to broadcast) instead of
+    # the filter, so those of a hot sentence don't meet in one task
+    words, few = stored.select("hash", "words"), broadcast_up_to(wanted, 4_000_000, 64 << 20)
+    if few is not wanted:
+        words = words.join(few, "hash", "left_semi").groupBy("hash").agg(F.first("words").alias("words"))
+    else:
+        words = words.groupBy("hash").agg(F.first("words").alias("words")).join(wanted, "hash", "left_semi")
     parts = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("hash"), F.col("parts")).cast("int")
     dealt = mixed.join(words, "hash").withColumn("parts", parts).withColumn("mine", mine)
@@ -181,9 +187,10 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     found = member.dropDuplicates(["doc_id", "start", "hash"]).drop("key").join(roots.withColumnRenamed("node", "hash"), "hash", "left")
     found = shared_table(found.withColumn("cluster", F.coalesce("root", "hash")).drop("root", "hash"), "clustered-units")
-    first = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last_doc")).where("first.doc_id <> last_doc")
-    first = shared_table(first.select("cluster", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")), "clusters")
-    return found.join(first, "cluster")
+    first = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last_doc"),
+                                         F.count("*").alias("members")).where("first.doc_id <> last_doc")
+    first = shared_table(first.select("cluster", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"), "members"), "clusters")
+    return join_group(found, first, "cluster", "members")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_PASSAGE) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import broadcast_up_to, components, shared_table, text_batches
+from ragframe.llm.common import broadcast_up_to, components, join_group, shared_table, text_batches
 
 SEED = 42
 PIECE = 1 << 20
@@ -159,13 +159,13 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Repeated rows are returned as often as given. An empty table gives no rows. Other
     columns of ``docs`` are not read."""
     marked = shared_table(simhash(docs, id_col, text_col, shingle), "simhash")
-    first = shared_table(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    first = shared_table(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "simhash-distinct")
     root = components(links(first.select("fp"), max_distance, pair_limit))
     with_root = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = with_root.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = with_root.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(
+        "fp", "first_id", "copies", F.coalesce("root", "fp").alias("root"))
+    least = shared_table(with_root.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")), "simhash-least")
+    named = shared_table(join_group(with_root, least, "root", "members").select("fp", "component_id", "copies"), "simhash-named")
+    return join_group(marked, named, "fp", "copies").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -85,3 +85,19 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 5]
     assert SH.simhash_near_dedup(df.limit(0)).count() == 0
     assert SH.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_groups_are_joined_alike_hot_or_not(spark, monkeypatch):
+    """Large groups by broadcast, small ones by shuffle, both or neither: the same rows."""
+    from pyspark.sql import functions as F
+
+    from ragframe.llm import common as CO
+    rows = spark.range(500).select(F.col("id"), F.when(F.col("id") < 300, 1).when(F.col("id") < 490, F.col("id") % 20).alias("g"), F.lit("x").alias("hot"))
+    groups = CO.shared_table(rows.where("g IS NOT NULL AND g <> 7").groupBy("g").agg(F.count("*").alias("n"), F.max("id").alias("most")), "test-groups")
+    want = sorted((r.id, r.g, r.most) for r in rows.join(groups, "g").collect())
+    for bound in (1, 10, 200, 10**6):
+        got = CO.join_group(rows, groups, "g", "n", hot_rows=bound)
+        assert got.columns == ["id", "g", "hot", "most"] and sorted((r.id, r.g, r.most) for r in got.collect()) == want
+    assert CO.join_group(rows, groups, "g", "n", "left", 100).where("most IS NULL").count() == 500 - len(want)
+    monkeypatch.setattr(CO, "broadcast_up_to", lambda df, *a: df)
+    assert sorted((r.id, r.g, r.most) for r in CO.join_group(rows, groups, "g", "n", hot_rows=100).collect()) == want
