@@ -20,7 +20,13 @@ run of its words is within ``max_edits = 0.2 n`` word edits of the item's n word
 4. **Verification.** The exact edit distance of the item to the best run of words around
    the window decides.
 
-Items are handled in blocks of bounded size; each block is one pass over the corpus."""
+An item of more than ``LONG`` words is looked for by its segments: if the whole has at
+most 0.2 n edits, some segment has at most 0.2 of its own; the exact distance of the whole
+decides. So no walk is longer than a segment's, and items are embedded with others of like
+size only.
+
+Items are handled in blocks of bounded size; each block is one pass over the corpus whose
+result is stored before the next one is collected."""
 
 from __future__ import annotations
 
@@ -33,12 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ragframe.llm.common import fresh, text_batches
+from ragframe.llm.common import fresh, shared_table, text_batches
 
 MIN_SIMILARITY = 0.8
 RECALL = 0.99
 MIN_WORDS = 1
 WALKS, SAMPLED, MAX_TABLES = 16, 2, 512
+#: Words of an item from which it is looked for by segments, each of half as many words or more.
+LONG = 512
 #: Words of items that one pass over the corpus carries at most.
 BLOCK_WORDS = 1 << 18
 #: Edited copies of each item that the number of tables is fitted on, and copies or windows embedded at once.
@@ -90,8 +98,31 @@ def best_distance(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def segments(n: int) -> list[tuple[int, int]]:
+    """(start, size) of the parts that n words are looked for by."""
+    parts = max(1, -(-n // LONG))
+    cuts = [i * n // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def whole_distance(item: np.ndarray, words: np.ndarray, most: int) -> tuple[int, int] | None:
+    """:func:`best_distance` if it is at most ``most``, else None; stops when it can't be."""
+    row = np.zeros(len(words) + 1, np.int64)
+    step = np.arange(len(words) + 1)
+    for i, w in enumerate(item):
+        new = np.empty_like(row)
+        new[0] = i + 1
+        new[1:] = np.minimum(row[:-1] + (words != w), row[1:] + 1)
+        row = np.minimum.accumulate(new - step) + step
+        if not i % 64 and row.min() > most:
+            return None
+    end = int(row.argmin())
+    return (int(row[end]), end) if row[end] <= most else None
+
+
 class Items:
-    """One block of benchmark items, ready to be looked for."""
+    """One block of benchmark items, ready to be looked for: classes of items (and segments
+    of long ones) of like size."""
 
     def __init__(self, items: list[tuple], tables: int | None = None):
         self.words: dict[str, int] = {}
@@ -100,6 +131,48 @@ class Items:
             seq = [self.words.setdefault(w, len(self.words)) for w in words_of(text)]
             if len(seq) >= MIN_WORDS:
                 self.items.append((item_id, np.array(seq, np.int64)))
+        sized: dict[int, list] = {}
+        for i, (_, seq) in enumerate(self.items):
+            for at, n in segments(len(seq)):
+                sized.setdefault(n.bit_length(), []).append(((i, at), seq[at:at + n]))
+        self.classes = [ItemClass(sized[k], len(self.words), tables) for k in sorted(sized)]
+
+    def find(self, texts: list[str | None]) -> list[list[tuple]]:
+        """For each text (item_id, n_words, distance, start word) of each item it holds."""
+        known = self.words
+        seqs = [np.array([known.get(w, -1) for w in words_of(t)], np.int64) for t in texts]
+        best: list[dict] = [{} for _ in texts]
+        tried: dict[tuple[int, int], list[int]] = {}  # places of long items that were looked at
+        for c in self.classes:
+            for d, hits in enumerate(c.find(seqs)):
+                for (i, at), n, edits, start in hits:
+                    item = self.items[i][1]
+                    if n == len(item):
+                        best[d][i] = min(best[d].get(i, (edits, start)), (edits, start))
+                    else:
+                        self._whole(best[d], i, item, start - at, seqs[d], tried.setdefault((d, i), []))
+        return [[(self.items[i][0], len(self.items[i][1]), edits, start) for i, (edits, start) in sorted(b.items())] for b in best]
+
+    @staticmethod
+    def _whole(best: dict, i: int, item: np.ndarray, start: int, seq: np.ndarray, tried: list[int]) -> None:
+        """A long item around the place that one of its segments was found at. What is looked
+        at holds all that a place within ``most`` words of it could show."""
+        most = int((1 - MIN_SIMILARITY) * len(item) + 1e-9)
+        if len(seq) < len(item) - most or any(abs(t - start) <= most for t in tried):
+            return
+        tried.append(start)
+        left, right = max(0, start - 2 * most), min(len(seq), start + len(item) + 3 * most)
+        got = whole_distance(item, seq[left:right], most)
+        if got is not None:
+            found = got[0], max(0, left + got[1] - len(item))
+            best[i] = min(best.get(i, found), found)
+
+
+class ItemClass:
+    """Items of like size. ``items``: (name, words) of each."""
+
+    def __init__(self, items: list[tuple], n_words: int, tables: int | None = None):
+        self.n_words, self.items = n_words, items
         self.grams = {}
         for q in sorted({gram_size(len(s)) for _, s in self.items}):
             keys, who, at = [], [], []
@@ -167,7 +240,7 @@ class Items:
                 s = list(self.items[i][1])
                 for _ in range(int((1 - MIN_SIMILARITY) * len(s) + 1e-9)):
                     at, kind = rng.integers(len(s)), rng.integers(3)
-                    new = int(rng.integers(len(self.words), 2 * len(self.words) + 9))
+                    new = int(rng.integers(self.n_words, 2 * self.n_words + 9))
                     if kind == 0:
                         s[at] = new
                     elif kind == 1:
@@ -182,10 +255,9 @@ class Items:
         self.direct[who[first >= tables]] = True
         return tables
 
-    def find(self, texts: list[str | None]) -> list[list[tuple]]:
-        """For each text (item_id, n_words, distance, start word) of each item it holds."""
-        known, held = self.words, [[] for _ in texts]
-        seqs = [np.array([known.get(w, -1) for w in words_of(t)], np.int64) for t in texts]
+    def find(self, seqs: list[np.ndarray]) -> list[list[tuple]]:
+        """For each text, as word numbers, (name, n_words, distance, start word) of each place of an item in it."""
+        held = [[] for _ in seqs]
         first = np.cumsum([0] + [len(x) + 1 for x in seqs])  # a word that no item has parts the texts
         seq = np.concatenate([x for y in seqs for x in (y, [-1])]) if seqs else np.empty(0, np.int64)
         who, start, home = [], [], []
@@ -205,7 +277,7 @@ class Items:
         if not who or not sum(map(len, who)):
             return held
         triples = np.unique(np.stack([np.concatenate(home), np.concatenate(who), np.concatenate(start)], 1), axis=0)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        best: dict[tuple[int, int], set[tuple[int, int]]] = {}
         # items without an edit: all words equal, at the first such place
         whole = self.sizes[triples[:, 1]] * (1 - MIN_SIMILARITY) + 1e-9 < 1
         exact, triples = triples[whole], triples[~whole]
@@ -216,7 +288,7 @@ class Items:
                 same &= (self.starts[item, o] == -1) | (seq[np.minimum(at + o, len(seq) - 1)] == self.starts[item, o])
             doc, item, at = doc[same], item[same], at[same]
             for r in np.unique(np.stack([doc, item], 1), axis=0, return_index=True)[1].tolist():
-                best.setdefault((int(doc[r]), int(item[r])), (0, int(at[r] + self.sizes[item[r]])))
+                best.setdefault((int(doc[r]), int(item[r])), {(0, int(at[r] + self.sizes[item[r]]))})
         col = np.arange(self.longest + 1)[None, :]
         step = max(1, min(8192, AT_ONCE // self.longest))
         for low in range(0, len(triples), step):
@@ -230,10 +302,10 @@ class Items:
                 left = max(int(first[d]), int(at[r]) - most)
                 edits, stop = best_distance(words, seq[left:min(int(first[d + 1]) - 1, int(at[r]) + len(words) + most)])
                 if edits <= most:
-                    best[d, i] = min(best.get((d, i), (edits, left + stop)), (edits, left + stop))
-        for (d, i), (edits, stop) in sorted(best.items()):
+                    best.setdefault((d, i), set()).add((edits, left + stop))
+        for (d, i), places in sorted(best.items()):
             n = int(self.sizes[i])
-            held[d].append((self.items[i][0], n, edits, max(0, stop - n - int(first[d]))))
+            held[d] += [(self.items[i][0], n, edits, max(0, stop - n - int(first[d]))) for edits, stop in sorted(places)]
         return held
 
 
@@ -261,7 +333,9 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     hit = T._parse_datatype_string(f"array<struct<item_id:{kind},n_words:int,distance:int,start_word:int>>")
     hit_type = to_arrow_type(hit)
     at = out.columns.index(text_col)
-    for block in _blocks(items, item_id, item_text):
+    for number, block in enumerate(_blocks(items, item_id, item_text)):
+        if number:  # the pass before is done when the next items come: the driver and the tasks hold one block
+            out = shared_table(out, "items-found")
         schema = T.StructType([*[f for f in out.schema.fields if f.name != hits_col], T.StructField(hits_col, hit)])
         first = hits_col not in out.columns
 

@@ -95,7 +95,7 @@ def test_items_that_no_table_passes_are_verified(monkeypatch):
             words[at] = "w0"
         texts.append(" ".join(words))
     found = block.find(texts)
-    assert block.direct.sum() > 90 and sum(any(h[0] == i for h in f) for i, f in enumerate(found)) > 90
+    assert sum(c.direct.sum() for c in block.classes) > 90 and sum(any(h[0] == i for h in f) for i, f in enumerate(found)) > 90
 
 
 def test_odd_rows_and_blocks(spark, monkeypatch):
@@ -111,3 +111,47 @@ def test_odd_rows_and_blocks(spark, monkeypatch):
     assert DC.contaminated(docs, items.limit(0)).count() == 0 and DC.drop_contaminated(docs.limit(0), items).count() == 0
     monkeypatch.setattr(DC, "BLOCK_WORDS", 12)
     assert sorted([(r.doc_id, r.item_id) for r in DC.contaminated(docs, items).collect()], key=key) == want
+
+
+def edited(rng, words, share):
+    words = list(words)
+    for _ in range(int(share * len(words))):
+        at, kind = rng.randrange(len(words)), rng.randrange(3)
+        if kind == 0:
+            words[at] = f"new{rng.randrange(10**6)}"
+        elif kind == 1:
+            words.insert(at, f"new{rng.randrange(10**6)}")
+        else:
+            del words[at]
+    return words
+
+
+def test_long_items_beside_short_ones():
+    """One item of 100,000 words among 1,000 is made ready and found in seconds; long ones
+    with edits are found by their segments, ones with too many edits aren't."""
+    import random
+    import time
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(20_000)]
+    short = [(i, " ".join(rng.choices(vocab, k=60))) for i in range(1000)]
+    long = rng.choices(vocab, k=100_000)
+    middle = rng.choices(vocab, k=2_000)
+    started = time.time()
+    block = DC.Items([*short, (5000, " ".join(long)), (5001, " ".join(middle))])
+    ready = time.time() - started
+    assert ready < 30 and sum(len(c.items) for c in block.classes) == 1000 + 196 + 4
+    filler = rng.choices(vocab, k=700)
+    texts = [" ".join(filler + edited(rng, middle, 0.12) + filler), " ".join(filler + edited(rng, middle, 0.5) + filler), " ".join(middle[:512] * 2 + filler + edited(rng, middle, 0.15)),
+             " ".join(middle[:1200]), short[7][1], " ".join(filler)]
+    found = block.find(texts)
+    assert [[h[0] for h in f] for f in found] == [[5001], [], [5001], [], [7], []]
+    assert found[0][0][1] == 2000 and 0 < found[0][0][2] <= 400 and abs(found[0][0][3] - 700) < 60 and abs(found[2][0][3] - 1724) < 60
+    assert [(h[0], h[2], h[3]) for h in block.find([" ".join(filler + long)])[0]] == [(5000, 0, 700)]
+    assert time.time() - started < 150
+
+
+def test_segments():
+    for n in (1, 5, 512, 513, 1024, 1025, 100_000):
+        parts = DC.segments(n)
+        assert sum(size for _, size in parts) == n and parts[0][0] == 0 and max(size for _, size in parts) <= DC.LONG
+        assert n <= DC.LONG or min(size for _, size in parts) >= DC.LONG // 2
