@@ -36,8 +36,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by pseudonyms."""
-    return pseudonymize(docs, count_col=None)
+    """All documents, personal data replaced by pseudonyms. The key is the session's
+    ``spark.ragframe.pii.key``, or one of this file for a session without."""
+    return pseudonymize(docs, key=spark.conf.get("spark.ragframe.pii.key", None) or "key of the pipeline", count_col=None)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

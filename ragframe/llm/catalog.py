@@ -51,7 +51,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced, and how many values were."""
-    return PI.pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+    key = spark.conf.get("spark.ragframe.pii.key", None) or "key of the registered query"
+    return PI.pseudonymize(table(spark, sf_dir, "documents"), key=key).select("doc_id", "text", "n_replaced")
 
 
 @register()

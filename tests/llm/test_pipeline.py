@@ -38,7 +38,7 @@ def test_stages_on_documents(spark, tmp_path):
     assert all(bin(fps[a] ^ fps[b]).count("1") > 2 for i, a in enumerate(left) for b in left[:i])
     items = DC.Items([tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()])
     assert {r.doc_id for r in three} == {r.doc_id for r, hits in zip(two, items.find([r.text for r in two])) if not hits}
-    masked = {r.doc_id: r.text for r in PI.pseudonymize(spark.createDataFrame(three)).collect()}
+    masked = {r.doc_id: r.text for r in PI.pseudonymize(spark.createDataFrame(three), key="key of the pipeline").collect()}
     assert {r.doc_id: r.text for r in four} == masked and masked != {r.doc_id: r.text for r in three}
     enc, got = Encoder(vocabulary("word_bpe_49k.json")), {}
     for r in five:
