@@ -141,8 +141,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for each node of an edge, ``root`` the smallest node reachable.
 
     Large-star and small-star rounds: each node's neighbours hook onto the smallest
-    one. Minima are partial aggregates and the rest are equi-joins, so a node with a
-    third of all edges is split by AQE. Each round is stored in the shared folder;
+    one. Minima are partial aggregates and the rest are joins by :func:`join_group`, so the
+    edges of a node with a third of all don't meet in one task. Each round is stored in the shared folder;
     the driver only sees a count and a checksum. Edges with a null end and loops
     are left out; no edges give no rows."""
     def stored(df):
@@ -153,15 +153,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now, state = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     if not state[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+    def hooked(rows, least):
+        """``rows`` with ``m``, the smallest of each node's neighbours (and ``least``)."""
+        low = rows.groupBy("u").agg(least.alias("m"), F.count("*").alias("_n"))
+        return join_group(rows, shared_table(low, "least"), "u", "_n")
+
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        star = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        star = shared_table(star.distinct(), "star")
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        near = star.join(low, "u")
-        new = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = new.unionByName(low.select("u", F.col("m").alias("v")))
+        star = hooked(both, F.least(F.min("v"), F.first("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        star = shared_table(star.where("u <> v").distinct(), "star")
+        near = hooked(star, F.min("v"))
+        new = near.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
         now, after = stored(new)
         if after == state:
             break
