@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import shared_path, shared_table, text_batches
+from ragframe.llm.common import broadcast_up_to, shared_path, shared_table, text_batches
 
 #: Remembered pieces in each of the two generations of a task's table.
 REMEMBERED = 400_000
@@ -371,5 +371,5 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int | None = 2, path: st
     totals = found.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # one row per file
     before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     bases = shared_table(totals.select("file", F.coalesce(before, F.lit(0)).alias("base")), "token-bases")
-    return found.join(F.broadcast(bases), "file").select(
+    return found.join(broadcast_up_to(bases, 1_000_000), "file").select(
         "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
