@@ -195,7 +195,13 @@ class TextIndex:
 
     def search(self, queries: DataFrame, limit_col: str = "_fts_limit", limit_cap: int | None = None, text_col: str = "query",
                carry=()) -> DataFrame:
-        """C4 with the result of ``bm25_search(scope='global')``; see the module's text."""
+        """C4 with the result of ``bm25_search(scope='global')``; see the module's text. An
+        index without a segment finds nothing."""
+        if not self.manifest["segments"]:
+            kept = [limit_col] + [c for c in carry if c != limit_col]
+            none = queries.limit(0).select("query_id", F.col("context_id").alias("q_context_id"), *kept)
+            return none.selectExpr("*", "CAST(NULL AS LONG) AS id", "CAST(NULL AS STRING) AS context_id", "CAST(NULL AS LONG) AS document_id",
+                                   "CAST(NULL AS LONG) AS fragment_index", "CAST(NULL AS DOUBLE) AS full_text_score")
         return BlockSearch(self, queries, limit_col, limit_cap, text_col, carry).result()
 
 

@@ -108,8 +108,10 @@ def test_an_append_reads_no_old_text(spark, path, monkeypatch):
 
 def test_empty_fragments_and_no_queries(spark, path):
     none = spark.createDataFrame([], SCHEMA)
-    index = TI.TextIndex.create(spark, path, none)
     q = questions(spark, 3)
+    bare = TI.TextIndex.create(spark, path + "-bare")
+    assert bare.search(q).count() == 0 and set(rows(bare.search(q))) == set() and bare.compact() is bare
+    index = TI.TextIndex.create(spark, path, none)
     assert index.search(q).count() == 0
     index.append(spark.createDataFrame([(1, "c0", 1, 0, None), (2, "c0", 1, 1, ""), (3, "c0", 1, 2, "w1"), (4, None, None, None, "w1 w1")], SCHEMA))
     assert rows(index.search(q)) == rows(FT.bm25_search(q, index.bm25()))
