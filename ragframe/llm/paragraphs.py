@@ -16,7 +16,13 @@ its own, and a group gives a spanning forest of its links, never its pairs.
 
 **Removal.** Components of the links are clusters. A cluster that occurs in two documents
 or more is repeated; all but its first occurrence are removals. Neighbouring repeated
-units of a document form a passage, which is reported from ``MIN_PASSAGE`` words on."""
+units of a document form a passage, which is reported from ``MIN_PASSAGE`` words on.
+
+**Edges.** A passage that starts or ends inside a unit is longer than its whole units. A
+run of units that is too short is therefore a seed: the words before its first and behind
+its last unit are compared with those around the first occurrence of these units (of the
+first occurrence: with all others), word by word up to ``EDGE`` words, and the run is as
+long as they agree."""
 
 from __future__ import annotations
 
@@ -37,6 +43,10 @@ BANDS = 3
 #: Words of a passage at least, and words between two of its units at most.
 MIN_PASSAGE, GAP = 30, 7
 BLOCK = 256
+#: Words compared at each edge of a short run of units; a unit is seldom longer.
+EDGE = 48
+#: Bytes of the places whose surroundings are read, up to which they are broadcast to the texts.
+EDGE_BYTES = 64 << 20
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"\w+")
@@ -193,6 +203,58 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return join_group(found, first, "cluster", "members")
 
 
+def _surroundings(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``places`` (doc_id, start, n_words, ...) with ``before`` (hashes of the words before
+    it, from the nearest on) and ``behind``. Of repeated rows of one doc_id each has its own."""
+    rest = [c for c in places.columns if c != "doc_id"]
+    by_doc = shared_table(places.groupBy("doc_id").agg(F.collect_set(F.struct(*rest)).alias("places")), "unit-places")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(
+        broadcast_up_to(by_doc, 4_000_000, EDGE_BYTES), "doc_id")
+
+    def run(batches):
+        for batch in text_batches(batches, 1, 4 << 20):
+            found, before, behind = [], [], []
+            for text, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words = _WORD.findall((text or "").lower())
+                for p in held:
+                    a, b = p["start"], p["start"] + p["n_words"]
+                    before.append([xxhash.xxh32_intdigest(w.encode("utf-8", "replace")) for w in reversed(words[max(0, a - EDGE):a])])
+                    behind.append([xxhash.xxh32_intdigest(w.encode("utf-8", "replace")) for w in words[b:b + EDGE]])
+                found.append(len(held))
+            index = pa.array(np.repeat(np.arange(batch.num_rows), found))
+            flat = batch.column(2).flatten()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), *[flat.field(c) for c in rest],
+                                              pa.array(before, pa.list_(pa.int64())), pa.array(behind, pa.list_(pa.int64()))], ["doc_id", *rest, "before", "behind"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [places.schema[c] for c in ["doc_id", *rest]])
+    return texts.select("doc_id", "text", "places").mapInArrow(run, kinds + ", before array<long>, behind array<long>")
+
+
+def _agree(a: str, b: str):
+    """How many of the first elements of two arrays are equal."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    at = F.array_position(same, F.lit(False))
+    return F.when(at == 0, F.size(same)).otherwise(at.cast("int") - 1)
+
+
+def _edges(docs: DataFrame, rows: DataFrame, runs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, start, cluster, left, right): the words by which the units at the ends of
+    ``runs`` go on alike around the first occurrence of their cluster, where they do."""
+    wanted = shared_table(runs.select(F.explode(F.array("head.cluster", "tail.cluster")).alias("cluster")).distinct(), "edge-clusters")
+    places = rows.select("doc_id", "start", "n_words", "cluster", "first_doc", "first_start").join(broadcast_up_to(wanted, 4_000_000), "cluster", "left_semi")
+    around = shared_table(_surroundings(docs, places, id_col, text_col), "surroundings")
+    is_first = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
+    first = shared_table(around.groupBy("cluster").agg(
+        F.min(F.when(is_first, F.struct("before", "behind"))).alias("f"), F.count("*").alias("members")).select(
+        "cluster", F.col("f.before").alias("f_before"), F.col("f.behind").alias("f_behind"), "members"), "first-surroundings")
+    met = join_group(around, first, "cluster", "members").withColumn("left", _agree("before", "f_before")).withColumn("right", _agree("behind", "f_behind"))
+    met = shared_table(met.select("doc_id", "start", "cluster", "first_doc", "left", "right", is_first.alias("is_first")), "edges")
+    others = met.where("doc_id <> first_doc").groupBy("doc_id", "start", "cluster").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    widest = met.where("doc_id <> first_doc").groupBy("cluster").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    firsts = met.where("is_first").select("doc_id", "start", "cluster").distinct().join(widest, "cluster").select(*others.columns)
+    return others.unionByName(firsts)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_PASSAGE) -> DataFrame:
     """One row per passage that a document shares with others: doc_id, start_word and
     n_words (words are runs of letters, digits and underscores), component_id (cluster
@@ -207,10 +269,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = repeated_units(docs, id_col, text_col).withColumn("removed", ~((F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))))
     gap = F.col("start") - F.lag(F.col("start") + F.col("n_words")).over(part)
     rows = rows.withColumn("new", F.when(gap <= GAP, 0).otherwise(1)).withColumn("run", F.sum("new").over(part.rowsBetween(Window.unboundedPreceding, 0)))
-    head = F.min(F.struct("start", "cluster", "first_doc"))
-    runs = rows.groupBy("doc_id", "removed", "run").agg(head.alias("head"), F.max(F.col("start") + F.col("n_words")).alias("stop"))
-    return runs.select("doc_id", F.col("head.start").alias("start_word"), (F.col("stop") - F.col("head.start")).alias("n_words"),
-                       F.col("head.cluster").alias("component_id"), F.col("head.first_doc").alias("first_doc_id"), "removed").where(F.col("n_words") >= min_words)
+    rows = shared_table(rows.drop("new"), "unit-runs")
+    head, tail = F.min(F.struct("start", "cluster", "first_doc")), F.max(F.struct("start", "cluster"))
+    runs = rows.groupBy("doc_id", "removed", "run").agg(head.alias("head"), tail.alias("tail"), F.max(F.col("start") + F.col("n_words")).alias("stop"))
+    runs = shared_table(runs.withColumn("n_words", F.col("stop") - F.col("head.start")), "passages")
+    long, short = runs.where(F.col("n_words") >= min_words), runs.where(F.col("n_words") < min_words)
+    edges = shared_table(_edges(docs, rows, short, id_col, text_col), "passage-edges")
+    on = ["doc_id", "start", "cluster"]
+    short = short.select("*", F.col("head.start").alias("start"), F.col("head.cluster").alias("cluster")).join(edges.drop("right"), on, "left")
+    short = short.drop("start", "cluster").select("*", F.col("tail.start").alias("start"), F.col("tail.cluster").alias("cluster")).join(edges.drop("left"), on, "left")
+    left, right = F.coalesce("left", F.lit(0)), F.coalesce("right", F.lit(0))
+    whole = long.select("doc_id", F.col("head.start").alias("start_word"), "n_words", "head", "removed").unionByName(
+        short.select("doc_id", (F.col("head.start") - left).alias("start_word"), (F.col("n_words") + left + right).alias("n_words"), "head", "removed"))
+    return whole.where(F.col("n_words") >= min_words).select(
+        "doc_id", "start_word", "n_words", F.col("head.cluster").alias("component_id"), F.col("head.first_doc").alias("first_doc_id"), "removed")
 
 
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

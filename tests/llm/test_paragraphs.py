@@ -91,3 +91,42 @@ def test_odd_rows(spark):
     assert out.columns == docs.columns and out.count() == 7
     only = spark.createDataFrame([(1, line), (1, line)], "doc_id long, text string")
     assert PG.repeated_passages(only).count() == 0
+
+
+def sentences(rng, n):
+    """n words in sentences of 6 to 25 words."""
+    out, left = [], 0
+    for i in range(n):
+        if not left:
+            left = rng.randint(6, 25)
+        left -= 1
+        w = "".join(rng.choices("abcdefghijklm", k=rng.randint(3, 8)))
+        out.append((w.capitalize() if not out or out[-1].endswith(".") else w) + ("." if not left else ""))
+    return out
+
+
+@pytest.mark.parametrize("length, recall", [(50, 0.95), (60, 0.98), (80, 0.99)])
+def test_recall_of_passages_cut_at_any_word(spark, length, recall):
+    """Pairs of unlike documents with one passage, cut at any word and set at any word; the
+    words reported are those of the passage, give or take a few."""
+    rng = random.Random(length)
+    rows, spans = [], {}
+    for p in range(60):
+        whole = sentences(rng, length + 60)
+        at = rng.randrange(60)
+        passage = whole[at:at + length]
+        for side in range(2):
+            text = sentences(rng, rng.randint(60, 200))
+            cut = rng.randrange(len(text) + 1)
+            rows.append((2 * p + side, " ".join(text[:cut] + passage + text[cut:])))
+            spans[2 * p + side] = cut
+    rows += [(1000 + i, " ".join(sentences(rng, 150))) for i in range(60)]
+    got = PG.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    found = {r.doc_id: r for r in got}
+    assert not [d for d in found if d >= 1000]
+    assert len(found) / 120 >= recall
+    # a unit at an edge can be alike with a few words more
+    assert all(r.start_word >= spans[d] - 8 and r.start_word + r.n_words <= spans[d] + length + 8 for d, r in found.items())
+    exact = [d for d, r in found.items() if (r.start_word, r.n_words) == (spans[d], length)]
+    assert length > 50 or len(exact) > 0.3 * len(found)
+    assert {r.doc_id for r in got if not r.removed} == {d for d in found if d % 2 == 0}
