@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,7 +66,17 @@ def broadcast_up_to(stored: DataFrame, max_rows: int, max_bytes: int = 32 << 20)
     return F.broadcast(stored) if rows <= max_rows and size <= max_bytes else stored
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], text_at: int, max_chars: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def release_memory() -> None:
+    """Gives what a finished task no longer uses back to the system: idle Python workers
+    stay beside the next stage's tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], text_at: int, max_chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices whose texts have about ``max_chars`` bytes at
     most (a longer text is a slice of its own), so memory follows the longest
     text and not the batch."""
@@ -79,6 +90,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], text_at: int, max_chars: int
             used += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    release_memory()
 
 
 def grouped(df: DataFrame, keys: list[str], fn: Callable, schema: str, order: list[str] | None = None) -> DataFrame:
