@@ -46,7 +46,7 @@ BLOCK = 256
 #: Words compared at each edge of a short run of units; a unit is seldom longer.
 EDGE = 48
 #: Bytes of the places whose surroundings are read, up to which they are broadcast to the texts.
-EDGE_BYTES = 64 << 20
+EDGE_BYTES = 32 << 20
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"\w+")
@@ -182,7 +182,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = shared_table(mixed.select("hash").distinct(), "mixed-units")
     # copies become one row in each task, before or (where the list is too long to broadcast) instead of
     # the filter, so those of a hot sentence don't meet in one task
-    words, few = stored.select("hash", "words"), broadcast_up_to(wanted, 4_000_000, 64 << 20)
+    words, few = stored.select("hash", "words"), broadcast_up_to(wanted, 4_000_000)
     if few is not wanted:
         words = words.join(few, "hash", "left_semi").groupBy("hash").agg(F.first("words").alias("words"))
     else:
