@@ -134,7 +134,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, length: in
     def encode(batches):
         enc = encoder(vocabulary)
         wide = "<u2" if enc.bits <= 16 and end_id < 1 << 16 else "<u4"
-        for batch in text_batches(batches, 1, 4 << 20):
+        for batch in text_batches(batches, 1, 2 << 20):
             found = [np.append(i, np.uint32(end_id)) for i in enc.encode_many(batch.column(1).to_pylist())]
             keys = hilbert_key(np.array([curve_point(i) for i in found]))
             yield pa.RecordBatch.from_arrays(
