@@ -191,7 +191,8 @@ class TextIndex:
         post = rows.select("id", *FRAGMENT_KEYS, "dl", F.explode("tf").alias("p")).select("id", *FRAGMENT_KEYS, "dl", "p.token", "p.tf")
         df = self._all("frequencies").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") > 0)
         total = self._all("totals").agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_dl").alias("s"))
-        return Bm25Index(post, df, total.select("n_docs", F.try_divide(F.col("s").cast("double"), F.col("n_docs")).alias("avgdl")), stored=True)
+        return Bm25Index(post, df, total.select("n_docs", F.try_divide(F.col("s").cast("double"), F.col("n_docs")).alias("avgdl")), stored=True,
+                         forward=rows.withColumnRenamed("tf", "_tf"))
 
     def search(self, queries: DataFrame, limit_col: str = "_fts_limit", limit_cap: int | None = None, text_col: str = "query",
                carry=()) -> DataFrame:
