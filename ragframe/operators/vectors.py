@@ -248,14 +248,16 @@ def semantic_rank(hits: DataFrame) -> DataFrame:
 
 def _embed_kernel(embedder, text_col: str, out_col: str):
     def run(batches):
-        for pdf in batches:
-            vecs = embedder(pdf[text_col]) if len(pdf) else []
-            if len(vecs) != len(pdf):  # no telling which vector is whose: the batch has none
-                vecs = [None] * len(pdf)
-            res = pdf.drop(columns=[text_col])
-            res[out_col] = pd.Series([None if v is None else np.asarray(v, dtype=np.float32) for v in vecs],
-                                     index=pdf.index, dtype=object)
-            yield res
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = batch.column(at).to_pylist()
+            vecs = embedder(pd.Series(texts, dtype=object)) if texts else []
+            if len(vecs) != len(texts):  # no telling which vector is whose: the batch has none
+                vecs = [None] * len(texts)
+            made = pd.Series([None if v is None else np.asarray(v, dtype=np.float32) for v in vecs], dtype=object)
+            rest = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], pa.Array.from_pandas(made, type=pa.list_(pa.float32()))],
+                                             [*[batch.schema.names[i] for i in rest], out_col])
     return run
 
 
@@ -263,11 +265,11 @@ def embed_texts(rows: DataFrame, text_col: str, embedder=None, out_col: str = "e
                 dim: int = 64) -> DataFrame:
     """Run a batch embedder over a text column (Arrow batches, no shuffle).
     The text column is replaced by ``out_col`` array<float>; every other column
-    (the keys) travels with its row, so no positional re-zipping is needed."""
+    (the keys) travels with its row as it is, so no positional re-zipping is needed."""
     embedder = embedder or plugins.hashed_embedder(dim)
     keep = [f for f in rows.schema.fields if f.name != text_col]
     schema = T.StructType(keep + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
-    return rows.mapInPandas(_embed_kernel(embedder, text_col, out_col), schema)
+    return rows.select(*[f.name for f in keep], text_col).mapInArrow(_embed_kernel(embedder, text_col, out_col), schema)
 
 
 def embed_chunks(chunks: DataFrame, embedder=None, dim: int = 64,

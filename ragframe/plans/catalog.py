@@ -76,7 +76,7 @@ def _fragments(spark: SparkSession, sf: str, corpus: str = "corpus") -> DataFram
     """The fragment table as an engine holds it: stored, partitioned by context."""
     def build():
         path = f"{ensure_checkpoint_dir(spark)}/fragments-{uuid.uuid4().hex}"
-        TB.write_fragments(getattr(TD, corpus)(spark, sf), path)
+        TB.write_fragments(getattr(TD, corpus)(spark, sf, arrange=TB.deal_fragments), path, dealt=True)
         return spark.read.parquet(path)
     return _kept(spark, ("fragments", id(spark), sf, corpus, TD.version(spark, sf)), build)
 

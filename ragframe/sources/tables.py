@@ -129,14 +129,23 @@ def admit_uploads(files: DataFrame, allowed: list[str] | None = None,
 
 
 
-def write_fragments(fragments: DataFrame, path: str, mode: str = "overwrite") -> None:
+FRAGMENT_ORDER = ["context_id", "document_id", "fragment_index", "chunk_index"]
+
+
+def deal_fragments(fragments: DataFrame) -> DataFrame:
+    """Rows dealt by ranges of the fragment key. Ranges are found by computing the rows
+    once more, so this comes before what is dear, such as embedding."""
+    return fragments.repartitionByRange(int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions")), *FRAGMENT_ORDER)
+
+
+def write_fragments(fragments: DataFrame, path: str, mode: str = "overwrite", dealt: bool = False) -> None:
     """Store a fragment (embeddings) table in the layout the retrieval prunes
     on: partitioned by ``context_id`` (vector search and neighbour expansion read
     only the batch's contexts), files sorted by (document_id, fragment_index,
     chunk_index) so pushed ``In(document_id, ...)`` filters skip row groups. The
     range partitioning on the full key spreads a context that holds a third of
-    all rows over many writer tasks."""
-    n = int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (fragments.repartitionByRange(n, "context_id", "document_id", "fragment_index", "chunk_index")
-     .sortWithinPartitions("context_id", "document_id", "fragment_index", "chunk_index")
+    all rows over many writer tasks. ``dealt``: the rows come from
+    :func:`deal_fragments` and stay in their tasks."""
+    rows = fragments if dealt else deal_fragments(fragments)
+    (rows.sortWithinPartitions(*FRAGMENT_ORDER)
      .write.mode(mode).partitionBy("context_id").parquet(path))

@@ -146,32 +146,38 @@ def labelled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks(spark, sf_dir).join(keys, "document_id", "left_semi")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, copy_index: int | None = None, arrange=None) -> DataFrame:
     """``corpus``: every fragment of every document with a vector: the given
     embedding of the document's id for its first fragment, where there is one,
-    else the default embedder's."""
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit(0).cast("long").alias("fragment_index"),
-                                                 F.col("embedding").alias("given"))
-    made = embed_chunks(line_chunks(spark, sf_dir), dim=64)
-    return made.join(e, ["document_id", "fragment_index"], "left").select(
+    else the default embedder's. With ``copy_index`` each row is there once more, as
+    that chunk, under an id that follows the largest one.
+
+    Given vectors meet the texts of first fragments alone, before any vector is made.
+    ``arrange`` (DataFrame -> DataFrame) deals the texts out to the tasks that embed them."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.col("embedding").alias("given"))
+    lines = line_chunks(spark, sf_dir)
+    first = lines.where(F.col("fragment_index") == 0).join(e, "document_id", "left")
+    rows = first.unionByName(lines.where(F.col("fragment_index") != 0).withColumn("given", F.lit(None).cast(e.schema["given"].dataType)))
+    made = embed_chunks(arrange(rows) if arrange else rows, dim=64)
+    if copy_index is not None:
+        top = lines.agg(F.max("id").alias("m")).scalar()
+        made = made.withColumn("_copy", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+        copied = F.col("_copy") == 1
+        made = made.withColumn("chunk_index", F.when(copied, F.lit(copy_index).cast("long")).otherwise(F.col("chunk_index"))).withColumn(
+            "id", F.when(copied, F.col("id") + top + 1).otherwise(F.col("id")))
+    return made.select(
         "id", "context_id", "document_id", "fragment_index", "chunk_index", "value", "metadata",
         F.coalesce("given", "embedding").alias("embedding"))
 
 
-def _copied(c: DataFrame, chunk_index: int) -> DataFrame:
-    """``c`` and its rows once more, under ids that follow the largest one."""
-    top = c.agg(F.max("id").alias("m")).scalar()
-    return c.unionByName(c.withColumn("chunk_index", F.lit(chunk_index).cast("long")).withColumn("id", F.col("id") + top + 1))
-
-
-def corpus2(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus2(spark: SparkSession, sf_dir: str, arrange=None) -> DataFrame:
     """``corpus`` with a second chunk in every fragment."""
-    return _copied(corpus(spark, sf_dir), 1)
+    return corpus(spark, sf_dir, 1, arrange)
 
 
-def dup_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dup_corpus(spark: SparkSession, sf_dir: str, arrange=None) -> DataFrame:
     """``corpus`` with every row twice."""
-    return _copied(corpus(spark, sf_dir), 0)
+    return corpus(spark, sf_dir, 0, arrange)
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
