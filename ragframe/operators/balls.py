@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ragframe import constants as K
 from ragframe.operators.fulltext import max_limit
-from ragframe.operators.vectors import (FRAGMENT_KEYS, _cell_kernel, _nearest, _query_table, _unit, _vectors, ivf_train,
+from ragframe.operators.vectors import (ASSIGN_ROWS, FRAGMENT_KEYS, _cell_kernel, _nearest, _query_table, _unit, _vectors, ivf_train,
                                         query_blocks)
 from ragframe.session import checkpoint, ensure_checkpoint_dir
 
@@ -58,12 +58,13 @@ def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
             found, ok = _vectors(batch.column(at), pivots.shape[1])
             norm = np.linalg.norm(found, axis=1)
             good = (norm > 0) & np.isfinite(norm)
-            cos = np.clip((found[good] / norm[good, None]) @ pivots.T, -1, 1)
             cell, angle = np.full(batch.num_rows, k, np.int32), np.full(batch.num_rows, np.nan)
             place = np.nonzero(ok)[0][good]
-            if len(place):
-                cell[place] = cos.argmax(axis=1)
-                angle[place] = np.arccos(cos.max(axis=1))
+            unit = found[good] / norm[good, None]
+            for lo in range(0, len(place), ASSIGN_ROWS):
+                cos, some = np.clip(unit[lo:lo + ASSIGN_ROWS] @ pivots.T, -1, 1), place[lo:lo + ASSIGN_ROWS]
+                cell[some] = cos.argmax(axis=1)
+                angle[some] = np.arccos(cos.max(axis=1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle, from_pandas=True)], [*batch.schema.names, "cell", "angle"])
 
     return rows.mapInArrow(run, schema)

@@ -61,8 +61,9 @@ class Bm25Index:
     """Corpus statistics. ``postings``: id, keys, dl, token, tf. ``doc_freq``:
     token, df. ``totals``: one row n_docs, avgdl. ``stored``: the frequencies
     are a stored table, so a search reads them instead of counting postings.
-    ``forward``: id, keys, dl, _tf array<struct<token, tf>>, a row a fragment;
-    None: the index has postings alone."""
+    ``forward``: id, keys, dl and the fragment's tokens, a row a fragment: ``_toks``
+    array<string>, repeats included, or ``_tf`` array<struct<token, tf>> sorted by
+    token; None: the index has postings alone."""
     postings: DataFrame
     doc_freq: DataFrame
     totals: DataFrame
@@ -125,20 +126,18 @@ def bm25_stats(fragments: DataFrame, id_col: str = "id", text_col: str = "value"
     """Term frequencies, document lengths, document frequencies, N, avgdl.
 
     The index is built map-side (no shuffle): a *forward index* row per
-    fragment holds its length and (token, tf) array; postings are its explode.
+    fragment holds its length and tokens; postings count and explode them.
     With ``materialize=True`` (the index build) the forward index is distributed
     by fragment and checkpointed into the shared checkpoint folder, and so are
     the frequencies: the text is tokenized once, and a search groups postings by
     fragment without moving them. N counts every fragment
     (also those without tokens), as a BM25 index does."""
     toks = fragments.select(F.col(id_col).alias("id"), *keys, tokens(text_col).alias("_toks"))
-    fwd = term_frequencies(toks).select("id", *keys, F.size("_toks").cast("long").alias("dl"), "_tf")
+    fwd = toks.select("id", *keys, F.size("_toks").cast("long").alias("dl"), "_toks")
     if materialize:
         fwd = by_fragment(fwd)
-    # explode_outer: a plain explode makes the optimizer infer size(_tf) > 0 and
-    # push it below the projection, re-sorting the tokens inside the lambdas
     postings = _postings(fwd, keys)
-    doc_freq = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    doc_freq = fwd.select(F.explode(F.array_distinct("_toks")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # one-row totals (partial aggregation map-side)
     totals = fwd.agg(F.count(F.lit(1)).alias("n_docs"),
                      F.try_divide(F.sum("dl").cast("double"), F.count(F.lit(1))).alias("avgdl"))
@@ -149,6 +148,10 @@ def bm25_stats(fragments: DataFrame, id_col: str = "id", text_col: str = "value"
 
 def _postings(forward: DataFrame, keys=tuple(FRAGMENT_KEYS)) -> DataFrame:
     """One row per token of each forward row."""
+    if "_tf" not in forward.columns:
+        forward = term_frequencies(forward)
+    # explode_outer: a plain explode makes the optimizer infer size(_tf) > 0 and
+    # push it below the projection, re-sorting the tokens inside the lambdas
     return (forward.select("id", *keys, "dl", F.explode_outer("_tf").alias("p"))
             .where(F.col("p").isNotNull())
             .select("id", *keys, "dl", "p.token", "p.tf"))
@@ -177,9 +180,10 @@ def _token_table(weighted: DataFrame, carry: list[str]) -> dict:
             number[key] = len(number)
             firsts.append(i)
         owner[i] = number[key]
-    coded = rows.column("token").combine_chunks().dictionary_encode() if rows.num_rows else None
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) if coded is not None else np.empty(0, np.int64)
-    vocabulary = coded.dictionary if coded is not None else pa.array([], pa.string())
+    asked = rows.column("token").to_pylist()
+    words = sorted(set(asked), key=lambda t: t.encode("utf-8", "surrogatepass"))  # Spark's order of strings
+    place = {t: i for i, t in enumerate(words)}
+    vocabulary, codes = pa.array(words, pa.string()), np.array([place[t] for t in asked], np.int64)
     order = np.argsort(codes, kind="stable")
     return {"queries": keys.take(pa.array(firsts, pa.int64())), "vocabulary": vocabulary, "owners": owner[order],
             "idf": rows.column("idf").to_numpy()[order] if rows.num_rows else np.empty(0),
@@ -196,7 +200,7 @@ def _steps(hits: np.ndarray, n_queries: int):
         lo = hi
 
 
-def _score_kernel(bc, avgdl: float, keys: list[str], carry: list[str], cap: int, same_context: bool):
+def _score_kernel(bc, avgdl: float, keys: list[str], carry: list[str], cap: int, same_context: bool, tokens_col: str):
     """Scores of every forward row for every query of the batch. Of each query the rows are
     kept whose score is within the rounding of the ``cap``-th best of a step seen before or
     now, and of equal scores the ``cap`` smallest ids: a superset of the task's share of the
@@ -212,15 +216,20 @@ def _score_kernel(bc, avgdl: float, keys: list[str], carry: list[str], cap: int,
         for batch in batches:
             if not n_queries:
                 continue
-            lists = batch.column(batch.schema.get_field_index("_tf"))
+            lists = batch.column(batch.schema.get_field_index(tokens_col))
             dl = batch.column(batch.schema.get_field_index("dl")).to_numpy(zero_copy_only=False).astype(np.float64)
             norm = K.BM25_K1 * ((1.0 - K.BM25_B) + K.BM25_B * dl / avgdl)
             row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            pairs = lists.flatten()
-            token = pc.index_in(pairs.field("token"), value_set=table["vocabulary"])
+            flat = lists.flatten()
+            counted = pa.types.is_struct(flat.type)
+            token = pc.index_in(flat.field("token") if counted else flat, value_set=table["vocabulary"])
             known = np.nonzero(token.is_valid().to_numpy(zero_copy_only=False))[0]
-            tf = pairs.field("tf").to_numpy(zero_copy_only=False)[known].astype(np.float64)
             token, row = token.take(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int64), row[known]
+            if counted:
+                tf = flat.field("tf").to_numpy(zero_copy_only=False)[known].astype(np.float64)
+            else:  # a row's tokens in their order, each with its count
+                both, tf = np.unique(row * len(table["vocabulary"]) + token, return_counts=True)
+                row, token, tf = both // len(table["vocabulary"]), both % len(table["vocabulary"]), tf.astype(np.float64)
             hits = np.bincount(row, weights=degree[token], minlength=batch.num_rows).astype(np.int64)
             for lo, hi in _steps(hits, n_queries):
                 a, b = np.searchsorted(row, [lo, hi])
@@ -271,8 +280,9 @@ def _kernel_scores(sc, weighted: DataFrame, rows: DataFrame, avgdl: float, carry
     qschema = weighted.select("query_id", "q_context_id", *carry).schema
     schema = T.StructType([*qschema.fields, *[rows.schema[k] for k in keys], T.StructField("full_text_score", T.DoubleType())])
     bc = sc.broadcast(_token_table(weighted, carry))
-    kernel = _score_kernel(bc, avgdl, keys, carry, max(int(cap), 1), scope == "context")
-    return rows.select(*keys, "dl", "_tf").mapInArrow(kernel, schema).withColumn(
+    tokens_col = "_tf" if "_tf" in rows.columns else "_toks"
+    kernel = _score_kernel(bc, avgdl, keys, carry, max(int(cap), 1), scope == "context", tokens_col)
+    return rows.select(*keys, "dl", tokens_col).mapInArrow(kernel, schema).withColumn(
         "full_text_score", F.round("full_text_score", K.TEXT_SCORE_DIGITS))
 
 

@@ -37,6 +37,8 @@ FRAGMENT_KEYS = ["context_id", "document_id", "fragment_index"]
 MAX_BLOCK_CELLS = 4_000_000   # distance-matrix cells per numpy product (~32 MB)
 BLOCK_BYTES = 32 * 1024 * 1024  # query vectors and settings sent to every task at once
 MAX_IVF_CELLS = 4096
+TRAIN_ROWS = 100_000          # fragments that cells are fitted to, at most or so
+ASSIGN_ROWS = 1024            # rows met with all centers at once
 
 
 def _distance_kernel(left: str, right: str, out: str):
@@ -305,24 +307,42 @@ def _unit(col: str):
 
 def ivf_train(fragments: DataFrame, n_cells: int = 16, seed: int = 7, max_iter: int = 20):
     """Train IVF centroids with distributed k-means (``pyspark.ml``) over the
-    unit vectors. Returns the fitted model."""
+    unit vectors of a sample: at most ``TRAIN_ROWS`` fragments or so, chosen by the hash
+    of their id (a smaller table is used whole). Every row gets a cell; what is
+    searched doesn't depend on the sample. Many cells start from random rows.
+    Returns the fitted model."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    share = -(-fragments.count() // TRAIN_ROWS)
+    if share > 1:
+        fragments = fragments.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
     units = fragments.select(_unit("embedding").alias("u")).where(F.col("u").isNotNull())
     data = units.select(array_to_vector("u").alias("features"))
-    return KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features",
-                  predictionCol="cell").fit(data)
+    return KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cell",
+                  initMode="random" if share > 1 else "k-means||").fit(data)
 
 
 def ivf_assign(model, rows: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """Add the nearest cell of every row (a map-side model transform)."""
-    from pyspark.ml.functions import array_to_vector
-    dim = len(model.clusterCenters()[0])
-    # a vector without a direction has a cell like any other, and is found in it
-    nowhere = F.array_repeat(F.lit(0.0), dim)
-    feats = rows.withColumn("features", array_to_vector(F.coalesce(_unit(vec_col), nowhere)))
-    return model.transform(feats).drop("features")
+    """Add the nearest cell of every row (a map-side block product)."""
+    centers = np.array(model.clusterCenters())
+    size, at = (centers * centers).sum(axis=1), rows.columns.index(vec_col)
+    schema = T.StructType(rows.schema.fields + [T.StructField("cell", T.IntegerType())])
+
+    def run(batches):
+        for batch in batches:
+            found, ok = _vectors(batch.column(at), centers.shape[1])
+            norm = np.linalg.norm(found, axis=1)
+            good = (norm > 0) & np.isfinite(norm)
+            # a vector without a direction has a cell like any other, and is found in it
+            unit = np.zeros((batch.num_rows, centers.shape[1]))
+            unit[np.nonzero(ok)[0][good]] = found[good] / norm[good, None]
+            cell = np.empty(batch.num_rows, np.int32)
+            for lo in range(0, batch.num_rows, ASSIGN_ROWS):
+                cell[lo:lo + ASSIGN_ROWS] = (size - 2 * (unit[lo:lo + ASSIGN_ROWS] @ centers.T)).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
+
+    return rows.mapInArrow(run, schema)
 
 
 @dataclass

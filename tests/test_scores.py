@@ -39,3 +39,25 @@ def test_no_row_per_match(spark):
     queries, fragments = _tables(spark, False)
     plan = FT.bm25_search(queries, FT.bm25_stats(fragments, materialize=True))._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Generate explode" not in plan and "Aggregate" not in plan
+
+
+def test_cells_fitted_to_a_sample(spark, monkeypatch):
+    """k-means gets a bounded sample; every row has a cell and the search of all cells is exact."""
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+    from ragframe.operators import balls as BA
+    from ragframe.operators import vectors as V
+    rng = np.random.default_rng(3)
+    rows = [(i, "c0", i, 0, rng.standard_normal(8).tolist()) for i in range(400)] + [(900, "c0", 900, 0, None), (901, "c0", 901, 0, [0.0] * 8)]
+    frags = spark.createDataFrame(rows, "id long, context_id string, document_id long, fragment_index long, embedding array<float>")
+    q = spark.createDataFrame([(1, "c0", rows[7][4], 12), (2, "c0", rows[9][4], 402)], "query_id long, context_id string, embedding array<float>, _sem_limit int")
+    seen, fit = [], KMeans.fit
+    monkeypatch.setattr(V, "TRAIN_ROWS", 100)
+    monkeypatch.setattr(KMeans, "fit", lambda self, data: seen.append(data.count()) or fit(self, data))
+    index, balls = V.ivf_build(frags, n_cells=10), BA.ball_build(frags, n_pivots=10)
+    assert len(seen) == 2 and max(seen) < 200
+    cols = ["query_id", "id", "semantic_score"]
+    want = sorted(map(repr, V.semantic_search(q, frags).select(*cols).collect()))
+    assert index.cells.count() == 402
+    assert sorted(map(repr, V.ann_search(q, index, n_probe=len(index.centers)).select(*cols).collect())) == want
+    assert sorted(map(repr, BA.ball_search(q, balls).select(*cols).collect())) == want
