@@ -1,8 +1,8 @@
 """Ingestion: parse -> split -> index -> embed -> upsert/append.
 
 Everything is row- or batch-local (no shuffle) until the final upsert/append:
-splitting runs as an Arrow-batched pandas UDF over the documents' partitions,
-embedding as ``mapInPandas``. Both outputs of :func:`ingest` derive from one
+parsing, splitting and embedding run over Arrow batches of the documents' partitions
+(``mapInArrow``), the first two in slices of bounded bytes. Both outputs of :func:`ingest` derive from one
 checkpointed ``fragments`` DataFrame so they agree even if a task is retried.
 """
 
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,10 +29,24 @@ from ragframe.session import broadcast_if_small, checkpoint
 # B1 parse
 # --------------------------------------------------------------------------
 
+SLICE_BYTES = 1 << 20  # texts or contents that are parsed or split at once
+
 # the first element of an HTML document, after comments, a prolog and white space
 _HTML_START = re.compile(r"\ufeff?(?:\s|<!--.*?-->|<\?.*?\?>)*<(?:!doctype\s+html|html|head|body)\b", re.S | re.I)
 
 
+def _slices(batch: pa.RecordBatch, of: str):
+    """Runs of rows of a batch whose values of ``of`` take at most ``SLICE_BYTES`` (at least
+    one row), so that a task's Python objects don't grow with the rows of a batch."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(of))), 0).to_numpy(zero_copy_only=False)
+    upto, lo = np.cumsum(sizes, dtype=np.int64), 0
+    while lo < batch.num_rows:
+        before = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, before + SLICE_BYTES, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def detect_type(content: bytes) -> str:
     """HTML when the first element of the text is HTML's, however much comes before it."""
     return "text/html" if _HTML_START.match(content.decode("utf-8", errors="replace")) else "text/plain"
@@ -45,36 +61,38 @@ def parse_documents(files: DataFrame, parsers: dict | None = None, content_col:
     NULL text and the reason in ``error_col``; it never fails the job. With
     ``verify_types`` a file whose content contradicts its MIME type is one of these."""
     parsers = parsers or plugins.default_parsers()
-    result = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
-
-    @F.pandas_udf(result)
-    def _parse(content: pd.Series, mime: pd.Series) -> pd.DataFrame:
-        texts, errors = [], []
-        for b, m in zip(content, mime):
-            text, error = None, None
-            if b is None:
-                error = "no content"
-            else:
-                b = bytes(b)
-                m = m or detect_type(b)
-                if m not in parsers:
-                    error = f"no parser for {m}"
-                else:
-                    try:
-                        text = parsers[m](b)
-                    except Exception as e:  # noqa: BLE001 - a broken file is a reject
-                        error = f"{m}: {type(e).__name__}: {e}"
-            texts.append(text)
-            errors.append(error)
-        return pd.DataFrame({"text": pd.Series(texts, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    def _parse(batches):
+        for batch in batches:
+            for part in _slices(batch, "_content"):
+                texts, errors = [], []
+                for b, m in zip(part.column(-2).to_pylist(), part.column(-1).to_pylist()):
+                    text, error = None, None
+                    if b is None:
+                        error = "no content"
+                    else:
+                        m = m or detect_type(b)
+                        if m not in parsers:
+                            error = f"no parser for {m}"
+                        else:
+                            try:
+                                text = parsers[m](b)
+                            except Exception as e:  # noqa: BLE001 - a broken file is a reject
+                                error = f"{m}: {type(e).__name__}: {e}"
+                    texts.append(text)
+                    errors.append(error)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(texts, pa.string()), pa.array(errors, pa.string())],
+                                                 [*part.schema.names[:-2], "_text", "_error"])
 
     mime = F.col(mime_col) if mime_col and mime_col in files.columns else F.lit(None).cast("string")
     wrong = F.lit(None).cast("string")
     if verify_types and mime_col and mime_col in files.columns:
         files, wrong = check_types(files, content_col, mime_col, "_detected", "_wrong"), F.col("_wrong")
-    out = files.withColumn("_parsed", _parse(F.when(wrong.isNull(), F.col(content_col)), mime))
-    return (out.withColumn(out_col, F.col("_parsed.text")).withColumn(error_col, F.coalesce(wrong, F.col("_parsed.error")))
-            .drop("_parsed", "_detected", "_wrong"))
+    asked = files.withColumn("_content", F.when(wrong.isNull(), F.col(content_col))).withColumn("_mime", mime)
+    schema = T.StructType(files.schema.fields + [T.StructField("_text", T.StringType()), T.StructField("_error", T.StringType())])
+    out = asked.mapInArrow(_parse, schema)
+    return (out.withColumn(out_col, F.col("_text")).withColumn(error_col, F.coalesce(wrong, F.col("_error")))
+            .drop("_text", "_error", "_detected", "_wrong"))
 
 
 # --------------------------------------------------------------------------
@@ -164,12 +182,17 @@ def split_documents(docs: DataFrame, max_chars, overlap: int = K.CHUNK_OVERLAP_C
     Partitioned by document; no shuffle. ``model``: a learned ``SentenceModel``."""
     sentences = None if model is None else model.split
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def _split(texts: pd.Series, maxes: pd.Series) -> pd.Series:
-        return pd.Series([split_text(t, m, overlap, sentences) for t, m in zip(texts, maxes)], dtype=object)
+    def _split(batches):
+        for batch in batches:
+            for part in _slices(batch, "_text"):
+                pieces = [split_text(t, m, overlap, sentences) for t, m in zip(part.column(-2).to_pylist(), part.column(-1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(pieces, pa.list_(pa.string()))], [*part.schema.names[:-2], out_col])
 
     m = max_chars if isinstance(max_chars, Column) else F.lit(int(max_chars))
-    return docs.withColumn(out_col, _split(F.col(text_col), m.cast("long")))
+    asked = docs.withColumn("_text", F.col(text_col)).withColumn("_most", m.cast("long"))
+    kept = [f for f in docs.schema.fields if f.name != out_col]
+    return asked.select(*[f.name for f in kept], "_text", "_most").mapInArrow(
+        _split, T.StructType(kept + [T.StructField(out_col, T.ArrayType(T.StringType()))]))
 
 
 def index_fragments(split: DataFrame, pieces_col: str = "pieces",
