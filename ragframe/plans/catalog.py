@@ -31,7 +31,7 @@ from ragframe.operators import textindex as TI
 from ragframe.operators import vectors as V
 from ragframe.plans.oracle_retrieval import RETRIEVED_COLS, retrieval_with
 from ragframe.plans.retrieve import retrieval_stages
-from ragframe.session import ensure_checkpoint_dir
+from ragframe.session import broadcast_if_small, ensure_checkpoint_dir
 from ragframe.sources import tables as TB
 from ragframe.sources import testdata as TD
 from ragframe.streaming import answers as SA
@@ -134,8 +134,8 @@ def q_analyze_text(spark, sf):
 SELECT p.id, p.token, p.tf, p.dl, d.df, t.n_docs, t.avgdl
 FROM postings p JOIN doc_freq d USING (token), totals t""")
 def q_bm25_stats(spark, sf):
-    ix = FT.bm25_stats(TD.corpus(spark, sf))
-    return (ix.postings.join(ix.doc_freq, "token")
+    ix = FT.bm25_stats(TD.corpus(spark, sf, embedded=False), materialize=True)
+    return (ix.postings.join(broadcast_if_small(ix.doc_freq, FT.BROADCAST_MAX_ROWS), "token")
             .select("id", "token", "tf", "dl", "df",
                     ix.totals.select("n_docs").scalar().alias("n_docs"),
                     ix.totals.select("avgdl").scalar().alias("avgdl")))
@@ -713,13 +713,16 @@ def q_embed_fitted(spark, sf):
     return out.select("id", F.size("embedding").alias("dim"), F.exists("embedding", lambda x: x != 0).alias("has_direction"))
 
 
-def _uploaded(spark, sf):
+def _uploaded(spark, sf, claimed: bool = False):
     """The whole upload path: all files, checked, read by their MIME type, into tables that
-    hold the labelled documents already."""
+    hold the labelled documents already. With ``claimed`` every document is sent once more
+    under another type."""
     labelled = TD.read(spark, sf, "labels").select(F.col("doc_id").alias("document_id")).distinct()
     have = TD.documents_table(spark, sf).join(labelled, "document_id", "left_semi")
     emb = V.embed_chunks(TD.labelled_chunks(spark, sf), dim=64)
-    sent = TB.admit_uploads(TD.upload_files(spark, sf)).where("valid").select(
+    files = TD.upload_files(spark, sf)
+    files = files.unionByName(TD.claimed_files(spark, sf)) if claimed else files
+    sent = TB.admit_uploads(files).where("valid").select(
         F.col("file_id").alias("document_id"), "context_id", F.concat(F.lit("doc-"), F.col("file_id").cast("string")).alias("name"), "content", "mime")
     return IG.ingest(IG.ingest_if_absent(sent, emb), have, emb, max_chars=512, dim=64, now=_now())
 
@@ -752,12 +755,18 @@ def q_ingest(spark, sf):
         F.coalesce("ids_follow", F.lit(True)).alias("ids_follow"))
 
 
-@register("ingest_rejects", _UPLOADED_SQL + """
+_CLAIMED_SQL = _UPLOADED_SQL.replace("UNION ALL SELECT doc_id, 'extra'", """UNION ALL SELECT doc_id + (SELECT max(doc_id) + 1 FROM documents), source,
+            ['application/pdf', 'text/plain', 'text/html', 'image/png', ''][CAST(doc_id % 5 AS INTEGER) + 1], octet_length(encode(text)), text FROM documents
+          UNION ALL SELECT doc_id, 'extra'""")
+
+
+@register("ingest_rejects", _CLAIMED_SQL + """
 SELECT doc_id AS document_id, context_id, CASE WHEN text IS NULL THEN 'no content' ELSE 'no parser for ' || mime END AS error
 FROM sent WHERE mime = 'application/pdf' OR text IS NULL""")
 def q_ingest_rejects(spark, sf):
-    """Uploads that were admitted and could not be parsed."""
-    return _uploaded(spark, sf)[2].select("document_id", "context_id", "error")
+    """Uploads that were admitted and could not be parsed: of all documents under their own
+    type and under that of ``uploads``, and of the files added by hand."""
+    return _uploaded(spark, sf, claimed=True)[2].select("document_id", "context_id", "error")
 
 
 _SENT_SQL = _UPLOADED_SQL.replace("AND doc_id NOT IN (SELECT doc_id FROM held)", "")

@@ -96,14 +96,18 @@ def documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _claimed_type():
+    mimes = F.array(F.lit("application/pdf"), F.lit("text/plain"), F.lit("text/html"),
+                    F.lit("image/png"), F.lit(""))
+    return F.element_at(mimes, (F.pmod(F.col("doc_id"), F.lit(5)) + 1).cast("int"))
+
+
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names' types and sizes for the admission check alone: every fifth is of each type."""
     d = read(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    mimes = F.array(F.lit("application/pdf"), F.lit("text/plain"), F.lit("text/html"),
-                    F.lit("image/png"), F.lit(""))
     return d.select(
         F.col("doc_id").alias("file_id"),
-        F.element_at(mimes, (F.pmod(F.col("doc_id"), F.lit(5)) + 1).cast("int")).alias("mime"),
+        _claimed_type().alias("mime"),
         (F.col("n_chars") * 50000).alias("size"),
     )
 
@@ -123,6 +127,16 @@ def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.unionByName(extra)
 
 
+def claimed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file once more, under the type that ``uploads`` gives it and an id
+    that follows the largest one."""
+    d = read(spark, sf_dir, "documents")
+    top = d.agg(F.max("doc_id").alias("m")).scalar()
+    return d.select(
+        (F.col("doc_id") + top + 1).alias("file_id"), F.col("source").alias("context_id"), _claimed_type().alias("mime"),
+        F.octet_length("text").cast("long").alias("size"), F.encode("text", "UTF-8").alias("content"))
+
+
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_chunks``: each document line is one fragment (chunk 0). Ids are
     document * (most lines of a document) + line, so they never collide."""
@@ -146,19 +160,22 @@ def labelled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks(spark, sf_dir).join(keys, "document_id", "left_semi")
 
 
-def corpus(spark: SparkSession, sf_dir: str, copy_index: int | None = None, arrange=None) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, copy_index: int | None = None, arrange=None,
+           embedded: bool = True) -> DataFrame:
     """``corpus``: every fragment of every document with a vector: the given
     embedding of the document's id for its first fragment, where there is one,
     else the default embedder's. With ``copy_index`` each row is there once more, as
     that chunk, under an id that follows the largest one.
 
     Given vectors meet the texts of first fragments alone, before any vector is made.
-    ``arrange`` (DataFrame -> DataFrame) deals the texts out to the tasks that embed them."""
+    ``arrange`` (DataFrame -> DataFrame) deals the texts out to the tasks that embed them.
+    With ``embedded`` false the same rows come without their vectors."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.col("embedding").alias("given"))
     lines = line_chunks(spark, sf_dir)
     first = lines.where(F.col("fragment_index") == 0).join(e, "document_id", "left")
     rows = first.unionByName(lines.where(F.col("fragment_index") != 0).withColumn("given", F.lit(None).cast(e.schema["given"].dataType)))
-    made = embed_chunks(arrange(rows) if arrange else rows, dim=64)
+    rows = arrange(rows) if arrange else rows
+    made = embed_chunks(rows, dim=64) if embedded else rows
     if copy_index is not None:
         top = lines.agg(F.max("id").alias("m")).scalar()
         made = made.withColumn("_copy", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
@@ -167,7 +184,7 @@ def corpus(spark: SparkSession, sf_dir: str, copy_index: int | None = None, arra
             "id", F.when(copied, F.col("id") + top + 1).otherwise(F.col("id")))
     return made.select(
         "id", "context_id", "document_id", "fragment_index", "chunk_index", "value", "metadata",
-        F.coalesce("given", "embedding").alias("embedding"))
+        *([F.coalesce("given", "embedding").alias("embedding")] if embedded else []))
 
 
 def corpus2(spark: SparkSession, sf_dir: str, arrange=None) -> DataFrame:
