@@ -127,7 +127,7 @@ def _sum(stored: DataFrame, idf: np.ndarray, thin: np.ndarray, square: bool) ->
 def fit(rows: DataFrame, text_col: str = "value", dim: int = 64, features: int = FEATURES, passes: int = PASSES, seed: int = SEED) -> LsaModel:
     """The model of a text column. Null texts and texts without a token have no entries; a
     corpus without any gives a basis of zeros."""
-    hashed = F.array_sort(F.transform(tokens(text_col), lambda t: F.pmod(F.xxhash64(t), F.lit(features)).cast("int")))
+    hashed = F.sort_array(F.transform(tokens(text_col), lambda t: F.pmod(F.xxhash64(t), F.lit(features)).cast("int")))
     starts = F.filter(F.transform("h", lambda x, i: F.when((i == 0) | (x != F.element_at("h", F.greatest(i, F.lit(1)).cast("int"))), i)), lambda i: i.isNotNull())
     forward = rows.select(hashed.alias("h")).where(F.size("h") > 0).withColumn("s", starts)
     ends = F.concat(F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))), F.array(F.size("h")))
