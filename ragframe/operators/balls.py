@@ -81,9 +81,12 @@ def ball_build(fragments: DataFrame, path: str | None = None, n_pivots: int | No
     if lengths is not None:  # vectors of another length than most are as if they had no direction
         dim, n = lengths
         directed = directed.where(F.size("embedding") == dim)
-        some = directed.select(_unit("embedding").alias("u")).distinct().limit(2).collect()
-        if len(some) == 1:  # k-means wants two different vectors
-            pivots = np.array([some[0]["u"]])
+        units = directed.select(_unit("embedding").alias("u")).where(F.col("u").isNotNull())
+        one = units.first()
+        if one is None:
+            pivots = np.zeros((1, dim))
+        elif not units.where(F.col("u") != F.lit(list(one["u"]))).take(1):  # k-means wants two different vectors
+            pivots = np.array([one["u"]])
         else:
             model = ivf_train(directed, max(2, n_pivots or min(MAX_PIVOTS, -(-n // ROWS))), max_iter=max_iter)
             pivots = np.array(model.clusterCenters())

@@ -301,8 +301,10 @@ def embed_queries(queries: DataFrame, embedder=None, dim: int = 64) -> DataFrame
 
 def _unit(col: str):
     from ragframe.functions.vector import norm_expr
-    n = norm_expr(col)
-    return F.when(n > 0, F.transform(F.col(col), lambda x: x.cast("double") / n))
+    # the norm is a variable of the outer function: inside the inner one it would be
+    # computed again for each element
+    scaled = F.transform(F.array(norm_expr(col)), lambda n: F.when(n > 0, F.transform(F.col(col), lambda x: x.cast("double") / n)))
+    return F.element_at(scaled, 1)
 
 
 def ivf_train(fragments: DataFrame, n_cells: int = 16, seed: int = 7, max_iter: int = 20):
