@@ -11,9 +11,12 @@ abbreviation, unless a capital word follows that starts sentences."""
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,11 @@ MIN_SCORE, MIN_START = 0.3, 30.0
 MIN_COUNT = 5
 MAX_ENTRIES = 100_000
 WORD = r"^[^\p{L}\p{N}]*(\p{L}(?:[\p{L}\p{N}.-]*[\p{L}\p{N}])?)"
+STOP = r"[.!?]$"
+#: Distinct tokens that a task counts before it hands them on.
+HELD = 200_000
 
+_TOKEN, _STOPS = re.compile(r"[^ \t\n\x0b\f\r]+"), frozenset(".!?")
 _WORD = re.compile(r"[\W_]*([^\W\d_](?:[\w.-]*[^\W_])?)")
 
 
@@ -63,19 +70,41 @@ def word_of(token: str) -> str:
     return found[1].lower() if found else ""
 
 
-def _tokens(docs: DataFrame, text_col: str) -> DataFrame:
-    """tok and the one before it, for every token of every text that has a word."""
-    toks = F.filter(F.split(F.col(text_col), r"\s+"), lambda t: t != "")
-    rows = docs.select(toks.alias("t")).select(F.explode(F.when(F.size("t") > 0, F.transform("t", lambda x, i: F.struct(
-        x.alias("tok"), F.when(i > 0, F.element_at("t", i.cast("int"))).alias("before"))))).alias("p")).select("p.tok", "p.before")
+def _count_kernel(batches):
+    """Counts of a task's tokens, in parts of bounded size."""
+    def part() -> pa.RecordBatch:
+        keys = [pa.array(c, pa.string()) for c in zip(*counts)]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(list(counts.values()), pa.int64())], ["tok", "before", "times"])
+
+    counts: Counter = Counter()
+    for batch in batches:
+        for value in batch.column(0):
+            toks = _TOKEN.findall(value.as_py() or "")
+            # what STOP sees of a token is in its last two characters (the last may be a line separator)
+            counts.update(zip(toks, itertools.chain((None,), (t if t[-1] in _STOPS or t[-2:-1] in _STOPS else None for t in toks))))
+            if len(counts) > HELD:
+                yield part()
+                counts.clear()
+    if counts:
+        yield part()
+
+
+def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """tok, the one before it where that may end a sentence (else null), their word and
+    ``times``, how often they stand so. Equal ones are counted before any expression looks
+    at them: there are far fewer words than places. Stored, so that one reading of the
+    texts serves abbreviations and starters."""
+    rows = docs.select(text_col).mapInArrow(_count_kernel, "tok string, before string, times long")
+    rows = rows.groupBy("tok", "before").agg(F.sum("times").alias("times"))
     word = F.lower(F.regexp_extract("tok", WORD, 1))
-    return rows.withColumn("word", word).where("word <> ''")
+    return checkpoint(rows.withColumn("word", word).where("word <> ''"))
 
 
-def abbreviations(docs: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
-    """word, n (uses), n_period and score of every abbreviation. Null texts have no words."""
-    rows = _tokens(docs, text_col).withColumn("p", F.col("tok").rlike(r"[\p{L}\p{N}]\.$").cast("long"))
-    counts = checkpoint(rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("n_period")))
+def abbreviations(docs: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT, tokens: DataFrame | None = None) -> DataFrame:
+    """word, n (uses), n_period and score of every abbreviation. Null texts have no words.
+    ``tokens``: the texts' :func:`token_counts`, if they are there already."""
+    rows = (token_counts(docs, text_col) if tokens is None else tokens).withColumn("p", F.col("tok").rlike(r"[\p{L}\p{N}]\.$").cast("long"))
+    counts = checkpoint(rows.groupBy("word").agg(F.sum("times").alias("n"), F.sum(F.col("p") * F.col("times")).alias("n_period")))
     total = counts.agg(F.sum("n").cast("double").alias("n"), F.sum("n_period").cast("double").alias("p")).select(F.struct("n", "p").alias("t")).scalar()
     rate = F.try_divide(total["p"], total["n"])
     n, p = F.col("n").cast("double"), F.col("n_period").cast("double")
@@ -87,11 +116,13 @@ def abbreviations(docs: DataFrame, text_col: str = "text", min_count: int = MIN_
             .where(F.col("score") >= MIN_SCORE))
 
 
-def starters(docs: DataFrame, known: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
-    """word, n, n_start and score of the words that start sentences; ``known``: the abbreviations."""
-    rows = _tokens(docs, text_col).withColumn("last", F.lower(F.regexp_extract("before", WORD, 1)))
-    rows = rows.withColumn("stop", F.coalesce(F.col("before").rlike(r"[.!?]$"), F.lit(False)) & F.col("tok").rlike(r"^[^\p{L}\p{N}]*\p{Lu}"))
-    per = rows.groupBy("word", "last", F.coalesce(F.col("before").rlike(r"[\p{L}\p{N}]\.$"), F.lit(False)).alias("dot"), "stop").agg(F.count(F.lit(1)).alias("n"))
+def starters(docs: DataFrame, known: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT,
+             tokens: DataFrame | None = None) -> DataFrame:
+    """word, n, n_start and score of the words that start sentences; ``known``: the abbreviations;
+    ``tokens`` as there."""
+    rows = (token_counts(docs, text_col) if tokens is None else tokens).withColumn("last", F.lower(F.regexp_extract("before", WORD, 1)))
+    rows = rows.withColumn("stop", F.coalesce(F.col("before").rlike(STOP), F.lit(False)) & F.col("tok").rlike(r"^[^\p{L}\p{N}]*\p{Lu}"))
+    per = rows.groupBy("word", "last", F.coalesce(F.col("before").rlike(r"[\p{L}\p{N}]\.$"), F.lit(False)).alias("dot"), "stop").agg(F.sum("times").alias("n"))
     abbr = known.select(F.col("word").alias("last"), F.lit(True).alias("abbr"))
     per = per.join(abbr, "last", "left").withColumn("stop", F.col("stop") & ~(F.col("dot") & F.col("abbr").isNotNull()))
     counts = checkpoint(per.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("stop"), F.col("n")).otherwise(0)).alias("n_start")))
@@ -109,7 +140,8 @@ def starters(docs: DataFrame, known: DataFrame, text_col: str = "text", min_coun
 
 def learn(docs: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT) -> SentenceModel:
     """The model of a corpus: at most ``MAX_ENTRIES`` words of each kind, those with the best scores."""
-    known = checkpoint(abbreviations(docs, text_col, min_count))
-    first = starters(docs, known, text_col, min_count)
+    tokens = token_counts(docs, text_col)
+    known = checkpoint(abbreviations(docs, text_col, min_count, tokens))
+    first = starters(docs, known, text_col, min_count, tokens)
     lists = [[r[0] for r in df.orderBy(F.desc("score"), "word").limit(MAX_ENTRIES).select("word").collect()] for df in (known, first)]
     return SentenceModel(*map(frozenset, lists))

@@ -673,7 +673,8 @@ SELECT word, CAST(n AS BIGINT) AS n, CAST(s AS BIGINT) AS n_start FROM (
 def q_sentence_starters(spark, sf):
     """The words that start sentences more often than chance."""
     d = TD.read(spark, sf, "documents")
-    return SE.starters(d, SE.abbreviations(d)).select("word", "n", F.col("n_start").cast("long").alias("n_start"))
+    tokens = SE.token_counts(d)
+    return SE.starters(d, SE.abbreviations(d, tokens=tokens), tokens=tokens).select("word", "n", F.col("n_start").cast("long").alias("n_start"))
 
 
 @register("index_fragments", TD.sql_with("line_chunks") + """

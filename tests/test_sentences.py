@@ -67,3 +67,11 @@ def test_splitting_with_a_model(spark):
 def test_odd_tables(spark):
     assert SE.learn(docs(spark, [None, "", " . ", "1. 2."])) == SE.SentenceModel(frozenset(), frozenset())
     assert SE.learn(spark.createDataFrame([], "text string")).abbreviations == frozenset()
+
+
+def test_tokens_are_counted_before_they_are_looked_at(spark):
+    """One row for equal tokens; the one before matters only where it may end a sentence."""
+    texts = ["one two. Three two. Three\x0bone"] * 3 + ["a\u2003b end.\u2028 So", None, ""]
+    got = {(r["tok"], r["before"]): r["times"] for r in SE.token_counts(docs(spark, texts).repartition(1)).collect()}
+    assert got == {("one", None): 6, ("Three", "two."): 6, ("two.", None): 6, ("a\u2003b", None): 1,
+                   ("end.\u2028", None): 1, ("So", "end.\u2028"): 1}
