@@ -17,29 +17,40 @@ reach the threshold any more; the cheapest such choice is a walk along the conve
 the tokens' (rows, bound) curves. Fragments whose read part and the bounds of the unread
 one stay below the threshold are dropped, the rest is scored in full from the forward
 rows. The threshold comes from the same steps with a budget of rows instead of a bound.
-Stored postings are partitioned by the token's frequency class and level, so blocks that
-no query needs aren't scanned. The result equals the exhaustive search's."""
+The result equals the exhaustive search's.
+
+**Layout.** Forward rows and postings of a segment are tables bucketed by fragment: the
+texts are dealt out once, before they are tokenized, and neither the postings, nor the
+sums of a fragment's read parts, nor the rows scored in full are moved again. In a bucket
+postings lie by the token's frequency class and level, so stretches that no query
+needs are skipped by their statistics."""
 
 from __future__ import annotations
 
 import itertools
 import math
+import uuid
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ragframe import constants as K
 from ragframe.functions.text import tokens
-from ragframe.operators.fulltext import (BROADCAST_MAX_ROWS, FRAGMENT_KEYS, Bm25Index, max_limit, query_tokens,
-                                         term_frequencies)
+from ragframe.operators.fulltext import (BROADCAST_MAX_ROWS, FRAGMENT_KEYS, Bm25Index, _kernel_scores, _postings, _spark_context,
+                                         _summed, max_limit, query_tokens)
 from ragframe.session import broadcast_if_small, checkpoint, fits
 from ragframe.sources import versions
 
 LEVELS = 32
 #: Tokens in fewer fragments of a segment than this are one class.
 COMMON_DF = 1024
+#: Bytes of text that a bucket of a segment gets, or so.
+BUCKET_BYTES = 16 << 20
 #: Postings that a query may read for its threshold, for each row of its limit.
 BUDGET = 256
 #: Fragments scored in full for the threshold, for each row of the limit.
@@ -56,6 +67,30 @@ def _impact(tf: Column, dl: Column, avgdl) -> Column:
     return tf * F.lit(_TOP) / (tf + F.lit(K.BM25_K1) * (F.lit(1.0 - K.BM25_B) + F.lit(K.BM25_B) * dl / avgdl))
 
 
+def _count_kernel(batches):
+    """The lists of tokens in the last column as lists of (token, tf), sorted by token."""
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        order = pc.sort_indices(words).to_numpy()  # bytewise, as Spark sorts strings
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        both, tf = np.unique(row * max(len(words), 1) + place[coded.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+        row, token = both // max(len(words), 1), words.take(pa.array(order[both % max(len(words), 1)], pa.int64()))
+        offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([token, pa.array(tf.astype(np.int64))], ["token", "tf"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pairs)], batch.schema.names)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Forward rows of rows whose ``tf`` holds their tokens: their length and the tokens' counts."""
+    rows = rows.select("id", *FRAGMENT_KEYS, F.size("tf").cast("long").alias("dl"), F.col("tf"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(_count_kernel, kinds + ", tf array<struct<token string, tf long>>")
+
+
 class TextIndex:
     """A stored index under ``path``. One writer at a time; readers see whole versions."""
 
@@ -92,10 +127,26 @@ class TextIndex:
         return batch is not None and batch in self.manifest["batches"]
 
     def _table(self, kind: str, seq: int) -> DataFrame:
-        reader = self.spark.read
-        if kind == "postings":  # a partitioned table without rows has no file that knows its columns
-            reader = reader.schema("token string, level int, id long, dl long, tf long, cls int")
-        return reader.parquet(f"{self.path}/{kind}/{seq:06d}").withColumn("seq", F.lit(seq))
+        made = next((s for s in self.manifest["segments"] if s["seq"] == seq and "buckets" in s), None)
+        table = self._bucketed(kind, made) if made and kind in _SORTED else self.spark.read.parquet(f"{self.path}/{kind}/{seq:06d}")
+        return table.withColumn("seq", F.lit(seq))
+
+    def _bucketed(self, kind: str, made: dict) -> DataFrame:
+        """A segment's bucketed table; a session that hasn't written it learns where it lies."""
+        name = f"ragframe_{kind}_{made['name']}"
+        if not self.spark.catalog.tableExists(name):
+            where = f"{self.path}/{kind}/{made['seq']:06d}-{made['name']}".replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({made['columns'][kind]}) USING parquet CLUSTERED BY (id) "
+                           f"INTO {made['buckets']} BUCKETS LOCATION '{where}'")
+        return self.spark.table(name)
+
+    def _store(self, rows: DataFrame, kind: str, made: dict) -> DataFrame:
+        """``rows``, which lie by ``id`` in the tasks, as a bucketed table of a segment."""
+        made["columns"][kind] = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+        # sorted by one whole number before the writer's sort by bucket: both are radix sorts
+        (rows.sortWithinPartitions(_SORTED[kind]).write.mode("overwrite").format("parquet").bucketBy(made["buckets"], "id")
+         .option("path", f"{self.path}/{kind}/{made['seq']:06d}-{made['name']}").saveAsTable(f"ragframe_{kind}_{made['name']}"))
+        return self._bucketed(kind, made)
 
     def _all(self, kind: str, of=("segments", "deletes")) -> DataFrame | None:
         out = None
@@ -121,18 +172,19 @@ class TextIndex:
         totals = forward.agg((F.count(F.lit(1)) * sign).alias("n_docs"), (F.coalesce(F.sum("dl"), F.lit(0)) * sign).alias("sum_dl"))
         totals.write.mode("overwrite").parquet(f"{self.path}/totals/{seq:06d}")
 
-    def _write(self, forward: DataFrame, seq: int) -> dict:
-        """The tables of one segment from its forward rows (id, keys, dl, tf)."""
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        where = f"{self.path}/forward/{seq:06d}"
-        (forward.repartitionByRange(n, "id").sortWithinPartitions("id").write.mode("overwrite").parquet(where))
-        forward = self.spark.read.parquet(where)
-        self._counts(forward, seq, 1)
+    def _write(self, fragments: DataFrame, seq: int, size, forward) -> dict:
+        """The tables of one segment from ``fragments``, which have an ``id`` and are dealt out by
+        it before ``forward`` makes the forward rows (id, keys, dl, tf) of them. ``size``: bytes
+        of a row's text, or so."""
+        whole = fragments.agg(F.sum(size).cast("long")).first()[0] or 0
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // BUCKET_BYTES))
+        made = {"seq": seq, "name": uuid.uuid4().hex, "buckets": n, "columns": {}}
+        rows = self._store(forward(fragments.repartition(n, "id")), "forward", made)
+        self._counts(rows, seq, 1)
         n_docs, sum_dl = (self._table("totals", seq).select("n_docs", "sum_dl").first())
         avgdl = sum_dl / n_docs if n_docs and sum_dl else 1.0
-        post = forward.select("id", "dl", F.explode("tf").alias("p")).select("id", "dl", "p.token", "p.tf")
-        post = post.withColumn("_f", _impact(F.col("tf"), F.col("dl"), F.lit(avgdl)))
-        level = F.least(F.lit(LEVELS - 1), F.floor((F.lit(_TOP) - F.col("_f")) / F.lit(_TOP) * LEVELS)).cast("int")
+        post = rows.select("id", "dl", F.explode("tf").alias("p")).select("id", "dl", "p.token", "p.tf")
+        level = F.least(F.lit(LEVELS - 1), F.floor((F.lit(_TOP) - _impact(F.col("tf"), F.col("dl"), F.lit(avgdl))) / F.lit(_TOP) * LEVELS)).cast("int")
         # classes of common tokens: as many of the commonest as may be broadcast
         least, df = COMMON_DF, self._table("frequencies", seq).select("token", "df")
         while not fits(df.where(F.col("df") >= least), BROADCAST_MAX_ROWS):
@@ -140,20 +192,19 @@ class TextIndex:
         kinds = df.where(F.col("df") >= least).select("token", (F.floor(F.log2(F.col("df") / least) / 2) + 1).cast("int").alias("_c"))
         post = post.withColumn("level", level).join(F.broadcast(kinds), "token", "left").withColumn(
             "cls", F.coalesce("_c", F.lit(0)) * LEVELS + F.col("level"))
-        (post.select("token", "level", "id", "dl", "tf", "cls").repartitionByRange(n, "cls", "token", "id").sortWithinPartitions("cls", "token", "id")
-         .write.mode("overwrite").partitionBy("cls").parquet(f"{self.path}/postings/{seq:06d}"))
-        heads = post.groupBy("token", "level", "cls").agg(F.count(F.lit(1)).alias("n"), F.max("_f").alias("max_f"))
-        heads.repartitionByRange(n, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{self.path}/heads/{seq:06d}")
-        return {"seq": seq, "avgdl": avgdl}
+        post = self._store(post.select("token", "level", "id", "dl", "tf", "cls"), "postings", made)
+        heads = post.groupBy("token", "level", "cls").agg(
+            F.count(F.lit(1)).alias("n"), F.max(_impact(F.col("tf"), F.col("dl"), F.lit(avgdl))).alias("max_f"))
+        heads.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{self.path}/heads/{seq:06d}")
+        return {**made, "avgdl": avgdl}
 
     def append(self, fragments: DataFrame, batch: str | None = None) -> "TextIndex":
         """Adds ``fragments`` (id, keys, value) as a segment; only they are read."""
         if self.done(batch):
             return self
         seq = self.manifest["next"]
-        rows = fragments.select("id", *FRAGMENT_KEYS, tokens("value").alias("_toks"))
-        forward = term_frequencies(rows).select("id", *FRAGMENT_KEYS, F.size("_toks").cast("long").alias("dl"), F.col("_tf").alias("tf"))
-        made = self._write(forward, seq)
+        made = self._write(fragments.select("id", *FRAGMENT_KEYS, "value"), seq, F.octet_length("value"), lambda texts: _counted(
+            texts.select("id", *FRAGMENT_KEYS, tokens("value").alias("tf"))))
         return self._commit({"next": seq + 1, "segments": [*self.manifest["segments"], made]}, batch)
 
     def delete(self, keys: DataFrame, batch: str | None = None) -> "TextIndex":
@@ -175,7 +226,7 @@ class TextIndex:
         if rows is None:
             return self
         seq = self.manifest["next"]
-        made = self._write(rows.drop("seq"), seq)
+        made = self._write(rows.drop("seq"), seq, F.col("dl") * 8, lambda kept: kept)
         return self._commit({"next": seq + 1, "segments": [made], "deletes": []})
 
     # -- reading ----------------------------------------------------------
@@ -206,6 +257,8 @@ class TextIndex:
         return BlockSearch(self, queries, limit_col, limit_cap, text_col, carry).result()
 
 
+#: The bucketed tables of a segment and their order in a bucket.
+_SORTED = {"forward": "id", "postings": "cls"}
 _CHOSEN = "query_id {kind}, token string, level int, cls int, rest double, rests double"
 
 
@@ -260,7 +313,7 @@ class BlockSearch:
         self.carry = [limit_col] + [c for c in carry if c != limit_col]
         self.asked = checkpoint(query_tokens(queries, text_col, carry=self.carry))
         self.small = fits(self.asked, BROADCAST_MAX_ROWS)
-        stats = index.bm25()
+        self.stats = stats = index.bm25()
         n_docs, avgdl = stats.totals.first()
         self.n_docs, self.avgdl = n_docs, avgdl or 1.0
         vocab = self._side(self.asked.select("token").distinct())
@@ -286,19 +339,47 @@ class BlockSearch:
             self._side(theta), "query_id", "left").withColumn("theta", F.coalesce("theta", F.lit(0.0)))
         return checkpoint(heads.groupBy("query_id").applyInPandas(lambda g: _choose(g, budget), _CHOSEN.format(kind=self.kind)))
 
-    def read(self, chosen: DataFrame) -> DataFrame:
-        """(query_id, seq, id, score, over): the read part of each fragment's score, and how far
-        that is above the bounds of the tokens that it was read from."""
+    def read(self, chosen: DataFrame) -> dict[int, DataFrame]:
+        """By segment (query_id, seq, id, score, over): the read part of each fragment's score, and
+        how far that is above the bounds of the tokens that it was read from."""
         classes = sorted(r[0] for r in chosen.select("cls").distinct().collect())  # at most levels x classes
-        post = self.index._live(self.index._all("postings", ("segments",)).where(F.col("cls").isin(classes)))
-        want = chosen.select("query_id", "token", "level", "rest").distinct().join(self.terms.select("query_id", "token", "idf"), ["query_id", "token"])
+        want = checkpoint(chosen.select("query_id", "token", "level", "rest").distinct().join(self.terms.select("query_id", "token", "idf"), ["query_id", "token"]))
         part = F.col("idf") * _impact(F.col("tf"), F.col("dl"), F.lit(self.avgdl))
-        return post.join(self._side(want), ["token", "level"]).groupBy("query_id", "seq", "id").agg(
-            F.sum(part).alias("score"), F.sum(part - F.col("rest")).alias("over"))
+        out = {}
+        for s in self.index.manifest["segments"]:
+            post = self.index._live(self.index._table("postings", s["seq"]).where(F.col("cls").isin(classes)))
+            out[s["seq"]] = post.join(self._side(want), ["token", "level"]).groupBy("query_id", "seq", "id").agg(
+                F.sum(part).alias("score"), F.sum(part - F.col("rest")).alias("over"))
+        return out
 
-    def full(self, found: DataFrame) -> DataFrame:
-        """The whole scores of the (query_id, seq, id) in ``found``, with keys and settings."""
-        rows = self.index._all("forward", ("segments",)).join(found.select("query_id", "seq", "id"), ["seq", "id"])
+    def full(self, found: dict[int, DataFrame]) -> DataFrame:
+        """The whole scores of the (query_id, seq, id) in ``found``, with keys and settings. While
+        the batch can be sent to the tasks, the found forward rows are scored where they lie, by
+        the kernel of ``bm25_search`` and for all queries (whole scores too: none is wrong). Rows
+        that share an id are all added up by a grouping: the bounds are those of single rows."""
+        sc = _spark_context(self.terms) if self.small else None
+        if sc is None:
+            return self._grouped(found)
+        rows = None
+        for seq, pairs in found.items():
+            ids = broadcast_if_small(checkpoint(pairs.select("id").distinct()), BROADCAST_MAX_ROWS)
+            part = self.index._table("forward", seq).join(ids.hint("shuffle_hash"), "id", "left_semi")
+            rows = part if rows is None else rows.unionByName(part)
+        repeated, summed = self.stats.repeated(), None
+        if repeated is not None:
+            same = broadcast_if_small(repeated.withColumnRenamed("_id", "id"), BROADCAST_MAX_ROWS)
+            rows = rows.join(same, "id", "left_anti")
+            post = _postings(self.stats.forward.join(same, "id", "left_semi"))
+            summed = _summed(post, self._side(self.terms), F.lit(self.avgdl), self.carry, "global")
+        scored = _kernel_scores(sc, self.terms, rows.withColumnRenamed("tf", "_tf"), self.avgdl, self.carry, self.cap, "global")
+        return scored if summed is None else scored.unionByName(summed)
+
+    def _grouped(self, found: dict[int, DataFrame]) -> DataFrame:
+        """:meth:`full` by a join of the found pairs with their rows' tokens and a grouping."""
+        rows = None
+        for seq, pairs in found.items():
+            part = self.index._table("forward", seq).join(pairs.select("query_id", "id"), "id")
+            rows = part if rows is None else rows.unionByName(part)
         each = rows.select("query_id", "id", *FRAGMENT_KEYS, "dl", F.explode("tf").alias("p")).select(
             "query_id", "id", *FRAGMENT_KEYS, "dl", "p.token", "p.tf")
         term = F.col("idf") * _impact(F.col("tf"), F.col("dl"), F.lit(self.avgdl))
@@ -308,22 +389,25 @@ class BlockSearch:
 
     def threshold(self) -> DataFrame:
         """(query_id, theta): a score that at least ``limit`` fragments reach; none: no row."""
-        read = self.read(self.chosen(None, budget=BUDGET * self.cap))
+        read = None
+        for part in self.read(self.chosen(None, budget=BUDGET * self.cap)).values():
+            read = part if read is None else read.unionByName(part)
         limits = self._side(self.terms.groupBy("query_id").agg(F.first(self.limit_col).alias("_k")))
         w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-        best = read.join(limits, "query_id").withColumn("_rn", F.row_number().over(w)).where(
-            (F.col("_rn") <= F.col("_k") * TRIED) & (F.col("_rn") <= F.lit(TRIED * self.cap)))
+        best = checkpoint(read.join(limits, "query_id").withColumn("_rn", F.row_number().over(w)).where(
+            (F.col("_rn") <= F.col("_k") * TRIED) & (F.col("_rn") <= F.lit(TRIED * self.cap))))
         w = Window.partitionBy("query_id").orderBy(F.col("full_text_score").desc(), "id")
-        tried = self.full(checkpoint(best)).withColumn("_rn", F.row_number().over(w))
+        tried = self.full({s["seq"]: best.where(F.col("seq") == s["seq"]) for s in self.index.manifest["segments"]})
+        tried = tried.withColumn("_rn", F.row_number().over(w))
         return checkpoint(tried.where((F.col("_rn") == F.col(self.limit_col)) & (F.col("_rn") <= F.lit(self.cap))).select(
             "query_id", F.col("full_text_score").alias("theta")))
 
     def result(self) -> DataFrame:
         theta = self.threshold()
         chosen = self.chosen(theta)
-        need = self._side(chosen.groupBy("query_id").agg(F.first("rests").alias("rests")).join(theta, "query_id", "left"))
-        read = self.read(chosen).join(need, "query_id")
-        kept = checkpoint(read.where(F.col("theta").isNull() | (F.col("over") + F.col("rests") >= F.col("theta") - F.lit(SLACK))))
+        need = checkpoint(chosen.groupBy("query_id").agg(F.first("rests").alias("rests")).join(theta, "query_id", "left"))
+        kept = {seq: part.join(self._side(need), "query_id").where(
+            F.col("theta").isNull() | (F.col("over") + F.col("rests") >= F.col("theta") - F.lit(SLACK))) for seq, part in self.read(chosen).items()}
         self.last = chosen, kept
         w = Window.partitionBy("query_id").orderBy(F.col("full_text_score").desc_nulls_first(), F.col("id").asc())
         return (self.full(kept).withColumn("_rn", F.row_number().over(w))
@@ -336,6 +420,9 @@ class BlockSearch:
         whole = self.heads.groupBy("query_id").agg(F.sum("n").alias("postings"))
         read = self.heads.join(chosen.select("query_id", "token", "level", "cls").distinct(), ["query_id", "token", "level", "cls"]).groupBy(
             "query_id").agg(F.sum("n").alias("postings_read"))
-        full = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("fragments_scored"))
+        full = None
+        for part in kept.values():
+            full = part.select("query_id") if full is None else full.unionByName(part.select("query_id"))
+        full = full.groupBy("query_id").agg(F.count(F.lit(1)).alias("fragments_scored"))
         return whole.join(read, "query_id", "left").join(full, "query_id", "left").select(
             "query_id", "postings", F.coalesce("postings_read", F.lit(0)).alias("postings_read"), F.coalesce("fragments_scored", F.lit(0)).alias("fragments_scored"))

@@ -91,7 +91,8 @@ def _stages(spark: SparkSession, sf: str, corpus: str = "corpus", **opts) -> dic
     """Retrieval stages over the stored fragment table and its stored index."""
     key = ("stages", id(spark), sf, corpus, tuple(sorted(opts.items())), TD.version(spark, sf))
     return _kept(spark, key, lambda: retrieval_stages(
-        TD.queries(spark, sf), _fragments(spark, sf, corpus), TD.contexts(spark, sf), _index(spark, sf, corpus), **opts))
+        TD.queries(spark, sf), _fragments(spark, sf, corpus), TD.contexts(spark, sf),
+        lambda: _index(spark, sf, corpus), **opts))
 
 
 def _digest(vec: str = "embedding"):

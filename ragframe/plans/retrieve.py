@@ -17,6 +17,7 @@ sides are joined by shuffle (AQE handles skew); the stages stay the same.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -116,10 +117,11 @@ class _Stages(dict):
 
 
 def retrieval_stages(queries: DataFrame, fragments: DataFrame, contexts: DataFrame | None = None,
-                     index: Bm25Index | None = None, scope: str = "global", method: str = "block",
+                     index: Bm25Index | Callable[[], Bm25Index] | None = None, scope: str = "global", method: str = "block",
                      with_vectors: bool = False, dedupe_keep: str = "lowest",
                      materialize_matches: bool = True) -> dict[str, DataFrame]:
-    """Every intermediate of :func:`retrieve`, by name (built lazily)."""
+    """Every intermediate of :func:`retrieve`, by name (built lazily; so is an ``index`` that
+    is given as a function: stages without a text search need none)."""
     spark = queries.sparkSession
     max_rows = conf_int(spark, BROADCAST_MAX_ROWS, 2_000_000)
     max_bytes = conf_int(spark, BROADCAST_MAX_BYTES, 32 * 1024 * 1024)
@@ -139,7 +141,7 @@ def retrieval_stages(queries: DataFrame, fragments: DataFrame, contexts: DataFra
         if "ix" not in memo:
             # corpus statistics are global in both scopes; 'context' only
             # restricts which postings are scored
-            memo["ix"] = index or bm25_stats(fragments, materialize=True)
+            memo["ix"] = (index() if callable(index) else index) or bm25_stats(fragments, materialize=True)
         return memo["ix"]
 
     def fts_top():

@@ -116,3 +116,30 @@ def test_empty_fragments_and_no_queries(spark, path):
     index.append(spark.createDataFrame([(1, "c0", 1, 0, None), (2, "c0", 1, 1, ""), (3, "c0", 1, 2, "w1"), (4, None, None, None, "w1 w1")], SCHEMA))
     assert rows(index.search(q)) == rows(FT.bm25_search(q, index.bm25()))
     assert index.search(q.limit(0)).count() == 0
+
+
+def test_a_search_moves_no_forward_rows_nor_postings(spark, path):
+    """Postings are summed by fragment, and found rows scored, where they lie."""
+    index = TI.TextIndex.create(spark, path, spark.createDataFrame(corpus(600), SCHEMA))
+    search = TI.BlockSearch(index, questions(spark, 5), "_fts_limit", None, "query", ())
+    parts = search.read(search.chosen(None, budget=200)).values()
+    plans = [p._jdf.queryExecution().executedPlan().toString() for p in parts]
+    assert plans and not any("Exchange hashpartitioning" in p or "Exchange rangepartitioning" in p for p in plans)
+
+
+def test_repeated_ids_are_added_up(spark, path):
+    """Rows that share an id and keys count as one fragment's, as in the exhaustive search."""
+    made = corpus(200)
+    index = TI.TextIndex.create(spark, path, spark.createDataFrame(made + made[:40], SCHEMA))
+    q = questions(spark, 6).where("_fts_limit < 400")
+    assert rows(index.search(q)) == rows(FT.bm25_search(q, index.bm25()))
+
+
+def test_another_session_reads_a_stored_index(spark, path):
+    made = corpus(150)
+    index = TI.TextIndex.create(spark, path, spark.createDataFrame(made, SCHEMA))
+    q = questions(spark, 4)
+    found = rows(index.search(q))
+    for kind in ("forward", "postings"):
+        spark.sql(f"DROP TABLE ragframe_{kind}_{index.manifest['segments'][0]['name']}")
+    assert rows(TI.TextIndex.open(spark, path).search(q)) == found
