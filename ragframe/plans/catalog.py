@@ -31,7 +31,7 @@ from ragframe.operators import textindex as TI
 from ragframe.operators import vectors as V
 from ragframe.plans.oracle_retrieval import RETRIEVED_COLS, retrieval_with
 from ragframe.plans.retrieve import retrieval_stages
-from ragframe.session import broadcast_if_small, ensure_checkpoint_dir
+from ragframe.session import broadcast_if_small, checkpoint, ensure_checkpoint_dir
 from ragframe.sources import tables as TB
 from ragframe.sources import testdata as TD
 from ragframe.streaming import answers as SA
@@ -188,10 +188,12 @@ FROM fts_top f JOIN corpus e ON e.id = f.id JOIN qs q ON q.query_id = f.query_id
 def q_cosine_distance(spark, sf):
     """Distances of the pairs that the text search found (at most its limit a query)."""
     st = _stages(spark, sf)
-    hits = st["fts_top"].select("query_id", "id")
-    q = st["queries"].select("query_id", F.col("embedding").alias("q_vec"))
+    hits = checkpoint(st["fts_top"].select("query_id", "id"))
+    q = checkpoint(st["queries"].select("query_id", F.col("embedding").alias("q_vec")))
     f = _fragments(spark, sf).select("id", "context_id", "document_id", "fragment_index", "embedding")
-    out = V.cosine_distance(f.join(hits, "id").join(q, "query_id"), "q_vec", "embedding", "semantic_score")
+    # both sides grow with the queries, not with the fragments: these are only scanned
+    pairs = f.join(broadcast_if_small(hits, FT.BROADCAST_MAX_ROWS), "id").join(broadcast_if_small(q, FT.BROADCAST_MAX_ROWS), "query_id")
+    out = V.cosine_distance(pairs, "q_vec", "embedding", "semantic_score")
     return out.select(*SEM_COLS).withColumn("semantic_score", F.round("semantic_score", K.DISTANCE_DIGITS))
 
 
