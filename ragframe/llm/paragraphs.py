@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import broadcast_up_to, components, fresh, grouped, join_group, shared_table, text_batches
+from ragframe.llm.common import broadcast_up_to, components, fresh, join_group, shared_table, text_batches
 
 SHINGLE, MIN_SIMILARITY = 5, 0.8
 MIN_WORDS, LONG, CUT_MASK = 8, 40, 7
@@ -46,7 +46,9 @@ BLOCK = 256
 #: Words compared at each edge of a short run of units; a unit is seldom longer.
 EDGE = 48
 #: Bytes of the places whose surroundings are read, up to which they are broadcast to the texts.
-EDGE_BYTES = 32 << 20
+EDGE_BYTES = 4 << 20
+#: Words whose hashes a task keeps at most.
+HASHES = 1 << 17
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"\w+")
@@ -59,6 +61,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class _Hashes(dict):
+    """Hashes of words, each computed once (until too many are kept)."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HASHES:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_HASHES = _Hashes()
+
+
 def _grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each place on (as many as there are places with n words)."""
     out = np.zeros(max(0, len(h) - n + 1), np.uint64)
@@ -71,7 +89,7 @@ def _cut(words: list[str], at: int) -> list[tuple[int, list[str]]]:
     """A long run of words parted at places that its words alone determine."""
     if len(words) <= LONG:
         return [(at, words)]
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, (w.encode("utf-8", "replace") for w in words)), np.uint64, len(words))
+    h = _HASHES.of(words)
     out, start = [], 0
     for cut in (np.nonzero((_grams(h, 2) & np.uint64(CUT_MASK)) == 0)[0] + 2).tolist():
         if cut - start >= MIN_WORDS and cut < len(words):
@@ -101,7 +119,7 @@ def units(text: str | None) -> list[tuple[int, list[str]]]:
 def _signatures(batch_units: list[list[str]]) -> np.ndarray:
     """MinHash values (units x bands) of units of at least ``SHINGLE`` words."""
     words = [w for u in batch_units for w in u]
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, (w.encode("utf-8", "replace") for w in words)), np.uint64, len(words))
+    h = _HASHES.of(words)
     g = np.append(_grams(h, SHINGLE), np.uint64(0))
     size = np.array([len(u) for u in batch_units])
     first = np.cumsum(size) - size
@@ -132,15 +150,12 @@ def all_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         run, f"doc_id {kind}, start int, n_words int, hash long, keys array<long>, words string")
 
 
-def _compare(_, group: pa.Table) -> pa.RecordBatch:
-    """Links of a spanning forest between the left and the right members of a group."""
-    rows = list(zip(*(group.column(c).to_pylist() for c in ("left", "hash", "words"))))
-    sets: dict[int, frozenset] = {}
-    for _, h, text in rows:
-        if h not in sets:
-            w = text.split(" ")
-            sets[h] = frozenset(tuple(w[i:i + SHINGLE]) for i in range(len(w) - SHINGLE + 1))
-    root = {h: h for h in sets}
+def _forest(left: dict[int, str], right: dict[int, str], u: list[int], v: list[int]) -> None:
+    """Appends the links of a spanning forest between the left and the right members (hash: words)."""
+    sets, root = {}, {}
+    for h, text in (left | right).items():
+        w = text.split(" ")
+        sets[h], root[h] = set(zip(*(w[o:] for o in range(SHINGLE)))), h
 
     def find(x):
         while root[x] != x:
@@ -148,10 +163,9 @@ def _compare(_, group: pa.Table) -> pa.RecordBatch:
             x = root[x]
         return x
 
-    right = sorted({h for side, h, _ in rows if not side})
-    u, v = [], []
-    for a in sorted({h for side, h, _ in rows if side}):
-        for b in right:
+    others = sorted(right)
+    for a in sorted(left):
+        for b in others:
             x, y = find(a), find(b)
             if x == y:
                 continue
@@ -163,22 +177,47 @@ def _compare(_, group: pa.Table) -> pa.RecordBatch:
             if both >= MIN_SIMILARITY * (len(p) + len(q) - both):
                 root[max(x, y)] = min(x, y)
                 u.append(a), v.append(b)
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _compared(dealt: DataFrame) -> DataFrame:
+    """Links (u, v) of the groups (key, i, j) of ``dealt``. One shuffle, then a pass over the
+    sorted partition that holds one group at a time; most groups have two members. In a
+    group of one block (i = j) each member is on both sides."""
+    def run(batches):
+        key, sides = None, ({}, {})
+
+        def links(u, v):
+            if key is not None:
+                _forest(sides[0], sides[0] if key[1] == key[2] else sides[1], u, v)
+
+        for batch in batches:
+            u, v = [], []
+            for k, i, j, left, h, words in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                if (k, i, j) != key:
+                    links(u, v)
+                    key, sides = (k, i, j), ({}, {})
+                sides[0 if left else 1].setdefault(h, words)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        u, v = [], []
+        links(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    on = ["key", "i", "j"]
+    return dealt.select(*on, "left", "hash", "words").repartition(*on).sortWithinPartitions(*on).mapInArrow(run, "u long, v long")
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Units whose cluster occurs in two documents or more: doc_id, start, n_words,
     cluster, first_doc (smallest doc_id of the cluster) and first_start (in it)."""
-    stored = all_units(docs, id_col, text_col)
-    stored = shared_table(stored, "units")
+    stored = shared_table(all_units(docs, id_col, text_col), "units")
     keyed = stored.select("hash", F.explode("keys").alias("key"))
     busy = shared_table(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "busy-keys")
-    member = stored.select("doc_id", "start", "n_words", "hash", F.explode("keys").alias("key")).join(busy, "key")
-    member = shared_table(member, "busy-members")
+    # equal units have equal keys: only their hashes move until the clusters are known
+    member = shared_table(keyed.join(busy, "key"), "busy-members")
+    distinct = shared_table(member.groupBy("key", "hash").agg(F.count("*").alias("times")), "busy-units")
 
-    distinct = member.groupBy("key", "hash").agg(F.count("*").alias("times")).drop("times")
     several = shared_table(distinct.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "mixed-keys")
-    mixed = shared_table(distinct.join(several, "key"), "mixed-members")
+    mixed = shared_table(distinct.drop("times").join(several, "key"), "mixed-members")
     wanted = shared_table(mixed.select("hash").distinct(), "mixed-units")
     # copies become one row in each task, before or (where the list is too long to broadcast) instead of
     # the filter, so those of a hot sentence don't meet in one task
@@ -188,15 +227,20 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         words = words.groupBy("hash").agg(F.first("words").alias("words")).join(wanted, "hash", "left_semi")
     parts = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("hash"), F.col("parts")).cast("int")
-    dealt = mixed.join(words, "hash").withColumn("parts", parts).withColumn("mine", mine)
-    left = dealt.select("key", F.col("mine").alias("i"), F.explode(F.sequence("mine", F.col("parts") - 1)).alias("j"), F.lit(True).alias("left"), "hash", "words")
-    right = dealt.select("key", F.explode(F.sequence(F.lit(0), "mine")).alias("i"), F.col("mine").alias("j"), F.lit(False).alias("left"), "hash", "words")
-    links = shared_table(grouped(left.unionByName(right), ["key", "i", "j"], _compare, "u long, v long"), "unit-links")
+    mine, none = F.col("mine"), F.array().cast("array<int>")
+    dealt = mixed.join(words, "hash").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("hash"), F.col("parts")).cast("int"))
+    left = F.transform(F.sequence(mine, F.col("parts") - 1), lambda j: F.struct(mine.alias("i"), j.alias("j"), F.lit(True).alias("left")))
+    right = F.transform(F.when(mine > 0, F.sequence(F.lit(0), mine - 1)).otherwise(none),
+                        lambda i: F.struct(i.alias("i"), mine.alias("j"), F.lit(False).alias("left")))
+    dealt = dealt.select("key", "hash", "words", F.explode(F.concat(left, right)).alias("at")).select("key", "at.*", "hash", "words")
+    links = shared_table(_compared(dealt), "unit-links")
     roots = components(links)
 
-    found = member.dropDuplicates(["doc_id", "start", "hash"]).drop("key").join(roots.withColumnRenamed("node", "hash"), "hash", "left")
-    found = shared_table(found.withColumn("cluster", F.coalesce("root", "hash")).drop("root", "hash"), "clustered-units")
+    info = distinct.groupBy("hash").agg(F.max("times").alias("members")).join(roots.withColumnRenamed("node", "hash"), "hash", "left")
+    info = shared_table(info.select("hash", F.coalesce("root", "hash").alias("cluster"), "members"), "unit-clusters")
+    # stored as joined: copies of a hot sentence stay dealt out, repeated rows of a document go in a pass of their own
+    found = shared_table(join_group(stored.select("doc_id", "start", "n_words", "hash"), info, "hash", "members"), "busy-places")
+    found = shared_table(found.distinct().drop("hash"), "clustered-units")
     first = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last_doc"),
                                          F.count("*").alias("members")).where("first.doc_id <> last_doc")
     first = shared_table(first.select("cluster", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"), "members"), "clusters")

@@ -130,3 +130,27 @@ def test_recall_of_passages_cut_at_any_word(spark, length, recall):
     exact = [d for d, r in found.items() if (r.start_word, r.n_words) == (spans[d], length)]
     assert length > 50 or len(exact) > 0.3 * len(found)
     assert {r.doc_id for r in got if not r.removed} == {d for d in found if d % 2 == 0}
+
+
+def test_busy_keys_move_hashes_alone(spark, monkeypatch):
+    """Occurrences (documents and places) don't travel with each of a unit's keys, and a member
+    of a group of one block comes once; a repeated row of a document counts once."""
+    stored, dealt = {}, []
+    keep, compare = PG.shared_table, PG._compared
+    monkeypatch.setattr(PG, "shared_table", lambda df, name: stored.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(PG, "_compared", lambda df: dealt.append(df) or compare(df))
+    base = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:29] + ["x"])), (2, " ".join(base[:29] + ["x"])), (3, " ".join(base))]
+    got = PG.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.first_doc) for r in got) == [(1, 1), (2, 1), (3, 1)] and len({r.cluster for r in got}) == 1
+    assert sorted(stored["busy-members"].columns) == ["hash", "key"]
+    assert dealt[0].count() == stored["mixed-members"].count() > 0
+
+
+def test_hashes_are_those_of_the_words(monkeypatch):
+    words = [f"w{i % 7}" for i in range(50)] + ["ünd", ""]
+    want = [PG.xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+    for most in (1 << 17, 3):
+        monkeypatch.setattr(PG, "HASHES", most)
+        held = PG._Hashes()
+        assert held.of(words).tolist() == want and len(held) <= most
