@@ -94,6 +94,14 @@ class Bm25Index:
                          spark.read.parquet(f"{path}/totals"), stored=True)
 
 
+def _stored(rows: DataFrame) -> DataFrame:
+    """``rows`` as Parquet in the shared checkpoint folder, written by the tasks that have them."""
+    spark = rows.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/ragframe_index_{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def by_fragment(rows: DataFrame) -> DataFrame:
     """``rows`` stored in the shared checkpoint folder as a table bucketed by ``id``:
     Spark knows that a fragment's rows lie together, so grouping by keys that
@@ -127,15 +135,15 @@ def bm25_stats(fragments: DataFrame, id_col: str = "id", text_col: str = "value"
 
     The index is built map-side (no shuffle): a *forward index* row per
     fragment holds its length and tokens; postings count and explode them.
-    With ``materialize=True`` (the index build) the forward index is distributed
-    by fragment and checkpointed into the shared checkpoint folder, and so are
-    the frequencies: the text is tokenized once, and a search groups postings by
-    fragment without moving them. N counts every fragment
+    With ``materialize=True`` (the index build) the forward index is stored in the
+    shared checkpoint folder by the tasks that made it, and the frequencies are
+    checkpointed: the text is tokenized once, and a search scores a fragment's row
+    where it lies, so tokens are never moved. N counts every fragment
     (also those without tokens), as a BM25 index does."""
     toks = fragments.select(F.col(id_col).alias("id"), *keys, tokens(text_col).alias("_toks"))
     fwd = toks.select("id", *keys, F.size("_toks").cast("long").alias("dl"), "_toks")
     if materialize:
-        fwd = by_fragment(fwd)
+        fwd = _stored(fwd)
     postings = _postings(fwd, keys)
     doc_freq = fwd.select(F.explode(F.array_distinct("_toks")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # one-row totals (partial aggregation map-side)

@@ -41,6 +41,14 @@ def test_no_row_per_match(spark):
     assert "MapInArrow" in plan and "Generate explode" not in plan and "Aggregate" not in plan
 
 
+def test_index_build_moves_no_tokens(spark):
+    """Forward rows are stored by the tasks that tokenize them: a file a task, not one a shuffle partition."""
+    queries, fragments = _tables(spark, False)
+    index = FT.bm25_stats(fragments.coalesce(3), materialize=True)
+    assert len(index.forward.inputFiles()) <= 3 < int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert index.forward.count() == fragments.count() and index.repeated() is None
+
+
 def test_cells_fitted_to_a_sample(spark, monkeypatch):
     """k-means gets a bounded sample; every row has a cell and the search of all cells is exact."""
     import numpy as np
