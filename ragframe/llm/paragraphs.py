@@ -11,7 +11,8 @@ unrelated sentences, which share no five words, almost never. Keys of a single u
 dropped by a partial count first; copies of a sentence are one member of a key.
 
 **Verification.** Members of a key are compared by exact Jaccard similarity (0.8 or
-more). Keys with many members are dealt into blocks, each pair of blocks is a group of
+more); in larger groups those alone that share one of their rarest shingles, as similar
+ones must. Keys with many members are dealt into blocks, each pair of blocks is a group of
 its own, and a group gives a spanning forest of its links, never its pairs.
 
 **Removal.** Components of the links are clusters. A cluster that occurs in two documents
@@ -26,11 +27,17 @@ long as they agree."""
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 import re
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,15 +50,19 @@ BANDS = 3
 #: Words of a passage at least, and words between two of its units at most.
 MIN_PASSAGE, GAP = 30, 7
 BLOCK = 256
+#: Pairs of a group up to which all are compared without looking for those that can be similar.
+FEW_PAIRS = 64
 #: Words compared at each edge of a short run of units; a unit is seldom longer.
 EDGE = 48
 #: Bytes of the places whose surroundings are read, up to which they are broadcast to the texts.
 EDGE_BYTES = 4 << 20
-#: Words whose hashes a task keeps at most.
-HASHES = 1 << 17
+#: Words that are hashed at once.
+HASHES = 1 << 20
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Where a sentence ends: a line's end, or a mark before white space.
+_END = re.compile(r"[.!?\n](?:(?<=\n)|(?=\s))")
 _WORD = re.compile(r"\w+")
+_ASCII = {c: "\n" if c == 10 else " " for c in range(128) if not _WORD.match(chr(c))}
 _ODD = np.random.default_rng(31).integers(1, 1 << 63, BANDS, np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -61,17 +72,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class _Hashes(dict):
-    """Hashes of words, each computed once (until too many are kept)."""
+def _digests(digest: Callable[[bytes], int], strings: pa.Array) -> np.ndarray:
+    return np.fromiter(map(digest, strings.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(strings))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= HASHES:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
-        return h
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+class _Hashes:
+    """Hashes of words. Among ``HASHES`` words each different one is hashed once; none is kept
+    behind a call, as a batch's different words are hashed sooner than looked up."""
+
+    def __len__(self) -> int:
+        return 0
+
+    def of(self, words: list[str] | pa.Array) -> np.ndarray:
+        words, out = pa.array(words, pa.string()), [np.zeros(0, np.uint64)]
+        for at in range(0, len(words), HASHES):
+            codes = words[at:at + HASHES].dictionary_encode()
+            out.append(_digests(xxhash.xxh3_64_intdigest, codes.dictionary)[codes.indices.to_numpy()])
+        return np.concatenate(out)
 
 
 _HASHES = _Hashes()
@@ -85,46 +102,68 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _cut(words: list[str], at: int) -> list[tuple[int, list[str]]]:
-    """A long run of words parted at places that its words alone determine."""
-    if len(words) <= LONG:
-        return [(at, words)]
-    h = _HASHES.of(words)
-    out, start = [], 0
-    for cut in (np.nonzero((_grams(h, 2) & np.uint64(CUT_MASK)) == 0)[0] + 2).tolist():
-        if cut - start >= MIN_WORDS and cut < len(words):
-            out.append((at + start, words[start:cut]))
-            start = cut
-    return [*out, (at + start, words[start:])]
+@functools.cache
+def _blanks() -> np.ndarray:
+    """Each code point, or that of a blank if no word has it; line ends stay."""
+    chars = np.arange(0x110000, dtype=np.uint32)
+    kept = np.fromiter(map(str.isalnum, map(chr, range(len(chars)))), bool, len(chars))
+    kept[[ord("_"), ord("\n")]] = True
+    return np.where(kept, chars, np.uint32(32))
+
+
+def _plain(text: str | None) -> str:
+    """The text's words (``_WORD``, lower-cased) parted by blanks, its sentences by line ends."""
+    text = "\n".join(_END.split((text or "").lower()))
+    if text.isascii():
+        return text.translate(_ASCII)
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _blanks()[chars].tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _words(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of the texts, the number of words of each sentence (some have none), and
+    the number of sentences of each text."""
+    lines = pc.split_pattern(pa.array([_plain(t) for t in texts], pa.string()), "\n")
+    parts = pc.ascii_split_whitespace(lines.flatten())
+    words = parts.flatten()
+    held = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(held.to_numpy(zero_copy_only=False))])
+    return words.filter(held), np.diff(before[parts.offsets.to_numpy()]), lines.value_lengths().to_numpy()
+
+
+def _ranges(h: np.ndarray, sizes: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first words of all units of some texts, first words of the texts), from the hashes of
+    their words and the figures of ``_words``. Units are sentences, and neighbouring short ones
+    as one; units that stay too short to be compared are included. A unit of more than ``LONG``
+    words is parted at places that its words alone determine."""
+    at, text = np.cumsum(sizes) - sizes, np.cumsum(sentences) - sentences
+    long = sizes >= MIN_WORDS
+    new = long | np.append(True, long[:-1])
+    new[text] = True
+    first = np.unique(np.append(at[new], len(h)))
+    cuts, more = (_grams(h, 2) & np.uint64(CUT_MASK)) == 0, []
+    for i in np.nonzero(np.diff(first) > LONG)[0].tolist():
+        start, stop = first[i:i + 2].tolist()
+        for cut in (np.nonzero(cuts[start:stop - 1])[0] + start + 2).tolist():
+            if cut - start >= MIN_WORDS and cut < stop:
+                more.append(cut)
+                start = cut
+    return np.sort(np.append(first[:-1], np.array(more, first.dtype))), at[text]
 
 
 def units(text: str | None) -> list[tuple[int, list[str]]]:
-    """(first word's place, words) of each unit of a text: sentences, and neighbouring
-    short sentences as one; units that stay too short to be compared included."""
-    out, at, short = [], 0, []
-    for sentence in _SENTENCE.split(text or ""):
-        words = _WORD.findall(sentence.lower())
-        if len(words) < MIN_WORDS:
-            short += words
-            continue
-        if short:
-            out += _cut(short, at)
-            at += len(short)
-            short = []
-        out += _cut(words, at)
-        at += len(words)
-    return out + (_cut(short, at) if short else [])
-
-
-def _signatures(batch_units: list[list[str]]) -> np.ndarray:
-    """MinHash values (units x bands) of units of at least ``SHINGLE`` words."""
-    words = [w for u in batch_units for w in u]
-    h = _HASHES.of(words)
+    """(first word's place, words) of each unit of a text."""
+    words, *sizes = _words([text])
+    first, _ = _ranges(_HASHES.of(words), *sizes)
+    held = words.to_pylist()
+    return [(a, held[a:b]) for a, b in itertools.pairwise([*first.tolist(), len(held)])]
+
+
+def _signatures(h: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """MinHash values (units x bands) of units of at least ``SHINGLE`` words: ascending ranges
+    of the words' hashes ``h``."""
     g = np.append(_grams(h, SHINGLE), np.uint64(0))
-    size = np.array([len(u) for u in batch_units])
-    first = np.cumsum(size) - size
-    ends = np.minimum(first + size - SHINGLE + 1, len(g) - 1)
-    pairs = np.stack([first, ends], 1).reshape(-1)
+    pairs = np.stack([first, stop - SHINGLE + 1], 1).reshape(-1)
     return np.stack([np.minimum.reduceat(_mix(g * m), pairs)[::2] for m in _ODD], 1)
 
 
@@ -132,17 +171,22 @@ def all_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, start, n_words, hash, keys, words) of every unit that is compared."""
     def run(batches):
         for batch in text_batches(batches, 1, 4 << 20):
-            rows = [(d, s, w) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s, w in units(t) if len(w) >= MIN_WORDS]
-            if not rows:
+            words, *sizes = _words(batch.column(1).to_pylist())
+            h = _HASHES.of(words)
+            first, begin = _ranges(h, *sizes)
+            ends = np.append(first, len(h))
+            compared = np.diff(ends) >= MIN_WORDS
+            if not compared.any():
                 continue
-            flat = [" ".join(w) for _, _, w in rows]
-            sign = _signatures([w for _, _, w in rows])
-            keys = _mix(sign + np.arange(BANDS, dtype=np.uint64) * _MIX).view(np.int64)
-            hashes = np.fromiter((xxhash.xxh64_intdigest(f.encode("utf-8", "replace")) for f in flat), np.uint64, len(flat)).view(np.int64)
+            flat = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words), " ").filter(pa.array(compared))
+            first, stop = first[compared], ends[1:][compared]
+            rows = np.searchsorted(begin, first, "right") - 1
+            keys = _mix(_signatures(h, first, stop) + np.arange(BANDS, dtype=np.uint64) * _MIX).view(np.int64)
+            hashes = _digests(xxhash.xxh64_intdigest, flat).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.int32()),
-                 pa.array([len(r[2]) for r in rows], pa.int32()), pa.array(hashes),
-                 pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.reshape(-1))), pa.array(flat)],
+                [batch.column(0).take(pa.array(rows)), pa.array((first - begin[rows]).astype(np.int32)),
+                 pa.array((stop - first).astype(np.int32)), pa.array(hashes),
+                 pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.reshape(-1))), flat],
                 ["doc_id", "start", "n_words", "hash", "keys", "words"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -150,12 +194,29 @@ def all_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         run, f"doc_id {kind}, start int, n_words int, hash long, keys array<long>, words string")
 
 
+def _partners(sets: dict[int, set], left: dict[int, str], right: dict[int, str]):
+    """Function from a left member to the right members, ascending, that can be similar to it.
+    Similar members share ``MIN_SIMILARITY`` of either's shingles, so they share one of the
+    others and one more: of those that are rarest in the group."""
+    times = Counter(itertools.chain.from_iterable(sets.values()))
+    rarest = {}
+    for h in left | right:
+        n = len(sets[h])
+        rarest[h] = sorted(sets[h], key=lambda g: (times[g], g))[:n - math.ceil(MIN_SIMILARITY * n - 1e-9) + 1]
+    holders = {}
+    for h in right:
+        for g in rarest[h]:
+            holders.setdefault(g, []).append(h)
+    return lambda a: sorted(set().union(*(holders.get(g, ()) for g in rarest[a])))
+
+
 def _forest(left: dict[int, str], right: dict[int, str], u: list[int], v: list[int]) -> None:
     """Appends the links of a spanning forest between the left and the right members (hash: words)."""
     sets, root = {}, {}
     for h, text in (left | right).items():
         w = text.split(" ")
         sets[h], root[h] = set(zip(*(w[o:] for o in range(SHINGLE)))), h
+    partners = _partners(sets, left, right) if len(left) * len(right) > FEW_PAIRS else None
 
     def find(x):
         while root[x] != x:
@@ -165,7 +226,7 @@ def _forest(left: dict[int, str], right: dict[int, str], u: list[int], v: list[i
 
     others = sorted(right)
     for a in sorted(left):
-        for b in others:
+        for b in others if partners is None else partners(a):
             x, y = find(a), find(b)
             if x == y:
                 continue
@@ -247,6 +308,13 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return join_group(found, first, "cluster", "members")
 
 
+def _slices(h: np.ndarray, at: np.ndarray, sizes: np.ndarray, step: int) -> pa.ListArray:
+    """Elements of ``h`` from each place on, onward or backward."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    nth = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[np.repeat(at, sizes) + step * nth]))
+
+
 def _surroundings(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``places`` (doc_id, start, n_words, ...) with ``before`` (hashes of the words before
     it, from the nearest on) and ``behind``. Of repeated rows of one doc_id each has its own."""
@@ -257,18 +325,17 @@ def _surroundings(docs: DataFrame, places: DataFrame, id_col: str, text_col: str
 
     def run(batches):
         for batch in text_batches(batches, 1, 4 << 20):
-            found, before, behind = [], [], []
-            for text, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = _WORD.findall((text or "").lower())
-                for p in held:
-                    a, b = p["start"], p["start"] + p["n_words"]
-                    before.append([xxhash.xxh32_intdigest(w.encode("utf-8", "replace")) for w in reversed(words[max(0, a - EDGE):a])])
-                    behind.append([xxhash.xxh32_intdigest(w.encode("utf-8", "replace")) for w in words[b:b + EDGE]])
-                found.append(len(held))
-            index = pa.array(np.repeat(np.arange(batch.num_rows), found))
-            flat = batch.column(2).flatten()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), *[flat.field(c) for c in rest],
-                                              pa.array(before, pa.list_(pa.int64())), pa.array(behind, pa.list_(pa.int64()))], ["doc_id", *rest, "before", "behind"])
+            words, sizes, sentences = _words(batch.column(1).to_pylist())
+            h = (_HASHES.of(words) & np.uint64(0xFFFFFFFF)).view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(sentences)])]
+            places, held = batch.column(2).flatten(), batch.column(2).value_lengths().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), held)
+            start, stop = (places.field(c).to_numpy().astype(np.int64) for c in ("start", "n_words"))
+            low, top = ends[row], ends[row + 1]
+            start, stop = np.minimum(low + start, top), np.minimum(low + start + stop, top)
+            before, behind = np.minimum(start - low, EDGE), np.minimum(top - stop, EDGE)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *[places.field(c) for c in rest],
+                                              _slices(h, start - 1, before, -1), _slices(h, stop, behind, 1)], ["doc_id", *rest, "before", "behind"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [places.schema[c] for c in ["doc_id", *rest]])
     return texts.select("doc_id", "text", "places").mapInArrow(run, kinds + ", before array<long>, behind array<long>")
